@@ -128,13 +128,17 @@ def _by_length(words: list[str]) -> list[list[int]]:
     return list(out.values())
 
 
-def fit(df: DataFrame, pieces: list[str], lang: str, text: str, order: str, sample: int, rounds: int) -> tuple[list[str], np.ndarray]:
-    """Languages in order and piece probabilities (pieces + 1, languages).
+def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[list[str], np.ndarray]:
+    """Languages in order and piece probabilities (pieces + 1, languages), from ``(lang, text, order)``.
 
-    Learns from at most ``sample`` rows, the first by the hash ``order``. The vocabulary
-    is fixed and languages are few, so what goes through the driver has a fixed bound.
+    Learns from about ``sample`` rows: those whose hash ``order`` is under the share that gives
+    so many. The vocabulary is fixed and languages are few, so what goes through the driver
+    has a fixed bound.
     """
-    rows = df.where(F.col(lang).isNotNull()).orderBy(order).limit(sample).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    df = df.where(F.col("lang").isNotNull())
+    share = int((1 << 30) * min(1.0, sample / max(df.select("lang").count(), 1)))
+    rows = df.where(F.pmod("order", F.lit(1 << 30)) < share).select("lang", "text")
+    parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
 
     def count(batches):
         for batch in batches:
@@ -146,7 +150,7 @@ def fit(df: DataFrame, pieces: list[str], lang: str, text: str, order: str, samp
                 [pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], names=["lang", "word", "n"]
             )
 
-    tokens = settle(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    tokens = settle(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(parallel))
     langs = sorted(r["lang"] for r in tokens.select("lang").distinct().collect())
     segments = Segments(pieces)
     prob = np.full((segments.size, max(len(langs), 1)), 1 / segments.size)
@@ -200,20 +204,20 @@ class _Scorer:
 
 def identify(
     df: DataFrame, pieces: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: DataFrame | None = None,
-    sample: int = 8_000, rounds: int = 3,
+    sample: int = 4_000, rounds: int = 3,
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, lang_pred, score.
 
     Learns only from rows of ``train`` (default: ``df``) with a language whose crc32 of the id
-    as text, modulo 5, is not 0, at most ``sample`` of them. A text that is null or has no letter is
+    as text, modulo 5, is not 0, about ``sample`` of them at most. A text that is null or has no letter is
     ``und`` with score 0; without any training row, all are. ``score`` is the language's share
     of the likelihood per word. Rows that repeat an id are each returned; an empty frame gives
     an empty one.
     """
     source = df if train is None else train
     learn = source.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    learn = learn.where("_id is not null and text is not null and pmod(crc32(_id), 5) <> 0").withColumn("_order", F.xxhash64(F.lit("langid"), "_id"))
-    langs, prob = fit(learn, pieces, "lang", "text", "_order", sample, rounds)
+    learn = learn.where("_id is not null and pmod(crc32(_id), 5) <> 0").withColumn("order", F.xxhash64(F.lit("langid"), "_id"))
+    langs, prob = fit(learn, pieces, sample, rounds)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((pieces, langs, prob))  # vocabulary x languages
 
