@@ -108,3 +108,29 @@ def running_total(
     df = df.join(parts, [*names, "_cell", "_part"])
     total = F.col("_base") + F.col("_pbase") + F.coalesce(F.col("_in"), F.lit(0))
     return df.withColumn(out, total.cast("long")).drop("_v", "_cell", "_cs", "_cn", "_base", "_parts", "_part", "_in", "_pbase", *names)
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], chunk: Column, last: dict[str, str] | None = None, most: dict[str, str] | None = None) -> DataFrame:
+    """Add columns that look back over all earlier rows (by ``order``) of the same ``by`` keys.
+
+    ``last``: result -> column, its latest non-null value; ``most``: result -> column, its
+    greatest value. A key may hold most of all rows: ``chunk``, which must grow with the
+    order (say, the hour), cuts it into pieces; one row a piece carries values from piece to
+    piece, and rows look back only within theirs. Ties in ``order`` are taken as one engine's
+    sort gives them, so the order should be unique.
+    """
+    last, most = last or {}, most or {}
+    df = df.withColumn("_chunk", chunk)
+    at = F.struct(*order)
+    ends = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_e_{o}") for o, c in last.items()] + [F.max(c).alias(f"_e_{o}") for o, c in most.items()]
+    pieces = df.groupBy(*by, "_chunk").agg(*ends)
+    w = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = [F.last(f"_e_{o}", ignorenulls=True).over(w).alias(f"_c_{o}") for o in last] + [F.max(f"_e_{o}").over(w).alias(f"_c_{o}") for o in most]
+    pieces = pieces.select(*by, "_chunk", *carry)
+    joined = df.join(pieces, [*by, "_chunk"])
+    within = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    for o, c in last.items():
+        joined = joined.withColumn(o, F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"_c_{o}")))
+    for o, c in most.items():
+        joined = joined.withColumn(o, F.greatest(F.max(c).over(within), F.col(f"_c_{o}")))
+    return joined.drop("_chunk", *[f"_c_{o}" for o in [*last, *most]])
