@@ -283,14 +283,14 @@ def k8_g6_alert_scores(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round((l_tax * 50 + l_quantity) / 2 * greatest(1 - l_discount * 10, 0.1) + l_extendedprice / 100, 6) AS priority,
-    round((0.40 * l_extendedprice / 100000 + 0.35 * least((l_tax * 50 + l_quantity) / 2, 8) / 8 + 0.25 * (1 - l_discount * 5) + CASE WHEN l_linestatus = 'O' THEN 0.06 ELSE 0 END) * CASE WHEN l_returnflag = 'A' THEN 0.35 WHEN l_returnflag = 'R' THEN 0.75 ELSE 1 END * 100, 0) >= 50 AS strong FROM lineitem""")
+    round_even((0.40 * l_extendedprice / 100000 + 0.35 * least((l_tax * 50 + l_quantity) / 2, 8) / 8 + 0.25 * (1 - l_discount * 5) + CASE WHEN l_linestatus = 'O' THEN 0.06 ELSE 0 END) * CASE WHEN l_returnflag = 'A' THEN 0.35 WHEN l_returnflag = 'R' THEN 0.75 ELSE 1 END * 100, 1) >= 50 AS strong FROM lineitem""")
 def k7_k8_scores(t: Tables) -> DataFrame:
     c = F.col
     low, high, sure = c("l_tax") * 50, c("l_quantity"), 1 - c("l_discount") * 5
     source, kind = F.when(c("l_linestatus") == "O", "stage5").otherwise("stage4"), F.when(c("l_returnflag") == "A", "NEUTRAL").when(c("l_returnflag") == "R", "MIXED").otherwise("BULLISH")
     score = V.alert_score(c("l_extendedprice") / 1000, low, high, sure, source, kind, F.lit(None).cast("boolean"), F.lit(5))
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(V.priority(low, high, 1 - c("l_discount") * 10, c("l_extendedprice")), 6).alias("priority"), (F.round(score, 0) >= 50).alias("strong")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(V.priority(low, high, 1 - c("l_discount") * 10, c("l_extendedprice")), 6).alias("priority"), (score >= 50).alias("strong")
     )
 
 
