@@ -111,9 +111,9 @@ def fit(rows: DataFrame, features: int = 192, ridge: float = 1.0, bins: int = 10
     """
     model = Model(features)
     fitted = rows.where("part <> 4")
-    moments = fitted.agg(Summarizer.metrics("mean", "std", "count").summary(array_to_vector("stats")).alias("m")).select("m.*").first()
-    if not moments or not moments["count"]:
+    if fitted.isEmpty():
         return model
+    moments = fitted.agg(Summarizer.metrics("mean", "std").summary(array_to_vector("stats")).alias("m")).select("m.*").first()
     model.mean = moments["mean"].toArray()
     model.scale = np.maximum(moments["std"].toArray(), 1e-6)
     size = features + len(STATISTICS) + 1
