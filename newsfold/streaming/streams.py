@@ -56,8 +56,11 @@ def horizon_stream(predictions: DataFrame, prices: DataFrame, delay: str = "10 m
 class EventState(StatefulProcessor):
     """State of one event: last number, highest status, counts. A row in, its decision out."""
 
+    def __init__(self, ttl: int | None) -> None:
+        self.ttl = ttl
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("event", "amount double, rank int, articles int, updates int", ttlDurationMs=STATE_DAYS * 86_400_000)
+        self.state = handle.getValueState("event", "amount double, rank int, articles int, updates int", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         amount, rank, articles, updates = self.state.get() if self.state.exists() else (None, None, 0, 0)
@@ -79,18 +82,27 @@ class EventState(StatefulProcessor):
         pass
 
 
-def event_state_stream(articles: DataFrame) -> DataFrame:
-    """Decisions of streaming articles ``(event_key, id, at, amount, status)``; needs the RocksDB state store."""
+def _lasting(days: int | None) -> tuple[int | None, str]:
+    """Milliseconds that state lives, and the time mode that this needs. A stream with expiry goes on until it is stopped."""
+    return (None, "None") if days is None else (days * 86_400_000, "ProcessingTime")
+
+
+def event_state_stream(articles: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
+    """Decisions of streaming articles ``(event_key, id, at, amount, status)``; needs the RocksDB state store. ``days`` None keeps state for good."""
+    ttl, mode = _lasting(days)
     rows = articles.select("event_key", "id", "at", "amount", V.status_rank(F.col("status")).alias("status_rank"), (F.coalesce("status", F.lit("")) != "").alias("has_status"))
     kind = dict(articles.dtypes)["event_key"]
-    return rows.groupBy("event_key").transformWithStateInPandas(EventState(), f"event_key {kind}, id long, decision string, article_count int, update_count int", "Append", "None")
+    return rows.groupBy("event_key").transformWithStateInPandas(EventState(ttl), f"event_key {kind}, id long, decision string, article_count int, update_count int", "Append", mode)
 
 
 class AlertMemory(StatefulProcessor):
     """Shape of the last verdict that a key published."""
 
+    def __init__(self, ttl: int | None) -> None:
+        self.ttl = ttl
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.shape = handle.getValueState("shape", "shape string", ttlDurationMs=STATE_DAYS * 86_400_000)
+        self.shape = handle.getValueState("shape", "shape string", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         last = self.shape.get()[0] if self.shape.exists() else None
@@ -106,10 +118,11 @@ class AlertMemory(StatefulProcessor):
         pass
 
 
-def alert_memory_stream(alerts: DataFrame) -> DataFrame:
+def alert_memory_stream(alerts: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
     """Whether each streaming alert ``(event_id, asset, seq, direction, magnitude, confidence, source)`` is sent."""
+    ttl, mode = _lasting(days)
     rows = alerts.select(
         F.concat_ws(":", F.col("event_id").cast("string"), F.upper("asset")).alias("key"), "seq", F.concat_ws("|", "direction", "magnitude", F.bround(F.col("confidence") * 10).cast("int").cast("string")).alias("shape"),
         F.col("source").isin("stage5", "final").alias("deep"),
     )
-    return rows.groupBy("key").transformWithStateInPandas(AlertMemory(), "key string, seq long, send boolean", "Append", "None")
+    return rows.groupBy("key").transformWithStateInPandas(AlertMemory(ttl), "key string, seq long, send boolean", "Append", mode)

@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+from numbers import Number
 from pathlib import Path
 
 import duckdb
@@ -30,7 +31,7 @@ def test_flagship(spark):
 def cell(v):
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return ""
-    return str(bool(v)) if type(v).__name__ in ("bool", "bool_") else repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) else str(v)
+    return str(bool(v)) if type(v).__name__ in ("bool", "bool_") else repr(round(float(v), 6) + 0.0) if isinstance(v, Number) else str(v)
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -8,7 +8,7 @@ from newsfold.streaming import streams as St
 
 def run(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    q.awaitTermination(60)
     return df.sparkSession.table(name)
 
 
@@ -17,7 +17,7 @@ def test_event_states_equal_batch(spark, tmp_path):
     for part in range(2):
         rows.where(f"id div 30 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r.id: r.decision for r in run(St.event_state_stream(stream), "states").collect()}
+    got = {r.id: r.decision for r in run(St.event_state_stream(stream, None), "states").collect()}
     want = {r.id: r.decision for r in M.diff_states(rows).collect()}
     assert got == want
 
@@ -36,7 +36,7 @@ def test_alert_memory(spark, tmp_path):
     rows = spark.createDataFrame([(1, "btc", 1, "UP", "HIGH", 0.7, "stage4"), (1, "BTC", 2, "UP", "HIGH", 0.71, "stage4"), (1, "BTC", 3, "UP", "HIGH", 0.7, "final"), (1, "BTC", 4, "DOWN", "HIGH", 0.7, "stage4")], "event_id long, asset string, seq long, direction string, magnitude string, confidence double, source string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert {r.seq: r.send for r in run(St.alert_memory_stream(stream), "memory").collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r.seq: r.send for r in run(St.alert_memory_stream(stream, None), "memory").collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
 def test_horizons(spark, tmp_path):
