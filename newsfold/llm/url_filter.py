@@ -120,6 +120,7 @@ def fit(examples: DataFrame, order: int, slots: int) -> tuple[np.ndarray, float]
     counts[got["kind"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
     if not counts.any(1).all():
         return counts, -np.inf
+    counts *= counts.sum(1).min() / counts.sum(1, keepdims=True)  # else what neither model has seen speaks for the smaller one
     scored = score(examples.where("part = 0"), counts, order).select("kind", F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "ratio")), 2).alias("at"))
     bins = sorted(scored.groupBy("at").agg(F.count_if(F.col("kind") == ACCEPTED), F.count_if(F.col("kind") == REJECTED)).collect())  # at most 1,001 rows
     if not bins:
