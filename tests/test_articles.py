@@ -188,3 +188,13 @@ def test_split_messages(spark):
     df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "id long, message string")
     parts = [r.part_text for r in Rp.split_messages(df).orderBy("id", "part").where("id = 1").collect()]
     assert all(len(p) <= 4096 for p in parts) and "".join(parts) == text.replace("\n", "")
+
+
+def test_append_and_candles(spark, tmp_path):
+    from newsfold.functions import values as V
+
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "id long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for _ in range(2):
+        Tb.append(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("date = '2024-01-02'").count() == 2
+    assert one(spark, V.candle_midpoint(F.lit(4.0), F.lit(2.0)), V.move_since(F.lit(50.0), F.lit(55.0)), V.move_since(F.lit(0.0), F.lit(5.0))) == [3.0, pytest.approx(10.0), 0.0]
