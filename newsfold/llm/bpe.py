@@ -234,7 +234,7 @@ def _named(df: DataFrame, *out: str) -> None:
 
 def round_trip(
     df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str | None = "decoded",
-    cache_chunks: int = 600_000,
+    cache_chunks: int = 200_000,
 ) -> DataFrame:
     """Add the ids of each whole text (binary, little-endian unsigned 32 bit) and, unless
     ``decoded`` is None, the bytes that these ids stand for.

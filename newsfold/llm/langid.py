@@ -185,7 +185,7 @@ _CACHE: dict[int, tuple] = {}
 class _Scorer:
     """Scores of words in one worker, at most ``most`` of them at a time."""
 
-    def __init__(self, pieces: list[str], prob: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, pieces: list[str], prob: np.ndarray, most: int = 150_000) -> None:
         self.segments, self.prob, self.most = Segments(pieces), prob, most
         self.row: dict[str, int] = {}
         self.table = np.zeros((0, prob.shape[1]))

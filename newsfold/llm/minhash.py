@@ -48,7 +48,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) < 500_000 and len(word) <= 32:
+        if len(self) < 150_000 and len(word) <= 32:
             self[word] = value
         return value
 
