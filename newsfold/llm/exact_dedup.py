@@ -45,13 +45,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", hash
     )
     keyed = rows.select("_id", "_len", hashed(F.col("_norm")).alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
     keyed = settle(keyed)
-    groups = keyed.groupBy("_h").agg(_best(), F.count("*").alias("group_size"))
+    groups = settle(keyed.groupBy("_h").agg(_best(), F.count("*").alias("group_size")))  # apart from the joins, which can so be split
 
     # bytes inside groups: every member against its keeper
     texts = df.select(F.col(id_col).alias("_id"), norm.alias("_norm")).withColumn("_h", hashed(F.col("_norm")))
     several = groups.where("group_size > 1").select("_h", F.col("keep_id").alias("_id"))
-    models = texts.join(several, ["_h", "_id"], "left_semi").groupBy("_h", "_id").agg(F.min("_norm").alias("_model")).drop("_id")
-    clash = settle(texts.join(models, "_h").where("_norm <> _model").select("_h").distinct())
+    models = texts.join(several, ["_h", "_id"], "left_semi").select("_h", F.col("_norm").alias("_model"))
+    clash = settle(texts.join(models, "_h").where("_norm <> _model").select("_h"))  # no aggregate here: hot joins can be split
+    clash = clash.distinct()
 
     if clash.isEmpty():
         out = keyed.join(groups, "_h")
