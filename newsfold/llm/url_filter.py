@@ -6,17 +6,17 @@ from 0 to ``order`` predicts the next byte from its context and is smoothed by t
 it. Other URLs are judged by the difference of the two log-likelihoods per byte, against a
 threshold that is calibrated on examples which were not counted.
 
-Counts of contexts are added up over all URLs by Spark into a table of fixed size (hashed
-slots), so the models have the same bound at every input size.
+Contexts are counted exactly: the models are a Spark table of one row a context, which grows
+with the URLs and is never gathered. A byte's likelihood depends only on its window (the
+``order`` bytes before it and itself), so distinct windows are joined with the contexts they
+ask for, and URLs with their windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..scale import settle
 
@@ -68,7 +68,7 @@ def contexts(urls: list[str | None], order: int, slots: int) -> tuple[np.ndarray
 
 
 def ratios(urls: list[str | None], counts: np.ndarray, order: int, smooth: float = 4.0) -> np.ndarray:
-    """Log-likelihood of the accepted model less that of the rejected one, per byte."""
+    """What :func:`score` gives, from given counts (2, slots) of hashed contexts: a plain form for comparison."""
     owner, seen, both = contexts(urls, order, counts.shape[1])
     logs = []
     for model in counts:
@@ -80,78 +80,71 @@ def ratios(urls: list[str | None], counts: np.ndarray, order: int, smooth: float
     return np.bincount(owner, logs[ACCEPTED] - logs[REJECTED], len(urls)) / size
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 500_000):
-    """Indices of a batch's URLs in parts of about ``most`` bytes."""
-    urls = batch.column(0).to_pylist()
-    start = size = 0
-    for i, u in enumerate(urls):
-        size += len(u or "") + 8
-        if size >= most or i + 1 == len(urls):
-            yield start, urls[start : i + 1]
-            start, size = i + 1, 0
-
-
-def fit(examples: DataFrame, order: int, slots: int) -> tuple[np.ndarray, float]:
-    """Counts (2, slots) and the threshold, from ``(url, kind)`` with kind 0 accepted, 1 rejected.
-
-    One fifth of the distinct URLs, by hash, calibrates and is not counted. Without
-    examples of both kinds the threshold accepts all.
-    """
-    examples = settle(examples.distinct().withColumn("part", F.pmod(F.crc32("url"), F.lit(5))))
-
-    def count(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            kinds = np.array(batch.column(1).to_pylist(), np.int64)
-            for start, urls in _chunks(batch):
-                owner, seen, both = contexts(urls, order, slots)
-                for kind in (ACCEPTED, REJECTED):
-                    own = kinds[start : start + len(urls)][owner] == kind
-                    if own.any():
-                        made = np.bincount(np.concatenate([seen[own].ravel(), both[own].ravel()]), minlength=slots)
-                        total[kind] = total.get(kind, 0) + made
-        for kind, made in total.items():
-            some = np.flatnonzero(made)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(made[some])], names=["kind", "slot", "n"])
-
-    sums = examples.where("part <> 0").select("url", "kind").mapInArrow(count, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most 2 x slots rows
-    counts = np.zeros((2, slots), np.float32)
-    counts[got["kind"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
-    if not counts.any(1).all():
-        return counts, -np.inf
-    counts *= counts.sum(1).min() / counts.sum(1, keepdims=True)  # else what neither model has seen speaks for the smaller one
-    scored = score(examples.where("part = 0"), counts, order).select("kind", F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "ratio")), 2).alias("at"))
+def windows(df: DataFrame, order: int) -> DataFrame:
+    """Replace ``url`` by ``window``: a row for each byte of a URL (and its end), with the ``order`` bytes before it."""
+    padded = F.concat(F.unhex(F.lit("02" * order)), F.col("url").cast("binary"), F.unhex(F.lit("03")))
+    # an array of one binds the padded URL, which each step would build again
+    cut = F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.octet_length(p) - order), lambda i: F.substring(p, i, F.lit(order + 1))))
+    return df.select(*[c for c in df.columns if c != "url"], F.explode(F.flatten(cut)).alias("window"))
+
+
+def _with_contexts(df: DataFrame, order: int) -> DataFrame:
+    """A row for each order: ``context`` (its length is the order) and ``byte`` of the window."""
+    each = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(order))))
+    return each.withColumns({"context": F.substring("window", F.lit(order + 1) - F.col("k"), F.col("k")), "byte": F.substring("window", order + 1, 1)})
+
+
+def fit(examples: DataFrame, order: int) -> DataFrame:
+    """The models from ``(url, kind)`` with kind 0 accepted, 1 rejected: one row a context with its counts
+    (accepted, rejected) and those of the bytes after it, which are 257 at most."""
+    seen = windows(examples, order).groupBy("window").agg(F.count_if(F.col("kind") == ACCEPTED).alias("a"), F.count_if(F.col("kind") == REJECTED).alias("r"))
+    both = _with_contexts(seen, order).groupBy("context", "byte").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    after = F.map_from_entries(F.collect_list(F.struct("byte", F.struct("a", "r").alias("n"))))
+    return settle(both.groupBy("context").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), after.alias("after")))
+
+
+def score(urls: DataFrame, model: DataFrame, order: int, smooth: float = 4.0) -> DataFrame:
+    """Add ``ratio`` to distinct ``url``: log-likelihood of the accepted model less that of the rejected one, per byte."""
+    total = model.where("octet_length(context) = 0").select("a", "r").first() or (0, 0)
+    least = min(total)  # else what neither model has seen speaks for the smaller one
+    weigh = [least / n if least else 1.0 for n in total]
+    urls = settle(urls.withColumn("no", F.monotonically_increasing_id()))
+    places = windows(urls, order)
+    asked = _with_contexts(places.select("window").distinct(), order).join(model, "context", "left")
+    n = F.try_element_at("after", "byte")
+    count = lambda c, w, name: (F.coalesce(c, F.lit(0)) * F.lit(w)).alias(name)
+    told = F.struct("k", count(n["a"], weigh[0], "ba"), count(F.col("a"), weigh[0], "ca"), count(n["r"], weigh[1], "br"), count(F.col("r"), weigh[1], "cr"))
+    step = lambda p, x: F.struct(((x["ba"] + smooth * p["a"]) / (x["ca"] + smooth)).alias("a"), ((x["br"] + smooth * p["r"]) / (x["cr"] + smooth)).alias("r"))
+    flat = F.struct(F.lit(1 / 256).alias("a"), F.lit(1 / 256).alias("r"))
+    logs = F.aggregate(F.array_sort(F.collect_list(told)), flat, step, lambda p: F.log(p["a"]) - F.log(p["r"]))
+    # whole numbers of 2^-32, so that the sum is the same in any order
+    scored = asked.groupBy("window").agg(F.round(logs * F.lit(2.0**32)).cast("long").alias("log"))
+    sums = places.join(scored, "window").groupBy("no").agg((F.sum("log") / F.count("log") / F.lit(2.0**32)).alias("ratio"))
+    return urls.join(sums, "no").drop("no")
+
+
+def threshold(scored: DataFrame) -> float:
+    """The ratio above which URLs are accepted, from ``(kind, ratio)`` of examples that were not counted."""
+    scored = scored.select("kind", F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "ratio")), 2).alias("at"))
     bins = sorted(scored.groupBy("at").agg(F.count_if(F.col("kind") == ACCEPTED), F.count_if(F.col("kind") == REJECTED)).collect())  # at most 1,001 rows
     if not bins:
-        return counts, 0.0
+        return 0.0
     at, good, bad = (np.array(c, np.float64) for c in zip(*bins))
     if not good.sum() or not bad.sum():
-        return counts, 0.0
+        return 0.0
     right = np.cumsum(bad) / bad.sum() + 1 - np.cumsum(good) / good.sum()  # if all up to here are blocked
     best = int(right.argmax())
-    return counts, float((at[best] + (at[best + 1] if best + 1 < len(at) else at[best])) / 2)
+    return float((at[best] + (at[best + 1] if best + 1 < len(at) else at[best])) / 2)
 
 
-def score(df: DataFrame, counts: np.ndarray, order: int) -> DataFrame:
-    """Add ``ratio`` to a frame whose first column is ``url``."""
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches):
-        for batch in batches:
-            for start, urls in _chunks(batch):
-                part = batch.slice(start, len(urls))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ratios(urls, shared.value, order))], names=[*part.schema.names, "ratio"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ratio", T.DoubleType())]))
-
-
-def judge(df: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url: str = "url", order: int = 5, slots: int = 1 << 18) -> DataFrame:
+def judge(df: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url: str = "url", order: int = 5) -> DataFrame:
     """One row per row of ``df``: page_id, host, path, rule, verdict, ratio.
 
     Null URLs and those without ``://`` have an empty host and path, fit no rule and are
     judged by the model as any other. ``ratio`` is null where a rule decides. Repeated rows
-    are each returned; an empty frame gives an empty one.
+    are each returned; an empty frame gives an empty one. One fifth of the distinct example
+    URLs, by hash, calibrates and is not counted; without counted examples of both kinds all
+    are accepted.
     """
     rows = df.select(F.col(url).cast("string").alias("url"), F.col(id_col).alias("page_id"))
     host, path = host_and_path(F.col("url"))
@@ -159,6 +152,11 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col
     rule, verdict = ruled(F.col("host"), F.col("path"), RULES if rules is None else rules)
     rows = settle(rows.withColumn("rule", rule).withColumn("verdict", verdict))
     examples = rows.where("rule is not null").select("url", F.when(F.col("verdict") == "allow", ACCEPTED).otherwise(REJECTED).alias("kind"))
-    counts, least = fit(examples, order, slots)
-    scored = score(rows.where("rule is null"), counts, order).withColumn("verdict", F.when(F.col("ratio") > least, F.lit("allow")).otherwise(F.lit("block")))
+    examples = settle(examples.distinct().withColumn("part", F.pmod(F.crc32("url"), F.lit(5))))
+    model = fit(examples.where("part <> 0").select("url", "kind"), order)
+    judged = rows.where("rule is null").withColumn("_url", F.coalesce("url", F.lit("")))
+    ratio = settle(score(judged.select(F.col("_url").alias("url")).unionAll(examples.where("part = 0").select("url")).distinct(), model, order))
+    kinds = {r.kind for r in examples.where("part <> 0").select("kind").distinct().collect()}
+    least = threshold(examples.where("part = 0").join(ratio, "url")) if len(kinds) == 2 else -np.inf
+    scored = judged.join(ratio.withColumnRenamed("url", "_url"), "_url").withColumn("verdict", F.when(F.col("ratio") > least, F.lit("allow")).otherwise(F.lit("block"))).drop("_url")
     return rows.where("rule is not null").withColumn("ratio", F.lit(None).cast("double")).unionByName(scored).select("page_id", "host", "path", "rule", "verdict", "ratio")

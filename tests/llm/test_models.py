@@ -115,3 +115,34 @@ def test_url_ratio_is_the_interpolated_one():
             ps.append(p)
         want += math.log(ps[0]) - math.log(ps[1])
     assert url_filter.ratios(["ab"], counts, 2)[0] == pytest.approx(want / len(owner), rel=1e-5)
+
+
+def test_url_counts_are_exact(spark):
+    """More distinct contexts than any fixed number of slots would hold: ratios equal those of plain dictionaries."""
+    rng = np.random.default_rng(5)
+    urls = ["http://x.%s/%s" % (rng.choice(["org", "com", "net"]), bytes(rng.integers(33, 127, 40, dtype=np.uint8)).decode().replace("?", "a").replace("#", "b")) for _ in range(6_000)]
+    rules = [("allow", "org", "/"), ("block", "com", "/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(urls[r.page_id], r.ratio) for r in url_filter.judge(df, rules).collect() if r.rule is None]
+    counts = [{}, {}]
+    for u in set(urls):
+        kind = {"http://x.org": 0, "http://x.com": 1}.get(u[:12])
+        if kind is not None and zlib.crc32(u.encode()) % 5:
+            data = b"\x02" * 5 + u.encode() + b"\x03"
+            for i in range(5, len(data)):
+                for k in range(6):
+                    for key in (("c", data[i - k : i]), ("b", data[i - k : i + 1])):
+                        counts[kind][key] = counts[kind].get(key, 0) + 1
+    assert len(counts[0]) > 1 << 18
+    total = [m["c", b""] for m in counts]
+    assert got
+    for u, ratio in got[:300]:
+        data = b"\x02" * 5 + u.encode() + b"\x03"
+        want = 0.0
+        for i in range(5, len(data)):
+            for m, t, sign in zip(counts, total, (1, -1)):
+                p = 1 / 256
+                for k in range(6):
+                    p = (m.get(("b", data[i - k : i + 1]), 0) * min(total) / t + 4 * p) / (m.get(("c", data[i - k : i]), 0) * min(total) / t + 4)
+                want += sign * math.log(p)
+        assert ratio == pytest.approx(want / (len(data) - 5), abs=1e-8)
