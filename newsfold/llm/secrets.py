@@ -35,13 +35,16 @@ SENSITIVE = {
 #: Words that show a literal to be a placeholder.
 PLACEHOLDERS = {"example", "changeme", "placeholder", "your", "none", "null", "true", "false", "xxxx", "todo", "redacted"}
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
+# Lengths have no bound: names, blanks and literals exclude what ends them, so they never give back what they took.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[\x20\t]{{0,8}}(?::=|=>|[:=])[\x20\t]{{0,8}}"""
-    rf"""(?:"(?P<dq>[^"\r\n]{{1,512}})"|'(?P<sq>[^'\r\n]{{1,512}})'|(?P<bare>[^\s"'<>,;(){{}}\[\]]{{1,512}}))"""
-    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<\r\n]{{1,512}})</"""
-    rf"""|(?<!\S)--?(?P<flag>{_NAME})[\x20\t](?P<value>[^\s"'-]\S{{5,511}})"""
+    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+"""
+    rf"""(?:"(?P<dq>[^"\r\n]++)"|'(?P<sq>[^'\r\n]++)'|(?P<bare>[^\s"'<>,;(){{}}\[\]]++))"""
+    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<\r\n]++)</"""
+    rf"""|(?<!\S)--?(?P<flag>{_NAME})[\x20\t](?P<value>[^\s"'-]\S{{5,}}+)"""
 )
+#: Labels of a key on one line; their blanks don't make it prose.
+_LABEL = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]++-----")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -62,6 +65,7 @@ def _looks_random(literal: str) -> float:
 
 def score(names: set[str], literal: str) -> float:
     """Sensitivity of the most sensitive target, times how random the literal looks."""
+    literal = _LABEL.sub("", literal)
     low = literal.lower()
     if len(literal) < 6 or any(c in literal for c in " \t") or any(p in low for p in PLACEHOLDERS) or literal[0] in "$%{<":
         return 0.0
