@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..scale import settle
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Pieces longer than this are not used, and letters outside all pieces have this share of a piece's probability.
-LONGEST, UNKNOWN = 8, 1e-7
+#: Letters outside all pieces have at most this probability; sums under the second are scaled.
+UNKNOWN, SMALL = 1e-7, 1e-150
 START = "▁"
 
 
@@ -39,7 +39,7 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and _WORD.fullmatch(p.removeprefix(START) or "a")})
+    return sorted({p for p in pieces if _WORD.fullmatch(p.removeprefix(START) or "a")})
 
 
 class Segments:
@@ -48,34 +48,61 @@ class Segments:
     def __init__(self, pieces: list[str]) -> None:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces) + 1  # the last number: a letter that is no piece
+        self.longest = max(map(len, pieces), default=1)
+        self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.number  # -1: only the start of pieces
 
-    def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers of each span (start, end), -1 where no piece; all words have one length."""
-        n, get, other = len(words[0]), self.number.get, self.size - 1
+    def spans(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """Of each span (start, end) the words in which it is a piece, and its numbers; all words have one length."""
+        n, get, other = len(words[0]), self.starts.get, self.size - 1
         out = {}
         for a in range(n):
-            for b in range(a + 1, min(n, a + LONGEST) + 1):
-                out[a, b] = np.array([get(w[a:b], other if b == a + 1 else -1) for w in words], np.int64)
+            live = range(len(words))
+            for b in range(a + 1, n + 1):
+                found = [(i, x) for i in live if (x := get(words[i][a:b])) is not None]
+                has = dict(x for x in found if x[1] >= 0)
+                if b == a + 1 and len(has) < len(words):
+                    has = {i: has.get(i, other) for i in range(len(words))}
+                if has:
+                    out[a, b] = np.fromiter(has, np.int64, len(has)), np.fromiter(has.values(), np.int64, len(has))
+                live = [i for i, _ in found]
+                if not live:
+                    break
         return out
 
-    def forward(self, spans: dict, n: int, prob: np.ndarray) -> np.ndarray:
-        """Sums over segmentations of the first k letters: (n + 1, words, languages). prob: (pieces + 1, languages)."""
-        first = next(iter(spans.values()))
-        out = np.zeros((n + 1, len(first), prob.shape[1]))
+    def forward(self, spans: dict, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over segmentations of the first k letters, and logarithms of their scales: (n + 1, words, languages) both. prob: (pieces + 1, languages)."""
+        out = np.zeros((n + 1, len(spans[0, 1][0]), prob.shape[1]))
+        scale = np.zeros(out.shape)
         out[0] = 1
-        padded = np.concatenate([prob, np.zeros((1, prob.shape[1]))])  # -1: no piece
-        for (a, b), number in sorted(spans.items(), key=lambda s: s[0][1]):
-            out[b] += out[a] * padded[number]
-        return out
-
-    def backward(self, spans: dict, n: int, prob: np.ndarray) -> np.ndarray:
-        first = next(iter(spans.values()))
-        out = np.zeros((n + 1, len(first), prob.shape[1]))
+        ends: list[list] = [[] for _ in range(n + 1)]
+        for (a, b), found in spans.items():
+            ends[b].append((a, *found))
+        for b in range(1, n + 1):
+            for a, own, number in ends[b]:
+                out[b, own] += out[a, own] * prob[number]
+            self._scaled(out, scale, b, slice(max(0, b + 1 - self.longest), None))
+        return out, scale
+
+    def backward(self, spans: dict, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((n + 1, len(spans[0, 1][0]), prob.shape[1]))
+        scale = np.zeros(out.shape)
         out[n] = 1
-        padded = np.concatenate([prob, np.zeros((1, prob.shape[1]))])
-        for (a, b), number in sorted(spans.items(), key=lambda s: -s[0][0]):
-            out[a] += out[b] * padded[number]
-        return out
+        starts: list[list] = [[] for _ in range(n + 1)]
+        for (a, b), found in spans.items():
+            starts[a].append((b, *found))
+        for a in range(n - 1, -1, -1):
+            for b, own, number in starts[a]:
+                out[a, own] += out[b, own] * prob[number]
+            self._scaled(out, scale, a, slice(0, a + self.longest))
+        return out, scale
+
+    @staticmethod
+    def _scaled(out: np.ndarray, scale: np.ndarray, at: int, used: slice) -> None:
+        """Bring rows that are still used, and those to come, to the scale of row ``at``, where that is small."""
+        if out[at].min(initial=1) < SMALL:
+            low = np.where((out[at] < SMALL) & (out[at] > 0), out[at], 1.0)
+            out[used] /= low
+            scale[used] += np.log(low)
 
     def scores(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log-probabilities (words, languages); words may have different lengths."""
@@ -84,7 +111,11 @@ class Segments:
             for i in range(0, len(own), 4096):
                 part = own[i : i + 4096]
                 made = [START + words[k] for k in part]
-                out[part] = self._long(made[0], prob) if len(made[0]) > 64 else np.log(np.maximum(self.forward(self.spans(made), len(made[0]), prob)[-1], 1e-300))
+                if len(made[0]) > 64:
+                    out[part] = self._long(made[0], prob)
+                else:
+                    ahead, scale = self.forward(self.spans(made), len(made[0]), prob)
+                    out[part] = np.log(np.maximum(ahead[-1], 1e-300)) + scale[-1]
         return out
 
     def _long(self, word: str, prob: np.ndarray) -> np.ndarray:
@@ -92,13 +123,13 @@ class Segments:
         row, scale = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
         for b in range(1, len(word) + 1):
             total = np.zeros(prob.shape[1])
-            for a in range(max(0, b - LONGEST), b):
+            for a in range(max(0, b - self.longest), b):
                 number = self.number.get(word[a:b], self.size - 1 if a == b - 1 else -1)
                 if number >= 0:
                     total += row[a - b] * prob[number]
             low = np.maximum(total, 1e-300)
             scale += np.log(low)
-            row = [r / low for r in row[-LONGEST:]] + [total / low]
+            row = [r / low for r in row[-self.longest :]] + [total / low]
         return scale
 
     def expected(self, words: list[str], count: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -106,17 +137,19 @@ class Segments:
         total = np.zeros(self.size)
         for own in _by_length(words):
             n = len(words[own[0]]) + 1
-            if n > 33:
-                continue  # training leaves out what is no natural word
             for i in range(0, len(own), 4096):
                 part = own[i : i + 4096]
                 spans = self.spans([START + words[k] for k in part])
-                ahead, back = self.forward(spans, n, prob)[:, :, 0], self.backward(spans, n, prob)[:, :, 0]
-                share = count[part] / np.maximum(ahead[n], 1e-300)
-                for (a, b), number in spans.items():
-                    has = number >= 0
-                    use = number[has]
-                    np.add.at(total, use, (ahead[a] * back[b] * share)[has] * prob[use, 0])
+                (ahead, up), (back, down) = ((x[:, :, 0], y[:, :, 0]) for x, y in (self.forward(spans, n, prob), self.backward(spans, n, prob)))
+                if up.any() or down.any():
+                    with np.errstate(divide="ignore"):
+                        ahead, back = np.log(ahead) + up, np.log(back) + down
+                    share = lambda a, b, k: np.exp(ahead[a, k] + back[b, k] - np.maximum(ahead[n, k], -1e300)) * count[part][k]  # noqa: B023, E731
+                else:
+                    each = count[part] / np.maximum(ahead[n], 1e-300)
+                    share = lambda a, b, k: ahead[a, k] * back[b, k] * each[k]  # noqa: B023, E731
+                for (a, b), (k, number) in spans.items():
+                    np.add.at(total, number, share(a, b, k) * prob[number, 0])
         return total
 
 
@@ -131,13 +164,14 @@ def _by_length(words: list[str]) -> list[list[int]]:
 def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[list[str], np.ndarray]:
     """Languages in order and piece probabilities (pieces + 1, languages), from ``(lang, text, order)``.
 
-    Learns from about ``sample`` rows: those whose hash ``order`` is under the share that gives
-    so many. The vocabulary is fixed and languages are few, so what goes through the driver
-    has a fixed bound.
+    Learns from about ``sample`` rows of each language: those whose hash ``order`` is under the
+    share that gives so many; a language of fewer rows has them all. Languages without any
+    word are not learned. The vocabulary is fixed and languages are few, so what goes through
+    the driver has a fixed bound.
     """
     df = df.where(F.col("lang").isNotNull())
-    share = int((1 << 30) * min(1.0, sample / max(df.select("lang").count(), 1)))
-    rows = df.where(F.pmod("order", F.lit(1 << 30)) < share).select("lang", "text")
+    share = df.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    rows = df.join(F.broadcast(share), "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).select("lang", "text")
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
 
     def count(batches):
@@ -209,7 +243,7 @@ def identify(
     """One row per row of ``df``: doc_id, held_out, lang_pred, score.
 
     Learns only from rows of ``train`` (default: ``df``) with a language whose crc32 of the id
-    as text, modulo 5, is not 0, about ``sample`` of them at most. A text that is null or has no letter is
+    as text, modulo 5, is not 0, about ``sample`` of them at most in each language. A text that is null or has no letter is
     ``und`` with score 0; without any training row, all are. ``score`` is the language's share
     of the likelihood per word. Rows that repeat an id are each returned; an empty frame gives
     an empty one.

@@ -146,3 +146,30 @@ def test_url_counts_are_exact(spark):
                     p = (m.get(("b", data[i - k : i + 1]), 0) * min(total) / t + 4 * p) / (m.get(("c", data[i - k : i]), 0) * min(total) / t + 4)
                 want += sign * math.log(p)
         assert ratio == pytest.approx(want / (len(data) - 5), abs=1e-8)
+
+
+def test_language_pieces_of_all_lengths():
+    pieces = langid.read_pieces(P.path(PIECES))
+    assert max(map(len, pieces)) > 9
+    seg = langid.Segments(["▁", "a", "b", "abababababab"])
+    prob = np.array([[0.1, 0.2], [0.01, 0.03], [0.02, 0.01], [0.3, 0.001], [1e-7, 1e-7]])
+    assert np.allclose(seg.scores(["ab" * 6], prob)[0], np.log([0.1 * (0.3 + 0.0002**6), 0.2 * (0.001 + 0.0003**6)]))
+    for n in (30, 50, 63, 64, 500):  # no floor at any length
+        assert np.allclose(seg.scores(["z" * n], prob)[0], np.log(prob[0]) + n * np.log(1e-7))
+
+
+def test_language_learns_from_long_words():
+    seg = langid.Segments(["▁", "a", "b", "ab"])
+    prob = np.array([[0.2], [1e-6], [1e-6], [1e-7], [1e-7]])
+    for n in (1, 20, 40, 200):
+        got = seg.expected(["ab" * n], np.array([3.0]), prob)
+        both = 1e-7 / (1e-7 + 1e-12)
+        assert np.allclose(got, 3 * np.array([1, n * (1 - both), n * (1 - both), n * both, 0]))
+
+
+def test_language_list_is_of_all_rows(spark):
+    rows = [(i, "the there", "en") for i in range(400)] + [(400 + i, "da dar", "de") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = ["▁", "▁the", "▁da", "t", "h", "e", "d", "a", "r"]
+    got = langid.identify(df, pieces, sample=5).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 400} == {"de"}
