@@ -313,8 +313,9 @@ def w1_first_writer(t: Tables) -> DataFrame:
 
 @query()
 def w2_greedy_dedup(t: Tables) -> DataFrame:
-    rows = news(t).select("id", "published_at", F.md5("body").alias("body_key"), F.md5(F.concat("title", "source")).alias("title_key"), F.md5(F.substring("body", 1, 12)).alias("start_key"))
-    return D.greedy_dedup(rows, ["body_key", "title_key", "start_key"], "published_at").select("id", "kept")
+    """Whole texts: an article is a copy by its exact, URL (documents have none: blank, never matches) or normal hash."""
+    rows = D.fingerprint_articles(news(t)).select("id", "published_at", "exact_hash", "url_hash", "norm_hash")
+    return D.greedy_dedup(rows, ["exact_hash", "url_hash", "norm_hash"], "published_at").select("id", "kept")
 
 
 @query(f"WITH {NEWS} SELECT id FROM news ORDER BY published_at, id LIMIT 25")

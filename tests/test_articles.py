@@ -13,6 +13,8 @@ from newsfold.operators import feedback as B
 from newsfold.operators import memory as M
 from newsfold.operators import ops as O
 from newsfold.operators import report as Rp
+from newsfold.plans import articles  # noqa: F401  (it registers its queries)
+from newsfold.plans.registry import QUERIES
 from newsfold.scale import carried, connected_components, global_rank, running_total
 from newsfold.sources import feeds as S
 from newsfold.sources import tables as Tb
@@ -198,3 +200,9 @@ def test_append_and_candles(spark, tmp_path):
         Tb.append(rows, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).where("date = '2024-01-02'").count() == 2
     assert one(spark, V.candle_midpoint(F.lit(4.0), F.lit(2.0)), V.move_since(F.lit(50.0), F.lit(55.0)), V.move_since(F.lit(0.0), F.lit(5.0))) == [3.0, pytest.approx(10.0), 0.0]
+
+
+def test_greedy_dedup_query_takes_whole_texts(spark, tmp_path):
+    texts = ["Rates\nThe central bank raised rates.", "Rates\nThe central bank cut its staff.", "RATES\n<p>the central bank raised   rates.</p>", "One line", "Another line", "Rates\nThe central bank raised rates."]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id for r in QUERIES["w2_greedy_dedup"](spark, str(tmp_path)).collect() if r.kept} == {0, 1, 3, 4}
