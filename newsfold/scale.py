@@ -63,19 +63,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def global_rank(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
     """Add ``out``: 0, 1, ... in the order given. A range sort, then one count a partition."""
     placed = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
+    part = F.shiftright("_at", 33).cast("int")
     counts = dict(placed.groupBy(part.alias("p")).agg(F.count("*")).collect())
-    before, start = 0, {}
+    before, start = 0, []
     for p in sorted(counts):
-        start[p], before = before, before + counts[p]
-    if not start:
-        return placed.withColumn(out, F.lit(None).cast("long")).drop("_at")
-    base = F.create_map(*[F.lit(x).cast("long") for pair in start.items() for x in pair])
-    return placed.withColumn(out, base[part] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+        start.append((p, before))
+        before += counts[p]
+    base = F.broadcast(df.sparkSession.createDataFrame(start, "_part int, _base long"))  # a row a partition
+    ranked = placed.withColumn("_part", part).join(base, "_part")
+    return ranked.withColumn(out, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_base")
 
 
 def running_total(
-    df: DataFrame, by: list[str], order: str, value: Column | str, out: str = "before", group_rows: int = 20_000
+    df: DataFrame, by: list[str], order: str, value: Column | str, out: str = "before", group_rows: int = 20_000,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows (by ``order``, an integral
     column with well-spread values such as a hash) of the same ``by`` keys.
@@ -83,14 +84,14 @@ def running_total(
     A key may hold most of all rows, so each key is cut into ranges of ``order`` of about
     ``group_rows`` rows (their number follows the key's count); sums of ranges are added up
     first and rows only within their range. Rows with equal ``order`` share one range and are
-    taken in an unspecified but fixed order by the remaining columns' hash. Null keys are a
-    key of their own; the column order must not be null.
+    taken by value, then by the columns ``ties``. Null keys are a key of their own; the column
+    order must not be null.
     """
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long"))
-    keys = [F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(f"_k{i}") for i, k in enumerate(by)]
-    df = df.select("*", *keys)
-    names = [f"_k{i}" for i in range(len(by))]
+    keys = [(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}"), F.col(k).isNull().alias(f"_z{i}")) for i, k in enumerate(by)]
+    df = df.select("*", *(c for pair in keys for c in pair))
+    names = [f"_{x}{i}" for i in range(len(by)) for x in "kz"]
     # cells: 4096 equal ranges of the 64-bit order, their counts and sums; one row per key and cell
     cell = F.shiftright(F.col(order), 52)
     df = df.withColumn("_cell", cell)
@@ -100,7 +101,7 @@ def running_total(
     df = df.join(cells.select(*names, "_cell", "_base", "_parts"), [*names, "_cell"])
     # a cell of more than group_rows rows is cut again by the next bits of the order
     df = df.withColumn("_part", F.when(F.col("_parts") > 1, F.floor(F.shiftright(F.col(order), 20).bitwiseAND(F.lit((1 << 32) - 1)) * F.col("_parts") / F.lit(1 << 32))).otherwise(F.lit(0)).cast("long"))
-    within = W.partitionBy(*names, "_cell", "_part").orderBy(order, "_v")
+    within = W.partitionBy(*names, "_cell", "_part").orderBy(order, "_v", *(ties or []))
     df = df.withColumn("_in", F.sum("_v").over(within.rowsBetween(W.unboundedPreceding, -1)))
     parts = df.groupBy(*names, "_cell", "_part").agg(F.sum("_v").alias("_ps"))
     pw = W.partitionBy(*names, "_cell").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
