@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .worker import held
+
 #: Unicode white space, as the split pattern's \s has it. Fixed values.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: No match of the split pattern crosses the end of a run of non-spaces, so text is first cut there.
@@ -45,15 +47,15 @@ class Merges:
         self.start = np.cumsum(self.width) - self.width
         self.split = regex.compile(pattern.replace("\\s", f"[{_SPACE}]").replace("\\S", f"[^{_SPACE}]").replace(f"[^[{_SPACE}]", f"[^{_SPACE}"))
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        keys, ranks_ = [], []
         for token, number in self.rank.items():
             for cut in range(1, len(token)):
                 left, right = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = number
-        self.pair = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+                    keys.append(left << 32 | right)
+                    ranks_.append(number)
+        order = np.argsort(np.array(keys, np.int64))
+        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks_, np.int64)[order]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
         self.cache_chunks = cache_chunks
@@ -117,9 +119,10 @@ class Merges:
         token = [*self.byte[np.frombuffer(piece, np.uint8)].tolist(), -1]
         after, before = list(range(1, n + 1)), list(range(-1, n))
         tree = [none] * (2 * width)
-        pair = self.pair.get
+        joined, held_rank = self.token, self.rank.get
+        pair = lambda left, right: held_rank(joined[left] + joined[right])
         for i in range(n - 1):
-            rank = pair(token[i] << 32 | token[i + 1])
+            rank = pair(token[i], token[i + 1])
             if rank is not None:
                 tree[width + i] = rank * width + i
         for node in range(width - 1, 0, -1):
@@ -143,11 +146,11 @@ class Merges:
             put(dead, none)
             if right < n:
                 before[right] = at
-            rank = pair(merged << 32 | token[right]) if right < n else None
+            rank = pair(merged, token[right]) if right < n else None
             put(at, none if rank is None else rank * width + at)
             left = before[at]
             if left >= 0:
-                rank = pair(token[left] << 32 | merged)
+                rank = pair(token[left], merged)
                 put(left, none if rank is None else rank * width + left)
         ids = np.array(token[:-1], np.int64)
         return ids[ids >= 0].astype("<u4").tobytes()
@@ -189,10 +192,10 @@ class Merges:
         look = chunks.__getitem__
         out = [b"".join(map(look, parts)) for parts in cut]
         for c in new:
-            if len(c) > 64:
+            if len(c) > 32:
                 del chunks[c]
         for p in set(itertools.chain.from_iterable(found)):
-            if len(p) > 64:
+            if len(p) > 32:
                 del pieces[p]
         return out
 
@@ -204,15 +207,9 @@ class Merges:
         return self.table[np.repeat(shift, width) + np.arange(int(width.sum()))].tobytes()
 
 
-_LOADED: dict[tuple, Merges] = {}
-
-
 def _merges(ranks: bytes, pattern: str, cache_chunks: int) -> Merges:
     """One copy per Python worker."""
-    key = (hash(ranks), pattern, cache_chunks)
-    if key not in _LOADED:
-        _LOADED[key] = Merges(ranks, pattern, cache_chunks)
-    return _LOADED[key]
+    return held(("bpe", hash(ranks), pattern, cache_chunks), lambda: Merges(ranks, pattern, cache_chunks))
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
@@ -234,7 +231,7 @@ def _named(df: DataFrame, *out: str) -> None:
 
 def round_trip(
     df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str | None = "decoded",
-    cache_chunks: int = 200_000,
+    cache_chunks: int = 100_000,
 ) -> DataFrame:
     """Add the ids of each whole text (binary, little-endian unsigned 32 bit) and, unless
     ``decoded`` is None, the bytes that these ids stand for.
@@ -278,7 +275,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids_le", de
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        merges = _merges(shared.value, pattern, 0)
+        merges = _merges(shared.value, pattern, 100_000)
         for batch in batches:
             made = [merges.decode(x or b"") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, decoded])

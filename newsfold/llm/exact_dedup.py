@@ -67,13 +67,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", hash
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, one for each distinct text, with all their columns."""
-    kept = exact_groups(df, id_col, text).where("kept").groupBy(id_col, "text_sha256").agg(F.count("*").alias("_n"))
-    if any(c.lower() in ("_n", "_sha") for c in df.columns):
-        raise ValueError("columns _n and _sha are reserved")
-    rows = df.withColumn("_sha", F.sha2(squeezed(F.col(text)), 256))
-    keyed = kept.select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "_n")
-    out = rows.join(keyed, rows[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))).drop("_kept_id", "_kept_sha")
-    once = out.where("_n = 1")
-    repeated = out.where("_n > 1").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(repeated).select(*df.columns)
+    """The rows of ``df`` that stay, one for each distinct text, with all their columns.
+
+    Of rows that repeat the keeper's id and its text, any one stays. No column name is reserved.
+    """
+    kept = exact_groups(df, id_col, text).where("kept").select(F.col(id_col).alias("id"), "text_sha256")
+    kept = settle(kept.groupBy("id", "text_sha256").agg((F.count("*") > 1).alias("several")))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(squeezed(F.col(text)), 256).alias("sha"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256")))
+    if not kept.where("several").isEmpty():
+        rows = rows.where("not several").unionByName(rows.where("several").dropDuplicates(["own_id", "sha"]))
+    return rows.select("row.*")

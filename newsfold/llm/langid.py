@@ -7,14 +7,18 @@ are fitted by expectation-maximisation: with the present probabilities, forward
 backward sums give each piece's expected count in the words of the training documents;
 counts by language and piece are added up by Spark.
 
-Words are runs of letters in lower case with a mark for the word's start. Whole texts are
-scored; each worker remembers the scores of words (bounded, and without effect on results).
+Words are runs of letters in lower case with a mark for the word's start. Pieces are found
+along a trie, for thousands of words at a time. Whole texts are scored; each worker
+remembers the scores of words (bounded, and without effect on results).
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import settle
+from .worker import held
+
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters that Python's word class holds though they are neither letters nor decimal digits (½, Ⅷ, ²).
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_TO_SPACE = dict.fromkeys(map(ord, _NUMBERS), " ")
 #: Letters outside all pieces have at most this probability; sums under the second are scaled.
 UNKNOWN, SMALL = 1e-7, 1e-150
 START = "▁"
+#: Languages are few: their list and probabilities go through the driver, so more are refused.
+MOST_LANGUAGES = 1_000
+#: A text is rejected if fewer of its words are likelier in some language than by their letters alone.
+LEAST = 0.2
+
+
+def _lower(text: str) -> str:
+    """In lower case, with a space for each number that isn't a decimal digit."""
+    text = text.lower()
+    return text if text.isascii() or _NUMBERS.isdisjoint(text) else text.translate(_TO_SPACE)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _WORD.findall(_lower(text)) if text else []
+
+
+def _word_blocks(text: str | None, most: int = 200_000) -> Iterator[list[str]]:
+    """The words of a text, in blocks, so that a very long one isn't held as words all at once."""
+    if text:
+        found = (m.group() for m in _WORD.finditer(_lower(text)))
+        while block := list(islice(found, most)):
+            yield block
 
 
 def read_pieces(path: str) -> list[str]:
@@ -42,84 +69,138 @@ def read_pieces(path: str) -> list[str]:
     return sorted({p for p in pieces if _WORD.fullmatch(p.removeprefix(START) or "a")})
 
 
+class Trie:
+    """Pieces as a trie of numbered nodes, whose edges stand in an open hash table."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        letters = sorted({c for p in pieces for c in p})
+        self.letter = np.zeros(sys.maxunicode + 1, np.int32)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        node: dict[str, int] = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        self.piece = np.full(len(node), -1, np.int32)
+        self.piece[[node[p] for p in pieces]] = np.arange(len(pieces))
+        self.first = np.full(self.letters, -1, np.int32)
+        self.bits = max(10, (4 * len(node)).bit_length())
+        keys, values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for text, number in node.items():
+            if len(text) == 1:
+                self.first[self.letter[ord(text)]] = number
+            elif text:
+                key = node[text[:-1]] * self.letters + int(self.letter[ord(text[-1])])
+                slot = int(self._slots(np.array([key]))[0])
+                while keys[slot] >= 0:
+                    slot = (slot + 1) % len(keys)
+                keys[slot], values[slot] = key, number
+        self.keys, self.values = keys, values
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes after one more letter, -1 where no piece goes on."""
+        key = nodes.astype(np.int64) * self.letters + letters
+        slot = self._slots(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while open_.size:
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            there = self.keys[slot[open_]]
+            found = there == key[open_]
+            out[open_[found]] = self.values[slot[open_[found]]]
+            open_ = open_[~found & (there >= 0)]
+        return out
+
+
 class Segments:
-    """Forward and backward sums over all segmentations, for words of one length at a time."""
+    """Forward and backward sums over all segmentations, for many words at a time."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces) + 1  # the last number: a letter that is no piece
         self.longest = max(map(len, pieces), default=1)
-        self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.number  # -1: only the start of pieces
-
-    def spans(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """Of each span (start, end) the words in which it is a piece, and its numbers; all words have one length."""
-        n, get, other = len(words[0]), self.starts.get, self.size - 1
-        out = {}
-        for a in range(n):
-            live = range(len(words))
-            for b in range(a + 1, n + 1):
-                found = [(i, x) for i in live if (x := get(words[i][a:b])) is not None]
-                has = dict(x for x in found if x[1] >= 0)
-                if b == a + 1 and len(has) < len(words):
-                    has = {i: has.get(i, other) for i in range(len(words))}
-                if has:
-                    out[a, b] = np.fromiter(has, np.int64, len(has)), np.fromiter(has.values(), np.int64, len(has))
-                live = [i for i, _ in found]
-                if not live:
+        self.trie = Trie(pieces)
+
+    def spans(self, words: list[str]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+        """Lengths of the words, which must come shortest first, and all spans (start, end, words, pieces) by start.
+
+        The mark of the start stands before each word, so lengths are one more.
+        """
+        flat = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self.trie.letter[flat]
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(length) - length
+        out = []
+        for a in range(int(length[-1]) if len(words) else 0):
+            live = np.arange(np.searchsorted(length, a, side="right"), len(words))
+            node = self.trie.first[letter[begin[live] + a]]
+            number = np.where(node >= 0, self.trie.piece[node], -1)
+            out.append((a, a + 1, live, np.where(number >= 0, number, self.size - 1)))
+            for b in range(a + 2, a + self.longest + 1):
+                on = (node >= 0) & (length[live] >= b)
+                live, node = live[on], node[on]
+                if not live.size:
                     break
-        return out
-
-    def forward(self, spans: dict, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over segmentations of the first k letters, and logarithms of their scales: (n + 1, words, languages) both. prob: (pieces + 1, languages)."""
-        out = np.zeros((n + 1, len(spans[0, 1][0]), prob.shape[1]))
+                node = self.trie.step(node, letter[begin[live] + b - 1])
+                number = np.where(node >= 0, self.trie.piece[node], -1)
+                has = number >= 0
+                if has.any():
+                    out.append((a, b, live[has], number[has]))
+        return length, out
+
+    def forward(self, length: np.ndarray, spans: list, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over segmentations of the first k letters, and logarithms of their scales: (longest + 1, words, languages) both."""
+        out = np.zeros((int(length[-1]) + 1, len(length), prob.shape[1]))
         scale = np.zeros(out.shape)
         out[0] = 1
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for (a, b), found in spans.items():
-            ends[b].append((a, *found))
-        for b in range(1, n + 1):
-            for a, own, number in ends[b]:
-                out[b, own] += out[a, own] * prob[number]
-            self._scaled(out, scale, b, slice(max(0, b + 1 - self.longest), None))
+        at = 0
+        for a, b, own, number in spans:
+            if a > at:
+                at = a
+                self._scaled(out, scale, a, slice(a, None))
+            out[b, own] += out[a, own] * prob[number]
         return out, scale
 
-    def backward(self, spans: dict, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((n + 1, len(spans[0, 1][0]), prob.shape[1]))
+    def backward(self, length: np.ndarray, spans: list, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((int(length[-1]) + 1, len(length), prob.shape[1]))
         scale = np.zeros(out.shape)
-        out[n] = 1
-        starts: list[list] = [[] for _ in range(n + 1)]
-        for (a, b), found in spans.items():
-            starts[a].append((b, *found))
-        for a in range(n - 1, -1, -1):
-            for b, own, number in starts[a]:
-                out[a, own] += out[b, own] * prob[number]
-            self._scaled(out, scale, a, slice(0, a + self.longest))
+        out[length, np.arange(len(length))] = 1
+        at = len(out)
+        for a, b, own, number in reversed(spans):
+            if a < at:
+                at = a
+                self._scaled(out, scale, a + 1, slice(0, a + 1 + self.longest))
+            out[a, own] += out[b, own] * prob[number]
         return out, scale
 
     @staticmethod
     def _scaled(out: np.ndarray, scale: np.ndarray, at: int, used: slice) -> None:
         """Bring rows that are still used, and those to come, to the scale of row ``at``, where that is small."""
-        if out[at].min(initial=1) < SMALL:
+        if at < len(out) and out[at].min(initial=1) < SMALL:
             low = np.where((out[at] < SMALL) & (out[at] > 0), out[at], 1.0)
             out[used] /= low
             scale[used] += np.log(low)
 
     def scores(self, words: list[str], prob: np.ndarray) -> np.ndarray:
-        """Log-probabilities (words, languages); words may have different lengths."""
+        """Log-probabilities (words, languages); words may have any lengths."""
         out = np.zeros((len(words), prob.shape[1]))
-        for own in _by_length(words):
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
-                made = [START + words[k] for k in part]
-                if len(made[0]) > 64:
-                    out[part] = self._long(made[0], prob)
-                else:
-                    ahead, scale = self.forward(self.spans(made), len(made[0]), prob)
-                    out[part] = np.log(np.maximum(ahead[-1], 1e-300)) + scale[-1]
+        for part in _alike(words, prob.shape[1]):
+            if len(words[part[0]]) > 256:
+                out[part] = self._long(START + words[part[0]], prob)
+            else:
+                length, spans = self.spans([words[k] for k in part])
+                ahead, scale = self.forward(length, spans, prob)
+                last = length, np.arange(len(part))
+                with np.errstate(divide="ignore"):
+                    out[part] = np.maximum(np.log(ahead[last]), -1e300) + scale[last]
         return out
 
     def _long(self, word: str, prob: np.ndarray) -> np.ndarray:
-        """One long word: the same sums, scaled at each letter."""
+        """One long word: the same sums, scaled at each letter, of which only the last few are held."""
         row, scale = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
         for b in range(1, len(word) + 1):
             total = np.zeros(prob.shape[1])
@@ -135,42 +216,44 @@ class Segments:
     def expected(self, words: list[str], count: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected counts of pieces in one language; prob: (pieces + 1, 1)."""
         total = np.zeros(self.size)
-        for own in _by_length(words):
-            n = len(words[own[0]]) + 1
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
-                spans = self.spans([START + words[k] for k in part])
-                (ahead, up), (back, down) = ((x[:, :, 0], y[:, :, 0]) for x, y in (self.forward(spans, n, prob), self.backward(spans, n, prob)))
-                if up.any() or down.any():
-                    with np.errstate(divide="ignore"):
-                        ahead, back = np.log(ahead) + up, np.log(back) + down
-                    share = lambda a, b, k: np.exp(ahead[a, k] + back[b, k] - np.maximum(ahead[n, k], -1e300)) * count[part][k]  # noqa: B023, E731
-                else:
-                    each = count[part] / np.maximum(ahead[n], 1e-300)
-                    share = lambda a, b, k: ahead[a, k] * back[b, k] * each[k]  # noqa: B023, E731
-                for (a, b), (k, number) in spans.items():
-                    np.add.at(total, number, share(a, b, k) * prob[number, 0])
+        for part in _alike(words, 2):
+            length, spans = self.spans([words[k] for k in part])
+            (ahead, up), (back, down) = ((x[:, :, 0], y[:, :, 0]) for x, y in (self.forward(length, spans, prob), self.backward(length, spans, prob)))
+            with np.errstate(divide="ignore"):
+                ahead, back = np.log(ahead) + up, np.log(back) + down
+            whole = np.maximum(ahead[length, np.arange(len(part))], -1e300)
+            for a, b, own, number in spans:
+                share = np.exp(ahead[a, own] + back[b, own] - whole[own]) * count[part][own] * prob[number, 0]
+                total += np.bincount(number, share, self.size)
         return total
 
 
-def _by_length(words: list[str]) -> list[list[int]]:
-    """Indices of words of each length; long words stand alone."""
-    out: dict[tuple[int, int], list[int]] = {}
-    for i, w in enumerate(words):
-        out.setdefault((len(w), i if len(w) > 63 else -1), []).append(i)
-    return list(out.values())
+def _alike(words: list[str], width: int, most: int = 2_000_000) -> Iterator[list[int]]:
+    """Indices of words of like length, shortest first, as many as tables of ``most`` numbers hold; long words stand alone."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        n = len(words[order[at]])
+        end = at + 1
+        while n <= 256 and end < len(order) and len(words[order[end]]) <= max(n + 4, 8) and (end - at) * width * (len(words[order[end]]) + 2) < most:
+            end += 1
+        yield order[at:end]
+        at = end
 
 
-def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[list[str], np.ndarray]:
-    """Languages in order and piece probabilities (pieces + 1, languages), from ``(lang, text, order)``.
+def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, piece probabilities (pieces + 1, languages) and letters' shares (by code
+    point, the start mark among them), from ``(lang, text, order)``.
 
     Learns from about ``sample`` rows of each language: those whose hash ``order`` is under the
     share that gives so many; a language of fewer rows has them all. Languages without any
-    word are not learned. The vocabulary is fixed and languages are few, so what goes through
-    the driver has a fixed bound.
+    word are not learned. The vocabulary is fixed and languages are few (more than
+    MOST_LANGUAGES are an error), so what goes through the driver has a fixed bound.
     """
     df = df.where(F.col("lang").isNotNull())
-    share = df.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    share = settle(df.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
+    if share.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = df.join(F.broadcast(share), "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).select("lang", "text")
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
 
@@ -178,13 +261,19 @@ def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[lis
         for batch in batches:
             total: dict[str, Counter] = {}
             for name, t in zip(*(c.to_pylist() for c in batch.columns)):
-                total.setdefault(name, Counter()).update(words_of(t))
+                for block in _word_blocks(t):
+                    total.setdefault(name, Counter()).update(block)
             flat = [(name, w, n) for name, own in total.items() for w, n in own.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], names=["lang", "word", "n"]
             )
 
     tokens = settle(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(parallel))
+    letters = tokens.select(F.explode(F.split(F.concat(F.lit(START), "word"), "")).alias("letter"), "n").where("letter <> ''").groupBy("letter").agg(F.sum("n").alias("n"))
+    shares = np.full(sys.maxunicode + 1, 0.5)
+    for letter, n in letters.collect():  # at most the letters of Unicode
+        shares[ord(letter)] += n
+    shares /= shares[shares > 0.5].sum() or 1.0
     langs = sorted(r["lang"] for r in tokens.select("lang").distinct().collect())
     segments = Segments(pieces)
     prob = np.full((segments.size, max(len(langs), 1)), 1 / segments.size)
@@ -210,31 +299,86 @@ def fit(df: DataFrame, pieces: list[str], sample: int, rounds: int) -> tuple[lis
             prob[piece, number[name]] += n
         prob /= prob.sum(0)
     prob[-1] = np.minimum(prob[-1], UNKNOWN)
-    return langs, prob
-
+    return langs, prob, np.log(shares).astype(np.float32)
 
-_CACHE: dict[int, tuple] = {}
 
+class Scorer:
+    """Log-likelihoods of texts, with the scores of at most about ``most`` words held at a time.
 
-class _Scorer:
-    """Scores of words in one worker, at most ``most`` of them at a time."""
+    Columns are the languages, and last a 1 for each word that some language makes likelier than
+    single letters do, each with its share in all training words.
+    """
 
-    def __init__(self, pieces: list[str], prob: np.ndarray, most: int = 150_000) -> None:
-        self.segments, self.prob, self.most = Segments(pieces), prob, most
+    def __init__(self, pieces: list[str], prob: np.ndarray, letters: np.ndarray, most: int = 100_000) -> None:
+        self.segments, self.prob, self.letters, self.most = Segments(pieces), prob, letters, most
         self.row: dict[str, int] = {}
-        self.table = np.zeros((0, prob.shape[1]))
+        self.table = np.zeros((2 * most, prob.shape[1] + 1))
+
+    def _add(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > self.most:
+            self.row, new = {}, list(words)
+        if len(new) > len(self.table) - len(self.row):
+            self.table = np.zeros((len(new), self.table.shape[1]))
+        if new:
+            first = len(self.row)
+            self.row.update(zip(new, range(first, first + len(new))))
+            own = self.table[first : first + len(new)]
+            own[:, :-1] = self.segments.scores(new, self.prob)
+            flat = np.frombuffer("".join(START + w for w in new).encode("utf-32-le", "surrogatepass"), np.uint32)
+            begin = np.cumsum([0] + [len(w) + 1 for w in new[:-1]])
+            own[:, -1] = own[:, :-1].max(1) > np.add.reduceat(self.letters[flat].astype(np.float64), begin)
 
     def totals(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.row) > self.most:
-            self.row, self.table = {}, self.table[:0]
-        new = [w for w in set().union(*texts) if w not in self.row]
-        if new:
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-            self.table = np.concatenate([self.table, self.segments.scores(new, self.prob)])
-        look = self.row.__getitem__
-        out = np.array([self.table[list(map(look, words))].sum(0) for words in texts]).reshape(len(texts), -1)
+        """Sums over each list of words: (texts, languages + 1)."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.zeros((len(texts), self.table.shape[1]))
+        if size.any():
+            self._add(set(chain.from_iterable(texts)))
+            rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(texts)), np.int64, int(size.sum()))
+            some = np.flatnonzero(size)
+            out[some] = np.add.reduceat(self.table[rows], (np.cumsum(size) - size)[some])
         return out
 
+    def judged(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of words and log-likelihoods of each whole text, in order."""
+        part: list[list[str]] = []
+        held_words = 0
+        for text in texts:
+            if text is not None and len(text) > 1_000_000:
+                yield from zip(map(len, part), self.totals(part))
+                part, held_words = [], 0
+                n, total = 0, np.zeros(self.table.shape[1])
+                for block in _word_blocks(text):
+                    n, total = n + len(block), total + self.totals([block])[0]
+                yield n, total
+                continue
+            part.append(words_of(text))
+            held_words += len(part[-1])
+            if held_words > 100_000:
+                yield from zip(map(len, part), self.totals(part))
+                part, held_words = [], 0
+        yield from zip(map(len, part), self.totals(part))
+
+
+def _learned(df: DataFrame, pieces: list[str], id_col: str, text: str, lang: str, sample: int, rounds: int):
+    """The model of :func:`fit` on the rows that may be learned from, broadcast (vocabulary x languages)."""
+    learn = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    learn = learn.where("_id is not null and pmod(crc32(_id), 5) <> 0").withColumn("order", F.xxhash64(F.lit("langid"), "_id", "text"))
+    return df.sparkSession.sparkContext.broadcast((pieces, *fit(learn, pieces, sample, rounds)))
+
+
+def _judged(shared, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+    """Language, score, and share of words that are likelier in a language than by letters alone; ``und`` without letters or languages."""
+    pieces, langs, prob, letters = shared.value
+    scorer = held(("langid", shared.value[2].tobytes()[:4096], len(pieces), *langs), lambda: Scorer(pieces, prob, letters))
+    for n, total in scorer.judged(texts):
+        if not n or not langs:
+            yield "und", 0.0, 0.0
+        else:
+            own = total[:-1]
+            yield langs[int(own.argmax())], float(1 / np.exp((own - own.max()) / n).sum()), float(total[-1] / n)
+
 
 def identify(
     df: DataFrame, pieces: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: DataFrame | None = None,
@@ -248,44 +392,36 @@ def identify(
     of the likelihood per word. Rows that repeat an id are each returned; an empty frame gives
     an empty one.
     """
-    source = df if train is None else train
-    learn = source.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    learn = learn.where("_id is not null and pmod(crc32(_id), 5) <> 0").withColumn("order", F.xxhash64(F.lit("langid"), "_id"))
-    langs, prob = fit(learn, pieces, sample, rounds)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((pieces, langs, prob))  # vocabulary x languages
+    shared = _learned(df if train is None else train, pieces, id_col, text, lang, sample, rounds)
 
     def run(batches):
-        pieces, langs, prob = shared.value
-        scorer = None
         for batch in batches:
-            key = id(shared.value[2])
-            if key not in _CACHE:
-                _CACHE.clear()
-                _CACHE[key] = (shared.value[2], _Scorer(pieces, prob))
-            scorer = _CACHE[key][1]
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start in range(0, len(texts), 256):
-                words = [words_of(t) for t in texts[start : start + 256]]
-                totals = scorer.totals(words)
-                preds, scores = [], []
-                for own, total in zip(words, totals):
-                    if not own or not langs:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    share = np.exp((total - total.max()) / len(own))
-                    preds.append(langs[int(total.argmax())])
-                    scores.append(float(1 / share.sum()))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(words)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            made = list(_judged(shared, batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "lang_pred", "score"]
+            )
 
     found = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    is_held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return found.select("doc_id", is_held.alias("held_out"), "lang_pred", "score")
+
 
+def accepted(
+    df: DataFrame, pieces: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: DataFrame | None = None,
+    sample: int = 4_000, rounds: int = 3, least: float = LEAST,
+) -> DataFrame:
+    """The rows of ``df`` in a learned language, with all their columns, in one pass without a shuffle.
+
+    A text without letters is rejected, and one of whose words a share below ``least`` is likelier
+    in some language than by letters alone: random letters, or a script that wasn't learned. Rows are judged by themselves: null and repeated ids and
+    columns of any names stay as they are. Without any training row nothing is accepted.
+    """
+    shared = _learned(df if train is None else train, pieces, id_col, text, lang, sample, rounds)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keep = [name != "und" and known >= least for name, _, known in _judged(shared, batch.column(text).to_pylist())]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
-def accepted(df: DataFrame, pieces: list[str], least: float = 0.0, **how) -> DataFrame:
-    """The rows of ``df`` in a learned language, with all their columns."""
-    id_col = how.get("id_col", "doc_id")
-    keep = identify(df, pieces, **how).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(keep, df[id_col].cast("long") == keep["_kept"], "left_semi")
+    return df.mapInArrow(run, df.schema)

@@ -1,30 +1,34 @@
 """MinHash near-dedup by tensored banding (operator 2).
 
 A document is the set of its distinct five-word shingles. ``collections`` small hash
-collections of two minhashes each are computed once; table keys combine the *pairs* of
-collections, so that collections * (collections - 1) / 2 tables of four minhashes cost
-only 2 * collections minhashes. Two documents meet in a table if they agree on two
-collections. With 20 collections two documents of similarity 0.75 miss each other with a
-probability of 2e-6 (at 0.8: 3e-8).
+collections of three minhashes each are computed once; table keys combine the *pairs* of
+collections, so that collections * (collections - 1) / 2 tables of six minhashes cost
+only 3 * collections minhashes. Two documents meet in a table if they agree on two
+collections. With 28 collections two documents of similarity 0.75 miss each other with a
+probability of 5e-6 (at 0.8: 2e-7), and 18 % of those of similarity 0.3 meet at all.
 
-Work is in five steps, none of which gathers a large group or emits a group's pairs:
+Work is in six steps, none of which gathers a large group or emits a group's pairs:
 
-1. sets: one pass over the texts gives each set's size, 128-bit digest and collection
-   keys. Equal sets form classes by aggregation (map-side combine), so that thousands of
-   copies go on as one row.
+1. sets: one pass over the texts gives each set's size, 128-bit digest, collection keys and
+   a signature of 16 bits a minhash. Equal sets form classes by aggregation (map-side
+   combine), so that thousands of copies go on as one row.
 2. tables: keys that only one class has are dropped by collection *before* pairs are
-   combined; each table bucket then links its members to its smallest member.
-3. clusters: connected components of these candidate links.
-4. verify: a cluster's classes are cut into blocks of bounded size; each pair of blocks is
+   combined; buckets with the same members go on as one.
+3. links: each member of a bucket is compared with the bucket's smallest by their
+   signatures, whose estimate must come within 4.5 deviations of the threshold. Where one
+   fails in a bucket of three or more, the bucket's other pairs are compared in bounded
+   blocks, which report a forest of the links found.
+4. clusters: connected components of these links.
+5. verify: a cluster's classes are cut into blocks of bounded size; each pair of blocks is
    one bounded task that counts exact set intersections and reports a spanning forest of
    the confirmed links (at most one row a class).
-5. components of the confirmed links, and the way back to documents.
+6. components of the confirmed links, and the way back to documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import connected_components, settle
+from .rows import id_hash, matched, text_hash
+from .worker import held
 
 #: Mixing constants of the splitmix64 finaliser. Fixed values.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -48,14 +54,11 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) < 150_000 and len(word) <= 32:
+        if len(self) < 100_000 and len(word) <= 32:
             self[word] = value
         return value
 
 
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after the other, and each text's number of them.
 
@@ -66,7 +69,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     count = np.fromiter(map(len, split), np.int64, len(split))
     total = int(count.sum())
-    look = _WORDS.__getitem__
+    look = held(("words",), _Words).__getitem__
     hashes = np.fromiter((look(w) for own in split for w in own), np.int64, total).view(np.uint64)
     made = np.maximum(count - words + 1, 0)
     rolled = np.zeros(max(total - words + 1, 0), np.uint64)
@@ -90,18 +93,26 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), sizes
 
 
+#: Minhashes of a collection.
+EACH = 3
+
+
 def _multipliers(collections: int) -> np.ndarray:
-    draw = np.random.default_rng(20_040_607).integers(1, 1 << 63, 2 * collections, dtype=np.uint64)
+    draw = np.random.default_rng(20_040_607).integers(1, 1 << 63, EACH * collections, dtype=np.uint64)
     return draw * np.uint64(2) + np.uint64(1)
 
 
-def collection_keys(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each collection: its two minhashes, mixed."""
+def minhashes(own: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One 64-bit key for each collection, its minhashes mixed; and 16 bits of each minhash."""
     low = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
     for start in range(0, len(own), 4096):
         x = own[start : start + 4096] * factors[:, None]
         np.minimum(low, (x ^ (x >> np.uint64(32))).min(1), out=low)
-    return _mix(low[0::2] * _A + _mix(low[1::2])).view(np.int64)
+    mixed = _mix(low)
+    key = np.zeros(len(factors) // EACH, np.uint64)
+    for k in range(EACH):
+        key = _mix(key * _A + mixed[k::EACH])
+    return key.view(np.int64), mixed.astype("<u2").tobytes()
 
 
 def _slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -113,42 +124,120 @@ def _slices(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
 
 
+def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), id_hash(id_col), text_hash(text), F.col(text).alias("text"))
+
+
 def features(df: DataFrame, id_col: str, text: str, words: int, collections: int) -> DataFrame:
-    """``(id, n_shingles, digest, keys)`` of each row; no digest and keys for empty sets."""
+    """``(id, id_hash, text_hash, n_shingles, digest, keys, signature)`` of each row; the last three null for empty sets."""
     factors = _multipliers(collections)
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in _slices(texts):
                 values, sizes = shingle_sets(texts[a:b], words)
-                digests, keys, at = [], [], 0
+                digests, keys, signs, at = [], [], [], 0
                 for n in sizes.tolist():
                     own = values[at : at + n]
+                    key, sign = minhashes(own, factors) if n else (None, None)
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-                    keys.append(collection_keys(own, factors) if n else None)
+                    keys.append(key)
+                    signs.append(sign)
                     at += n
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "digest", "keys"],
+                    [*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                    names=["id", "id_hash", "text_hash", "n_shingles", "digest", "keys", "signature"],
                 )
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, digest binary, keys array<long>"
-    )
+    return _keyed(df, id_col, text).mapInArrow(run, "id long, id_hash long, text_hash long, n_shingles long, digest binary, keys array<long>, signature binary")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """``(src, dst)``: each member of a table bucket with the bucket's smallest member."""
-    single = classes.select("id", F.posexplode("keys").alias("pos", "key"))
+def buckets(classes: DataFrame) -> DataFrame:
+    """``(bucket, src, n, c)``: the members ``c`` of table buckets of two or more, with the smallest
+    of them and their number; of buckets with the same members only one."""
+    single = classes.select("c", F.posexplode("keys").alias("pos", "key"))
     shared = single.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    left = single.join(shared, ["pos", "key"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("own"))
+    left = single.join(shared, ["pos", "key"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("own"))  # at most one a collection
     pairs = left.where("size(own) > 1").selectExpr(
-        "id", "explode(flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.pos, y.pos, x.key, y.key))))) as bucket"
+        "c", "explode(flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.pos, y.pos, x.key, y.key))))) as bucket"
     )
     pairs = settle(pairs)
-    least = pairs.groupBy("bucket").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pairs.join(least, "bucket").where("src <> id").select("src", F.col("id").alias("dst")).distinct()
+    shape = pairs.groupBy("bucket").agg(F.min("c").alias("src"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(c))").alias("x"), F.expr("bit_xor(xxhash64(1, c))").alias("y"))
+    once = shape.where("n > 1").groupBy("src", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "src", "n")
+    return settle(pairs.join(once, "bucket").select("bucket", "src", "n", "c"))
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), "<u2").reshape(len(values), -1)
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """``(c, task, side)`` from ``members(part, n, c)``: parts of ``n`` members are cut into blocks of about
+    ``block``, and each pair of blocks (each with itself too) is a task."""
+    placed = members.withColumn("b", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("c", "part"), F.col("b")).cast("int"))
+    task = "explode(transform(sequence(0, b - 1), o -> struct(xxhash64(part, least(o, own), greatest(o, own)) as task, if(o >= own, 0, 1) as side))) as t"
+    return placed.selectExpr("c", task).select("c", "t.task", "t.side")
+
+
+def _by_task(rows: DataFrame, decide: Callable[[list], list]) -> DataFrame:
+    """``(src, dst)``: what ``decide`` finds in the rows (side, c, value) of each ``task``."""
+
+    def run(batches):
+        now, block = None, []
+        for batch in batches:
+            found = []
+            for task, side, number, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    found += decide(block)
+                    now, block = task, []
+                block.append((side, number, own))
+            if found:
+                yield _pairs(found)
+        yield _pairs(decide(block))
+
+    return rows.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "src long, dst long")
+
+
+def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(src, dst)``: links of :func:`buckets`' members whose signatures are so alike that their sets may be.
+
+    Every pair of a bucket is compared or lies within one component of the links.
+    """
+    signs = classes.select("c", "signature")
+
+    def least(n: int) -> float:
+        p = percent / 100
+        return (p - 4.5 * np.sqrt(p * (1 - p) / n)) * n
+
+    def compare(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _signs(batch.column(2)), _signs(batch.column(3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(1) >= least(a.shape[1]))], names=["src", "dst", "near"])
+
+    stars = members.where("c <> src").select("src", F.col("c").alias("dst")).distinct()
+    first = stars.join(signs.select(F.col("c").alias("src"), F.col("signature").alias("a")), "src").join(signs.select(F.col("c").alias("dst"), F.col("signature").alias("b")), "dst")
+    compared = settle(first.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long, near boolean"))
+    links = compared.where("near").select("src", "dst")
+    failed = compared.where("not near").select("src", F.col("dst").alias("c"))
+    open_ = members.where("n > 2").join(failed, ["src", "c"], "left_semi").select("bucket").distinct()
+    rest = members.where("c <> src").join(open_, "bucket", "left_semi").select(F.col("bucket").alias("part"), "n", "c")
+
+    def forest(block: list) -> list[tuple[int, int]]:
+        if len(block) < 2:
+            return []
+        block.sort(key=lambda x: x[:2])
+        first = sum(side == 0 for side, _, _ in block)
+        made = np.frombuffer(b"".join(x[2] for x in block), "<u2").reshape(len(block), -1)
+        same = np.zeros((first, len(block)), np.int16)
+        for k in range(made.shape[1]):
+            same += made[:first, None, k] == made[None, :, k]
+        return [(block[i][1], block[r][1]) for i, r in enumerate(roots(same >= least(made.shape[1])).tolist()) if r != i]
+
+    more = _by_task(_dealt(rest, 512).join(signs, "c").select("task", "side", "c", "signature"), forest)
+    return links.unionAll(more)
 
 
 def roots(link: np.ndarray) -> np.ndarray:
@@ -202,72 +291,50 @@ def intersections(values: np.ndarray, owner: np.ndarray, n: int, first: int) ->
 
 
 def _verified(block: list, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the exact links in one task's classes: ``block`` holds (side, id, set)."""
-    seen: dict[int, tuple[int, np.ndarray]] = {}
-    for side, number, own in block:
-        if number not in seen or seen[number][0] > side:
-            seen[number] = (side, own)
-    ids = sorted(seen, key=lambda x: (seen[x][0], x))
-    first = sum(seen[x][0] == 0 for x in ids)
-    n = len(ids)
-    if n < 2:
+    """Spanning forest of the exact links in one task's classes: ``block`` holds (side, class, set)."""
+    if len(block) < 2:
         return []
-    size = np.array([len(seen[x][1]) for x in ids], np.float64)
-    values = np.concatenate([seen[x][1] for x in ids])
-    owner = np.repeat(np.arange(n), size.astype(np.int64))
-    both = intersections(values, owner, n, first).astype(np.float64)
+    block.sort(key=lambda x: x[:2])
+    ids = [x[1] for x in block]
+    first, n = sum(x[0] == 0 for x in block), len(ids)
+    sets = [np.frombuffer(x[2], np.uint64) for x in block]
+    size = np.array([len(s) for s in sets], np.float32)
+    both = intersections(np.concatenate(sets), np.repeat(np.arange(n), size.astype(np.int64)), n, first)
+    # sizes are whole numbers; float32 holds them exactly up to 2^24 / 100, beyond that float64 is taken
+    if size.max() > 80_000:
+        both, size = both.astype(np.float64), size.astype(np.float64)
     link = 100 * both >= percent * (size[:first, None] + size[None, :] - both)
-    label = roots(link)
-    return [(ids[x], ids[r]) for x, r in enumerate(label.tolist()) if r != x]
+    return [(ids[x], ids[r]) for x, r in enumerate(roots(link).tolist()) if r != x]
 
 
 def confirmed_links(
     df: DataFrame, id_col: str, text: str, members: DataFrame, words: int, percent: int, block_words: int
 ) -> DataFrame:
-    """``(src, dst)`` confirmed on full sets; ``members(id, cluster, n_shingles)``.
+    """``(src, dst)`` confirmed on full sets; ``members(c, id_hash, text_hash, cluster, n_shingles)``, whose
+    hashes tell the row that has the class's text.
 
-    A cluster is cut into blocks of up to ``block_words`` shingles in sum on average (1,024
+    A cluster is cut into blocks of up to ``block_words`` shingles in sum on average (512
     classes at most); tasks are the pairs of blocks, and a class is sent to as many of them as
     its cluster has blocks.
     """
-    total = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("c")).where("c > 1")
-    blocks = F.greatest(F.ceil(F.col("w") / block_words), F.ceil(F.col("c") / 1024)).cast("int")
-    placed = members.join(total.select("cluster", blocks.alias("b")), "cluster").select(
-        F.col("id").alias("_id"), "cluster", "b", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("own")
-    )
-    tasks = placed.select(
-        "_id", F.explode(F.expr("transform(sequence(0, b - 1), o -> struct(xxhash64(cluster, least(o, own), greatest(o, own)) as task, if(o >= own, 0, 1) as side))")).alias("t")
-    ).select("_id", "t.task", "t.side")
-    # no shuffle of texts but those of candidates: Spark may add a Bloom filter of the ids at scale
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("text")).where("_id is not null")
-    rows = texts.join(placed.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"])
+    total = members.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("k")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("w") / block_words), F.ceil(F.col("k") / 512))
+    tasks = _dealt(members.join(total.select("cluster", blocks.alias("n")), "cluster").select("c", F.col("cluster").alias("part"), "n"), 1)
+    # texts of candidates only go on: Spark may add a Bloom filter of the hashes at scale
+    wanted = members.select("c", "id_hash", "text_hash")
+    rows = _keyed(df, id_col, text).drop("id").join(wanted, ["id_hash", "text_hash"]).dropDuplicates(["id_hash", "text_hash"]).select("c", "text")
 
     def sets(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 values, sizes = shingle_sets(texts[a:b], words)
                 ends = np.cumsum(sizes)
                 made = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(made, pa.binary())], names=["_id", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made, pa.binary())], names=["c", "own"])
 
-    ready = rows.mapInArrow(sets, "_id long, own binary")
-    dealt = ready.join(tasks, "_id").select("task", "side", "_id", "own")
-
-    def verify(batches):
-        now, block = None, []
-        for batch in batches:
-            found = []
-            for task, side, number, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if task != now:
-                    found += _verified(block, percent)
-                    now, block = task, []
-                block.append((side, number, np.frombuffer(own, np.uint64)))
-            if found:
-                yield _pairs(found)
-        yield _pairs(_verified(block, percent))
-
-    return dealt.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(verify, "src long, dst long")
+    ready = rows.mapInArrow(sets, "c long, own binary")
+    return _by_task(ready.join(tasks, "c").select("task", "side", "c", "own"), lambda block: _verified(block, percent))
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -275,34 +342,52 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
+def _grouped(df: DataFrame, id_col: str, text: str, words: int, percent: int, collections: int, block_words: int) -> DataFrame:
+    """Each row's ``(id, id_hash, text_hash, n_shingles, part, component_id)``; ``part`` numbers components, null for empty sets."""
+    rows = settle(features(df, id_col, text, words, collections))
+    classes = rows.where("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("least_id"), F.min(F.struct("id_hash", "text_hash")).alias("row"),
+        *(F.first(c).alias(c) for c in ("n_shingles", "keys", "signature")),  # equal sets have equal ones
+    )
+    classes = settle(classes.withColumn("c", F.monotonically_increasing_id()))
+    clusters = connected_components(alike(classes, buckets(classes), percent))
+    members = classes.join(clusters.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "c")
+    members = settle(members.select("c", "row.id_hash", "row.text_hash", "cluster", "n_shingles"))
+    parts = connected_components(confirmed_links(df, id_col, text, members, words, percent, block_words)).select(F.col("id").alias("c"), "component")
+    named = classes.select("digest", "c", "least_id").join(parts, "c", "left").withColumn("part", F.coalesce("component", "c"))
+    several = named.where("component is not null").groupBy("part").agg(F.min("least_id").alias("of_several"))
+    known = named.join(several, "part", "left").select("digest", "part", F.coalesce("of_several", "least_id").alias("of_class"))
+    found = rows.select("id", "id_hash", "text_hash", "n_shingles", "digest").join(known, "digest", "left")
+    return found.select("id", "id_hash", "text_hash", "n_shingles", "part", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("of_class")).alias("component_id"))
+
+
 def near_groups(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, collections: int = 20, block_words: int = 400_000
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, collections: int = 28, block_words: int = 200_000
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept.
 
     Texts without words (null, empty, white space) link with nothing and are their own
-    component. Rows with a null id are returned with a null component and not kept. Rows that
-    repeat an id are each returned. An empty frame gives an empty one.
+    component. Rows are told apart by id and text: rows that repeat an id, with the same text
+    or others, are each linked and returned. Rows with a null id link as others do; they have
+    the smallest id of their component (null if it has none) and are not kept. An empty
+    frame gives an empty one.
     """
-    rows = settle(features(df, id_col, text, words, collections))
-    some = rows.where("digest is not null and id is not null")
-    class_of = settle(some.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")))
-    firsts = class_of.select(F.col("class_id").alias("id"), "digest")
-    classes = rows.join(firsts, ["id", "digest"], "left_semi").select("id", "n_shingles", "keys").dropDuplicates(["id"])
-    clusters = connected_components(candidate_links(classes))
-    members = settle(clusters.join(rows.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id").select("id", F.col("component").alias("cluster"), "n_shingles"))
-    links = confirmed_links(df, id_col, text, members, words, percent, block_words)
-    parts = connected_components(links).select(F.col("id").alias("class_id"), "component")
-    named = class_of.where("_n > 1").join(parts, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("of_copies"))
-    alone = parts.select(F.col("class_id").alias("id"), F.col("component").alias("of_id"))
-    found = rows.join(named, "digest", "left").join(alone, "id", "left")
-    component = F.coalesce("of_copies", "of_id", "id")
-    return found.select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
-    )
+    found = _grouped(df, id_col, text, words, percent, collections, block_words)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` whose id is their component's, with all their columns."""
-    kept = near_groups(df, id_col, text, **how).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["_kept"], "left_semi")
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, collections: int = 28, block_words: int = 200_000
+) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (null ids last), then of the least text hash.
+
+    Rows without words are all kept. Of rows with the same id and text that would be kept, any one is.
+    The result's columns are those of ``df``; no name is reserved.
+    """
+    found = settle(_grouped(df, id_col, text, words, percent, collections, block_words))
+    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "text_hash", "id_hash")).alias("b"))
+    kept = best.select("b.id_hash", "b.text_hash", F.lit(True).alias("once"))
+    kept = kept.unionAll(found.where("part is null").select("id_hash", "text_hash", F.lit(False).alias("once")).distinct())
+    times = found.groupBy("id_hash", "text_hash").agg(F.count("*").alias("times")).where("times > 1")
+    kept = settle(kept.join(times, ["id_hash", "text_hash"], "left").withColumn("several", F.col("once") & F.col("times").isNotNull()).select("id_hash", "text_hash", "several"))
+    return matched(df, id_col, text, kept).select("row.*")

@@ -101,7 +101,7 @@ def isotonic(x: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[np.nd
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
 def fit(rows: DataFrame, features: int = 192, ridge: float = 1.0, bins: int = 1000) -> Model:

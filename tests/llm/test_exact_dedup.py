@@ -33,3 +33,11 @@ def test_keep_first(spark):
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted({k for _, k, _ in expected(ROWS)})
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0 and exact_dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_keep_first_with_any_names_and_repeats(spark):
+    rows = [(1, "a b", 1), (1, "a  b", 2), (1, "a  b", 3), (None, "c", 4), (None, "c", 5), (2, "d", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", "1 AS _n", "2 AS _sha", "3 AS _kept_id", "4 AS id", "5 AS row", "6 AS several")
+    got = exact_dedup.keep_first(df)
+    kept = sorted(r.k for r in got.collect())
+    assert got.columns == df.columns and len(kept) == 3 and kept[0] in (1, 2, 3) and kept[1] in (4, 5) and kept[2] == 6

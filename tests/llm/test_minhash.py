@@ -81,5 +81,36 @@ def test_intersections():
 
 
 def test_tables_miss_little():
-    p = 0.75**2
-    assert (1 - p) ** 20 + 20 * p * (1 - p) ** 19 < 2e-6
+    p = 0.75**3
+    assert (1 - p) ** 28 + 28 * p * (1 - p) ** 27 < 5e-6
+
+
+def test_repeated_and_null_ids(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    a, b, c = ([word() for _ in range(40)] for _ in range(3))
+    texts = [a, b, a[:-1] + ["x"], b[:-1] + ["y"], c, c[:-1] + ["z"], c, a, [], []]
+    ids = [1, 1, 2, 3, None, None, None, 1, 9, 9]
+    rows = [(i, " ".join(t), k) for k, (i, t) in enumerate(zip(ids, texts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").selectExpr("*", "1 AS id_hash", "2 AS kept")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_groups(df).collect())
+    assert got == sorted([("1", "1", True), ("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False), ("9", "9", True), ("9", "9", True)] + [("None", "None", False)] * 3)
+    left = minhash.keep_one(df)
+    kept = sorted(r.row for r in left.collect())
+    assert left.columns == df.columns and len(kept) == 5 and kept[-2:] == [8, 9]
+    assert len({0, 7} & set(kept)) == 1 and 1 in kept and len({4, 5, 6} & set(kept)) == 1
+
+
+def test_templates_are_not_clustered(spark):
+    """Texts that share a template (similarity .3) meet in tables, but neither link nor form clusters to verify."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    template = [word() for _ in range(50)]
+    texts = [" ".join(template + [word() for _ in range(50)]) for _ in range(2000)]
+    one, two = (sets_of(t) for t in texts[:2])
+    assert 0.28 < len(one & two) / len(one | two) < 0.35
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = minhash.features(df, "doc_id", "text", 5, 28).select(minhash.F.col("id").alias("c"), "keys", "signature")
+    links = minhash.alike(classes, minhash.buckets(classes), 75)
+    assert links.count() < 100
+    assert minhash.near_groups(df).where("kept").count() == 2000
