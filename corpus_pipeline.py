@@ -1,6 +1,7 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
-Language ID drops documents in no learned language; exact and MinHash dedup leave one document
+Language ID drops documents without letters and those whose words no learned language makes
+likelier than their letters alone; exact and MinHash dedup leave one document
 of each group; mixing takes sources to their target weights, so documents repeat or go; byte-level
 BPE gives the token ids, checked by decoding them.
 """
