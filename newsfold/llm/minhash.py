@@ -203,7 +203,9 @@ def _by_task(rows: DataFrame, decide: Callable[[list], list]) -> DataFrame:
 def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``(src, dst)``: links of :func:`buckets`' members whose signatures are so alike that their sets may be.
 
-    Every pair of a bucket is compared or lies within one component of the links.
+    First each member is compared with its bucket's smallest. Buckets whose members then lie in
+    several components are compared in blocks: all members but those of the block's most common
+    component with all; tasks report only links that join components.
     """
     signs = classes.select("c", "signature")
 
@@ -222,21 +224,44 @@ def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     compared = settle(first.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long, near boolean"))
     links = compared.where("near").select("src", "dst")
     failed = compared.where("not near").select("src", F.col("dst").alias("c"))
+    if failed.isEmpty():
+        return links
+    parts = connected_components(links).select(F.col("id").alias("c"), "component")
     open_ = members.where("n > 2").join(failed, ["src", "c"], "left_semi").select("bucket").distinct()
-    rest = members.where("c <> src").join(open_, "bucket", "left_semi").select(F.col("bucket").alias("part"), "n", "c")
+    rest = members.where("c <> src").join(open_, "bucket", "left_semi").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rest = settle(rest.select(F.col("bucket").alias("part"), "n", "c", "component"))
+    mixed = rest.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("part")
+    rest = settle(rest.join(mixed, "part", "left_semi"))
 
     def forest(block: list) -> list[tuple[int, int]]:
         if len(block) < 2:
             return []
         block.sort(key=lambda x: x[:2])
         first = sum(side == 0 for side, _, _ in block)
-        made = np.frombuffer(b"".join(x[2] for x in block), "<u2").reshape(len(block), -1)
-        same = np.zeros((first, len(block)), np.int16)
-        for k in range(made.shape[1]):
-            same += made[:first, None, k] == made[None, :, k]
-        return [(block[i][1], block[r][1]) for i, r in enumerate(roots(same >= least(made.shape[1])).tolist()) if r != i]
-
-    more = _by_task(_dealt(rest, 512).join(signs, "c").select("task", "side", "c", "signature"), forest)
+        whole = np.frombuffer(b"".join(x[2] for x in block), "<u2").reshape(len(block), -1)
+        part, made = whole[:, :4].copy().view(np.int64)[:, 0], whole[:, 4:]  # the component stands before the signature
+        names, of = np.unique(part, return_inverse=True)
+        big = np.bincount(of).argmax()
+        up = list(range(len(names)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                x = up[x] = up[up[x]]
+            return x
+
+        found = []
+        for i in np.flatnonzero(of != big).tolist():
+            others = slice(0, len(block)) if i < first else slice(0, first)
+            for j in np.flatnonzero(((made[others] == made[i]).sum(1) >= least(made.shape[1])) & (of[others] != of[i])).tolist():
+                a, b = top(of[i]), top(of[j])
+                if a != b:
+                    up[a] = b
+                    found.append((block[i][1], block[j][1]))
+        return found
+
+    own = rest.select("c", "component").distinct().join(signs, "c").select("c", F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "signature").alias("own"))
+    tasks = _dealt(rest.select("part", "n", "c"), 512)
+    more = _by_task(tasks.join(own, "c").select("task", "side", "c", "own"), forest)
     return links.unionAll(more)
 
 
