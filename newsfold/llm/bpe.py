@@ -168,8 +168,8 @@ class Merges:
             else:
                 out[piece] = self._merge_long(piece)
         for width, same in sizes.items():
-            for i in range(0, len(same), 8192):
-                part = same[i : i + 8192]
+            for i in range(0, len(same), 4096):
+                part = same[i : i + 4096]
                 out.update(zip(part, self._merge_short(part, width)))
         return out
 
@@ -212,7 +212,7 @@ def _merges(ranks: bytes, pattern: str, cache_chunks: int) -> Merges:
     return held(("bpe", hash(ranks), pattern, cache_chunks), lambda: Merges(ranks, pattern, cache_chunks))
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     """Parts of a batch of about ``most`` characters, with the column's texts."""
     texts = batch.column(column).to_pylist()
     start = size = 0
@@ -231,7 +231,7 @@ def _named(df: DataFrame, *out: str) -> None:
 
 def round_trip(
     df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str | None = "decoded",
-    cache_chunks: int = 100_000,
+    cache_chunks: int = 80_000,
 ) -> DataFrame:
     """Add the ids of each whole text (binary, little-endian unsigned 32 bit) and, unless
     ``decoded`` is None, the bytes that these ids stand for.
@@ -275,7 +275,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids_le", de
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        merges = _merges(shared.value, pattern, 100_000)
+        merges = _merges(shared.value, pattern, 80_000)
         for batch in batches:
             made = [merges.decode(x or b"") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, decoded])

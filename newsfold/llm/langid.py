@@ -228,7 +228,7 @@ class Segments:
         return total
 
 
-def _alike(words: list[str], width: int, most: int = 2_000_000) -> Iterator[list[int]]:
+def _alike(words: list[str], width: int, most: int = 600_000) -> Iterator[list[int]]:
     """Indices of words of like length, shortest first, as many as tables of ``most`` numbers hold; long words stand alone."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     at = 0
