@@ -69,10 +69,39 @@ def test_estimates_are_unbiased_and_bounded():
     draw = np.random.default_rng(4)
     x = draw.standard_normal((400, 64))
     x /= np.sqrt((x * x).sum(1))[:, None]
-    turned, sign, factor = E.codes(x)
-    estimate = sign @ turned.T / (8 * factor[:, None])
+    packed, factor, number, step = E.codes(x)
+    estimate = E.signs(packed, 64) @ (number * step[:, None]).T / (8 * factor[:, None])
     truth = x @ x.T
     off = ~np.eye(400, dtype=bool)
     assert abs((estimate - truth)[off].mean()) < 0.005
-    bound = 6 * np.sqrt((1 - factor**2) / factor**2 / 63)
-    assert (np.abs(estimate - truth) <= bound[:, None])[off].all()
+    by_code, by_step = E.reach(factor, step, 64, 6.0)
+    bound = by_code[:, None] + by_step[None, :] / factor[:, None]
+    assert (np.abs(estimate - truth) <= bound)[off].all()
+    code = E.signs(packed, 64)
+    row, col = np.nonzero(np.ones((400, 400), bool))
+    may = E.block_passing(code, factor, number, step, 400, 0.5, 1.0)
+    assert (E.passing(code, factor, number, step, row, col, 0.5, 1.0).reshape(400, 400) == may).mean() > 0.9999
+    assert packed.shape == (400, 8) and 0 < may.mean() < 0.5
+
+
+def test_repeated_ids_and_doubles(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1e-200, 1e-201, 0.0]
+    rows = [(1, a), (1, b), (2, a), (3, [0.0, 1.0, 0.05]), (None, [0.99, 0.0, 0.1]), (4, c), (5, [0.0, 0.0, 1e300]), (None, [0.0, 0.0, -1.0]), (6, [1e39, 2e38, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS h", "2 AS v")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in E.near_links(df).collect())
+    unit = [np.array(v) / max(map(abs, v)) for _, v in rows]
+    links = [sum(x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95 for y in unit) - 1 for x in unit]
+    assert sorted((x[0], x[1]) for x in got) == sorted((str(i), n) for (i, _), n in zip(rows, links)) and max(links) > 2
+    assert got.count(("3", 1, "1", False)) == 1 and ("None", 0, "None", False) in got and ("5", 0, "5", True) in got
+
+
+def test_a_hot_bucket_is_cut(spark):
+    """Hundreds of vectors in one bucket, in small blocks, give brute force's links."""
+    draw = np.random.default_rng(2)
+    centre = draw.standard_normal(16)
+    rows = [(i, (centre + 0.25 * draw.standard_normal(16)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_links(df, block=40).collect()}
+    want = brute(rows)
+    found, there = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want) and 0.995 * there <= found and 0 < there < 300 * 299
