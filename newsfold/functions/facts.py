@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import _strip
@@ -115,3 +115,16 @@ def repair_facts(facts: Column, title: Column, text: Column) -> Column:
         F.coalesce(facts["amount"], found["amount"]).alias("amount"), F.coalesce(facts["percentage"], found["percentage"]).alias("percentage"),
         facts["key_claims"].alias("key_claims"), pick("headline").alias("headline"),
     )
+
+
+def choose_facts(articles: DataFrame, answers: DataFrame, id_col: str = "id") -> DataFrame:
+    """Add ``facts`` and ``origin`` to ``articles(id, title, text, …)``.
+
+    ``answers(id, extractor, priority, facts)``: the repaired facts of the first answer, by priority,
+    that names an entity or asset; without one, the heuristic facts, with origin ``heuristic``.
+    """
+    usable = (F.coalesce(F.col("facts.entity"), F.lit("")) != "") | (F.coalesce(F.size("facts.assets"), F.lit(0)) > 0)
+    first = answers.where(usable).groupBy(id_col).agg(F.min_by(F.struct("extractor", "facts"), F.struct("priority", "extractor")).alias("_best"))
+    rows = articles.join(first, id_col, "left")
+    repaired, guessed = repair_facts(F.col("_best.facts"), F.col("title"), F.col("text")), heuristic_facts(F.col("title"), F.col("text"))
+    return rows.withColumns({"facts": F.when(F.col("_best").isNotNull(), repaired).otherwise(guessed), "origin": F.coalesce("_best.extractor", F.lit("heuristic"))}).drop("_best")

@@ -66,14 +66,19 @@ def order_cap(df: DataFrame, most: int, published: str = "published_at", fetched
     return df.orderBy(F.coalesce(published, fetched), id_col).limit(most)
 
 
-def known_copy(news: DataFrame, store: DataFrame) -> DataFrame:
-    """Add ``matched_id`` and ``reason``: the stored article of the same exact, URL or normal hash, in that order."""
+def known_copy(news: DataFrame, store: DataFrame, order: str = "published_at", id_col: str = "id") -> DataFrame:
+    """Add ``matched_id`` and ``reason``: the first stored article of the same exact, URL or normal hash, in that order.
+
+    Only articles that stand before it, by ``order`` and id, are matches, so ``store`` may hold ``news`` itself. Blank hashes match nothing.
+    """
     out = news
     for key in ("exact_hash", "url_hash", "norm_hash"):
-        firsts = first_writer(store, key).select(F.col(key).alias(f"_{key}"), F.col("first_id").alias(f"_by_{key}"))
-        out = out.join(firsts, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
-    reason = F.when(F.col("_by_exact_hash").isNotNull(), "exact").when(F.col("_by_url_hash").isNotNull(), "url").when(F.col("_by_norm_hash").isNotNull(), "norm")
-    return out.withColumn("matched_id", F.coalesce("_by_exact_hash", "_by_url_hash", "_by_norm_hash")).withColumn("reason", reason).drop("_by_exact_hash", "_by_url_hash", "_by_norm_hash")
+        firsts = store.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(F.col(key).alias(f"_{key}")).agg(F.min(F.struct(F.col(order).alias("at"), F.col(id_col).alias("id"))).alias(f"_by_{key}"))
+        earlier = (F.col(key) == F.col(f"_{key}")) & (F.col(f"_by_{key}") < F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")))
+        out = out.join(firsts, earlier, "left").drop(f"_{key}")
+    by = {k: F.col(f"_by_{k}_hash") for k in ("exact", "url", "norm")}
+    reason = F.coalesce(*[F.when(c.isNotNull(), k) for k, c in by.items()])
+    return out.withColumn("matched_id", F.coalesce(*by.values())["id"]).withColumn("reason", reason).drop(*[f"_by_{k}_hash" for k in by])
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str = "url_key", content: str = "content_hash") -> DataFrame:

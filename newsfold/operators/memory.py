@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +12,9 @@ from pyspark.sql import Window as W
 
 from ..functions import likeness as L
 from ..functions import values as V
-from ..functions.hashes import identity_key
+from ..functions.hashes import claims_state, identity_key
 from ..functions.text import norm_token
-from ..scale import carried, connected_components, settle
+from ..scale import carried, settle
 
 #: Thresholds of the match. Fixed values.
 MIN_SIMILARITY, TOP, LOOKBACK_DAYS, NEAR_REPRINT, REPRINT_SCORE = 0.86, 8, 7, 0.97, 0.6
@@ -70,57 +72,73 @@ def identity(facts: DataFrame) -> DataFrame:
     return facts.withColumn("identity", F.struct(*[norm_token(F.col(n)).alias(n) for n in names])).withColumn("identity_key", identity_key(*[F.col(n) for n in names]))
 
 
+def event_from_facts(facts: DataFrame) -> DataFrame:
+    """New event rows from ``(id, event_type, entity, assets, action, target, status, amount, percentage, key_claims, headline, …)``.
+
+    The primary asset is the first; ``state`` holds what later articles may change. Null fields count as blank.
+    """
+    made = facts.withColumn("asset", F.coalesce(F.get("assets", F.lit(0)), F.lit("")))
+    state = F.struct("status", "amount", "percentage", claims_state(F.coalesce("key_claims", F.array().cast("array<string>"))).alias("key_claims"))
+    columns = ["id", "identity_key", "event_type", "entity", F.col("asset").alias("primary_asset"), "action", "target", "headline", state.alias("state"), "status"]
+    return identity(made).select(*columns)
+
+
 def event_by_identity(news: DataFrame, events: DataFrame) -> DataFrame:
     return news.join(events.select("identity_key", F.col("event_id")), "identity_key", "left")
 
 
-def match_events(facts: DataFrame, similar: DataFrame, largest: int = 200_000) -> DataFrame:
+def match_events(facts: DataFrame, similar: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Add ``event_id`` (the id of the event's first article) to ``(id, at, identity fields…)``.
 
-    In order of time, an article joins the event of its identity key; else, among its similar
-    articles, the most similar one whose event is the same by identity, or near-verbatim with
-    a fair score; else it begins an event. Only articles linked by a key or by ``similar(id,
-    match_id, similarity)`` can meet, so each connected component is folded by itself.
-    Components above ``largest`` articles, which the thresholds make unlikely, raise an error
-    rather than overload a task.
+    In order of time (then id), an article joins the event that an earlier article of its identity
+    key began; else, among its similar earlier articles (``similar(id, match_id, similarity)``,
+    most similar first, then smallest id), the first whose event is the same by identity, or
+    near-verbatim with a fair score; else it begins an event.
+
+    Every round decides in parallel, by joins and aggregates, each article that is the earliest
+    undecided one of its key and whose answer no undecided similar article can change; when one
+    begins an event, all later articles of its key follow at once, so that a key may hold most
+    rows. The number of rounds is the longest chain of articles that wait for each other. Ids
+    must be unique and not null. Empty frames give empty ones.
     """
-    rows = settle(identity(facts))
-    firsts = rows.groupBy("identity_key").agg(F.min("id").alias("src"))
-    edges = rows.join(firsts, "identity_key").select("src", F.col("id").alias("dst")).unionAll(similar.select(F.col("id").alias("src"), F.col("match_id").alias("dst")))
-    parts = connected_components(edges)
-    placed = rows.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    biggest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest > largest:
-        raise ValueError(f"a component has {biggest} articles; raise the similarity threshold or the limit")
-    links = similar.join(parts, "id").select("component", "id", "match_id", "similarity")
-
-    def fold(articles: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, s in zip(pairs["id"], pairs["match_id"], pairs["similarity"]):
-            near.setdefault(a, []).append((s, b))
-        of_key, of_article, face, out = {}, {}, {}, []
-        for row in articles.sort_values(["at", "id"]).itertuples():
-            event = of_key.get(row.identity_key)
-            if event is None:
-                mine = dict(row.identity)
-                for s, other in sorted(near.get(row.id, []), key=lambda x: (-x[0], x[1])):
-                    held = of_article.get(other)
-                    if held is None:
-                        continue
-                    same, score = L.same_event(mine, face[held])
-                    if same or (s >= NEAR_REPRINT and score >= REPRINT_SCORE):
-                        event = held
-                        break
-            if event is None:
-                event = row.id
-                face[event] = dict(row.identity)
-                of_key[row.identity_key] = event
-            of_article[row.id] = event
-            out.append((row.id, event))
-        return pd.DataFrame(out, columns=["id", "event_id"])
-
-    folded = placed.select("component", "id", "at", "identity", "identity_key").groupBy("component").cogroup(links.groupBy("component")).applyInPandas(fold, "id long, event_id long")
-    return facts.join(folded, "id")
+    rows = settle(identity(facts).select("id", F.struct("at", "id").alias("place"), "identity", "identity_key"))
+    place = rows.select("id", "place")
+    pairs = similar.select("id", F.col("match_id").alias("other"), "similarity").join(place, "id").join(
+        place.select(F.col("id").alias("other"), F.col("place").alias("before")), "other"
+    ).where("before < place").select("id", "other", "similarity")
+    pairs = settle(pairs.withColumn("event", F.lit(None).cast("long")).withColumn("passes", F.lit(None).cast("boolean")))
+    open_, decided = rows.select("id", "place", "identity_key"), []
+    rank = F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o"))
+    for _ in range(rounds):
+        first = open_.groupBy("identity_key").agg(F.min("place").alias("first"))
+        verdict = pairs.groupBy("id").agg(
+            F.min(F.when(F.col("passes"), rank)).alias("hit"), F.min(F.when(F.col("event").isNull(), rank)).alias("waits"), F.min_by("event", F.when(F.col("passes"), rank)).alias("found")
+        )
+        asked = open_.join(first, "identity_key").where("place = first").join(verdict, "id", "left")
+        ready = asked.where("waits is null or hit < waits")
+        ready = settle(ready.select("id", "identity_key", F.coalesce("found", "id").alias("event_id"), F.col("found").isNull().alias("begins")))
+        began = ready.where("begins").select("identity_key", "event_id", F.col("id").alias("_first"))
+        follow = open_.join(began, "identity_key").where("id <> _first").select("id", "event_id")
+        now = settle(ready.select("id", "event_id").unionAll(follow))
+        decided.append(now)
+        if len(decided) == 10:
+            decided = [settle(reduce(DataFrame.unionAll, decided))]
+        open_ = settle(open_.join(now.select("id"), "id", "left_anti"))
+        if open_.isEmpty():
+            break
+        left = pairs.join(now.select("id"), "id", "left_anti")
+        fresh = left.where("event is null").join(now.select(F.col("id").alias("other"), F.col("event_id").alias("_event")), "other")
+        faces = rows.select(F.col("id").alias("_event"), F.col("identity").alias("face"))
+        fresh = fresh.join(faces, "_event").join(rows.select("id", "identity"), "id")
+        near = (F.col("similarity") >= NEAR_REPRINT) & (F.col("_m")["score"] >= REPRINT_SCORE)
+        fresh = L.identity_match(fresh, "identity", "face", "_m").select("id", "other", "similarity", F.col("_event").alias("event"), (F.col("_m")["same"] | near).alias("passes"))
+        known = left.join(now.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "similarity", "event", "passes").unionAll(
+            left.where("event is not null").join(now.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other", "similarity", "event", "passes")
+        )
+        pairs = settle(known.unionAll(fresh))
+    else:
+        raise RuntimeError("articles wait for each other in chains longer than the given rounds")
+    return facts.join(reduce(DataFrame.unionAll, decided), "id")
 
 
 def diff_states(articles: DataFrame, by: str = "event_key", order: tuple[str, str] = ("at", "id"), numbers: tuple[str, ...] = ("amount",)) -> DataFrame:
@@ -185,39 +203,89 @@ def event_context(updates: DataFrame, most: int = 4, by: str = "event_key") -> D
 def related_events(events: DataFrame, days: int, most: int = 5) -> DataFrame:
     """For each event the newest others of its type, with an equal or blank asset, seen within ``days`` before it.
 
-    The join is on type and asset (blank assets as a second branch) and on the day, each event going to the days it may serve.
+    Three equi-joins on (type, asset, day) serve: equal assets, others without an asset, and, for
+    events without one, others of any asset. For later days only the newest few of a (type, asset,
+    day) can be answers, and of one moment only those of the greatest ids, so others are cut to them before
+    they are joined. What remains for the event's own day are the moments of that day.
     """
-    mine = events.select(F.col("event_id").alias("id"), "event_type", "asset", "last_seen", F.to_date("last_seen").alias("day"))
-    theirs = events.select(F.col("event_id").alias("other"), "event_type", F.col("asset").alias("other_asset"), F.col("last_seen").alias("seen"), F.explode(F.sequence(F.to_date("last_seen"), F.date_add(F.to_date("last_seen"), days))).alias("day"))
-    newest = W.partitionBy("event_type", "other_asset", "day").orderBy(F.desc("seen"), F.desc("other"))
-    joined = mine.join(theirs, ["event_type", "day"]).where((F.col("other") != F.col("id")) & ((F.col("other_asset") == F.col("asset")) | (F.col("other_asset") == "") | (F.col("asset") == "")) & (F.col("seen") <= F.col("last_seen")) & (F.col("seen") >= F.col("last_seen") - F.make_dt_interval(F.lit(days))))
+    day = F.to_date("last_seen")
+    theirs = events.select(F.col("event_id").alias("other"), "event_type", F.col("asset").alias("other_asset"), F.col("last_seen").alias("seen"), day.alias("seen_day"))
+    mine = events.select(F.col("event_id").alias("id"), "event_type", "asset", "last_seen", day.alias("day"))
+    newest = [F.desc("seen"), F.desc("other")]
+    keep = ["event_type", "other_asset", "other", "seen", "serves"]
+
+    def top(rows: DataFrame, *by: str) -> DataFrame:
+        """The newest of each group: the event itself may be among them, so one more than is asked for."""
+        return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*newest))).where(F.col("_r") <= most + 1).drop("_r")
+
+    def of(rows: DataFrame, by: list[str]) -> DataFrame:
+        moments = top(rows, *by, "seen")
+        later = top(moments, *by, "seen_day").withColumn("serves", F.explode(F.sequence(F.date_add("seen_day", 1), F.date_add("seen_day", days))))
+        return top(later, *by, "serves").select(*keep).unionAll(moments.withColumn("serves", F.col("seen_day")).select(*keep))
+
+    same = of(theirs, ["event_type", "other_asset"])
+    any_ = of(theirs, ["event_type"])
+    on = (F.col("event_type") == F.col("_type")) & (F.col("day") == F.col("serves"))
+    same, any_ = same.withColumnRenamed("event_type", "_type"), any_.withColumnRenamed("event_type", "_type")
+    named = mine.where("asset <> ''")
+    found = named.join(same, on & (F.col("asset") == F.col("other_asset"))).unionAll(named.join(same.where("other_asset = ''"), on)).unionAll(mine.where("asset = ''").join(any_, on))
+    fit = (F.col("other") != F.col("id")) & (F.col("seen") <= F.col("last_seen")) & (F.col("seen") >= F.col("last_seen") - F.make_dt_interval(F.lit(days)))
     w = W.partitionBy("id").orderBy(F.desc("seen"), F.desc("other"))
-    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", "other", "rank")
+    return found.where(fit).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", "other", "rank")
 
 
 def fold_claims(articles: DataFrame, by: str = "event_key") -> DataFrame:
-    """Claims of each article that the event hasn't heard yet, and whether they are only cosmetic.
+    """``new_claims`` of each article that its event hasn't heard yet, and whether they are ``material`` (two or more, not in the event's first article).
 
-    ``(event_key, id, at, claims)`` folded in order for each event; a claim is known if it is as like as
-    ``CLAIM_RATIO`` to a known one. State is at most ``MOST_CLAIMS`` claims an event, so the fold streams through sorted partitions.
+    A claim is known if it is as like as ``CLAIM_RATIO`` to one of the event's known claims; a claim
+    that isn't becomes known, until the event knows ``MOST_CLAIMS``. Known claims arise at first
+    mentions only, so they are folded over the distinct claims of each event; articles are then
+    joined with what their event knew before them. Null and blank claims don't count, and of equal
+    claims in one article the first.
     """
+    at = F.struct("at", "id")
+    each = articles.select(by, "id", "at", F.posexplode("claims").alias("pos", "claim")).where("coalesce(claim, '') <> ''")
+    mentions = settle(each.groupBy(by, "id", "at", "claim").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
+    firsts = mentions.groupBy(by, "claim").agg(F.min(F.struct("at", "id", "pos")).alias("place"))
 
-    def run(batches):
+    def learn(batches):
         now, known = None, []
         for pdf in batches:
             out = []
-            for key, number, claims in zip(pdf[by], pdf["id"], pdf["claims"]):
-                first = key != now
-                if first:
+            for key, claim, order in zip(pdf[by], pdf["claim"], pdf["n"]):
+                if key != now:
                     now, known = key, []
-                fresh = []
-                for claim in [c for c in (claims if claims is not None else []) if c]:
-                    if all(L.ratio(claim, k) < CLAIM_RATIO for k in known):
-                        fresh.append(claim)
-                    if all(L.ratio(claim, k) < CLAIM_RATIO for k in known) and len(known) < MOST_CLAIMS:
-                        known.append(claim)
-                out.append((key, number, len(fresh), not first and len(fresh) >= 2))
-            yield pd.DataFrame(out, columns=[by, "id", "new_claims", "material"])
+                if len(known) < MOST_CLAIMS and not any(_claims_alike(claim, k) for k in known):
+                    known.append(claim)
+                    out.append((key, claim, order))
+            yield pd.DataFrame(out, columns=[by, "known", "n"])
 
     kind = dict(articles.dtypes)[by]
-    return articles.select(by, "id", "at", "claims").repartition(by).sortWithinPartitions(by, "at", "id").mapInPandas(run, f"{by} {kind}, id long, new_claims int, material boolean")
+    ordered = firsts.withColumn("n", F.unix_micros(F.col("place.at").cast("timestamp")))
+    known = settle(ordered.repartition(by).sortWithinPartitions(by, "place").select(by, "claim", "n").mapInPandas(learn, f"{by} {kind}, known string, n long"))
+    known = known.join(firsts.withColumnRenamed("claim", "known"), [by, "known"]).select(by, "known", F.col("place").alias("since"))
+    heard = mentions.select(by, "claim").distinct().join(known, by)  # at most MOST_CLAIMS rows a distinct claim
+    heard = heard.where((F.col("claim") == F.col("known")) | (L.string_ratio(F.col("claim"), F.col("known")) >= CLAIM_RATIO))
+    since = heard.groupBy(by, "claim").agg(F.min("since").alias("since"))
+    place = F.struct("at", "id", "pos")
+    told = mentions.join(since, [by, "claim"], "left").withColumn("fresh", F.col("since").isNull() | (place <= F.col("since")))
+    # a claim said twice in one article is fresh again only while the event can't learn it
+    count = F.when(F.col("fresh"), F.when(F.col("since").isNull(), F.col("times")).otherwise(F.lit(1))).otherwise(F.lit(0))
+    sums = told.groupBy(by, "id").agg(F.sum(count).cast("int").alias("new_claims"))
+    start = articles.groupBy(by).agg(F.min(at).alias("start"))
+    out = articles.select(by, "id", "at").join(sums, [by, "id"], "left").join(start, by)
+    n = F.coalesce("new_claims", F.lit(0))
+    return out.select(by, "id", n.alias("new_claims"), ((at != F.col("start")) & (n >= 2)).alias("material"))
+
+
+def _claims_alike(a: str, b: str) -> bool:
+    """Whether two claims are as like as ``CLAIM_RATIO``, by words or by characters: what ``string_ratio`` says of sentences."""
+    left, right = a.split(), b.split()
+    if len(set(left)) == len(set(right)) == 1:
+        return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a)) or L.characters(a, b) >= CLAIM_RATIO
+    for short, long in ((left, right), (right, left)):
+        if len(short) == 1 and short[0].replace(".", "") in {"".join(w[0] for w in words) for words in (long, [w for w in long if w not in L.SMALL_WORDS])}:
+            return True
+    shared, some = len({*left} & {*right}), len({*left} | {*right})
+    words = max(shared / max(some, 1), 0.85 if shared and shared == min(len({*left}), len({*right})) else 0.0)
+    return a == b or words >= CLAIM_RATIO or L.characters(a, b) >= CLAIM_RATIO

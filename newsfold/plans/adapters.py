@@ -32,9 +32,9 @@ VECTORS = "vectors AS (SELECT vec_id AS id, TIMESTAMP '2024-01-01' + vec_id * IN
 
 
 def answers(t: Tables) -> DataFrame:
-    """Panel answers: the first five lines of an order, numbered."""
+    """Panel answers: all lines of an order, numbered."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = t.lineitem.withColumn("model_seq", F.row_number().over(w)).where("model_seq <= 5")
+    rows = t.lineitem.withColumn("model_seq", F.row_number().over(w))
     return rows.selectExpr(
         "l_orderkey AS news_id", "model_seq", "concat('m', model_seq) AS model_id", "l_returnflag <> 'A' AS ok", "CASE WHEN l_partkey % 11 > 0 THEN l_returnflag = 'N' END AS vote", "l_quantity * 2 AS score",
         "CASE l_suppkey % 5 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BULLISH' WHEN 2 THEN 'BEARISH' WHEN 3 THEN 'NEUTRAL' ELSE 'MIXED' END AS direction",
@@ -54,7 +54,7 @@ answers AS (SELECT l_orderkey AS news_id, model_seq, concat('m', model_seq) AS m
     CASE l_suppkey % 3 WHEN 0 THEN 'MACRO' WHEN 1 THEN 'SENTIMENT' ELSE 'REGULATORY' END AS causality, concat('A', l_orderkey % 2) AS asset,
     substring('because of supply', 1, CAST(l_partkey % 17 AS INT)) AS mechanism, substring('the risk is demand', 1, CAST(l_suppkey % 18 AS INT)) AS risks, l_suppkey % 7 = 0 AS market_wide, l_linestatus = 'O' AS flag,
     CASE l_partkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS urgency, CASE WHEN l_partkey % 4 > 0 THEN concat('reason ', l_partkey % 13) ELSE '' END AS reason, l_partkey AS partkey
-    FROM numbered WHERE model_seq <= 5)"""
+    FROM numbered)"""
 
 
 def states(t: Tables) -> DataFrame:

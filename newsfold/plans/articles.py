@@ -12,9 +12,11 @@ from ..functions import text as T
 from ..functions import values as V
 from ..functions.likeness import identity_match, string_ratio
 from ..operators import dedup as D
+from ..operators import memory as M
 from ..operators import report as Rp
 from ..sources import feeds as S
 from ..sources import tables as K
+from ..scale import settle
 from .adapters import ALERTS, NEWS, alerts, news
 from .registry import Tables, query, rounded
 
@@ -184,13 +186,37 @@ def f5_leading_nouns(t: Tables) -> DataFrame:
     return _heads(t).select("event_id", X.leading_noun(F.col("head")).alias("entity"))
 
 
-@query(f"""WITH {HEADLINES}, a AS (SELECT event_id, head, event_id % 7 AS k FROM heads) SELECT event_id, CASE WHEN k > 2 THEN 'extractor' ELSE 'heuristic' END AS origin FROM a""")
-def f7_f9_chosen_facts(t: Tables) -> DataFrame:
+NOUN_SQL = "coalesce(list_filter(regexp_extract_all(head, '\\b([A-Z][A-Za-z0-9&.\\-]*(?:\\s+[A-Z][A-Za-z0-9&.\\-]*){0,2})', 1), lambda x: lower(x) NOT IN ('the', 'a', 'an', 'this', 'these', 'new', 'why', 'how'))[1], '')"
+CHOSEN = f"""{HEADLINES}, a AS (SELECT event_id, head, event_id % 7 AS k FROM heads),
+chosen AS (SELECT event_id, CASE WHEN k > 4 THEN 'first' WHEN k > 2 THEN 'second' ELSE 'heuristic' END AS origin, {TYPE_SQL} AS event_type, CASE WHEN k > 2 THEN concat('actor ', event_id % 9) ELSE {NOUN_SQL} END AS entity,
+    CASE WHEN k > 4 THEN 'BTC,ETH' WHEN k > 2 THEN 'SOL' ELSE {asset_sql('head').replace("'at'", "'pos'").replace('x.at', 'x.pos')} END AS assets, CASE WHEN k > 2 THEN '' ELSE upper(regexp_extract(head, '(?i){X.VERBS}', 1)) END AS action,
+    CASE WHEN k > 4 THEN CAST(event_id AS DOUBLE) WHEN event_id % 3 = 0 THEN round((CAST(regexp_extract(head, '\\$([0-9]+)', 1) AS DOUBLE) + 0.5) * 1000000, 6) END AS amount,
+    CASE WHEN event_id % 3 = 1 THEN CAST(regexp_extract(head, '([0-9]+)%', 1) AS DOUBLE) END AS percentage, head AS headline FROM a)"""
+
+
+def _chosen(t: Tables) -> DataFrame:
+    """Two extractors, of which the second knows less; the first answers some articles with an empty object."""
     heads = _heads(t)
-    raw = heads.where("event_id % 7 > 2").select("event_id", P.facts_from_json(F.expr("""concat('{"entity": "actor ', event_id % 9, '", "assets": "btc, eth", "amount": "', event_id, ' USD"}')""")).alias("facts"))
-    made = heads.join(raw, "event_id", "left").withColumn("repaired", X.repair_facts(F.col("facts"), F.col("head"), F.col("head"))).withColumn("guessed", X.heuristic_facts(F.col("head"), F.col("head")))
-    usable = F.col("facts").isNotNull() & ((F.col("repaired.entity") != "") | (F.size("repaired.assets") > 0))
-    return made.select("event_id", F.when(usable, "extractor").otherwise("heuristic").alias("origin"))
+    answer = "concat('{\"entity\": \"actor ', event_id % 9, '\", \"assets\": \"', REST, '\"}')"
+    one = heads.where("event_id % 7 > 2").selectExpr("event_id", "'first' AS extractor", "1 AS priority", "CASE WHEN event_id % 7 > 4 THEN " + answer.replace("REST", "'btc, eth\", \"amount\": \"', event_id, ' USD'") + " ELSE '{}' END AS raw")
+    two = heads.where("event_id % 7 > 1").selectExpr("event_id", "'second' AS extractor", "2 AS priority", "CASE WHEN event_id % 7 > 2 THEN " + answer.replace("REST", "'sol'") + " ELSE '{\"amount\": 5}' END AS raw")
+    answers = one.unionAll(two).select("event_id", "extractor", "priority", P.facts_from_json(F.col("raw")).alias("facts"))
+    return X.choose_facts(heads.withColumn("title", F.col("head")).withColumn("text", F.col("head")), answers, "event_id")
+
+
+@query(f"WITH {CHOSEN} SELECT event_id, origin, event_type, entity, assets, action, amount, percentage, headline FROM chosen")
+def f7_f9_chosen_facts(t: Tables) -> DataFrame:
+    out = _chosen(t).select("event_id", "origin", "facts.*").withColumn("assets", F.array_join("assets", ","))
+    return rounded(out.select("event_id", "origin", "event_type", "entity", "assets", "action", "amount", "percentage", "headline"))
+
+
+@query(f"""WITH {CHOSEN}, n AS (SELECT *, split_part(assets, ',', 1) AS asset FROM chosen), f AS (SELECT *, {{c}} FROM n)
+    SELECT event_id AS id, substring(sha256(concat_ws('|', kt, et, at_, act, '')), 1, 32) AS identity_key, event_type, entity, asset AS primary_asset, action, headline, 'REPORTED' AS status, amount, percentage FROM f""".replace(
+    "{c}", ", ".join(f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9$%.+\\- ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS {n}" for c, n in (("event_type", "kt"), ("entity", "et"), ("asset", "at_"), ("action", "act")))
+))
+def f10_new_events(t: Tables) -> DataFrame:
+    made = M.event_from_facts(_chosen(t).select(F.col("event_id").alias("id"), "facts.*"))
+    return rounded(made.select("id", "identity_key", "event_type", "entity", "primary_asset", "action", "headline", "status", "state.amount", "state.percentage"))
 
 
 # ---------------------------------------------------------------- scalar values
@@ -224,11 +250,16 @@ def p9_k6_v8_ranges(t: Tables) -> DataFrame:
 
 @query()
 def v3_v7_identity_pairs(t: Tables) -> DataFrame:
-    """Likeness of part identities within a type and size: candidate pairs come from an equi-join of neighbours in order."""
-    side = lambda n: F.struct(F.lower("p_type").alias("event_type"), F.lower("p_brand").alias("entity"), F.lit("").alias("asset"), F.lower("p_name").alias("action"), F.col("p_size").cast("string").alias("target")).alias(n)
-    left, right = t.part.select("p_partkey", side("a")), t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), side("b"))
-    both = left.join(right, "p_partkey").withColumn("m", identity_match("a", "b")).withColumn("ratio", string_ratio("a.action", "b.action"))
-    return rounded(both.select("p_partkey", "m.same", "m.score", "m.conflict", "ratio"))
+    """Likeness of part identities of one type and size whose names share a word: candidates come from an equi-join on
+    (type, size, word), with no pair twice."""
+    words = F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")
+    asset = F.when(F.col("p_partkey") % 3 == 0, "bitcoin").when(F.col("p_partkey") % 3 == 1, "btc").otherwise("").alias("asset")
+    side = F.struct(F.lower("p_type").alias("event_type"), F.lower("p_brand").alias("entity"), asset, F.lit("").alias("action"), F.lower("p_name").alias("target"))
+    rows = t.part.select("p_partkey", "p_type", "p_size", "p_name", side.alias("a")).select("p_partkey", "p_type", "p_size", "a", words)
+    other = rows.select(F.col("p_partkey").alias("other"), "p_type", "p_size", F.col("a").alias("b"), "word")
+    pairs = rows.join(other, ["p_type", "p_size", "word"]).where("p_partkey < other").dropDuplicates(["p_partkey", "other"])
+    both = identity_match(pairs, "a", "b", "m").withColumn("ratio", string_ratio(F.col("a.target"), F.col("b.target")))
+    return rounded(both.select("p_partkey", "other", "m.same", "m.score", "m.conflict", "ratio"))
 
 
 # ---------------------------------------------------------------- answers
@@ -296,9 +327,11 @@ def p6_facts_parse(t: Tables) -> DataFrame:
     return f.select("conv_id", "turn", "f.event_type", "f.entity", F.array_join("f.assets", ",").alias("assets"), "f.amount", F.array_join("f.key_claims", ",").alias("claims"))
 
 
-@query(f"WITH {NEWS} SELECT id, r_name AS model, md5(concat('SOURCE: ', source, chr(10), 'PUBLISHED: ', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), chr(10), chr(10), 'ITEM:', chr(10), coalesce({strip_sql('title')}, ''))) IS NOT NULL AS made FROM news, region")
+@query(f"""WITH {NEWS}, a AS (SELECT *, {strip_sql("coalesce(title, '')")} AS head, {strip_sql("coalesce(body, '')")} AS rest FROM news), b AS (SELECT *, CASE WHEN rest = '' THEN head WHEN head = '' OR starts_with(rest, head) THEN rest ELSE concat(head, chr(10), chr(10), rest) END AS whole FROM a),
+    c AS (SELECT *, CASE WHEN length(whole) <= 2200 THEN whole ELSE concat(regexp_replace(substring(whole, 1, 2200), '{SPACE}+$', ''), '…') END AS item FROM b)
+    SELECT id, r_name AS model, sha256(concat('SOURCE: ', source, chr(10), 'PUBLISHED: ', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), chr(10), chr(10), 'ITEM:', chr(10), item)) AS prompt_sha256 FROM c, region""")
 def p20_prompts(t: Tables) -> DataFrame:
-    return P.prompt_table(news(t), t.region.select(F.col("r_name").alias("model"))).select("id", "model", F.col("prompt").isNotNull().alias("made"))
+    return P.prompt_table(news(t), t.region.select(F.col("r_name").alias("model"))).select("id", "model", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 # ---------------------------------------------------------------- copies
@@ -323,12 +356,14 @@ def w3_oldest_first(t: Tables) -> DataFrame:
     return D.order_cap(news(t).withColumn("fetched_at", F.col("published_at")), 25).select("id")
 
 
-@query(f"""WITH {NEWS}, k AS (SELECT *, md5(body) AS e, md5(title) AS u, md5(substring(body, 1, 40)) AS n FROM news), s AS (SELECT * FROM k WHERE id % 2 = 0),
-    fe AS (SELECT e, arg_min(id, (published_at, id)) AS m FROM s GROUP BY e), fu AS (SELECT u, arg_min(id, (published_at, id)) AS m FROM s GROUP BY u), fn AS (SELECT n, arg_min(id, (published_at, id)) AS m FROM s GROUP BY n)
-    SELECT id, coalesce(fe.m, fu.m, fn.m) AS matched_id, CASE WHEN fe.m IS NOT NULL THEN 'exact' WHEN fu.m IS NOT NULL THEN 'url' WHEN fn.m IS NOT NULL THEN 'norm' END AS reason FROM k LEFT JOIN fe USING (e) LEFT JOIN fu USING (u) LEFT JOIN fn USING (n) WHERE id % 2 = 1""")
+@query(f"""WITH {COPIES}, k AS (SELECT id, published_at, exact_hash AS e, sha256(concat({title_sql('title')}, chr(10), {normal_sql('body')})) AS n FROM keyed),
+    fe AS (SELECT e, min((published_at, id)) AS m FROM k GROUP BY e), fn AS (SELECT n, min((published_at, id)) AS m FROM k GROUP BY n),
+    j AS (SELECT id, CASE WHEN fe.m < (published_at, id) THEN fe.m END AS me, CASE WHEN fn.m < (published_at, id) THEN fn.m END AS mn FROM k JOIN fe USING (e) JOIN fn USING (n))
+    SELECT id, coalesce(me, mn)[2] AS matched_id, CASE WHEN me IS NOT NULL THEN 'exact' WHEN mn IS NOT NULL THEN 'norm' END AS reason FROM j""")
 def j1_known_copies(t: Tables) -> DataFrame:
-    k = news(t).select("id", "published_at", F.md5("body").alias("exact_hash"), F.md5("title").alias("url_hash"), F.md5(F.substring("body", 1, 40)).alias("norm_hash"))
-    return D.known_copy(k.where("id % 2 = 1"), k.where("id % 2 = 0")).select("id", "matched_id", "reason")
+    """Every article against all earlier ones, by hashes of whole texts (documents have no URL: blank, never matches)."""
+    k = settle(D.fingerprint_articles(news(t)).select("id", "published_at", "exact_hash", "url_hash", "norm_hash"))
+    return D.known_copy(k, k).select("id", "matched_id", "reason")
 
 
 @query("SELECT page_id FROM pages WHERE (url, md5(html)) NOT IN (SELECT url, md5(html) FROM pages WHERE page_id % 3 = 0)")

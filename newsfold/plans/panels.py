@@ -170,8 +170,8 @@ def a14_disagreement(t: Tables) -> DataFrame:
     return C.disagreement_summary(answers(t), ["news_id"])
 
 
-AUDITS = f"""audits AS (SELECT news_id, asset, model_seq, ok, CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms, CASE WHEN partkey % 7 > 0 THEN direction END AS direction, magnitude, low, high, confidence, horizon, flag AS priced_in,
-    partkey % 6 = 0 AS overlooked FROM answers WHERE news_id % 4 > 0)"""
+AUDITS = f"""audits AS (SELECT news_id, asset, model_seq, ok, CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms, CASE WHEN partkey % 7 > 0 THEN direction END AS direction, magnitude, low, high, confidence, horizon, partkey % 2 = 0 AS priced_in,
+    partkey % 6 = 0 AS overlooked FROM answers WHERE flag)"""
 REVISED = f"""{IMPACTS}, {AUDITS},
 base AS (SELECT news_id, direction AS was, expected_low AS was_low, expected_high AS was_high, confidence AS was_conf FROM impacts),
 j AS (SELECT a.*, coalesce(a.direction, '') AS audit, b.* EXCLUDE (news_id), NOT confirms AND coalesce(a.direction, '') <> '' AND coalesce(a.direction, '') <> was AS other FROM audits a JOIN base b USING (news_id) WHERE ok AND confirms IS NOT NULL),
@@ -191,8 +191,9 @@ revised AS (SELECT i.news_id, i.asset, i.relation, coalesce(called, direction) A
 
 
 def _revised(t: Tables) -> DataFrame:
-    audits = answers(t).where("news_id % 4 > 0").selectExpr(
-        "news_id", "asset", "model_seq", "ok", "CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms", "CASE WHEN partkey % 7 > 0 THEN direction END AS direction", "magnitude", "low", "high", "confidence", "horizon", "flag AS priced_in",
+    """Lines whose status is O answer as auditors too."""
+    audits = answers(t).where("flag").selectExpr(
+        "news_id", "asset", "model_seq", "ok", "CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms", "CASE WHEN partkey % 7 > 0 THEN direction END AS direction", "magnitude", "low", "high", "confidence", "horizon", "partkey % 2 = 0 AS priced_in",
         "array(concat('conflict ', partkey % 3)) AS conflicts", "CASE WHEN partkey % 6 = 0 THEN array('missed') ELSE cast(array() AS array<string>) END AS overlooked",
     )
     return settle(I.revise(_impacts(t), audits))
@@ -204,7 +205,7 @@ def a15_revised(t: Tables) -> DataFrame:
     return rounded(out).withColumns({c: F.round(F.col(c) + 1e-7, 2) for c in ("expected_low", "expected_high", "confidence")})
 
 
-FINALS = f"""{REVISED}, finals AS (SELECT news_id, asset, model_seq, direction, magnitude, low, high, confidence, horizon, causality, flag AS tradeable FROM answers WHERE ok AND model_seq <= 3 AND news_id % 3 > 0),
+FINALS = f"""{REVISED}, finals AS (SELECT news_id, asset, model_seq, direction, magnitude, low, high, confidence, horizon, causality, partkey % 2 = 0 AS tradeable FROM answers WHERE ok AND NOT flag),
 fd AS (SELECT news_id, direction, count(*) AS n FROM finals GROUP BY ALL),
 fm AS (SELECT news_id, arg_max(direction, (n, direction)) AS top, max(n) / sum(n) AS share, count(*) AS kinds, sum(n) AS n, string_agg(direction, ', ' ORDER BY direction) AS seen FROM fd GROUP BY news_id),
 fc AS (SELECT *, CASE WHEN kinds = n AND n >= 3 THEN 'MIXED' ELSE top END AS fcalled FROM fm),
@@ -222,7 +223,8 @@ verdict AS (SELECT r.news_id, r.asset, coalesce(fcalled, r.direction) AS directi
 
 
 def _finals(t: Tables) -> DataFrame:
-    panel = answers(t).where("model_seq <= 3 AND news_id % 3 > 0").withColumn("tradeable", F.col("flag"))
+    """Lines of the other status answer as the final panel too."""
+    panel = answers(t).where("NOT flag").withColumn("tradeable", F.expr("partkey % 2 = 0"))
     return I.decide_final(_revised(t), panel)
 
 

@@ -1,6 +1,9 @@
 """Text, feeds, copies, memory, feedback on small cases."""
 
+import datetime
+import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +70,129 @@ IDENTITIES = [
 ]
 
 
-@pytest.mark.parametrize("left,right,same", IDENTITIES)
-def test_identity(left, right, same):
-    a, b = (dict(zip(K.WEIGHTS, x)) for x in (left, right))
-    assert K.same_event(a, b)[0] is same and K.same_event(b, a)[0] is same
+NO_WORDS = set(K.GENERIC)
+
+
+def plain_ratio(a, b):
+    """The rule for two names as a loop over the cases."""
+    if a == b:
+        return 1.0
+    if not (a and b):
+        return 0.0
+    x, y = a.split(), b.split()
+    for one, many in ((x, y), (y, x)):
+        if len(one) == 1 < len(many):
+            forms = ["".join(w[0] for w in many), "".join(w[0] for w in many if w not in K.SMALL_WORDS)]
+            if any(len(f) > 1 and f == one[0].replace(".", "") for f in forms):
+                return 1.0
+    if len(x) == len(y) == 1 and min(len(a), len(b)) > 4 and (a in b or b in a):
+        return 0.9
+    x, y = set(x), set(y)
+    best = difflib.SequenceMatcher(None, a, b).ratio()
+    best = max(best, len(x & y) / len(x | y))
+    return max(best, 0.85) if x <= y or y <= x else best
+
+
+def plain_match(left, right):
+    if left == right:
+        return True, 1.0, ""
+    form = lambda s: " ".join(re.sub(K.CORPORATE, " ", s).split())
+    ticker = {"bitcoin": "BTC", "btc": "BTC", "eth": "ETH", "": ""}
+    values = {k: (left[k], right[k]) if k != "entity" else (form(left[k]), form(right[k])) for k in K.WEIGHTS}
+
+    def compete(a, b):
+        special = [{w for w in s.split() if len(w) > 3 and w not in NO_WORDS} for s in (a, b)]
+        if not all(special) or (plain_ratio(a, b) == 1.0 and len(a.split()) != len(b.split())):
+            return False
+        return all(any(max(plain_ratio(w, v) for v in there) < 0.8 for w in here) for here, there in (special, special[::-1]))
+
+    found = ""
+    if all(values["asset"]) and len({ticker[x] for x in values["asset"]}) == 2:
+        found = "asset"
+    elif compete(*values["entity"]) or (all(len(x.split()) == 1 for x in values["entity"]) and plain_ratio(*values["entity"]) < 0.8):
+        found = "entity"
+    elif compete(*values["target"]):
+        found = "target"
+    used = [k for k in K.WEIGHTS if any(values[k])]
+    score = sum(K.WEIGHTS[k] * plain_ratio(*values[k]) for k in used) / sum(K.WEIGHTS[k] for k in used) if used else 0.0
+    return (False, 0.0, found) if found else (score >= 0.82, score, "")
+
+
+def identities_of(draw):
+    pick = lambda *x: draw.choice(x)
+    return {
+        "event_type": pick("regulatory", "etf_approval", ""), "entity": pick("sec", "securities and exchange commission", "s.e.c", "cftc", "blackrock inc", "blackrock", "blackrocks", "the sec", ""),
+        "asset": pick("btc", "bitcoin", "eth", ""), "action": pick("approve", "approves", "fine", ""), "target": pick("blackrock etf", "fidelity etf", "spot etf of blackrocks", "strategy", "microstrategy", "doj", "department of justice", ""),
+    }
+
+
+def test_identities_against_a_loop(spark):
+    draw = random.Random(4)
+    pairs = [tuple(dict(zip(K.WEIGHTS, x)) for x in case[:2]) for case in IDENTITIES] + [(identities_of(draw), identities_of(draw)) for _ in range(600)]
+    kind = "struct<" + ",".join(f"{k}:string" for k in K.WEIGHTS) + ">"
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"i int, a {kind}, b {kind}")
+    both = K.identity_match(K.identity_match(df, "a", "b", "m"), "b", "a", "w")
+    got = {r.i: r for r in both.select("i", "m", "w", K.string_ratio(F.col("a.entity"), F.col("b.entity")).alias("r")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        same, score, found = plain_match(a, b)
+        assert (got[i].m.same, got[i].m.score, got[i].m.conflict, got[i].r) == (same, pytest.approx(score), found, pytest.approx(plain_ratio(a["entity"], b["entity"]))), (a, b)
+        assert got[i].w.same is same
+    assert [got[i].m.same for i in range(len(IDENTITIES))] == [x[2] for x in IDENTITIES]
+
+
+def test_matching_against_a_loop(spark):
+    draw = random.Random(9)
+    rows = [(i, draw.randrange(40), identities_of(draw)) for i in range(150)]
+    pairs = {(draw.randrange(150), draw.randrange(150)): round(draw.uniform(0.86, 1), 4) for _ in range(400)}
+    rows += [(150 + i, 60 + i % 3, rows[0][2]) for i in range(60)]  # one key holds much
+    face = {i: x for i, _, x in rows}
+    event, begun = {}, {}
+    for i, at, x in sorted(rows, key=lambda r: (r[1], r[0])):
+        key = tuple(x.values())
+        if key not in begun:
+            for s, other in sorted(((-s, b) for (a, b), s in pairs.items() if a == i and b in event)):
+                same, score, _ = plain_match(x, face[event[other]])
+                if same or (-s >= 0.97 and score >= 0.6):
+                    event[i] = event[other]
+                    break
+            else:
+                event[i] = begun[key] = i
+        else:
+            event[i] = begun[key]
+    df = spark.createDataFrame([(i, at, *x.values()) for i, at, x in rows], "id long, at int, " + ", ".join(f"{k} string" for k in K.WEIGHTS))
+    similar = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "id long, match_id long, similarity double")
+    got = {r.id: r.event_id for r in M.match_events(df, similar).collect()}
+    assert got == event and len(set(event.values())) < 150
+    assert M.match_events(df.limit(0), similar.limit(0)).count() == 0
+
+
+def test_claims_against_a_loop(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice("ef"), i, f"2024-01-01 00:{i % 60:02d}:00", [draw.choice([f"claim number {draw.randrange(40)} stands", "securities exchange", "se", "", None, f"word{draw.randrange(9)}long"]) for _ in range(draw.randrange(4))] if i % 9 else None) for i in range(150)]
+    known, want = {}, {}
+    for e, i, at, claims in sorted(rows, key=lambda r: (r[2], r[1])):
+        first, fresh = e not in known, 0
+        own = known.setdefault(e, [])
+        for c in claims or []:
+            if c and all(plain_ratio(c, k) < 0.85 for k in own):
+                fresh += 1
+                if len(own) < 20:
+                    own.append(c)
+        want[i] = (fresh, not first and fresh > 1)
+    df = spark.createDataFrame(rows, "event_key string, id long, at string, claims array<string>").withColumn("at", F.col("at").cast("timestamp"))
+    assert {r.id: (r.new_claims, r.material) for r in M.fold_claims(df).collect()} == want
+
+
+def test_related_against_a_loop(spark):
+    draw = random.Random(6)
+    rows = [(i, draw.choice("xy"), draw.choice(["", "A", "B"]), f"2024-01-{draw.randrange(1, 20):02d} {draw.randrange(3):02d}:00:00") for i in range(220)]
+    want = set()
+    for i, kind, asset, at in rows:
+        when = datetime.datetime.fromisoformat(at)
+        fit = [(t, j) for j, k, a, t in rows if j != i and k == kind and (a == asset or not a or not asset) and t <= at and datetime.datetime.fromisoformat(t) >= when - datetime.timedelta(days=4)]
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(sorted(fit, reverse=True)[:5])}
+    df = spark.createDataFrame(rows, "event_id long, event_type string, asset string, last_seen string").withColumn("last_seen", F.col("last_seen").cast("timestamp"))
+    assert {tuple(r) for r in M.related_events(df, 4).collect()} == want
 
 
 def test_components(spark):
