@@ -17,8 +17,8 @@ def minutes(n: Column) -> Column:
 
 
 def price_at(keys: DataFrame, candles: DataFrame) -> DataFrame:
-    """Add ``price`` to ``(asset, at, …)``: the open of the minute's candle, else of the next minute's. One lookup for each distinct (asset, minute)."""
-    opens = candles.groupBy("asset", "minute_ts").agg(F.first("open").alias("open"))
+    """Add ``price`` to ``(asset, at, …)``: the open of the minute's candle (the least of repeated ones), else of the next minute's. One lookup for each distinct (asset, minute)."""
+    opens = candles.groupBy("asset", "minute_ts").agg(F.min("open").alias("open"))
     asked = keys.select("asset", F.date_trunc("minute", "at").alias("minute")).distinct()
     now = asked.join(opens.select("asset", F.col("minute_ts").alias("minute"), F.col("open").alias("_now")), ["asset", "minute"], "left")
     late = opens.select("asset", (F.col("minute_ts") - minutes(F.lit(1))).alias("minute"), F.col("open").alias("_next"))
@@ -27,12 +27,12 @@ def price_at(keys: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 def price_asof(keys: DataFrame, prices: DataFrame) -> DataFrame:
-    """Add ``price`` to ``(key_id, asset, at)``: the last price at or before, for sparse series.
+    """Add ``price`` to ``(key_id, asset, at)``: the last price at or before, for sparse series. ``key_id`` may have any type.
 
     Prices ``(asset, at, seq, price)`` and keys are one sorted sequence an asset, cut by the hour, so an asset may hold most rows.
     """
-    both = prices.select("asset", "at", F.lit(0).alias("kind"), F.col("seq"), F.col("price").alias("_p"), F.lit(None).cast("long").alias("key_id")).unionByName(
-        keys.select("asset", "at", F.lit(1).alias("kind"), F.col("key_id").alias("seq"), F.lit(None).cast("double").alias("_p"), "key_id")
+    both = prices.select("asset", "at", F.lit(0).alias("kind"), F.col("seq"), F.col("price").alias("_p"), F.lit(None).cast(keys.schema["key_id"].dataType).alias("key_id")).unionByName(
+        keys.select("asset", "at", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("_p"), "key_id")
     )
     out = carried(both, ["asset"], ["at", "kind", "seq"], F.date_trunc("hour", "at"), {"price": "_p"})
     return out.where("kind = 1").select("key_id", "asset", "at", "price")
@@ -48,9 +48,8 @@ def due_horizons(predictions: DataFrame, observed: DataFrame, as_of: Column) ->
 def observe(due: DataFrame, baselines: DataFrame, prices: DataFrame) -> DataFrame:
     """``(id, offset, pct)`` of due samples: % change from the baseline to the last price at the sample's time."""
     keys = due.select(F.struct("id", "offset").alias("k"), "asset", (F.col("created_at") + minutes(F.col("offset"))).alias("at"))
-    keys = keys.withColumn("key_id", F.col("k.id") * 10_000 + F.col("k.offset"))
-    priced = price_asof(keys.select("key_id", "asset", "at"), prices)
-    out = priced.select(F.expr("key_id div 10000").alias("id"), F.expr("cast(key_id % 10000 as int)").alias("offset"), "price")
+    priced = price_asof(keys.select(F.col("k").alias("key_id"), "asset", "at"), prices)
+    out = priced.select("key_id.id", F.col("key_id.offset").cast("int").alias("offset"), "price")
     return out.join(baselines.select("id", "baseline_price"), "id").where("price is not null and baseline_price > 0").select("id", "offset", V.pct_change(F.col("baseline_price"), F.col("price")).alias("pct"))
 
 
@@ -124,11 +123,13 @@ def model_performance(credited: DataFrame, with_totals: bool = False) -> DataFra
     latency = F.when(F.col("latency_ms") > 0, F.col("latency_ms"))
     rows = credited.withColumn("stage", F.col("stage").cast("string"))
     grouped = rows.groupingSets([keys, ["model_id", "stage"]], *keys) if with_totals else rows.groupBy(*keys)
+    total = F.grouping_id() if with_totals else F.lit(0)  # a real null is no total
     out = grouped.agg(
+        total.alias("_total"),
         F.count("*").alias("predictions"), F.count_if(F.col("direction_correct")).alias("direction_correct"), F.avg("magnitude_error").alias("avg_magnitude_error"),
         F.avg("score").alias("avg_score"), F.avg(latency).alias("avg_latency_ms"), F.sum("score").alias("score_sum"), F.count(latency).alias("latency_count"),
     )
-    return out.withColumns({k: F.coalesce(k, F.lit("ALL")) for k in ("event_type", "asset")})
+    return out.withColumns({k: F.when(F.col("_total") > 0, "ALL").otherwise(F.col(k)) for k in ("event_type", "asset")}).drop("_total")
 
 
 def rank_models(performance: DataFrame) -> DataFrame:

@@ -421,7 +421,7 @@ def s8_s9_pending(t: Tables) -> DataFrame:
 def s10_upsert(t: Tables) -> DataFrame:
     target = t.orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS news_id", "o_custkey AS votes", "o_custkey % 7 AS depth", "o_orderstatus = 'F' AS final", "o_orderpriority AS first")
     updates = t.lineitem.groupBy(F.col("l_orderkey").alias("news_id")).agg(F.count("*").alias("votes"), F.max(F.col("l_partkey") % 7).alias("depth"), F.bool_or(F.col("l_returnflag") == "R").alias("final"), F.lit("new").alias("first"))
-    return K.upsert(target, updates, ["news_id"], {"votes": "new", "depth": "max", "final": "or", "first": "old"})
+    return K.upsert(target, updates, ["news_id"], {"votes": "new", "depth": "max", "final": "or", "first": "old"}, "votes")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 4 END AS stage, CASE WHEN o_orderkey % 3 = 0 THEN 'none' END AS drop_reason FROM orders")

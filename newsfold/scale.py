@@ -6,6 +6,7 @@ most a few numbers per partition or per bucket to the driver.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,13 @@ from pyspark.sql import Window as W
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; set one only where it is unset."""
+    """Use the folder named by ``spark.checkpoint.dir``. Where it is unset, a local session (as in tests) gets a
+    folder of its own; on a cluster that is an error, as machines don't share their folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsfold-checkpoint-"))
 
 

@@ -51,12 +51,12 @@ def pending(news: DataFrame, most: int) -> DataFrame:
     return news.where(F.col("processed_at").isNull()).orderBy("id").limit(most)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, str], order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, str], order: str) -> DataFrame:
     """``target`` with ``updates`` folded in by key: unknown keys are inserted, known ones take each column by its rule.
 
-    One full-outer join on the keys. Updates that repeat a key are reduced first, to the last by ``order`` (any, without).
+    One full-outer join on the keys. Updates that repeat a key are reduced first, to the last by ``order``.
     """
-    fresh = updates.groupBy(*keys).agg(F.max_by(F.struct(*updates.columns), F.col(order) if order else F.lit(0)).alias("n")).select("n.*")
+    fresh = updates.groupBy(*keys).agg(F.max_by(F.struct(*updates.columns), F.col(order)).alias("n")).select("n.*")
     value = lambda c: rules.get(c, rules.get("*", "old"))
     old, new = (lambda c: F.col(f"t.{c}")), (lambda c: F.col(f"u.{c}") if c in updates.columns else F.lit(None))
     def merged(c: str) -> Column:

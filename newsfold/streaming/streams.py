@@ -119,10 +119,14 @@ class AlertMemory(StatefulProcessor):
 
 
 def alert_memory_stream(alerts: DataFrame, days: int | None = STATE_DAYS) -> DataFrame:
-    """Whether each streaming alert ``(event_id, asset, seq, direction, magnitude, confidence, source)`` is sent."""
+    """Whether each streaming alert ``(event_id, news_id, asset, seq, direction, magnitude, confidence, source)`` is sent.
+
+    The memory is of an event (of an article where there is none) and an asset, as in the batch form.
+    """
     ttl, mode = _lasting(days)
+    event = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("news:"), F.col("news_id").cast("string")))
     rows = alerts.select(
-        F.concat_ws(":", F.col("event_id").cast("string"), F.upper("asset")).alias("key"), "seq", F.concat_ws("|", "direction", "magnitude", F.bround(F.col("confidence") * 10).cast("int").cast("string")).alias("shape"),
+        F.concat_ws(":", event, F.upper("asset")).alias("key"), "seq", F.concat_ws("|", "direction", "magnitude", F.bround(F.col("confidence") * 10).cast("int").cast("string")).alias("shape"),
         F.col("source").isin("stage5", "final").alias("deep"),
     )
     return rows.groupBy("key").transformWithStateInPandas(AlertMemory(ttl), "key string, seq long, send boolean", "Append", mode)

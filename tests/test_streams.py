@@ -33,10 +33,13 @@ def test_dedup_and_batches(spark, tmp_path):
 
 
 def test_alert_memory(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "btc", 1, "UP", "HIGH", 0.7, "stage4"), (1, "BTC", 2, "UP", "HIGH", 0.71, "stage4"), (1, "BTC", 3, "UP", "HIGH", 0.7, "final"), (1, "BTC", 4, "DOWN", "HIGH", 0.7, "stage4")], "event_id long, asset string, seq long, direction string, magnitude string, confidence double, source string")
+    told = [(1, "btc", 1, "UP", "HIGH", 0.7, "stage4"), (1, "BTC", 2, "UP", "HIGH", 0.71, "stage4"), (1, "BTC", 3, "UP", "HIGH", 0.7, "final"), (1, "BTC", 4, "DOWN", "HIGH", 0.7, "stage4")]
+    told += [(None, "BTC", 5, "UP", "HIGH", 0.7, "stage4"), (None, "BTC", 6, "UP", "HIGH", 0.7, "stage4"), (None, "BTC", 7, "UP", "HIGH", 0.7, "stage4")]  # without an event: by article
+    news = {1: 9, 2: 9, 3: 9, 4: 9, 5: 1, 6: 2, 7: 1}
+    rows = spark.createDataFrame([(r[0], news[r[2]], *r[1:]) for r in told], "event_id long, news_id long, asset string, seq long, direction string, magnitude string, confidence double, source string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert {r.seq: r.send for r in run(St.alert_memory_stream(stream, None), "memory").collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r.seq: r.send for r in run(St.alert_memory_stream(stream, None), "memory").collect()} == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False}
 
 
 def test_horizons(spark, tmp_path):
