@@ -1,10 +1,14 @@
 """Secret scans (operator 3).
 
-Three patterns give the base spans. The method then reads source and configuration syntax
-as pairs of a name and a literal (``NAME = "x"``, ``"name": "x"``, ``export NAME=x``,
-``<name>x</name>``, ``--name x``), follows constants (a name bound to another name takes
-that name's literal), and scores each literal by how sensitive its target names are and
-how random it looks. Literals of a sufficient score are spans of kind ``named``.
+Three patterns give the base spans. The method then lexes source and configuration syntax
+into pairs of a name and a literal: ``NAME = "x"``, ``"name": "x"``, ``export NAME=x``,
+``<name>x</name>``, ``--name x``, with escapes, triple quotes, YAML blocks and literals that
+``+``, ``.`` or plain adjacency put together. Names within braces or under an indented parent
+know the names around them. Names bound to other names form a graph; how sensitive a name is
+goes against its edges to a fixed point, so that a literal counts for every name that it
+reaches, wherever they stand. Literals are scored by the most sensitive of these and by how
+random they look; those of a sufficient score are spans of kind ``named``. Comments are lexed
+like other text, as secrets stand there too.
 
 Rows are independent: no shuffle.
 """
@@ -35,16 +39,28 @@ SENSITIVE = {
 #: Words that show a literal to be a placeholder.
 PLACEHOLDERS = {"example", "changeme", "placeholder", "your", "none", "null", "true", "false", "xxxx", "todo", "redacted"}
 
+#: Names that only say that their parent's value follows.
+CARRIERS = {"value", "data", "content", "raw", "text", "string", "default", "literal", "stringdata"}
+
 # Lengths have no bound: names, blanks and literals exclude what ends them, so they never give back what they took.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
-_PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+"""
-    rf"""(?:"(?P<dq>[^"\r\n]++)"|'(?P<sq>[^'\r\n]++)'|(?P<bare>[^\s"'<>,;(){{}}\[\]]++))"""
+_DQ, _SQ = r"(?:[^\"\\\r\n]|\\.)++", r"(?:[^'\\\r\n]|\\.)++"
+_TOKEN = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+"""
+    rf"""(?:\"\"\"(?P<tq>(?:[^"\\]|\\.|"(?!""))++)\"\"\"|"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})'|`(?P<bq>[^`\r\n]++)`"""
+    rf"""|[|>][+-]?[\x20\t]*+\r?\n(?P<block>(?:[\x20\t]++[^\s][^\r\n]*+(?:\r?\n|\Z))++)"""
+    rf"""|(?P<bare>[^\s"'<>,;(){{}}\[\]`]++)|(?P<brace>\{{)|(?P<under>(?=[\r\n])))"""
     rf"""|<(?P<tag>{_NAME})>(?P<body>[^<\r\n]++)</"""
     rf"""|(?<!\S)--?(?P<flag>{_NAME})[\x20\t](?P<value>[^\s"'-]\S{{5,}}+)"""
+    rf"""|(?P<left>\{{)|(?P<right>\}})"""
 )
+#: What joins a literal to the one before it, and that literal.
+_MORE = re.compile(rf"""[\x20\t]*+(?:\\\r?\n[\x20\t]*+|(?:\r?\n[\x20\t]*+)?[+.][\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?)?(?:"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})')""")
+_BLANKS = re.compile(r"[\x20\t]*+(?:-[\x20\t]++)?")
+_ESCAPE = re.compile(r"\\(.)", re.S)
 #: Labels of a key on one line; their blanks don't make it prose.
 _LABEL = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]++-----")
+_PLACEHOLDER = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(PLACEHOLDERS))})(?![a-z])")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -63,29 +79,88 @@ def _looks_random(literal: str) -> float:
     return min(_entropy(literal), 4.5) / 4.5 + 0.25 * (kinds - 1)
 
 
-def score(names: set[str], literal: str) -> float:
-    """Sensitivity of the most sensitive target, times how random the literal looks."""
+def _weight(sensitivity: float, literal: str) -> float:
     literal = _LABEL.sub("", literal)
-    low = literal.lower()
-    if len(literal) < 6 or any(c in literal for c in " \t") or any(p in low for p in PLACEHOLDERS) or literal[0] in "$%{<":
+    if len(literal) < 6 or any(c in literal for c in " \t") or _PLACEHOLDER.search(literal.lower()) or literal[0] in "$%{<":
         return 0.0
-    return max(map(_sensitivity, names), default=0.0) * _looks_random(literal)
+    return sensitivity * _looks_random(literal)
+
+
+def score(names: set[str], literal: str) -> float:
+    """Sensitivity of the most sensitive target, times how random the literal looks."""
+    return _weight(max(map(_sensitivity, names), default=0.0), literal)
+
+
+def pairs(text: str) -> list[tuple[str, str, tuple[int, int], str]]:
+    """``(name, kind, span, literal)`` of all assignments in order; a carrier's name is its parent's."""
+    out = []
+    around: list[tuple[int, str]] = []  # parents: (indent, name); braces have indent -1
+    at = line = 0
+    first = _BLANKS.match(text).end()
+    while m := _TOKEN.search(text, at):
+        end = m.end()
+        start = text.rfind("\n", at, m.start()) + 1
+        if start > line:
+            line, first = start, _BLANKS.match(text, start).end()
+        if m["left"] or m["right"]:
+            if m["left"]:
+                around.append((-1, around[-1][1] if around else ""))
+            else:
+                while around and around.pop()[0] >= 0:
+                    pass
+            at = end
+            continue
+        name = m["name"] or m["tag"] or m["flag"]
+        if m.start() <= first + 1 and m.start() >= line and (not around or around[-1][0] >= 0):
+            while around and around[-1][0] >= first - line:
+                around.pop()
+        if around and name.lower() in CARRIERS:
+            name = around[-1][1] or name
+        if m["brace"] is not None or m["under"] is not None:
+            around.append((-1, name) if m["brace"] is not None else (first - line, name))
+            at = end
+            continue
+        kind = m.lastgroup
+        low, high = m.span(kind)
+        literal = m[kind]
+        if kind in ("dq", "sq"):
+            literal = _ESCAPE.sub(r"\1", literal) if "-----" not in literal else literal
+            while more := _MORE.match(text, end):
+                _, high = more.span(more.lastgroup)
+                literal += _ESCAPE.sub(r"\1", more[more.lastgroup])
+                end = more.end()
+        elif kind in ("tq", "block"):
+            literal = "".join(x.strip() for x in literal.splitlines())
+            low, high = low + len(text[low:high]) - len(text[low:high].lstrip()), low + len(text[low:high].rstrip())
+        out.append((name, kind, (low, high), literal))
+        at = end if end > at else at + 1
+    return out
 
 
 def _named(text: str, least: float) -> list[tuple[int, int]]:
     """Spans of literals that sensitive names take, also by way of other names."""
-    literals: dict[tuple[int, int], set[str]] = {}  # span of a literal: the names it reaches
-    bound: dict[str, tuple[int, int]] = {}  # constants: a name's present literal
-    for m in _PAIR.finditer(text):
-        kind = m.lastgroup
-        name = m["name"] or m["tag"] or m["flag"]
-        span = m.span(kind)
-        source = m[kind]
-        if kind == "bare" and source.rstrip(".") in bound:  # b = a
-            span = bound[source.rstrip(".")]
-        bound[name] = span
-        literals.setdefault(span, set()).add(name)
-    return [span for span, names in literals.items() if score(names, text[slice(*span)]) >= least]
+    found = pairs(text)
+    bound = {name for name, *_ in found}
+    sources: dict[str, set[str]] = {}  # what a name is bound to, of other names
+    literals: dict[tuple[int, int], tuple[str, set[str]]] = {}
+    for name, kind, span, literal in found:
+        other = literal.rstrip(".")
+        other = next((x for x in (other, other.rsplit(".", 1)[-1]) if x in bound), None) if kind == "bare" else None
+        if other is not None and other != name:
+            sources.setdefault(name, set()).add(other)
+        else:
+            literals.setdefault(span, (literal, set()))[1].add(name)
+    reach = {name: _sensitivity(name) for name in bound}
+    done: set[str] = set()
+    for name in sorted(sources, key=lambda x: -reach[x]):  # the most sensitive first: each name is reached once
+        todo = [name]
+        while todo:
+            for other in sources.get(todo.pop(), ()):
+                if other not in done and reach[other] < reach[name]:
+                    reach[other] = reach[name]
+                    done.add(other)
+                    todo.append(other)
+    return [span for span, (literal, names) in literals.items() if _weight(max(reach[n] for n in names), literal) >= least]
 
 
 def find(text: str | None, least: float = 2.5) -> list[tuple[str, int, int]]:

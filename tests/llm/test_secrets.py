@@ -41,6 +41,25 @@ def test_names_and_literals():
     assert named("He said: nothing of note, and left.") == []
 
 
+def test_escapes_and_concatenation():
+    assert named(r'''api_secret = "hT5#kQ9\"zL2x81"''') == [r'''hT5#kQ9\"zL2x81''']
+    assert named('secret_key = "hT5#kQ" + "9!zL2x"') == ['hT5#kQ" + "9!zL2x']
+    assert named('secret_key = ("a")\nx = 1') == []
+    assert named("$pwd = 'hT5#kQ' . \n   '9!zL2x';") == ["hT5#kQ' . \n   '9!zL2x"]
+    assert named('auth_token = """\nhT5#kQ9!zL2x\n"""') == ["hT5#kQ9!zL2x"]
+    assert named("private_key: |\n  hT5kQ9zL2x\n  QQ81mmZk29\nnext: 1") == ["hT5kQ9zL2x\n  QQ81mmZk29"]
+    assert named("# old db_password: hT5#kQ9!zL2x") == ["hT5#kQ9!zL2x"]
+
+
+def test_constants_and_parents():
+    assert named('private_key = b\nb = a\na = "hT5#kQ9!zL2x"') == ["hT5#kQ9!zL2x"]  # bound after use, through two names
+    assert named('a = b\nb = a\nc = "hT5#kQ9!zL2x"') == []
+    assert named('DEFAULT = "hT5#kQ9!zL2x"\nclient_secret = settings.DEFAULT') == ["hT5#kQ9!zL2x"]
+    assert named('{"client_secret": {"value": "hT5#kQ9!zL2x", "colour": "hT5#kQ9!zL2y"}, "value": "hT5#kQ9!zL2z"}') == ["hT5#kQ9!zL2x"]
+    assert named("db:\n  password:\n    value: hT5#kQ9!zL2x\n  other:\n    value: hT5#kQ9!zL2y\nvalue: hT5#kQ9!zL2z") == ["hT5#kQ9!zL2x"]
+    assert named('token = "xnonex81MmQzz29"') == ["xnonex81MmQzz29"]  # a placeholder counts only as a word
+
+
 def test_frame(spark):
     rows = [(1, 'password = "abc123XYZ"'), (1, 'password = "abc123XYZ"'), (2, None), (3, ""), (4, "x" * 300_000 + " token=abcdef1"), (5, "é token=abcdef1")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' AS spans")
@@ -67,7 +86,7 @@ def test_long_literals_are_whole(size):
 
 def test_time_grows_with_the_text():
     n = 200_000
-    for text in ("a" * n, "a " * n, "a" + " " * n, 'a="' * n, "a='\"" * n, "<a>" * n, "-" * n, "a=" * n, "a: " + " " * n + "b"):
+    for text in ("a" * n, "a " * n, "a" + " " * n, 'a="' * n, "a='\"" * n, "<a>" * n, "-" * n, "a=" * n, "a: " + " " * n + "b", "{" * n, "a:\n " * n, "a: {" * n, 'a="b"+' * n, "a: |\n b\n" * n, "a=b\n" * n, 'a="""' * n, "a:\n" + " " * n + "b:\n"):
         began = time.process_time()
         secrets.find(text)
         assert time.process_time() - began < 5
