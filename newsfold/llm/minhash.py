@@ -15,9 +15,9 @@ Work is in six steps, none of which gathers a large group or emits a group's pai
 2. tables: keys that only one class has are dropped by collection *before* pairs are
    combined; buckets with the same members go on as one.
 3. links: each member of a bucket is compared with the bucket's smallest by their
-   signatures, whose estimate must come within 4.5 deviations of the threshold. Where one
-   fails in a bucket of three or more, the bucket's other pairs are compared in bounded
-   blocks, which report a forest of the links found.
+   signatures, whose estimate must come within 4.5 deviations of the threshold. Components of
+   these links that still meet in a bucket of three or more are compared in bounded blocks,
+   which report a forest of the links found.
 4. clusters: connected components of these links.
 5. verify: a cluster's classes are cut into blocks of bounded size; each pair of blocks is
    one bounded task that counts exact set intersections and reports a spanning forest of
@@ -203,9 +203,11 @@ def _by_task(rows: DataFrame, decide: Callable[[list], list]) -> DataFrame:
 def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``(src, dst)``: links of :func:`buckets`' members whose signatures are so alike that their sets may be.
 
-    First each member is compared with its bucket's smallest. Buckets whose members then lie in
-    several components are compared in blocks: all members but those of the block's most common
-    component with all; tasks report only links that join components.
+    First each member is compared with its bucket's smallest. Components whose members still meet
+    in a bucket of three or more are neighbours; the classes of neighbouring components are then
+    compared in blocks, all but those of a block's most common component with all, so that a
+    class goes to as many tasks as its neighbourhood has blocks, however many buckets it is in.
+    Tasks report only links that join components.
     """
     signs = classes.select("c", "signature")
 
@@ -223,15 +225,15 @@ def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     first = stars.join(signs.select(F.col("c").alias("src"), F.col("signature").alias("a")), "src").join(signs.select(F.col("c").alias("dst"), F.col("signature").alias("b")), "dst")
     compared = settle(first.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long, near boolean"))
     links = compared.where("near").select("src", "dst")
-    failed = compared.where("not near").select("src", F.col("dst").alias("c"))
-    if failed.isEmpty():
+    if compared.where("not near").isEmpty():
         return links
     parts = connected_components(links).select(F.col("id").alias("c"), "component")
-    open_ = members.where("n > 2").join(failed, ["src", "c"], "left_semi").select("bucket").distinct()
-    rest = members.where("c <> src").join(open_, "bucket", "left_semi").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    rest = settle(rest.select(F.col("bucket").alias("part"), "n", "c", "component"))
-    mixed = rest.groupBy("part").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("part")
-    rest = settle(rest.join(mixed, "part", "left_semi"))
+    rest = members.where("n > 2 and c <> src").join(parts, "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("component"))
+    rest = settle(rest)
+    least_of = rest.groupBy("bucket").agg(F.min("component").alias("src"))
+    meet = rest.join(least_of, "bucket").where("component <> src").select("src", F.col("component").alias("dst")).distinct()
+    near = connected_components(meet).select(F.col("id").alias("component"), F.col("component").alias("part"))
+    rest = settle(rest.select("c", "component").distinct().join(near, "component"))
 
     def forest(block: list) -> list[tuple[int, int]]:
         if len(block) < 2:
@@ -259,8 +261,8 @@ def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     found.append((block[i][1], block[j][1]))
         return found
 
-    own = rest.select("c", "component").distinct().join(signs, "c").select("c", F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "signature").alias("own"))
-    tasks = _dealt(rest.select("part", "n", "c"), 512)
+    own = rest.join(signs, "c").select("c", F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "signature").alias("own"))
+    tasks = _dealt(rest.join(rest.groupBy("part").agg(F.count("*").alias("n")), "part").select("part", "n", "c"), 512)
     more = _by_task(tasks.join(own, "c").select("task", "side", "c", "own"), forest)
     return links.unionAll(more)
 
