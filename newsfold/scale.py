@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
         .where("a is not null and b is not null and a <> b").distinct()
     )
-    seen = None
+    seen, count = None, now.count()
     for _ in range(rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -53,11 +53,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        now = settle(small.select("e.*").where("a <> b").distinct())
+        # few edges stay in few files: a partition for each 20,000 of the round before, up to the shuffle's own number
+        now = settle(small.select("e.*").where("a <> b").distinct().coalesce(count // 20_000 + 2))
         sign = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(pmod(xxhash64(b, a), 1000003) as long)"))).first()
         if sign == seen:
             break
-        seen = sign
+        seen, count = sign, sign[0]
     else:
         raise RuntimeError("components did not converge")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
