@@ -15,9 +15,9 @@ Work is in six steps, none of which gathers a large group or emits a group's pai
 2. tables: keys that only one class has are dropped by collection *before* pairs are
    combined; buckets with the same members go on as one.
 3. links: each member of a bucket is compared with the bucket's smallest by their
-   signatures, whose estimate must come within 4.5 deviations of the threshold. Components of
-   these links that still meet in a bucket of three or more are compared in bounded blocks,
-   which report a forest of the links found.
+   signatures, whose estimate must come within 4.5 deviations of the threshold. Where one
+   fails in a bucket of three or more, all that are connected by such comparisons are
+   compared in bounded blocks, which report a forest of the links found.
 4. clusters: connected components of these links.
 5. verify: a cluster's classes are cut into blocks of bounded size; each pair of blocks is
    one bounded task that counts exact set intersections and reports a spanning forest of
@@ -203,11 +203,10 @@ def _by_task(rows: DataFrame, decide: Callable[[list], list]) -> DataFrame:
 def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``(src, dst)``: links of :func:`buckets`' members whose signatures are so alike that their sets may be.
 
-    First each member is compared with its bucket's smallest. Components whose members still meet
-    in a bucket of three or more are neighbours; the classes of neighbouring components are then
-    compared in blocks, all but those of a block's most common component with all, so that a
-    class goes to as many tasks as its neighbourhood has blocks, however many buckets it is in.
-    Tasks report only links that join components.
+    First each member is compared with its bucket's smallest. Members of buckets of three or
+    more form neighbourhoods by these comparisons, whatever they gave; in a neighbourhood with a failed one, the
+    classes are compared in blocks, so that a class goes to as many tasks as its neighbourhood
+    has blocks, however many buckets it is in. Tasks report a forest of the links found.
     """
     signs = classes.select("c", "signature")
 
@@ -219,51 +218,32 @@ def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = _signs(batch.column(2)), _signs(batch.column(3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(1) >= least(a.shape[1]))], names=["src", "dst", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(1) >= least(a.shape[1])), batch.column(4)], names=["src", "dst", "near", "n"])
 
-    stars = members.where("c <> src").select("src", F.col("c").alias("dst")).distinct()
+    stars = members.where("c <> src").groupBy("src", F.col("c").alias("dst")).agg(F.max("n").alias("n"))
     first = stars.join(signs.select(F.col("c").alias("src"), F.col("signature").alias("a")), "src").join(signs.select(F.col("c").alias("dst"), F.col("signature").alias("b")), "dst")
-    compared = settle(first.select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long, near boolean"))
+    compared = settle(first.select("src", "dst", "a", "b", "n").mapInArrow(compare, "src long, dst long, near boolean, n long"))
     links = compared.where("near").select("src", "dst")
-    if compared.where("not near").isEmpty():
+    failed = compared.where("not near and n > 2").select(F.col("dst").alias("c"))
+    if failed.isEmpty():
         return links
-    parts = connected_components(links).select(F.col("id").alias("c"), "component")
-    rest = members.where("n > 2 and c <> src").join(parts, "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("component"))
-    rest = settle(rest)
-    least_of = rest.groupBy("bucket").agg(F.min("component").alias("src"))
-    meet = rest.join(least_of, "bucket").where("component <> src").select("src", F.col("component").alias("dst")).distinct()
-    near = connected_components(meet).select(F.col("id").alias("component"), F.col("component").alias("part"))
-    rest = settle(rest.select("c", "component").distinct().join(near, "component"))
+    near = connected_components(compared.where("n > 2").select("src", "dst")).select(F.col("id").alias("c"), F.col("component").alias("part"))
+    rest = near.join(near.join(failed, "c", "left_semi").select("part").distinct(), "part")
+    rest = settle(rest.join(signs, "c").select("part", "c", "signature"))
 
     def forest(block: list) -> list[tuple[int, int]]:
         if len(block) < 2:
             return []
         block.sort(key=lambda x: x[:2])
         first = sum(side == 0 for side, _, _ in block)
-        whole = np.frombuffer(b"".join(x[2] for x in block), "<u2").reshape(len(block), -1)
-        part, made = whole[:, :4].copy().view(np.int64)[:, 0], whole[:, 4:]  # the component stands before the signature
-        names, of = np.unique(part, return_inverse=True)
-        big = np.bincount(of).argmax()
-        up = list(range(len(names)))
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                x = up[x] = up[up[x]]
-            return x
-
-        found = []
-        for i in np.flatnonzero(of != big).tolist():
-            others = slice(0, len(block)) if i < first else slice(0, first)
-            for j in np.flatnonzero(((made[others] == made[i]).sum(1) >= least(made.shape[1])) & (of[others] != of[i])).tolist():
-                a, b = top(of[i]), top(of[j])
-                if a != b:
-                    up[a] = b
-                    found.append((block[i][1], block[j][1]))
-        return found
-
-    own = rest.join(signs, "c").select("c", F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), "signature").alias("own"))
+        made = np.frombuffer(b"".join(x[2] for x in block), "<u2").reshape(len(block), -1)
+        same = np.zeros((first, len(block)), np.int16)
+        for k in range(made.shape[1]):
+            same += made[:first, None, k] == made[None, :, k]
+        return [(block[i][1], block[r][1]) for i, r in enumerate(roots(same >= least(made.shape[1])).tolist()) if r != i]
+
     tasks = _dealt(rest.join(rest.groupBy("part").agg(F.count("*").alias("n")), "part").select("part", "n", "c"), 512)
-    more = _by_task(tasks.join(own, "c").select("task", "side", "c", "own"), forest)
+    more = _by_task(tasks.join(rest.select("c", "signature"), "c").select("task", "side", "c", "signature"), forest)
     return links.unionAll(more)
 
 
