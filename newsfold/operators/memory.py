@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +19,11 @@ from ..scale import carried, settle
 #: Thresholds of the match. Fixed values.
 MIN_SIMILARITY, TOP, LOOKBACK_DAYS, NEAR_REPRINT, REPRINT_SCORE = 0.86, 8, 7, 0.97, 0.6
 CLAIM_RATIO, TEXT_RATIO, MOST_CLAIMS = 0.85, 0.9, 20
+#: Fields of an event's state besides its status and claims. Fixed values.
+NUMBERS = ("amount", "price", "percentage", "count")
+TEXTS = ("ruling", "location", "time_reference", "event_date")
+#: Names that summaries give to fields; the column ``decision`` is the label that an article gets.
+NAMES = {"ruling": "decision"}
 
 
 def find_similar(queries: DataFrame, store: DataFrame, days: int = LOOKBACK_DAYS, most: int = TOP, least: float = MIN_SIMILARITY, block: int = 2048) -> DataFrame:
@@ -141,42 +146,83 @@ def match_events(facts: DataFrame, similar: DataFrame, rounds: int = 10_000) ->
     return facts.join(reduce(DataFrame.unionAll, decided), "id")
 
 
-def diff_states(articles: DataFrame, by: str = "event_key", order: tuple[str, str] = ("at", "id"), numbers: tuple[str, ...] = ("amount",)) -> DataFrame:
-    """Decision of each article of an event in order, by numbers and status.
+def _given(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [n for n in names if n in df.columns]
 
-    Adds ``first``, ``old_<number>``, ``changed_<number>``, ``old_rank``, ``changed_status`` and
-    ``decision``: NEW for the event's first, UPDATE if a number moved or the status took another
-    rank than the highest so far, else DUPLICATE. Events are cut by the hour, so one event may hold most rows.
+
+def _told(c: str) -> Column:
+    """A text, null where it is blank."""
+    return F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+
+
+def diff_states(articles: DataFrame, by: str = "event_key", order: tuple[str, str] = ("at", "id")) -> DataFrame:
+    """Decision of each article of an event in order, by whatever of ``NUMBERS``, ``TEXTS``, ``status`` and ``claims`` is given.
+
+    Adds ``first``, ``old_<field>`` (the last value told before), ``changed_<field>``, ``old_rank``,
+    ``old_status`` (of the highest rank so far, the latest), with claims ``new_claims`` and
+    ``material``, and ``decision``: NEW for the event's first; UPDATE if a number moved (or came or
+    went), a text is told that is less than ``TEXT_RATIO`` like the old one, the status took
+    another rank, or two or more claims are new; else DUPLICATE. Blank texts tell nothing. Events are
+    cut by the hour, so one event may hold most rows. Ids must be unique.
     """
-    rows = articles.withColumn("status_rank", V.status_rank(F.col("status"))).withColumn("_one", F.lit(1))
-    out = carried(rows, [by], list(order), F.date_trunc("hour", F.col(order[0])), {f"old_{n}": n for n in numbers}, {"old_rank": "status_rank", "_seen": "_one"})
-    out = out.withColumn("first", F.col("_seen").isNull())
-    for n in numbers:
-        out = out.withColumn(f"changed_{n}", ~F.col("first") & V.numeric_changed(F.col(f"old_{n}"), F.col(n)))
-    status = ~F.col("first") & (F.coalesce("status", F.lit("")) != "") & (F.col("status_rank") != F.col("old_rank"))
-    out = out.withColumn("changed_status", F.coalesce(status, F.lit(False)))
-    moved = F.col("changed_status")
-    for n in numbers:
-        moved = moved | F.col(f"changed_{n}")
-    return out.withColumn("decision", F.when(F.col("first"), "NEW").when(moved, "UPDATE").otherwise("DUPLICATE")).drop("_one", "_seen")
-
-
-def diff_summary(diffs: DataFrame, numbers: tuple[str, ...] = ("amount",)) -> DataFrame:
-    """Add ``summary``: every changed field with its old and new value."""
-    told = [F.when(F.col(f"changed_{n}"), F.concat(F.lit(f"{n}: "), F.coalesce(F.col(f"old_{n}").cast("string"), F.lit("none")), F.lit(" -> "), F.coalesce(F.col(n).cast("string"), F.lit("none")))) for n in numbers]
-    told.append(F.when(F.col("changed_status"), F.concat(F.lit("status: rank "), F.col("old_rank").cast("string"), F.lit(" -> "), F.col("status"))))
+    numbers, texts = _given(articles, NUMBERS), _given(articles, TEXTS)
+    rank = V.status_rank(F.col("status"))
+    status = F.when(_told("status").isNotNull(), F.struct(rank.alias("rank"), *order, "status"))
+    rows = articles.withColumns({"status_rank": rank, "_one": F.lit(1), "_status": status, **{f"_new_{t}": _told(t) for t in texts}})
+    last = {**{f"old_{n}": n for n in numbers}, **{f"old_{t}": f"_new_{t}" for t in texts}}
+    out = carried(rows, [by], list(order), F.date_trunc("hour", F.col(order[0])), last, {"old_rank": "status_rank", "_seen": "_one", "_top": "_status"})
+    out = out.withColumn("first", F.col("_seen").isNull()).withColumn("old_status", F.col("_top.status"))
+    later = ~F.col("first")
+    changed = {n: later & V.numeric_changed(F.col(f"old_{n}"), F.col(n)) for n in numbers}
+    changed["status"] = F.coalesce(later & _told("status").isNotNull() & (F.col("status_rank") != F.col("old_rank")), F.lit(False))
+    for t in texts:
+        old, now = F.col(f"old_{t}"), F.col(f"_new_{t}")
+        asked = later & (old != now)
+        unlike = L.string_ratio(F.when(asked, old), F.when(asked, now)) < TEXT_RATIO
+        changed[t] = F.coalesce(later & now.isNotNull() & (old.isNull() | ((old != now) & unlike)), F.lit(False))
+    out = out.withColumns({f"changed_{n}": c for n, c in changed.items()})
+    moved = reduce(Column.__or__, [F.col(f"changed_{n}") for n in changed])
+    if "claims" in articles.columns:
+        folded = fold_claims(articles.select(by, F.col(order[0]).alias("at"), F.col(order[1]).alias("id"), "claims"), by)
+        out = out.join(folded.select(by, F.col("id").alias(order[1]), "new_claims", "material"), [by, order[1]], "left")
+        moved = moved | F.coalesce("material", F.lit(False))
+    out = out.withColumn("decision", F.when(F.col("first"), "NEW").when(moved, "UPDATE").otherwise("DUPLICATE"))
+    return out.drop("_one", "_seen", "_status", "_top", *[f"_new_{t}" for t in texts])
+
+
+def diff_summary(diffs: DataFrame) -> DataFrame:
+    """Add ``summary``: every changed field with its old and new value, and how many claims are new."""
+    quoted = lambda c: F.concat(F.lit("'"), F.coalesce(F.col(c), F.lit("")), F.lit("'"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    told = [
+        F.when(F.col(f"changed_{n}"), F.concat(F.lit(f"{NAMES.get(n, n)}: "), show(f"old_{n}"), F.lit(" -> "), show(n)))
+        for names, show in ((NUMBERS, plain), (("status", *TEXTS), quoted)) for n in names if f"changed_{n}" in diffs.columns
+    ]
+    if "new_claims" in diffs.columns:
+        told.append(F.when(~F.col("first") & (F.col("new_claims") > 0), F.concat(F.col("new_claims").cast("string"), F.lit(" new claim(s)"))))
     text = F.concat_ws("; ", *told)
     return diffs.withColumn("summary", F.when(text == "", F.when(F.col("decision") == "NEW", "first report").otherwise("no change")).otherwise(text))
 
 
 def events_rollup(decided: DataFrame, by: str = "event_key", at: str = "at", id_col: str = "id") -> DataFrame:
-    """One row an event: times, counts, merged number and status, headline of the last NEW or UPDATE."""
+    """One row an event: times, counts, merged state, headline of the last NEW or UPDATE.
+
+    Of each number and text the last value told stays, of the status the latest of the highest rank; with
+    claims, ``key_claims`` are the first ``MOST_CLAIMS`` that are unlike each other, in order of mention.
+    """
     order = F.struct(at, id_col)
-    return decided.groupBy(by).agg(
+    merged = [F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(n) for n in _given(decided, NUMBERS)]
+    merged += [F.max_by(t, F.when(_told(t).isNotNull(), order)).alias(t) for t in _given(decided, TEXTS)]
+    events = decided.groupBy(by).agg(
         F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("article_count"), F.count_if(F.col("decision") == "UPDATE").alias("update_count"),
-        F.max_by("amount", F.when(F.col("amount").isNotNull(), order)).alias("amount"), F.max("status_rank").alias("status_rank"),
+        *merged, F.max("status_rank").alias("status_rank"), F.max_by("status", F.when(_told("status").isNotNull(), F.struct("status_rank", at, id_col))).alias("status"),
         F.max_by(id_col, F.when(F.col("decision") != "DUPLICATE", order)).alias("headline_id"),
     )
+    if "claims" not in decided.columns:
+        return events
+    known = known_claims(claim_mentions(decided.select(by, F.col(at).alias("at"), F.col(id_col).alias("id"), "claims"), by), by)
+    heard = known.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("since", "known"))), lambda x: x["known"]).alias("key_claims"))
+    return events.join(heard, by, "left").withColumn("key_claims", F.coalesce("key_claims", F.array().cast("array<string>")))
 
 
 def source_count(decided: DataFrame, events: DataFrame, by: str = "event_key") -> DataFrame:
@@ -186,7 +232,9 @@ def source_count(decided: DataFrame, events: DataFrame, by: str = "event_key") -
 
 def event_updates(decided: DataFrame, by: str = "event_key") -> DataFrame:
     """An audit row for each UPDATE."""
-    return diff_summary(decided).where("decision = 'UPDATE'").select(by, "id", "at", "old_amount", "amount", "old_rank", "status", "summary")
+    told = diff_summary(decided).where("decision = 'UPDATE'")
+    fields = [c for n in (*NUMBERS, "status", *TEXTS) if n in told.columns for c in (f"old_{n}", n)]
+    return told.select(by, "id", "at", *fields, "summary")
 
 
 def event_context(updates: DataFrame, most: int = 4, by: str = "event_key") -> DataFrame:
@@ -234,36 +282,47 @@ def related_events(events: DataFrame, days: int, most: int = 5) -> DataFrame:
     return found.where(fit).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", "other", "rank")
 
 
-def fold_claims(articles: DataFrame, by: str = "event_key") -> DataFrame:
-    """``new_claims`` of each article that its event hasn't heard yet, and whether they are ``material`` (two or more, not in the event's first article).
+def claim_mentions(articles: DataFrame, by: str) -> DataFrame:
+    """``(by, id, at, claim, pos, times)``: the claims of each article; null and blank ones don't count, equal ones are one."""
+    each = articles.select(by, "id", "at", F.posexplode("claims").alias("pos", "claim")).where("coalesce(claim, '') <> ''")
+    return settle(each.groupBy(by, "id", "at", "claim").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
+
 
-    A claim is known if it is as like as ``CLAIM_RATIO`` to one of the event's known claims; a claim
-    that isn't becomes known, until the event knows ``MOST_CLAIMS``. Known claims arise at first
-    mentions only, so they are folded over the distinct claims of each event; articles are then
-    joined with what their event knew before them. Null and blank claims don't count, and of equal
-    claims in one article the first.
+def known_claims(mentions: DataFrame, by: str) -> DataFrame:
+    """``(by, known, since)``: what each event comes to know, at most ``MOST_CLAIMS``, and its place of first mention.
+
+    A claim becomes known unless it is as like as ``CLAIM_RATIO`` to a known one. That can happen at
+    first mentions only, so the fold runs over the distinct claims of each event.
     """
-    at = F.struct("at", "id")
-    each = articles.select(by, "id", "at", F.posexplode("claims").alias("pos", "claim")).where("coalesce(claim, '') <> ''")
-    mentions = settle(each.groupBy(by, "id", "at", "claim").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
     firsts = mentions.groupBy(by, "claim").agg(F.min(F.struct("at", "id", "pos")).alias("place"))
 
     def learn(batches):
         now, known = None, []
         for pdf in batches:
             out = []
-            for key, claim, order in zip(pdf[by], pdf["claim"], pdf["n"]):
+            for key, claim in zip(pdf[by], pdf["claim"]):
                 if key != now:
                     now, known = key, []
                 if len(known) < MOST_CLAIMS and not any(_claims_alike(claim, k) for k in known):
                     known.append(claim)
-                    out.append((key, claim, order))
-            yield pd.DataFrame(out, columns=[by, "known", "n"])
+                    out.append((key, claim))
+            yield pd.DataFrame(out, columns=[by, "known"])
+
+    kind = dict(mentions.dtypes)[by]
+    ordered = firsts.repartition(by).sortWithinPartitions(by, "place").select(by, "claim")
+    known = settle(ordered.mapInPandas(learn, f"{by} {kind}, known string"))
+    return known.join(firsts.withColumnRenamed("claim", "known"), [by, "known"]).select(by, "known", F.col("place").alias("since"))
+
 
-    kind = dict(articles.dtypes)[by]
-    ordered = firsts.withColumn("n", F.unix_micros(F.col("place.at").cast("timestamp")))
-    known = settle(ordered.repartition(by).sortWithinPartitions(by, "place").select(by, "claim", "n").mapInPandas(learn, f"{by} {kind}, known string, n long"))
-    known = known.join(firsts.withColumnRenamed("claim", "known"), [by, "known"]).select(by, "known", F.col("place").alias("since"))
+def fold_claims(articles: DataFrame, by: str = "event_key") -> DataFrame:
+    """``new_claims`` of each article that its event hasn't heard yet, and whether they are ``material`` (two or more, not in the event's first article).
+
+    A claim is heard if it is as like as ``CLAIM_RATIO`` to one that the event knew before
+    (``known_claims``). Null and blank claims don't count, and of equal claims in one article the first.
+    """
+    at = F.struct("at", "id")
+    mentions = claim_mentions(articles, by)
+    known = known_claims(mentions, by)
     heard = mentions.select(by, "claim").distinct().join(known, by)  # at most MOST_CLAIMS rows a distinct claim
     heard = heard.where((F.col("claim") == F.col("known")) | (L.string_ratio(F.col("claim"), F.col("known")) >= CLAIM_RATIO))
     since = heard.groupBy(by, "claim").agg(F.min("since").alias("since"))

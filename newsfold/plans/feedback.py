@@ -42,7 +42,8 @@ def v2_unit_vectors(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- event states
 RANK = "CASE status WHEN 'reported' THEN 3 WHEN 'ongoing' THEN 4 WHEN 'confirmed' THEN 5 WHEN 'completed' THEN 6 ELSE 7 END"
 DIFFS = f"""{STATES}, ranked AS (SELECT *, {RANK} AS status_rank FROM states),
-looked AS (SELECT *, row_number() OVER w = 1 AS first, last_value(amount IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_amount, max(status_rank) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_rank
+looked AS (SELECT *, row_number() OVER w = 1 AS first, last_value(amount IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_amount, max(status_rank) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_rank,
+    arg_max(status, (status_rank, tm, id)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_status
     FROM ranked WINDOW w AS (PARTITION BY event_key ORDER BY tm, id)),
 changed AS (SELECT *, NOT first AND CASE WHEN old_amount IS NULL AND amount IS NULL THEN false WHEN old_amount IS NULL OR amount IS NULL THEN true WHEN old_amount = amount THEN false ELSE abs(amount - old_amount) / greatest(abs(amount), abs(old_amount)) > 0.05 END AS changed_amount,
     NOT first AND status_rank <> old_rank AS changed_status FROM looked),
@@ -59,14 +60,14 @@ def w4_w6_event_decisions(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {DIFFS} SELECT event_key, CAST(epoch_us(min(tm)) AS BIGINT) AS first_seen, CAST(epoch_us(max(tm)) AS BIGINT) AS last_seen, count(*) AS article_count, count(*) FILTER (decision = 'UPDATE') AS update_count,
-    arg_max(amount, (tm, id)) FILTER (amount IS NOT NULL) AS amount, CAST(max(status_rank) AS BIGINT) AS status_rank, arg_max(id, (tm, id)) FILTER (decision <> 'DUPLICATE') AS headline_id FROM diffs GROUP BY event_key""")
+    arg_max(amount, (tm, id)) FILTER (amount IS NOT NULL) AS amount, CAST(max(status_rank) AS BIGINT) AS status_rank, arg_max(status, (status_rank, tm, id)) AS status, arg_max(id, (tm, id)) FILTER (decision <> 'DUPLICATE') AS headline_id FROM diffs GROUP BY event_key""")
 def w5_w7_events(t: Tables) -> DataFrame:
     out = M.events_rollup(_diffs(t))
     return rounded(out.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_seen", "last_seen")}))
 
 
-SUMMARY = """CASE WHEN changed_amount OR changed_status THEN concat_ws('; ', CASE WHEN changed_amount THEN concat('amount: ', coalesce(CAST(old_amount AS VARCHAR), 'none'), ' -> ', coalesce(CAST(amount AS VARCHAR), 'none')) END,
-    CASE WHEN changed_status THEN concat('status: rank ', old_rank, ' -> ', status) END) WHEN decision = 'NEW' THEN 'first report' ELSE 'no change' END"""
+SUMMARY = """CASE WHEN changed_amount OR changed_status THEN concat_ws('; ', CASE WHEN changed_amount THEN concat('amount: ', coalesce(CAST(old_amount AS VARCHAR), 'None'), ' -> ', coalesce(CAST(amount AS VARCHAR), 'None')) END,
+    CASE WHEN changed_status THEN concat('status: ''', old_status, ''' -> ''', status, '''') END) WHEN decision = 'NEW' THEN 'first report' ELSE 'no change' END"""
 
 
 @query(f"WITH {DIFFS} SELECT event_key, id, {SUMMARY} AS summary FROM diffs WHERE decision = 'UPDATE'")
@@ -80,6 +81,51 @@ def w9_event_context(t: Tables) -> DataFrame:
     return M.event_context(M.event_updates(_diffs(t)))
 
 
+# every field of the state: numbers, texts (two of them alike), status and claims
+FULL_NUMBERS = {"price": "CASE WHEN id % 7 > 0 THEN 100.0 + (id % 3) * 10 END", "percentage": "(id % 2) * 5.0", "count": "CASE WHEN id % 4 > 0 THEN (id % 6) * 1.0 END"}
+FULL_TEXTS = {
+    "ruling": "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'rejected in court' ELSE 'approved by the board' END", "location": "CASE id % 4 WHEN 0 THEN 'London' WHEN 1 THEN 'Tokyo' WHEN 2 THEN '' END",
+    "time_reference": "CASE id % 3 WHEN 0 THEN 'late on monday' WHEN 1 THEN 'late on mondays' ELSE 'in the spring of 2025' END", "event_date": "CASE WHEN id % 6 < 2 THEN '2024-01-01' ELSE '2025-11-20' END",
+}
+FULL_FIELDS = ", ".join(f"CAST({e} AS double) AS {n}" for n, e in FULL_NUMBERS.items()) + ", " + ", ".join(f"{e} AS {n}" for n, e in FULL_TEXTS.items())
+CLAIM_WORDS = ["md5(CAST(id % 37 AS {0}))", "md5(CAST(id * 7 % 41 + 100 AS {0}))"]
+MOVED = "NOT first AND CASE WHEN old_{0} IS NULL AND {0} IS NULL THEN false WHEN old_{0} IS NULL OR {0} IS NULL THEN true WHEN old_{0} = {0} THEN false ELSE abs({0} - old_{0}) / greatest(abs({0}), abs(old_{0})) > 0.05 END AS changed_{0}"
+SAID = "NOT first AND coalesce({0}, '') <> '' AND coalesce(rtrim(old_{0}, 's') <> rtrim({0}, 's'), true) AS changed_{0}"
+EARLIER = "OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_NUMBERS, _CHANGES = ["amount", *FULL_NUMBERS], ["amount", *FULL_NUMBERS, "status", *FULL_TEXTS]
+FULL = f"""{STATES}, full_states AS (SELECT *, {RANK} AS status_rank, {FULL_FIELDS}, [{", ".join(CLAIM_WORDS).format("VARCHAR")}] AS claims FROM states),
+looked AS (SELECT *, row_number() OVER w = 1 AS first, max(status_rank) {EARLIER} AS old_rank, {", ".join(f"last_value({n} IGNORE NULLS) {EARLIER} AS old_{n}" for n in _NUMBERS)},
+    {", ".join(f"last_value(nullif({n}, '') IGNORE NULLS) {EARLIER} AS old_{n}" for n in FULL_TEXTS)} FROM full_states WINDOW w AS (PARTITION BY event_key ORDER BY tm, id)),
+mentions AS (SELECT event_key, tm, id, unnest(claims) AS claim, unnest([0, 1]) AS pos FROM full_states),
+placed AS (SELECT *, row_number() OVER (PARTITION BY event_key, claim ORDER BY tm, id, pos) = 1 AS opens FROM mentions),
+learnt AS (SELECT event_key, claim, tm, id, pos, row_number() OVER (PARTITION BY event_key ORDER BY tm, id, pos) <= 20 AS known FROM placed WHERE opens),
+fresh AS (SELECT p.event_key, p.id, count(*) FILTER (p.opens OR NOT l.known) AS new_claims FROM placed p JOIN learnt l ON p.event_key = l.event_key AND p.claim = l.claim GROUP BY ALL),
+changed AS (SELECT looked.*, new_claims, {", ".join(MOVED.format(n) for n in _NUMBERS)}, {", ".join(SAID.format(n) for n in FULL_TEXTS)}, NOT first AND coalesce(status_rank <> old_rank, false) AS changed_status
+    FROM looked JOIN fresh ON looked.event_key = fresh.event_key AND looked.id = fresh.id),
+full_diffs AS (SELECT *, CASE WHEN first THEN 'NEW' WHEN {" OR ".join(f"changed_{n}" for n in _CHANGES)} OR new_claims >= 2 THEN 'UPDATE' ELSE 'DUPLICATE' END AS decision FROM changed)"""
+
+
+def _full_diffs(t: Tables) -> DataFrame:
+    full = states(t).selectExpr(
+        "*", *[f"CAST({e} AS double) AS {n}" for n, e in FULL_NUMBERS.items()], *[f"{e} AS {n}" for n, e in FULL_TEXTS.items()], f"array({', '.join(CLAIM_WORDS).format('string')}) AS claims"
+    )
+    return M.diff_states(full)
+
+
+@query(f"WITH {FULL} SELECT id, decision, new_claims, {', '.join(f'changed_{n}' for n in _CHANGES)} FROM full_diffs")
+def w4_full_diffs(t: Tables) -> DataFrame:
+    return rounded(_full_diffs(t).select("id", "decision", "new_claims", *[f"changed_{n}" for n in _CHANGES]))
+
+
+@query(f"""WITH {FULL}, k AS (SELECT event_key, string_agg(claim, ' ' ORDER BY tm, id, pos) AS key_claims FROM learnt WHERE known GROUP BY event_key)
+    SELECT d.event_key, count(*) AS article_count, count(*) FILTER (decision = 'UPDATE') AS update_count, arg_max(status, (status_rank, tm, id)) AS status, any_value(k.key_claims) AS key_claims,
+    {", ".join(f"round(arg_max({n}, (tm, id)) FILTER ({n} IS NOT NULL), 6) AS {n}" for n in _NUMBERS)}, {", ".join(f"arg_max({n}, (tm, id)) FILTER (coalesce({n}, '') <> '') AS {n}" for n in FULL_TEXTS)}
+    FROM full_diffs d JOIN k ON d.event_key = k.event_key GROUP BY d.event_key""")
+def w5_full_merge(t: Tables) -> DataFrame:
+    out = M.events_rollup(_full_diffs(t)).withColumn("key_claims", F.array_join("key_claims", " "))
+    return rounded(out.select("event_key", "article_count", "update_count", "status", "key_claims", *_NUMBERS, *FULL_TEXTS))
+
+
 @query(f"WITH {STATES} SELECT c_custkey AS event_key, greatest(1, (SELECT count(*) FROM states s WHERE s.event_key = c_custkey)) AS source_count FROM customer")
 def a26_source_count(t: Tables) -> DataFrame:
     return rounded(M.source_count(states(t), t.customer.select(F.col("c_custkey").alias("event_key"))))

@@ -255,6 +255,61 @@ def test_event_states(spark):
     assert {r.id: r.decision for r in M.diff_states(df).collect()} == {1: "NEW", 2: "UPDATE", 3: "DUPLICATE", 4: "UPDATE", 5: "NEW"}
 
 
+def plain_states(rows):
+    """A loop over articles in order: what changed, and the state that their event comes to."""
+    ranks = {"": 0, "reported": 3, "confirmed": 5, "announced": 5, "denied": 7}
+    numbers, texts = M.NUMBERS, M.TEXTS
+    state, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["id"])):
+        told = {k: v for k, v in r.items() if k in (*numbers, *texts, "status") and v not in (None, "")}
+        fresh = [c for c in r["claims"] or [] if c]
+        if r["event_key"] not in state:
+            state[r["event_key"]] = {**told, "claims": fresh}
+            out[r["id"]] = ("NEW", [], 0)
+            continue
+        old = state[r["event_key"]]
+        changed = []
+        for n in numbers:
+            a, b = old.get(n), r[n]
+            if (a is None) != (b is None) or (a is not None and a != b and abs(a - b) / max(abs(a), abs(b)) > 0.05):
+                changed.append(n)
+        rank = lambda x: ranks[x.get("status") or ""]
+        if told.get("status") and rank(told) != rank(old):
+            changed.append("status")
+        changed += [t for t in texts if told.get(t) and told[t] != old.get(t) and (not old.get(t) or plain_ratio(old[t], told[t]) < 0.9)]
+        new = [c for c in fresh if all(plain_ratio(c, k) < 0.85 for k in old["claims"])]
+        out[r["id"]] = ("UPDATE" if changed or len(new) >= 2 else "DUPLICATE", changed, len(new))
+        if rank(told) < rank(old):
+            told.pop("status", None)
+        state[r["event_key"]] = {**old, **told, "claims": old["claims"] + new}
+    return out, state
+
+
+def test_full_states_against_a_loop(spark):
+    draw = random.Random(12)
+    words = {"ruling": ["approved by the board", "approved by the boards", "rejected", ""], "location": ["London", "Tokyo", None], "time_reference": ["", None, "late on monday"], "event_date": ["2024-01-01", "2025-11-20", ""]}
+    stories = ["the court hears the case", "reserves fell by a third", "users were paid back", "keys were stolen at night", "trading was halted"]
+    rows = []
+    for i in range(160):
+        settled = i % 2  # half of the articles tell what stays the same
+        row = {"event_key": draw.choice("efg"), "id": i, "at": f"2024-01-0{1 + i // 60} {draw.randrange(24):02d}:00:00", **{n: 100.0 + draw.randrange(3) if settled else draw.choice([None, 100.0, 120.0]) for n in M.NUMBERS}}
+        row |= {t: v[0] if settled else draw.choice(v) for t, v in words.items()}
+        rows.append(row | {"status": "confirmed" if settled else draw.choice(["reported", "confirmed", "announced", "denied", ""]), "claims": draw.sample(stories, 1 + (i % 5 == 0)) if i % 7 else None})
+    kinds = "event_key string, id long, at string, " + ", ".join(f"{n} double" for n in M.NUMBERS) + ", " + ", ".join(f"{t} string" for t in M.TEXTS) + ", status string, claims array<string>"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], kinds).withColumn("at", F.col("at").cast("timestamp"))
+    decided = M.diff_states(df)
+    want, state = plain_states(rows)
+    fields = [*M.NUMBERS, "status", *M.TEXTS]
+    got = {r.id: (r.decision, [f for f in fields if r[f"changed_{f}"]], 0 if r.first else r.new_claims) for r in decided.collect()}
+    assert got == want and {x[0] for x in want.values()} == {"NEW", "UPDATE", "DUPLICATE"}
+    for r in M.events_rollup(decided).collect():
+        assert {f: r[f] for f in fields if r[f] not in (None, "")} == {f: v for f, v in state[r.event_key].items() if f != "claims"}
+        assert r.key_claims == state[r.event_key]["claims"]
+    assert M.events_rollup(M.diff_states(df.limit(0))).count() == 0
+    told = {r.id: r.summary for r in M.diff_summary(decided).collect()}
+    assert all(told[i] == "no change" for i, x in want.items() if x == ("DUPLICATE", [], 0)) and any("decision: 'approved by the board' -> 'rejected'" in s for s in told.values())
+
+
 def test_similar_and_match(spark):
     rows = [(1, "2024-01-01", [1.0, 0.0]), (2, "2024-01-02", [0.99, 0.05]), (3, "2024-01-20", [1.0, 0.0]), (4, "2024-01-03", [0.0, 0.0]), (5, "2024-01-03", None)]
     v = spark.createDataFrame(rows, "id long, at string, v array<double>").withColumn("at", F.col("at").cast("timestamp"))
