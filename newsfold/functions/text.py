@@ -123,8 +123,10 @@ def strip_html_hash(c: Column) -> Column:
     tagged = _sub(text, r"(?is)<(script|style)\b.*?</\1>", " ")
     tagged = _sub(_sub(tagged, r"(?i)<br\s*/?>|</p>|</div>|</li>", "\n"), r"<[^>]+>", " ")
     text = F.when(F.contains(text, F.lit("<")), tagged).otherwise(text)
+    coded = F.contains(text, F.lit("&"))  # most rows have none: they skip all that follows
     plain = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
-    return F.coalesce(_unescaped_numbers(F.when(plain.rlike(r"&#\d{2,5};"), plain)), plain)
+    numbers = _unescaped_numbers(F.when(coded & plain.rlike(r"&#\d{2,5};"), plain))
+    return F.coalesce(numbers, F.when(coded, plain).otherwise(text))
 
 
 def strip_boilerplate(c: Column) -> Column:
