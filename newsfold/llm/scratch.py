@@ -1,0 +1,35 @@
+"""Tables that an operator writes for itself in the shared folder, and deletes when it is done with them."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..scale import ensure_checkpoint_dir
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system Spark can write to; one that isn't there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """A folder of one run of an operator below ``spark.checkpoint.dir``. What is put there survives lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """Write ``df`` as Parquet, in folders by the columns ``parts``, and read it again."""
+        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        delete(self.spark, self.root)
