@@ -26,20 +26,31 @@ TEXTS = ("ruling", "location", "time_reference", "event_date")
 NAMES = {"ruling": "decision"}
 
 
+def epoch_day(c: Column | str) -> Column:
+    return F.datediff(F.to_date(c), F.lit("1970-01-01"))
+
+
 def find_similar(queries: DataFrame, store: DataFrame, days: int = LOOKBACK_DAYS, most: int = TOP, least: float = MIN_SIMILARITY, block: int = 2048) -> DataFrame:
     """``(id, match_id, similarity, rank)``: the most similar stored vectors of ``days`` before each query.
 
-    Both frames are ``(id, at, v)``. Stored rows go to the days that may ask for them; a day's
-    queries and stored rows are cut into blocks, and each pair of blocks is one bounded task
-    that returns at most ``most`` rows a query. Ties go to the smaller id. Empty, zero and
-    unequally long vectors have similarity 0. Exact.
+    Both frames are ``(id, at, v)``. Stored rows go to the days that may ask for them, and each is compared with
+    all of the day's queries; :class:`newsfold.operators.vector_index.VectorIndex` compares fewer.
+    Ties go to the smaller id. Empty, zero and unequally long vectors have similarity 0. Exact.
+    """
+    q = queries.select(F.col("id").alias("q"), F.unix_micros(F.col("at").cast("timestamp")).alias("q_at"), F.col("v").alias("q_v"), epoch_day("at").alias("day"))
+    s = store.select(F.col("id").alias("s"), F.unix_micros(F.col("at").cast("timestamp")).alias("s_at"), F.col("v").alias("s_v"), F.explode(F.sequence(epoch_day("at"), epoch_day("at") + days)).alias("day"))
+    return nearest_in_cells(q, s, ["day"], days, most, least, block)
+
+
+def nearest_in_cells(q: DataFrame, s: DataFrame, cell: list[str], days: int, most: int, least: float, block: int) -> DataFrame:
+    """``(id, match_id, similarity, rank)`` of queries ``(q, q_at, q_v, cell…)`` and stored rows ``(s, s_at, s_v, cell…)`` that share a cell.
+
+    A cell's queries and stored rows are cut into blocks, and each pair of blocks is one bounded task
+    that returns at most ``most`` rows a query. A query must not meet a stored row in two cells.
     """
-    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
-    q = queries.select(F.col("id").alias("q"), F.unix_micros(F.col("at").cast("timestamp")).alias("q_at"), F.col("v").alias("q_v"), day("at").alias("day"))
-    s = store.select(F.col("id").alias("s"), F.unix_micros(F.col("at").cast("timestamp")).alias("s_at"), F.col("v").alias("s_v"), F.explode(F.sequence(day("at"), day("at") + days)).alias("day"))
-    counts = q.groupBy("day").agg(F.ceil(F.count("*") / block).alias("qb")).join(s.groupBy("day").agg(F.ceil(F.count("*") / block).alias("sb")), "day")
-    q = q.join(counts, "day").withColumn("qk", F.pmod(F.xxhash64("q"), "qb")).withColumn("sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1))).drop("qb", "sb")
-    s = s.join(counts, "day").withColumn("sk", F.pmod(F.xxhash64("s"), "sb")).withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).drop("qb", "sb")
+    counts = q.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("qb")).join(s.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("sb")), cell)
+    q = q.join(counts, cell).withColumn("qk", F.pmod(F.xxhash64("q"), "qb")).withColumn("sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1))).drop("qb", "sb")
+    s = s.join(counts, cell).withColumn("sk", F.pmod(F.xxhash64("s"), "sb")).withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).drop("qb", "sb")
     micros = days * 86_400_000_000
 
     def unit(vectors: pd.Series, size: int) -> np.ndarray:
@@ -65,7 +76,7 @@ def find_similar(queries: DataFrame, store: DataFrame, days: int = LOOKBACK_DAYS
                     rows.append((query, ids[j], float(sim[i, j])))
         return pd.DataFrame(rows, columns=["id", "match_id", "similarity"])
 
-    by = ["day", "qk", "sk"]
+    by = [*cell, "qk", "sk"]
     found = q.groupBy(*by).cogroup(s.groupBy(*by)).applyInPandas(best, "id long, match_id long, similarity double")
     w = W.partitionBy("id").orderBy(F.desc("similarity"), "match_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -31,6 +31,17 @@ def vectors(t: Tables) -> DataFrame:
 VECTORS = "vectors AS (SELECT vec_id AS id, TIMESTAMP '2024-01-01' + vec_id * INTERVAL 1 HOUR AS tm, embedding AS v, label FROM embeddings)"
 
 
+def stories(t: Tables) -> DataFrame:
+    """Vectors of reports of stories: twenty in a row, an hour apart, lie around the first of them."""
+    v = vectors(t).drop("label")
+    first = v.where("id % 20 = 0").select(F.col("id").alias("story"), F.col("v").alias("a"))
+    mixed = F.zip_with(F.col("v").cast("array<double>"), F.col("a").cast("array<double>"), lambda x, y: y + 0.35 * x)
+    return v.withColumn("story", F.col("id") - F.col("id") % 20).join(first, "story").select("id", "at", mixed.alias("v"))
+
+
+STORIES = f"""{VECTORS}, stories AS (SELECT x.id, x.tm, list_transform(list_zip(x.v, a.v), lambda p: CAST(p[2] AS DOUBLE) + 0.35 * CAST(p[1] AS DOUBLE)) AS v FROM vectors x JOIN vectors a ON a.id = x.id - x.id % 20)"""
+
+
 def answers(t: Tables) -> DataFrame:
     """Panel answers: all lines of an order, numbered."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")

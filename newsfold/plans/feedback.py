@@ -10,8 +10,9 @@ from ..operators import consensus as C
 from ..operators import feedback as B
 from ..operators import memory as M
 from ..operators import ops as O
-from ..scale import settle
-from .adapters import ANSWERS, CALL_LOG, PREDICTIONS, PRICES, STATES, VECTORS, answers, call_log, predictions, prices, states, vectors
+from ..operators.vector_index import VectorIndex
+from ..scale import Scratch, settle
+from .adapters import ANSWERS, CALL_LOG, PREDICTIONS, PRICES, STATES, STORIES, VECTORS, answers, call_log, predictions, prices, states, stories, vectors
 from .registry import Tables, query, r6, rounded
 
 AS_OF = "timestamp_ntz'2024-01-25 00:00:00'"
@@ -28,6 +29,40 @@ def j2_similar_articles(t: Tables) -> DataFrame:
     return rounded(M.find_similar(v, v, least=0.3))
 
 
+SIMILAR = f"""{STORIES}, links AS (SELECT a.id, b.id AS match_id, list_cosine_similarity(a.v, b.v) AS s FROM stories a JOIN stories b ON b.tm < a.tm AND b.tm >= a.tm - INTERVAL 7 DAY WHERE list_cosine_similarity(a.v, b.v) >= 0.86),
+best AS (SELECT id, match_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, match_id) AS rank FROM links QUALIFY rank <= 8)"""
+
+
+def _index(t: Tables) -> tuple[Scratch, VectorIndex]:
+    """The reports' vectors, appended in two parts of which one is written twice."""
+    scratch = Scratch(t.spark, "vectors")
+    v = stories(t)
+    index = VectorIndex(t.spark, f"{scratch.root}/index").fit(v)
+    late = F.col("at") >= F.expr("timestamp_ntz'2024-01-12 00:00:00'")
+    for part in (v.where(~late), v.where(late), v.where(late)):
+        index.append(part)
+    return scratch, index
+
+
+@query(f"WITH {SIMILAR} SELECT id, match_id, similarity, rank FROM best")
+def j2_indexed_articles(t: Tables) -> DataFrame:
+    scratch, index = _index(t)
+    found = settle(index.search(stories(t)))
+    scratch.clear()
+    return rounded(found)
+
+
+@query(f"WITH {SIMILAR} SELECT count(*) AS links, true AS enough FROM best")
+def j2_probed_recall(t: Tables) -> DataFrame:
+    """Whether three probes find nine tenths or more of the links that all rows give."""
+    scratch, index = _index(t)
+    v = stories(t)
+    exact, probed = settle(M.find_similar(v, v)), settle(index.search(v, probes=3))
+    scratch.clear()
+    hit = exact.join(probed.select("id", "match_id", F.lit(1).alias("hit")), ["id", "match_id"], "left")
+    return hit.agg(F.count("*").alias("links"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(f"WITH {VECTORS} SELECT a.id, round({COSINE}, 6) AS cosine FROM vectors a JOIN vectors b ON b.id = a.id + 1")
 def v1_cosine(t: Tables) -> DataFrame:
     v = vectors(t)

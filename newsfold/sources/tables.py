@@ -87,6 +87,16 @@ def mark_processed(news: DataFrame, results: DataFrame) -> DataFrame:
     return out.select(*news.columns)
 
 
+def lookback(df: DataFrame, as_of: Column, days: int = 7, at: str = "fetched_at", since: Column | None = None, day: str | None = None) -> DataFrame:
+    """Rows from ``days`` before ``since`` (which is ``as_of`` where it isn't given) to ``as_of``, both ends included.
+
+    ``day`` names the date column that the table is partitioned by, if it is: folders of other days are then not read.
+    """
+    start = (as_of if since is None else since) - F.make_dt_interval(F.lit(days))
+    kept = df.where((F.col(at) >= start) & (F.col(at) <= as_of))
+    return kept if day is None else kept.where((F.col(day) >= F.to_date(start)) & (F.col(day) <= F.to_date(as_of)))
+
+
 def retain(news: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Drop rows that are older than the lookback and processed."""
     old = F.col("fetched_at") < as_of - F.make_dt_interval(F.lit(days))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import values as V
+from ..sources.tables import lookback  # noqa: F401  (stream and batch look back alike)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_DAYS = 7
@@ -25,11 +26,6 @@ def dedup_stream(df: DataFrame, keys: list[str], at: str = "fetched_at", horizon
     return df.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def lookback(df: DataFrame, as_of: Column, days: int = STATE_DAYS, at: str = "fetched_at") -> DataFrame:
-    """Rows of the last days; a range predicate that prunes dated partitions."""
-    return df.where((F.col(at) >= as_of - F.make_dt_interval(F.lit(days))) & (F.col(at) <= as_of))
-
-
 def run_stream(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = 300) -> StreamingQuery:
     """A pass for every micro-batch; ``seconds`` None works off what is there and ends."""
     writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
