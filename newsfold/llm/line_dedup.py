@@ -21,9 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import settle
+from ..scale import Scratch, delete, settle
 from .rows import id_hash, text_hash
-from .scratch import Scratch, delete
 
 #: Key of a line: white space at both ends that doesn't count, letters that are lower-cased, least length and documents. Fixed values.
 BLANKS = " \t\n\x0b\f\r"
@@ -104,7 +103,7 @@ class LineRuns:
         for span in self._replaced(batch):
             self._forget(span)
         for span in known:
-            keys = keys.join(self.run(span).where(F.col("docs") >= self.least).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            keys = keys.join(self.run(span).where(F.col("docs") >= self.least).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         self._write(keys, (batch, batch + 1))
         size = 1
         while (batch + 1) % (size * self.fanout) == 0:
@@ -126,7 +125,7 @@ class LineRuns:
         def pair(a: DataFrame, b: DataFrame) -> DataFrame:
             b = b.withColumnsRenamed({"docs": "more", "keeper": "other"})
             docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
-            return a.join(b, ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.greatest("keeper", "other").alias("keeper"))
+            return a.join(b.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.greatest("keeper", "other").alias("keeper"))
 
         return reduce(pair, map(self.run, spans))
 
