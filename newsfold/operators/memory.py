@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -14,11 +15,15 @@ from ..functions import likeness as L
 from ..functions import values as V
 from ..functions.hashes import claims_state, identity_key
 from ..functions.text import norm_token
-from ..scale import carried, settle
+from ..scale import Scratch, carried, cut_by_time, settle
+
+LOG = logging.getLogger(__name__)
 
 #: Thresholds of the match. Fixed values.
 MIN_SIMILARITY, TOP, LOOKBACK_DAYS, NEAR_REPRINT, REPRINT_SCORE = 0.86, 8, 7, 0.97, 0.6
 CLAIM_RATIO, TEXT_RATIO, MOST_CLAIMS = 0.85, 0.9, 20
+#: Claims of each event that a round of the fold takes.
+TAKEN = 8
 #: Fields of an event's state besides its status and claims. Fixed values.
 NUMBERS = ("amount", "price", "percentage", "count")
 TEXTS = ("ruling", "location", "time_reference", "event_date")
@@ -103,58 +108,85 @@ def event_by_identity(news: DataFrame, events: DataFrame) -> DataFrame:
     return news.join(events.select("identity_key", F.col("event_id")), "identity_key", "left")
 
 
-def match_events(facts: DataFrame, similar: DataFrame, rounds: int = 10_000) -> DataFrame:
+def match_events(facts: DataFrame, similar: DataFrame, decided: DataFrame | None = None, rounds: int = 1_000) -> DataFrame:
     """Add ``event_id`` (the id of the event's first article) to ``(id, at, identity fields…)``.
 
     In order of time (then id), an article joins the event that an earlier article of its identity
     key began; else, among its similar earlier articles (``similar(id, match_id, similarity)``,
     most similar first, then smallest id), the first whose event is the same by identity, or
-    near-verbatim with a fair score; else it begins an event.
-
-    Every round decides in parallel, by joins and aggregates, each article that is the earliest
-    undecided one of its key and whose answer no undecided similar article can change; when one
-    begins an event, all later articles of its key follow at once, so that a key may hold most
-    rows. The number of rounds is the longest chain of articles that wait for each other. Ids
-    must be unique and not null. Empty frames give empty ones.
+    near-verbatim with a fair score; else it begins an event. ``decided`` are articles of earlier
+    slices of time, ``(id, at, identity fields…, event_id)``: they keep their events, which are matched like others.
+
+    The answers are found as the fixed point of a guess. At first every article follows its key's
+    first one or its most similar one. A round judges each similar article by its guessed event, which gives
+    every article one to follow, and finds all events by pointer jumping, in as many steps as the logarithm of
+    the longest chain. As articles only follow earlier ones, a guess that a round leaves unchanged is the
+    sequential answer. Each round settles at least one more link of every chain, and all of a chain that keeps to one
+    event at once, so rounds grow with the events that a chain touches and not with its length; a pair of article
+    and event is judged once. Ids must be unique and not null. Empty frames give empty ones.
     """
-    rows = settle(identity(facts).select("id", F.struct("at", "id").alias("place"), "identity", "identity_key"))
+    held = identity(facts).select("id", F.struct("at", "id").alias("place"), "identity", "identity_key", F.lit(None).cast("long").alias("fixed"))
+    if decided is not None:
+        held = held.unionByName(identity(decided).select("id", F.struct("at", "id").alias("place"), "identity", "identity_key", F.col("event_id").cast("long").alias("fixed")))
+    scratch = Scratch(facts.sparkSession, "events")
+    rows = scratch.put(held, "rows")
     place = rows.select("id", "place")
     pairs = similar.select("id", F.col("match_id").alias("other"), "similarity").join(place, "id").join(
         place.select(F.col("id").alias("other"), F.col("place").alias("before")), "other"
-    ).where("before < place").select("id", "other", "similarity")
-    pairs = settle(pairs.withColumn("event", F.lit(None).cast("long")).withColumn("passes", F.lit(None).cast("boolean")))
-    open_, decided = rows.select("id", "place", "identity_key"), []
-    rank = F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o"))
-    for _ in range(rounds):
-        first = open_.groupBy("identity_key").agg(F.min("place").alias("first"))
-        verdict = pairs.groupBy("id").agg(
-            F.min(F.when(F.col("passes"), rank)).alias("hit"), F.min(F.when(F.col("event").isNull(), rank)).alias("waits"), F.min_by("event", F.when(F.col("passes"), rank)).alias("found")
-        )
-        asked = open_.join(first, "identity_key").where("place = first").join(verdict, "id", "left")
-        ready = asked.where("waits is null or hit < waits")
-        ready = settle(ready.select("id", "identity_key", F.coalesce("found", "id").alias("event_id"), F.col("found").isNull().alias("begins")))
-        began = ready.where("begins").select("identity_key", "event_id", F.col("id").alias("_first"))
-        follow = open_.join(began, "identity_key").where("id <> _first").select("id", "event_id")
-        now = settle(ready.select("id", "event_id").unionAll(follow))
-        decided.append(now)
-        if len(decided) == 10:
-            decided = [settle(reduce(DataFrame.unionAll, decided))]
-        open_ = settle(open_.join(now.select("id"), "id", "left_anti"))
-        if open_.isEmpty():
+    ).where("before < place").select("id", "other", "similarity", F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o")).alias("rank"))
+    pairs = scratch.put(pairs, "pairs")
+    faces = rows.select(F.col("id").alias("event"), F.col("identity").alias("face"))
+    key_first = rows.groupBy("identity_key").agg(F.min("place").alias("start"))
+    link = _followed(rows, key_first, pairs.groupBy("id").agg(F.min("rank").alias("hit")))
+    guess, jumps = _roots(link, scratch, "0")
+    judged = None
+    for number in range(1, rounds + 1):
+        asked = pairs.join(guess.select(F.col("id").alias("other"), "event"), "other")
+        fresh = asked.select("id", "event").distinct()
+        fresh = fresh if judged is None else fresh.join(judged, ["id", "event"], "left_anti")
+        fresh = L.identity_match(fresh.join(faces, "event").join(rows.select("id", "identity"), "id"), "identity", "face", "m").select("id", "event", "m.same", "m.score")
+        fresh = scratch.put(fresh, f"judged-{number}")
+        judged = fresh if judged is None else judged.unionByName(fresh)
+        passes = F.col("same") | ((F.col("similarity") >= NEAR_REPRINT) & (F.col("score") >= REPRINT_SCORE))
+        hits = asked.join(judged, ["id", "event"]).where(passes).groupBy("id").agg(F.min("rank").alias("hit"))
+        begun = rows.join(guess.where("id = event").select("id"), "id", "left_semi").groupBy("identity_key").agg(F.min("place").alias("start"))
+        now, more = _roots(_followed(rows, begun, hits), scratch, str(number))
+        jumps += more
+        same = now.join(guess.withColumnRenamed("event", "was"), "id").where("event <> was").isEmpty()
+        guess = now
+        if same:
             break
-        left = pairs.join(now.select("id"), "id", "left_anti")
-        fresh = left.where("event is null").join(now.select(F.col("id").alias("other"), F.col("event_id").alias("_event")), "other")
-        faces = rows.select(F.col("id").alias("_event"), F.col("identity").alias("face"))
-        fresh = fresh.join(faces, "_event").join(rows.select("id", "identity"), "id")
-        near = (F.col("similarity") >= NEAR_REPRINT) & (F.col("_m")["score"] >= REPRINT_SCORE)
-        fresh = L.identity_match(fresh, "identity", "face", "_m").select("id", "other", "similarity", F.col("_event").alias("event"), (F.col("_m")["same"] | near).alias("passes"))
-        known = left.join(now.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "similarity", "event", "passes").unionAll(
-            left.where("event is not null").join(now.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other", "similarity", "event", "passes")
-        )
-        pairs = settle(known.unionAll(fresh))
     else:
-        raise RuntimeError("articles wait for each other in chains longer than the given rounds")
-    return facts.join(reduce(DataFrame.unionAll, decided), "id")
+        raise RuntimeError("events did not settle within the given rounds")
+    LOG.info("events matched in %d rounds with %d jumps", number, jumps)
+    events = settle(guess.withColumnRenamed("event", "event_id"))
+    scratch.clear()
+    return facts.join(events, "id")
+
+
+def _followed(rows: DataFrame, begun: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(id, to)``: whom each article follows: the start of its key if that is earlier, else its best hit, else itself."""
+    known = rows.join(begun, "identity_key", "left").join(hits, "id", "left")
+    by_key = F.when(F.col("start") < F.col("place"), F.col("start.id"))
+    return known.select("id", F.coalesce("fixed", by_key, F.col("hit.o"), F.col("id")).alias("to"))
+
+
+def _roots(link: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """``(id, event)``: where each chain of links ends, and in how many steps it was found. A step makes the reach of all links fourfold.
+
+    Steps are written tables: a checkpoint keeps the planner's size of its joins, a product that squares itself in every step.
+    """
+    now, steps = scratch.put(link, f"links-{name}-0"), 0
+    while True:
+        steps += 1
+        far = now
+        for _ in range(2):
+            ends = far.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            far = far.join(ends, "to").select("id", F.col("next").alias("to"))
+        far = scratch.put(far, f"links-{name}-{steps}")
+        if far.join(now.withColumnRenamed("to", "was"), "id").where("to <> was").isEmpty():
+            return far.withColumnRenamed("to", "event"), steps
+        now = far
 
 
 def _given(df: DataFrame, names: tuple[str, ...]) -> list[str]:
@@ -174,8 +206,19 @@ def diff_states(articles: DataFrame, by: str = "event_key", order: tuple[str, st
     ``material``, and ``decision``: NEW for the event's first; UPDATE if a number moved (or came or
     went), a text is told that is less than ``TEXT_RATIO`` like the old one, the status took
     another rank, or two or more claims are new; else DUPLICATE. Blank texts tell nothing. Events are
-    cut by the hour, so one event may hold most rows. Ids must be unique.
+    cut by the hour, so one event may hold most rows. Articles without an event (a null key) are each
+    the first of their own: NEW. Ids must be unique.
     """
+    lone = F.col(by).isNull()
+    told = _diffs_of_events(articles.where(~lone), by, order)
+    alone = articles.where(lone).withColumns({"status_rank": V.status_rank(F.col("status")), "first": F.lit(True), "decision": F.lit("NEW"), **{c: F.lit(False) for c in told.columns if c.startswith("changed_")}})
+    if "claims" in articles.columns:
+        spoken = F.filter("claims", lambda c: F.coalesce(c, F.lit("")) != "")
+        alone = alone.withColumns({"new_claims": F.coalesce(F.size(F.array_distinct(spoken)), F.lit(0)), "material": F.lit(False)})
+    return told.unionByName(alone, allowMissingColumns=True)
+
+
+def _diffs_of_events(articles: DataFrame, by: str, order: tuple[str, str]) -> DataFrame:
     numbers, texts = _given(articles, NUMBERS), _given(articles, TEXTS)
     rank = V.status_rank(F.col("status"))
     status = F.when(_told("status").isNotNull(), F.struct(rank.alias("rank"), *order, "status"))
@@ -262,35 +305,46 @@ def event_context(updates: DataFrame, most: int = 4, by: str = "event_key") -> D
 def related_events(events: DataFrame, days: int, most: int = 5) -> DataFrame:
     """For each event the newest others of its type, with an equal or blank asset, seen within ``days`` before it.
 
-    Three equi-joins on (type, asset, day) serve: equal assets, others without an asset, and, for
-    events without one, others of any asset. For later days only the newest few of a (type, asset,
-    day) can be answers, and of one moment only those of the greatest ids, so others are cut to them before
-    they are joined. What remains for the event's own day are the moments of that day.
+    Events of one moment count as before each other; of equally new ones the greatest id comes first; a null asset is a blank
+    one, and an event without a type has no related ones. Three looks back serve: at the events of the same asset,
+    at those without one, and, for events without an asset, at all of the type. Each is :func:`newest_before`, whose work
+    grows with events x ``most``.
     """
-    day = F.to_date("last_seen")
-    theirs = events.select(F.col("event_id").alias("other"), "event_type", F.col("asset").alias("other_asset"), F.col("last_seen").alias("seen"), day.alias("seen_day"))
-    mine = events.select(F.col("event_id").alias("id"), "event_type", "asset", "last_seen", day.alias("day"))
-    newest = [F.desc("seen"), F.desc("other")]
-    keep = ["event_type", "other_asset", "other", "seen", "serves"]
-
-    def top(rows: DataFrame, *by: str) -> DataFrame:
-        """The newest of each group: the event itself may be among them, so one more than is asked for."""
-        return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*newest))).where(F.col("_r") <= most + 1).drop("_r")
-
-    def of(rows: DataFrame, by: list[str]) -> DataFrame:
-        moments = top(rows, *by, "seen")
-        later = top(moments, *by, "seen_day").withColumn("serves", F.explode(F.sequence(F.date_add("seen_day", 1), F.date_add("seen_day", days))))
-        return top(later, *by, "serves").select(*keep).unionAll(moments.withColumn("serves", F.col("seen_day")).select(*keep))
-
-    same = of(theirs, ["event_type", "other_asset"])
-    any_ = of(theirs, ["event_type"])
-    on = (F.col("event_type") == F.col("_type")) & (F.col("day") == F.col("serves"))
-    same, any_ = same.withColumnRenamed("event_type", "_type"), any_.withColumnRenamed("event_type", "_type")
-    named = mine.where("asset <> ''")
-    found = named.join(same, on & (F.col("asset") == F.col("other_asset"))).unionAll(named.join(same.where("other_asset = ''"), on)).unionAll(mine.where("asset = ''").join(any_, on))
-    fit = (F.col("other") != F.col("id")) & (F.col("seen") <= F.col("last_seen")) & (F.col("seen") >= F.col("last_seen") - F.make_dt_interval(F.lit(days)))
-    w = W.partitionBy("id").orderBy(F.desc("seen"), F.desc("other"))
-    return found.where(fit).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", "other", "rank")
+    e = events.select(F.col("event_id").alias("id"), "event_type", F.coalesce("asset", F.lit("")).alias("asset"), F.col("last_seen").alias("at")).where("event_type is not null and at is not null")
+    named, blank = e.where("asset <> ''"), e.where("asset = ''")
+    most_held = most + 1  # the event itself may be among them
+    looked = (
+        newest_before(named, named, ["event_type", "asset"], most_held).unionByName(newest_before(blank, named.select("id", "event_type", "at"), ["event_type"], most_held))
+        .unionByName(newest_before(e, blank.select("id", "event_type", "at"), ["event_type"], most_held))
+    )
+    each = looked.select("id", "at", F.explode("held").alias("o")).where((F.col("o.id") != F.col("id")) & (F.col("o.at") >= F.col("at") - F.make_dt_interval(F.lit(days))))
+    w = W.partitionBy("id").orderBy(F.desc("o.at"), F.desc("o.id"))  # at most two looks of each event
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", F.col("o.id").alias("other"), "rank")
+
+
+def newest_before(rows: DataFrame, asking: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Add ``held`` to ``asking(id, at, by…)``: the newest ``most`` of ``rows(id, at, by…)`` of its keys that are not later, newest first, then greatest id.
+
+    Rows become moments, each with its ``most`` greatest ids. Keys are cut into ranges of time of bounded size
+    (:func:`newsfold.scale.cut_by_time`); of every range one array carries the newest rows to the ranges after it, and
+    moments look back over ``most`` moments within theirs. So a key may hold most rows.
+    """
+    newest = lambda c: F.slice(F.sort_array(c, asc=False), 1, most)
+    top = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by, "at").orderBy(F.desc("id")))).where(F.col("_r") <= most)
+    moments = cut_by_time(top.groupBy(*by, "at").agg(newest(F.collect_list(F.struct("at", "id"))).alias("own")), by, "at", "_cut")
+    ends = moments.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_cut").orderBy(F.desc("at")))).where(F.col("_r") <= most)
+    cuts = ends.groupBy(*by, "_cut").agg(newest(F.flatten(F.collect_list("own"))).alias("end"))
+    before = W.partitionBy(*by).orderBy("_cut").rowsBetween(-most, -1)  # each range before holds one row at least
+    cuts = cuts.select(*by, "_cut", newest(F.flatten(F.collect_list("end").over(before))).alias("carry"))
+    within = W.partitionBy(*by, "_cut").orderBy("at").rowsBetween(1 - most, 0)
+    looked = moments.withColumn("own", F.flatten(F.collect_list("own").over(within))).join(cuts, [*by, "_cut"])
+    held = looked.select(*by, "at", newest(F.concat("own", "carry")).alias("held"))
+    # a moment at which somebody asks takes what the latest moment not later than it holds
+    marks = held.select(*by, "at", F.lit(0).alias("_kind"), F.lit(None).cast(dict(asking.dtypes)["id"]).alias("id"), "held")
+    marks = marks.unionByName(asking.select(*by, "at", F.lit(1).alias("_kind"), "id", F.lit(None).cast(dict(held.dtypes)["held"]).alias("held")))
+    marks = cut_by_time(marks, by, "at", "_cut2")
+    found = carried(marks, by, ["at", "_kind", "id"], F.col("_cut2"), {"_held": "held"})
+    return found.where("_kind = 1").select("id", "at", F.coalesce("_held", F.array().cast(dict(held.dtypes)["held"])).alias("held"))
 
 
 def claim_mentions(articles: DataFrame, by: str) -> DataFrame:
@@ -303,26 +357,40 @@ def known_claims(mentions: DataFrame, by: str) -> DataFrame:
     """``(by, known, since)``: what each event comes to know, at most ``MOST_CLAIMS``, and its place of first mention.
 
     A claim becomes known unless it is as like as ``CLAIM_RATIO`` to a known one. That can happen at
-    first mentions only, so the fold runs over the distinct claims of each event.
+    first mentions only, so the fold runs over the distinct claims of each event. A round takes the earliest ``TAKEN``
+    claims left of every event, which are unlike all known ones, and compares them with each other: those that
+    aren't like an earlier one become known, and later claims like those are struck out. So at least one
+    claim of each event becomes known in a round, and ``MOST_CLAIMS`` rounds are enough; an event's claims are
+    never in one task.
     """
-    firsts = mentions.groupBy(by, "claim").agg(F.min(F.struct("at", "id", "pos")).alias("place"))
-
-    def learn(batches):
-        now, known = None, []
-        for pdf in batches:
-            out = []
-            for key, claim in zip(pdf[by], pdf["claim"]):
-                if key != now:
-                    now, known = key, []
-                if len(known) < MOST_CLAIMS and not any(_claims_alike(claim, k) for k in known):
-                    known.append(claim)
-                    out.append((key, claim))
-            yield pd.DataFrame(out, columns=[by, "known"])
-
-    kind = dict(mentions.dtypes)[by]
-    ordered = firsts.repartition(by).sortWithinPartitions(by, "place").select(by, "claim")
-    known = settle(ordered.mapInPandas(learn, f"{by} {kind}, known string"))
-    return known.join(firsts.withColumnRenamed("claim", "known"), [by, "known"]).select(by, "known", F.col("place").alias("since"))
+    scratch = Scratch(mentions.sparkSession, "claims")
+    left = scratch.put(mentions.groupBy(by, "claim").agg(F.min(F.struct("at", "id", "pos")).alias("place")), "left")
+    found: list[DataFrame] = []
+    for round_ in range(MOST_CLAIMS):
+        number = F.row_number().over(W.partitionBy(by).orderBy("place", "claim"))
+        taken = scratch.put(left.withColumn("n", number).where(F.col("n") <= TAKEN), f"taken-{round_}")
+        if taken.isEmpty():
+            break
+        later = taken.select(by, F.col("n").alias("m"), F.col("claim").alias("second"))
+        alike = taken.join(later, by).where("n < m").where(L.string_ratio(F.col("claim"), F.col("second")) >= CLAIM_RATIO)
+        pairs = alike.groupBy(by).agg(F.collect_set(F.struct("n", "m")).alias("alike"))
+        lists = taken.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("n", "claim", "place"))).alias("own")).join(pairs, by, "left")
+        struck = lambda known, i: F.exists(known, lambda k: F.array_contains("alike", F.struct(k.alias("n"), i.alias("m"))))
+        numbers = F.aggregate(
+            F.transform("own", lambda x: x["n"]), F.array().cast("array<int>"), lambda known, i: F.when(F.coalesce(struck(known, i), F.lit(False)), known).otherwise(F.array_append(known, i))
+        )
+        learnt = lists.withColumn("numbers", numbers).select(by, F.explode(F.filter("own", lambda x: F.array_contains("numbers", x["n"]))).alias("x"))
+        new = scratch.put(learnt.select(by, F.col("x.claim").alias("known"), F.col("x.place").alias("since")), f"new-{round_}")
+        found.append(new)
+        full = reduce(DataFrame.unionByName, found).groupBy(by).count().where(F.col("count") >= MOST_CLAIMS).select(by)
+        rest = left.join(taken.select(by, "claim"), [by, "claim"], "left_anti").join(full, by, "left_anti")
+        heard = rest.join(new.select(by, "known"), by).where(L.string_ratio(F.col("claim"), F.col("known")) >= CLAIM_RATIO)  # TAKEN rows a claim at most
+        left = scratch.put(rest.join(heard.select(by, "claim").distinct(), [by, "claim"], "left_anti"), f"left-{round_}")
+    every = reduce(DataFrame.unionByName, found) if found else left.select(by, F.col("claim").alias("known"), F.col("place").alias("since"))
+    first = F.row_number().over(W.partitionBy(by).orderBy("since", "known"))  # the last round may learn too many
+    known = settle(every.withColumn("n", first).where(F.col("n") <= MOST_CLAIMS).drop("n"))
+    scratch.clear()
+    return known
 
 
 def fold_claims(articles: DataFrame, by: str = "event_key") -> DataFrame:
@@ -346,16 +414,3 @@ def fold_claims(articles: DataFrame, by: str = "event_key") -> DataFrame:
     out = articles.select(by, "id", "at").join(sums, [by, "id"], "left").join(start, by)
     n = F.coalesce("new_claims", F.lit(0))
     return out.select(by, "id", n.alias("new_claims"), ((at != F.col("start")) & (n >= 2)).alias("material"))
-
-
-def _claims_alike(a: str, b: str) -> bool:
-    """Whether two claims are as like as ``CLAIM_RATIO``, by words or by characters: what ``string_ratio`` says of sentences."""
-    left, right = a.split(), b.split()
-    if len(set(left)) == len(set(right)) == 1:
-        return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a)) or L.characters(a, b) >= CLAIM_RATIO
-    for short, long in ((left, right), (right, left)):
-        if len(short) == 1 and short[0].replace(".", "") in {"".join(w[0] for w in words) for words in (long, [w for w in long if w not in L.SMALL_WORDS])}:
-            return True
-    shared, some = len({*left} & {*right}), len({*left} | {*right})
-    words = max(shared / max(some, 1), 0.85 if shared and shared == min(len({*left}), len({*right})) else 0.0)
-    return a == b or words >= CLAIM_RATIO or L.characters(a, b) >= CLAIM_RATIO

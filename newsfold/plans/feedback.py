@@ -176,10 +176,19 @@ def j5_related_events(t: Tables) -> DataFrame:
     return rounded(M.related_events(e, 30))
 
 
-@query()
+# two claims are alike by their digits or their status: what the likeness of characters says of these texts
+ALIKE = """CASE WHEN {0} LIKE 'claim %' AND {1} LIKE 'claim %' THEN length({0}) = 7 AND length({1}) = 7 OR len(list_intersect(string_split(substr({0}, 7), ''), string_split(substr({1}, 7), ''))) > 0
+    ELSE split_part({0}, ' by ', 1) = split_part({1}, ' by ', 1) END"""
+KNOWN = f"""known AS (SELECT event_key, list_reduce(list_transform(list({{'tm': tm, 'id': id, 'pos': pos, 'claim': claim}} ORDER BY tm, id, pos), lambda x: [x]),
+    lambda own, x: CASE WHEN len(own) >= 20 OR len(list_filter(own, lambda k: {ALIKE.format("k.claim", "x[1].claim")})) > 0 THEN own ELSE list_concat(own, x) END) AS own FROM said GROUP BY event_key)"""
+
+
+@query(f"""WITH {STATES}, said AS (SELECT event_key, tm, id, unnest([concat('claim ', id % 40), concat(status, ' by ', id % 6)]) AS claim, unnest([0, 1]) AS pos FROM states), {KNOWN},
+    fresh AS (SELECT s.event_key, s.id, count(*) FILTER (len(list_filter(k.own, lambda k: (k.tm, k.id, k.pos) < (s.tm, s.id, s.pos) AND {ALIKE.format("k.claim", "s.claim")})) = 0) AS new_claims FROM said s JOIN known k ON k.event_key = s.event_key GROUP BY ALL)
+    SELECT f.event_key, f.id, new_claims, new_claims >= 2 AND row_number() OVER (PARTITION BY f.event_key ORDER BY s.tm, s.id) > 1 AS material FROM fresh f JOIN states s ON s.id = f.id AND s.event_key = f.event_key""")
 def w4_claims_fold(t: Tables) -> DataFrame:
     claims = F.expr("array(concat('claim ', id % 40), concat(status, ' by ', id % 6))")
-    return M.fold_claims(states(t).withColumn("claims", claims))
+    return rounded(M.fold_claims(states(t).withColumn("claims", claims)))
 
 
 @query()

@@ -66,12 +66,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     with very many neighbours is no hot task. Null ends and loops are ignored; nodes
     without an edge to another node don't appear. Empty edges give an empty frame.
     """
-    now = settle(
+    # rounds are written tables and not checkpoints: those keep the planner's size of their joins, a product that squares itself in every round
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.put(
         edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-        .where("a is not null and b is not null and a <> b").distinct()
-    )
+        .where("a is not null and b is not null and a <> b").distinct(), "round-0"
+    )
     seen, count = None, now.count()
-    for _ in range(rounds):
+    for number in range(1, rounds + 1):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -81,7 +83,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
         # few edges stay in few files: a partition for each 20,000 of the round before, up to the shuffle's own number
-        now = settle(small.select("e.*").where("a <> b").distinct().coalesce(count // 20_000 + 2))
+        now = scratch.put(small.select("e.*").where("a <> b").distinct().coalesce(count // 20_000 + 2), f"round-{number}")
+        scratch.drop(f"round-{number - 1}")
         sign = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(pmod(xxhash64(b, a), 1000003) as long)"))).first()
         if sign == seen:
             break
@@ -89,7 +92,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
+    found = settle(now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots))
+    scratch.clear()
+    return found
 
 
 def global_rank(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
@@ -167,3 +172,14 @@ def carried(df: DataFrame, by: list[str], order: list[str], chunk: Column, last:
     for o, c in most.items():
         joined = joined.withColumn(o, F.greatest(F.max(c).over(within), F.col(f"_c_{o}")))
     return joined.drop("_chunk", *[f"_c_{o}" for o in [*last, *most]])
+
+
+def cut_by_time(df: DataFrame, by: list[str], at: str, out: str = "cut", rows: int = 20_000) -> DataFrame:
+    """Add ``out``, a ``(day, part)`` that grows with the time ``at`` and cuts each key's days into parts of about ``rows`` rows.
+
+    The number of a day's parts follows its count, so that a key may hold most rows; parts are equal spans of the day.
+    """
+    days = df.groupBy(*by, F.to_date(at).alias("_day")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    second = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    part = F.floor(second * F.col("_parts") / 86_400).cast("int")
+    return df.withColumn("_day", F.to_date(at)).join(days, [*by, "_day"]).withColumn(out, F.struct(F.col("_day").alias("day"), part.alias("part"))).drop("_day", "_parts")
