@@ -8,15 +8,15 @@ of taking a pass each. A phrase whose subphrases never reach the threshold is ne
 Which subphrases reached the threshold after which scan is told to the workers by bitmaps of hashes, one for each
 scan and length, whose size is a parameter. A hash that meets another one's bit only has its phrases counted in vain: they too
 are counted in every shard once, and counts are compared with the threshold exactly. So results don't depend on the
-bitmaps, and their size bounds what is broadcast. Counting is done by arrays in the workers, a few documents at a time
-(map-side), and summed by Spark; rows are keyed by (lang, length, phrase).
+bitmaps, and their size bounds what is broadcast. Counting is done by arrays in the workers, some million words at a time
+(map-side), and summed by Spark. Rows are keyed by a 128-bit hash of language and words; a last scan spells
+those that are frequent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,117 +30,166 @@ from ..scale import Scratch, settle
 #: Bytes that end a piece, least count of a candidate, share of a longer phrase that hides it, scale of scores. Fixed values.
 ENDS, LEAST, HIDDEN, SCALE = b".,;:!?\n\x0b\x0c\r", 10, 50, 1_000_000
 UNKNOWN, BEST = "und", 2_000
-#: Shards of a cycle, bits of a bitmap, bytes of text that a worker counts at once.
-SHARDS, BITS, CHUNK = 3, 1 << 23, 4 << 20
+#: Shards of a cycle, bits of a bitmap, words that a worker counts at once.
+SHARDS, BITS, CHUNK = 3, 1 << 23, 2_000_000
 
 #: Every ending becomes a point, which no word can hold; a tab becomes a blank.
 _PLAIN = bytes.maketrans(ENDS + b"\t", b"." * len(ENDS) + b" ")
 _NEVER = 1 << 20
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """Words in order, A-Z lower-cased, with ``b"."`` between pieces."""
+    """Words in order, A-Z lower-cased, with ``b"."`` between pieces (and empty ones where blanks meet)."""
     return text.lower().translate(_PLAIN).replace(b".", b" . ").split(b" ")
 
 
-def slot(lang: str, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\x00" + phrase, 42) & (bits - 1)
+def hashes(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit numbers a word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+
+
+def extended(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases (at first, of the language) with a word more."""
+    return phrases * _ODD + words
+
+
+class Ids(dict):
+    """Numbers of words in order of appearance: 0 is the end of a piece, 1 the empty word."""
+
+    def __init__(self) -> None:
+        super().__init__({b".": 0, b"": 1})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Filters:
-    """For each length 1 and 2: bitmaps of the phrases that reached the threshold after scan 0, 1, ..."""
+    """For each length: bitmaps of the phrases that reached the threshold after scan 0, 1, ..."""
 
     def __init__(self, bits: int) -> None:
-        self.bits, self.maps = bits, {1: {}, 2: {}}
+        self.bits, self.maps = bits, {1: {}, 2: {}, 3: {}}
 
-    def since(self, length: int, lang: str, phrases: list[bytes]) -> np.ndarray:
+    def since(self, length: int, hashed: np.ndarray) -> np.ndarray:
         """The scan after which each phrase counts as frequent; ``_NEVER`` if it doesn't."""
-        out = np.full(len(phrases), _NEVER, np.int64)
-        if self.maps[length]:
-            at = np.fromiter((slot(lang, p, self.bits) for p in phrases), np.int64, len(phrases))
-            for scan in sorted(self.maps[length], reverse=True):
-                out[(self.maps[length][scan][at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0] = scan
+        out = np.full(len(hashed), _NEVER, np.int64)
+        at = (hashed[:, 0] & np.uint64(self.bits - 1)).astype(np.int64)
+        for scan in sorted(self.maps[length], reverse=True):
+            out[(self.maps[length][scan][at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0] = scan
         return out
 
 
-def count_chunk(lang: str, words: list[bytes], scan: int, shards: int, filters: Filters) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """``(length, phrases, counts)`` of what is active in this scan, of the tokens of some texts of one language."""
-    known: dict[bytes, int] = {b".": 0, b"": 1}
-    number = count(2)
-
-    class Ids(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = n = next(number)
-            return n
-
-    ids = Ids(known)
-    seq = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    seq = seq[seq != 1]
-    names = list(ids)
+def count_chunk(lang: str, ids: Ids, seq: np.ndarray, scan: int, shards: int, filters: Filters) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(length, hashes, counts)`` of what is active in this scan, of the words ``seq`` (their numbers) of some texts of one language."""
+    seq = seq[seq != 1].astype(np.int64)
+    own = hashes(list(ids))
+    one = extended(hashes([lang.encode()]), own)
+    many = len(ids)
     if scan < shards:
-        counts = np.bincount(seq, minlength=len(names))
+        counts = np.bincount(seq, minlength=many)
         told = np.flatnonzero(counts[2:]) + 2
-        yield 1, [names[i] for i in told], counts[told]
-    if len(seq) < 2:
-        return
-    start = filters.since(1, lang, names)
+        yield 1, one[told], counts[told]
+    start = filters.since(1, one)
     start[:2] = _NEVER
     first = np.maximum(start[seq[:-1]], start[seq[1:]])  # the scan after which both words were frequent
-    codes = seq[:-1] * len(names) + seq[1:]
     both = np.flatnonzero(first < scan)
-    pairs, which, counts = np.unique(codes[both], return_inverse=True, return_counts=True)
-    spelled = [names[c // len(names)] + b" " + names[c % len(names)] for c in pairs.tolist()]
+    pairs, which, counts = np.unique(seq[both] * many + seq[both + 1], return_inverse=True, return_counts=True)
+    two = extended(one[pairs // many], own[pairs % many])
     begun = np.full(len(pairs), _NEVER, np.int64)
     begun[which] = first[both]
-    told = np.flatnonzero(begun + shards >= scan)  # counted in the scans begun + 1 to begun + shards
-    if len(told):
-        yield 2, [spelled[i] for i in told.tolist()], counts[told]
-    if not filters.maps[2] or len(both) < 2:
-        return
-    start = filters.since(2, lang, spelled)
+    told = begun + shards >= scan  # counted in the scans begun + 1 to begun + shards
+    yield 2, two[told], counts[told]
+    start = filters.since(2, two)
     at = np.flatnonzero(both[1:] == both[:-1] + 1)  # pairs that follow each other
-    left, right = which[at], which[at + 1]
-    first = np.maximum(start[left], start[right])
+    left = which[at]
+    first = np.maximum(start[left], start[which[at + 1]])
     live = (first < scan) & (first + shards >= scan)
-    triples, counts = np.unique(left[live] * len(names) + seq[both[at[live]] + 2], return_counts=True)
-    if len(triples):
-        yield 3, [spelled[c // len(names)] + b" " + names[c % len(names)] for c in triples.tolist()], counts
+    triples, counts = np.unique(left[live] * many + seq[both[at[live]] + 2], return_counts=True)
+    yield 3, extended(two[triples // many], own[triples % many]), counts
+
+
+def spell_chunk(lang: str, ids: Ids, seq: np.ndarray, filters: Filters) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """``(length, hashes, phrases)`` of the phrases that have a bit among the frequent ones of their length."""
+    seq = seq[seq != 1].astype(np.int64)
+    names, own = list(ids), hashes(list(ids))
+    many = len(ids)
+    phrases, start = names, extended(hashes([lang.encode()]), own)
+    known = filters.since(1, start) < _NEVER
+    known[:2] = False
+    told = np.flatnonzero(known)
+    yield 1, start[told], [names[i] for i in told.tolist()]
+    at, which = np.flatnonzero(known[seq]), seq[known[seq]]
+    for length in (2, 3):
+        follows = at + length - 1 < len(seq)
+        at, which = at[follows], which[follows]
+        last = seq[at + length - 1]
+        codes, which = np.unique(which * many + last, return_inverse=True)
+        start = extended(start[codes // many], own[codes % many])
+        known = (filters.since(length, start) < _NEVER) & (codes % many > 1)
+        told = np.flatnonzero(known)
+        spelled = {i: phrases[codes[i] // many] + b" " + names[codes[i] % many] for i in told.tolist()}
+        yield length, start[told], list(spelled.values())
+        phrases = spelled
+        at, which = at[known[which]], which[known[which]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, Ids, np.ndarray]]:
+    """The words of ``(lang, text)`` as numbers, some million at a time of one language."""
+    ids: dict[str, Ids] = {}
+    parts: dict[str, list[np.ndarray]] = {}
+    counts: dict[str, int] = {}
+
+    def take(lang: str) -> tuple[str, Ids, np.ndarray]:
+        counts.pop(lang)
+        return lang, ids.pop(lang), np.concatenate(parts.pop(lang))
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = ids.setdefault(lang, Ids())
+            words = tokens(text.as_py())
+            words.append(b".")
+            parts.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
+            counts[lang] = counts.get(lang, 0) + len(words)
+            if sum(counts.values()) >= size:
+                yield take(max(counts, key=counts.get))
+    for lang in list(ids):
+        yield take(lang)
 
 
 def counted(shard: DataFrame, scan: int, shards: int, filters: object, chunk: int) -> DataFrame:
-    """``(lang, length, phrase, n)``: partial counts of the active phrases of one shard, a row a chunk of text."""
+    """``(length, h1, h2, n)``: partial counts of the active phrases of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = filters.value
-        waiting: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            words = waiting.pop(lang)
-            sizes.pop(lang)
-            for length, phrases, counts in count_chunk(lang, words, scan, shards, active):
-                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), length, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "length", "phrase", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own, whole = waiting.setdefault(lang, [b"."]), text.as_py()
-                own += tokens(whole)
-                own.append(b".")
-                sizes[lang] = sizes.get(lang, 0) + len(whole)
-                if sizes[lang] >= chunk:
-                    yield from flush(lang)
-                elif sum(sizes.values()) >= 4 * chunk:  # many languages with little text each
-                    yield from flush(max(sizes, key=sizes.get))
-        for lang in list(waiting):
-            yield from flush(lang)
-
-    return shard.mapInArrow(run, "lang string, length int, phrase string, n long")
+        for lang, ids, seq in _chunks(batches, chunk):
+            for length, hashed, counts in count_chunk(lang, ids, seq, scan, shards, filters.value):
+                if len(counts):
+                    columns = [np.full(len(counts), length, np.int32), *np.ascontiguousarray(hashed.T).view(np.int64), counts.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["length", "h1", "h2", "n"])
+
+    return shard.mapInArrow(run, "length int, h1 long, h2 long, n long")
+
+
+def spelled(corpus: DataFrame, filters: object, chunk: int) -> DataFrame:
+    """``(lang, length, h1, h2, phrase, n)``: spellings of the frequent phrases; with length 0 numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "length", "h1", "h2", "phrase", "n"]
+        for lang, ids, seq in _chunks(batches, chunk):
+            zero = pa.array([0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), zero, zero, pa.array([""]), pa.array([int((seq > 1).sum())], pa.int64())], names)
+            for length, hashed, phrases in spell_chunk(lang, ids, seq, filters.value):
+                if phrases:
+                    h1, h2 = np.ascontiguousarray(hashed.T).view(np.int64)
+                    columns = [pa.array([lang] * len(h1)), pa.array(np.full(len(h1), length, np.int32)), pa.array(h1), pa.array(h2), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.zeros(len(h1), np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return corpus.mapInArrow(run, "lang string, length int, h1 long, h2 long, phrase string, n long")
 
 
 def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of ``(lang, phrase)``: at most ``bits / 32`` numbers come to the driver."""
-    at = F.xxhash64(F.concat("lang", F.lit("\x00"), "phrase")).bitwiseAND(F.lit(bits - 1))
+    """The bitmap of ``h1``: at most ``bits / 32`` numbers come to the driver."""
+    at = F.col("h1").bitwiseAND(F.lit(bits - 1))
     cells = reached.select(F.shiftright(at, 5).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
     found = cells.groupBy("cell").agg(F.bit_or("bit").alias("set")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
@@ -151,37 +200,40 @@ def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
 def frequent(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shards: int = SHARDS, bits: int = BITS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Exact counts ``(lang, length, phrase, n)`` of the phrases of one to three words with ``n >= least``, and ``(lang, n)`` of all words.
 
-    Scans go on until every active phrase has seen all shards: at most three cycles.
+    Scans go on until every active phrase has seen all shards: at most three cycles, and one scan of all shards that spells
+    what is frequent.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "phrases")
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("text")).where("length(text) > 0")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    corpus = scratch.put(rows, "corpus", "shard")
-    filters, totals, done, words = Filters(bits), None, [], None
+    corpus = scratch.put(rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")), "corpus", "shard")
+    filters, totals, done = Filters(bits), None, {}
     last = {1: -1, 2: -1, 3: -1}  # the last scan after which a phrase of the length became active: words all at the start
     scan = 0
-    while any(scan <= last[n] + shards for n in (1, 2, 3) if n == 1 or last[n] >= 0):
+    while len(done) < 3:
         sent = spark.sparkContext.broadcast(filters)
-        fresh = counted(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), scan, shards, sent, chunk).withColumn("old", F.lit(False))
-        both = fresh if totals is None else totals.select("lang", "length", "phrase", "n", F.lit(True).alias("old")).unionByName(fresh)
-        sums = both.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("old"), F.col("n"))), F.lit(0)).alias("before"))
-        before, totals = totals, scratch.put(sums, f"totals-{scan}")
+        fresh = counted(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), scan, shards, sent, chunk).withColumn("old", F.lit(0).cast("long"))
+        both = fresh if totals is None else fresh.unionByName(totals.select("length", "h1", "h2", "n", F.col("n").alias("old")))
+        sums = both.groupBy("length", "h1", "h2").agg(F.sum("n").alias("n"), F.sum("old").alias("before"))
+        totals = scratch.put(sums, f"totals-{scan}")
         scratch.drop(f"totals-{scan - 1}")
+        sent.destroy()
         reached = totals.where((F.col("before") < least) & (F.col("n") >= least))
         new = {r["length"]: r["many"] for r in reached.groupBy("length").agg(F.count("*").alias("many")).collect()}
         for length in (1, 2):
             if new.get(length):
                 filters.maps[length][scan] = _bitmap(reached.where(F.col("length") == length), bits)
                 last[length + 1] = scan
-        sent.destroy()
-        if scan == shards - 1:  # words are complete: the rare ones only matter for their number
-            words = settle(totals.where("length = 1").groupBy("lang").agg(F.sum("n").alias("n")))
         for length in (1, 2, 3):  # complete lengths are set apart, without what is too rare
-            if length not in {n for n, _ in done} and scan >= last[length] + shards and (length == 1 or length - 1 in {n for n, _ in done}):
-                done.append((length, scratch.put(totals.where((F.col("length") == length) & (F.col("n") >= least)).drop("before"), f"done-{length}")))
+            if length not in done and scan >= last[length] + shards and (length == 1 or length - 1 in done):
+                done[length] = scratch.put(totals.where((F.col("length") == length) & (F.col("n") >= least)).drop("before"), f"done-{length}")
                 totals = totals.where(F.col("length") != length)
         scan += 1
-    found = settle(reduce(DataFrame.unionByName, [f for _, f in done]))
+    named = Filters(bits)
+    named.maps = {length: {0: _bitmap(counts, bits)} for length, counts in done.items()}
+    names = scratch.put(spelled(corpus.select("lang", "text"), spark.sparkContext.broadcast(named), chunk), "names")
+    words = settle(names.where("length = 0").groupBy("lang").agg(F.sum("n").alias("n")))
+    spelling = names.where("length > 0").groupBy("length", "h1", "h2").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+    found = settle(reduce(DataFrame.unionByName, done.values()).join(spelling, ["length", "h1", "h2"]).select("lang", "length", "phrase", "n"))
     scratch.clear()
     return found, words
 

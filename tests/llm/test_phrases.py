@@ -2,9 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-import xxhash
-from pyspark.sql import functions as F
 
 from newsfold.llm import phrases
 
@@ -61,33 +60,46 @@ def test_best_and_clashing_columns(spark, rows):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
-def test_only_active_phrases_are_counted():
-    """A pair is counted once both words are known to be frequent, and only for a cycle."""
-    words = phrases.tokens(b"hot hot cold hot hot. hot")
-    none = phrases.Filters(1 << 10)
-    assert [(k, p) for k, p, _ in phrases.count_chunk("en", words, 0, 3, none)] == [(1, [b"hot", b"cold"])]
-    one = phrases.Filters(1 << 10)
-    one.maps[1][1] = bitmap("en", [b"hot"], 1 << 10)
-    seen = {scan: [(k, p, list(n)) for k, p, n in phrases.count_chunk("en", words, scan, 3, one) if k > 1] for scan in range(1, 7)}
-    assert seen == {1: [], 2: (now := [(2, [b"hot hot"], [2])]), 3: now, 4: now, 5: [], 6: []}
-
-
 def bitmap(lang, told, bits):
     out = bytearray(bits // 8)
     for p in told:
-        at = phrases.slot(lang, p, bits)
+        at = int(hashed(lang, p)[0]) & (bits - 1)
         out[at >> 3] |= 1 << (at & 7)
-    return phrases.np.frombuffer(bytes(out), phrases.np.uint8)
+    return np.frombuffer(bytes(out), np.uint8)
+
 
+def hashed(lang, phrase):
+    out = phrases.hashes([lang.encode()])
+    for word in phrase.split():
+        out = phrases.extended(out, phrases.hashes([word]))
+    return out[0]
 
-def test_hashes_agree_with_the_engine(spark):
-    told = [("en", "x" * n + "é") for n in range(0, 70, 3)]
-    df = spark.createDataFrame(told, "lang string, phrase string").select(F.xxhash64(F.concat("lang", F.lit("\x00"), "phrase")).alias("h"), "phrase")
-    for r in df.collect():
-        assert r.h & (phrases.BITS - 1) == phrases.slot("en", r.phrase.encode(), phrases.BITS)
-        assert r.h & (2**64 - 1) == xxhash.xxh64_intdigest(b"en\x00" + r.phrase.encode(), 42)
-    some = df.selectExpr("'en' AS lang", "phrase")
-    assert (phrases._bitmap(some, 1 << 10) == bitmap("en", [r.phrase.encode() for r in some.collect()], 1 << 10)).all()
+
+def test_only_active_phrases_are_counted():
+    """A pair is counted once both words are known to be frequent, and only for a cycle."""
+    words, ids = phrases.tokens(b"hot hot  cold hot hot. hot hot"), phrases.Ids()
+    seq = np.array([ids[w] for w in words])
+
+    def seen(scan, filters):
+        return {k: {tuple(h): int(n) for h, n in zip(hs.tolist(), ns)} for k, hs, ns in phrases.count_chunk("en", ids, seq, scan, 3, filters) if len(ns)}
+
+    of = lambda p: tuple(hashed("en", p).tolist())
+    assert seen(0, phrases.Filters(1 << 10)) == {1: {of(b"hot"): 6, of(b"cold"): 1}}
+    one = phrases.Filters(1 << 10)
+    one.maps[1][1] = bitmap("en", [b"hot"], 1 << 10)
+    assert [seen(scan, one).get(2) for scan in range(1, 7)] == [None, *[{of(b"hot hot"): 3}] * 3, None, None]
+    one.maps[2][3] = bitmap("en", [b"hot hot"], 1 << 10)
+    hot = np.array([ids[b"hot"]] * 4)
+    assert [{k: ns.tolist() for k, _, ns in phrases.count_chunk("en", ids, hot, scan, 3, one) if len(ns)} for scan in (3, 4, 6, 7)] == [{2: [3]}, {2: [3], 3: [2]}, {3: [2]}, {}]
+    spelled = {k: [p for _, p in sorted(zip(h.tolist(), ps))] for k, h, ps in phrases.spell_chunk("en", ids, seq, one)}
+    assert spelled == {1: [b"hot"], 2: [b"hot hot"], 3: []}
+
+
+def test_bitmaps_agree_with_the_engine(spark):
+    told = [b"x" * n + "é".encode() for n in range(0, 70, 3)]
+    rows = [tuple(int(x) for x in hashed("en", p).view(np.int64)) for p in told]
+    df = spark.createDataFrame(rows, "h1 long, h2 long")
+    assert (phrases._bitmap(df, 1 << 10) == bitmap("en", told, 1 << 10)).all()
 
 
 def test_scores_are_exact(spark):
