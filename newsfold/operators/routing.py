@@ -86,9 +86,27 @@ def not_yet_alerted(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     return alerts.join(seen, (alerts["event_id"] == F.col("_e")) & (F.upper(alerts["asset"]) == F.col("_a")), "left_anti")
 
 
-def publish_gate(alerts: DataFrame, threshold: float = ALERT_SCORE) -> DataFrame:
-    """Add ``outcome``: below, suppressed or sent."""
-    above = suppress_repeats(alerts.where(F.col("alert_score") >= threshold)).withColumn("outcome", F.when(F.col("repeat"), "suppressed").otherwise("sent"))
+def publish_gate(alerts: DataFrame, threshold: float = ALERT_SCORE, sent: DataFrame | None = None) -> DataFrame:
+    """Add ``repeat`` and ``outcome``: below, suppressed or sent.
+
+    ``sent(event_id, asset, delivered)`` are alerts of earlier runs, which left no memory of shapes: an alert of an event and
+    asset that was delivered before is held, and nothing is remembered of it, until a deep verdict goes out; from then on
+    repeats are told by shape. Alerts without an event are never held for the history's sake.
+    """
+    rows = alerts.where(F.col("alert_score") >= threshold)
+    held = None
+    if sent is not None:
+        known = sent.where("delivered and event_id is not null").select(F.col("event_id").alias("_e"), F.upper("asset").alias("_a")).distinct()
+        deep = rows.where(F.col("source").isin("stage5", "final")).groupBy(F.col("event_id").alias("_e"), F.upper("asset").alias("_a")).agg(F.min("seq").alias("_deep"))
+        known = known.join(deep, ["_e", "_a"], "left").withColumn("_known", F.lit(True))
+        marked = rows.join(known, (F.col("event_id") == F.col("_e")) & (F.upper("asset") == F.col("_a")), "left")
+        silent = F.coalesce(F.col("_known") & (F.col("_deep").isNull() | (F.col("seq") < F.col("_deep"))), F.lit(False))
+        marked = marked.withColumn("_silent", silent)
+        held = marked.where("_silent").drop("_e", "_a", "_deep", "_known", "_silent").withColumn("repeat", F.lit(True))
+        rows = marked.where("not _silent").drop("_e", "_a", "_deep", "_known", "_silent")
+    above = suppress_repeats(rows)
+    above = above if held is None else above.unionByName(held)
+    above = above.withColumn("outcome", F.when(F.col("repeat"), "suppressed").otherwise("sent"))
     below = alerts.where(~(F.col("alert_score") >= threshold) | F.col("alert_score").isNull()).withColumn("repeat", F.lit(False)).withColumn("outcome", F.lit("below"))
     return above.unionByName(below)
 
