@@ -93,27 +93,27 @@ def dedupe_upper(values: Column, most: int = 6) -> Column:
 
 
 def heuristic_facts(title: Column, text: Column) -> Column:
-    """All of the above as one struct."""
+    """All of the above as one struct of the sixteen fact fields; what a text doesn't tell by itself is blank or null."""
     head = _strip(F.coalesce(title, F.lit("")))
     short = F.substring(head, 1, 200)
     return F.struct(
         detect_event_type(text).alias("event_type"), leading_noun(head).alias("entity"), detect_assets(text).alias("assets"), leading_verb(head).alias("action"),
-        F.lit("").alias("target"), F.lit("REPORTED").alias("status"),
-        F.coalesce(F.when(detect_amount(head) != 0, detect_amount(head)), detect_amount(F.substring(text, 1, 1200))).alias("amount"),
-        detect_percentage(head).alias("percentage"), F.when(short != "", F.array(short)).otherwise(F.array().cast("array<string>")).alias("key_claims"), short.alias("headline"),
+        F.lit("").alias("target"), F.lit("REPORTED").alias("status"), F.lit("").alias("decision"),
+        F.coalesce(F.when(detect_amount(head) != 0, detect_amount(head)), detect_amount(F.substring(text, 1, 1200))).alias("amount"), F.lit(None).cast("double").alias("price"),
+        detect_percentage(head).alias("percentage"), F.lit(None).cast("double").alias("count"), *[F.lit("").alias(n) for n in ("location", "time_reference", "event_date")], F.when(short != "", F.array(short)).otherwise(F.array().cast("array<string>")).alias("key_claims"), short.alias("headline"),
     )
 
 
 def repair_facts(facts: Column, title: Column, text: Column) -> Column:
-    """An extracted fact struct whose missing assets, amount, percentage, type, status and headline come from the text."""
+    """An extracted fact struct of sixteen fields whose missing assets, amount, percentage, type, status and headline come from the text; the others stay as extracted."""
     found = heuristic_facts(title, text)
     pick = lambda k: F.when(F.coalesce(facts[k], F.lit("")) != "", facts[k]).otherwise(found[k])
     assets = F.when(F.coalesce(F.size(facts["assets"]), F.lit(0)) > 0, facts["assets"]).otherwise(found["assets"])
     return F.struct(
         F.when(F.coalesce(facts["event_type"], F.lit("")).isin("", "OTHER"), found["event_type"]).otherwise(facts["event_type"]).alias("event_type"),
-        facts["entity"].alias("entity"), dedupe_upper(assets).alias("assets"), facts["action"].alias("action"), facts["target"].alias("target"), pick("status").alias("status"),
-        F.coalesce(facts["amount"], found["amount"]).alias("amount"), F.coalesce(facts["percentage"], found["percentage"]).alias("percentage"),
-        facts["key_claims"].alias("key_claims"), pick("headline").alias("headline"),
+        facts["entity"].alias("entity"), dedupe_upper(assets).alias("assets"), facts["action"].alias("action"), facts["target"].alias("target"), pick("status").alias("status"), facts["decision"].alias("decision"),
+        F.coalesce(facts["amount"], found["amount"]).alias("amount"), facts["price"].alias("price"), F.coalesce(facts["percentage"], found["percentage"]).alias("percentage"),
+        *[facts[n].alias(n) for n in ("count", "location", "time_reference", "event_date")], facts["key_claims"].alias("key_claims"), pick("headline").alias("headline"),
     )
 
 

@@ -36,3 +36,11 @@ def identity_key(event_type: Column, entity: Column, asset: Column, action: Colu
 def claims_state(claims: Column) -> Column:
     """Sorted distinct claim tokens."""
     return F.array_sort(F.array_distinct(F.transform(F.filter(claims, lambda x: F.coalesce(x, F.lit("")) != ""), norm_token)))
+
+
+def state_fields(facts: Column) -> Column:
+    """What later articles may change of a fact struct, as ten comparable fields: texts as tokens, numbers as they are, claims sorted and distinct."""
+    token = lambda n: norm_token(F.coalesce(facts[n], F.lit(""))).alias(n)
+    numbers = [facts[n].alias(n) for n in ("amount", "price", "percentage", "count")]
+    claims = claims_state(F.coalesce(facts["key_claims"], F.array().cast("array<string>"))).alias("key_claims")
+    return F.struct(token("status"), token("decision"), *numbers, token("location"), token("time_reference"), token("event_date"), claims)

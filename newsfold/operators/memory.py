@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import likeness as L
 from ..functions import values as V
-from ..functions.hashes import claims_state, identity_key
+from ..functions.hashes import identity_key, state_fields
 from ..functions.text import norm_token
 from ..scale import Scratch, carried, cut_by_time, settle
 
@@ -94,16 +94,23 @@ def identity(facts: DataFrame) -> DataFrame:
 
 
 def event_from_facts(facts: DataFrame) -> DataFrame:
-    """New event rows from ``(id, event_type, entity, assets, action, target, status, amount, percentage, key_claims, headline, …)``.
+    """New event rows from ``(id, …)`` with the sixteen fact fields.
 
-    The primary asset is the first; ``state`` holds what later articles may change. Null fields count as blank.
+    The primary asset is the first; ``state`` holds what later articles may change, as ten comparable fields. Null fields count as blank.
     """
     made = facts.withColumn("asset", F.coalesce(F.get("assets", F.lit(0)), F.lit("")))
-    state = F.struct("status", "amount", "percentage", claims_state(F.coalesce("key_claims", F.array().cast("array<string>"))).alias("key_claims"))
+    state = state_fields(F.struct(*[F.col(n) for n in ("status", "decision", *NUMBERS, "location", "time_reference", "event_date", "key_claims")]))
     columns = ["id", "identity_key", "event_type", "entity", F.col("asset").alias("primary_asset"), "action", "target", "headline", state.alias("state"), "status"]
     return identity(made).select(*columns)
 
 
+def reports_of_facts(facts: DataFrame, by: str = "event_key") -> DataFrame:
+    """``(by, id, at, …)`` as :func:`diff_states` takes them, from articles ``(by, id, at, facts)`` with a struct of the sixteen fact fields."""
+    state = facts.select(by, "id", "at", state_fields(F.col("facts")).alias("s"))
+    renamed = {f"s.{n}": {"decision": "ruling", "key_claims": "claims"}.get(n, n) for n in ("status", "decision", *NUMBERS, "location", "time_reference", "event_date", "key_claims")}
+    return state.select(by, "id", "at", *[F.col(c).alias(n) for c, n in renamed.items()])
+
+
 def event_by_identity(news: DataFrame, events: DataFrame) -> DataFrame:
     return news.join(events.select("identity_key", F.col("event_id")), "identity_key", "left")
 

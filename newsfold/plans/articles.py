@@ -187,36 +187,51 @@ def f5_leading_nouns(t: Tables) -> DataFrame:
 
 
 NOUN_SQL = "coalesce(list_filter(regexp_extract_all(head, '\\b([A-Z][A-Za-z0-9&.\\-]*(?:\\s+[A-Z][A-Za-z0-9&.\\-]*){0,2})', 1), lambda x: lower(x) NOT IN ('the', 'a', 'an', 'this', 'these', 'new', 'why', 'how'))[1], '')"
+EXTRACTED = {
+    "decision": ("'Approved!'", "''"), "price": ("event_id % 50 + 0.5", "CAST(NULL AS DOUBLE)"), "count": ("event_id % 8", "CAST(NULL AS DOUBLE)"), "location": ("'New  York'", "''"),
+    "time_reference": ("'Q1, 2025'", "''"), "event_date": ("concat('2025-01-0', event_id % 9 + 1)", "''"),
+}
 CHOSEN = f"""{HEADLINES}, a AS (SELECT event_id, head, event_id % 7 AS k FROM heads),
 chosen AS (SELECT event_id, CASE WHEN k > 4 THEN 'first' WHEN k > 2 THEN 'second' ELSE 'heuristic' END AS origin, {TYPE_SQL} AS event_type, CASE WHEN k > 2 THEN concat('actor ', event_id % 9) ELSE {NOUN_SQL} END AS entity,
-    CASE WHEN k > 4 THEN 'BTC,ETH' WHEN k > 2 THEN 'SOL' ELSE {asset_sql('head').replace("'at'", "'pos'").replace('x.at', 'x.pos')} END AS assets, CASE WHEN k > 2 THEN '' ELSE upper(regexp_extract(head, '(?i){X.VERBS}', 1)) END AS action,
+    CASE WHEN k > 4 THEN 'BTC,ETH' WHEN k > 2 THEN 'SOL' ELSE {asset_sql('head').replace("'at'", "'pos'").replace('x.at', 'x.pos')} END AS assets, CASE WHEN k > 2 THEN '' ELSE upper(regexp_extract(head, '(?i){X.VERBS}', 1)) END AS action, '' AS target, 'REPORTED' AS status,
     CASE WHEN k > 4 THEN CAST(event_id AS DOUBLE) WHEN event_id % 3 = 0 THEN round((CAST(regexp_extract(head, '\\$([0-9]+)', 1) AS DOUBLE) + 0.5) * 1000000, 6) END AS amount,
+    {", ".join(f"CASE WHEN k > 4 THEN {told} ELSE {blank} END AS {n}" for n, (told, blank) in EXTRACTED.items())}, CASE WHEN k > 4 THEN concat('Claim ', event_id % 5, ';claim ', event_id % 5, ';second  One') WHEN k > 2 THEN '' ELSE head END AS key_claims,
     CASE WHEN event_id % 3 = 1 THEN CAST(regexp_extract(head, '([0-9]+)%', 1) AS DOUBLE) END AS percentage, head AS headline FROM a)"""
+FACT_FIELDS = ["event_type", "entity", "assets", "action", "target", "status", "decision", "amount", "price", "percentage", "count", "location", "time_reference", "event_date", "key_claims", "headline"]
 
 
 def _chosen(t: Tables) -> DataFrame:
     """Two extractors, of which the second knows less; the first answers some articles with an empty object."""
     heads = _heads(t)
     answer = "concat('{\"entity\": \"actor ', event_id % 9, '\", \"assets\": \"', REST, '\"}')"
-    one = heads.where("event_id % 7 > 2").selectExpr("event_id", "'first' AS extractor", "1 AS priority", "CASE WHEN event_id % 7 > 4 THEN " + answer.replace("REST", "'btc, eth\", \"amount\": \"', event_id, ' USD'") + " ELSE '{}' END AS raw")
+    more = """'btc, eth", "amount": "', event_id, ' USD", "price": "', event_id % 50, '.5", "count": ', event_id % 8, ', "decision": "Approved!", "location": "New  York", "time_reference": "Q1, 2025", "event_date": "2025-01-0', event_id % 9 + 1, '", "key_claims": ["Claim ', event_id % 5, '", "claim ', event_id % 5, '", "second  One"], "unknown": "'"""
+    one = heads.where("event_id % 7 > 2").selectExpr("event_id", "'first' AS extractor", "1 AS priority", "CASE WHEN event_id % 7 > 4 THEN " + answer.replace("REST", more) + " ELSE '{}' END AS raw")
     two = heads.where("event_id % 7 > 1").selectExpr("event_id", "'second' AS extractor", "2 AS priority", "CASE WHEN event_id % 7 > 2 THEN " + answer.replace("REST", "'sol'") + " ELSE '{\"amount\": 5}' END AS raw")
     answers = one.unionAll(two).select("event_id", "extractor", "priority", P.facts_from_json(F.col("raw")).alias("facts"))
     return X.choose_facts(heads.withColumn("title", F.col("head")).withColumn("text", F.col("head")), answers, "event_id")
 
 
-@query(f"WITH {CHOSEN} SELECT event_id, origin, event_type, entity, assets, action, amount, percentage, headline FROM chosen")
+@query(f"WITH {CHOSEN} SELECT event_id, origin, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' if n == 'count' else n for n in FACT_FIELDS)} FROM chosen")
 def f7_f9_chosen_facts(t: Tables) -> DataFrame:
-    out = _chosen(t).select("event_id", "origin", "facts.*").withColumn("assets", F.array_join("assets", ","))
-    return rounded(out.select("event_id", "origin", "event_type", "entity", "assets", "action", "amount", "percentage", "headline"))
+    out = _chosen(t).select("event_id", "origin", "facts.*").withColumns({"assets": F.array_join("assets", ","), "key_claims": F.array_join("key_claims", ";")})
+    return rounded(out.select("event_id", "origin", *FACT_FIELDS))
+
+
+TOKEN_SQL = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9$%.+\\- ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+STATE_TEXTS = ["decision", "location", "time_reference", "event_date"]
 
 
 @query(f"""WITH {CHOSEN}, n AS (SELECT *, split_part(assets, ',', 1) AS asset FROM chosen), f AS (SELECT *, {{c}} FROM n)
-    SELECT event_id AS id, substring(sha256(concat_ws('|', kt, et, at_, act, '')), 1, 32) AS identity_key, event_type, entity, asset AS primary_asset, action, headline, 'REPORTED' AS status, amount, percentage FROM f""".replace(
-    "{c}", ", ".join(f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9$%.+\\- ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS {n}" for c, n in (("event_type", "kt"), ("entity", "et"), ("asset", "at_"), ("action", "act")))
+    SELECT event_id AS id, substring(sha256(concat_ws('|', kt, et, at_, act, '')), 1, 32) AS identity_key, event_type, entity, asset AS primary_asset, action, headline, 'REPORTED' AS status, 'reported' AS state_status, amount, percentage, price, CAST("count" AS DOUBLE) AS "count",
+    {", ".join(TOKEN_SQL.format(n) + f" AS {n}" for n in STATE_TEXTS)}, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(key_claims, ';'), lambda x: x <> ''), lambda x: {TOKEN_SQL.format("x")}))), ';') AS key_claims FROM f""".replace(
+    "{c}", ", ".join(f"{TOKEN_SQL.format(c)} AS {n}" for c, n in (("event_type", "kt"), ("entity", "et"), ("asset", "at_"), ("action", "act")))
 ))
 def f10_new_events(t: Tables) -> DataFrame:
     made = M.event_from_facts(_chosen(t).select(F.col("event_id").alias("id"), "facts.*"))
-    return rounded(made.select("id", "identity_key", "event_type", "entity", "primary_asset", "action", "headline", "status", "state.amount", "state.percentage"))
+    state = ["amount", "percentage", "price", "count", *STATE_TEXTS]
+    return rounded(made.select(
+        "id", "identity_key", "event_type", "entity", "primary_asset", "action", "headline", "status", F.col("state.status").alias("state_status"), *[f"state.{n}" for n in state], F.array_join("state.key_claims", ";").alias("key_claims")
+    ))
 
 
 # ---------------------------------------------------------------- scalar values
