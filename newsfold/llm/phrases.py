@@ -5,23 +5,22 @@ subphrases of a longer phrase have reached the threshold (both words of a pair;
 counted too, from the next shard on, until it has seen each shard once, so that lengths are interleaved instead
 of taking a pass each. A phrase whose subphrases never reach the threshold is never counted: it can't reach it either.
 
-Which subphrases reached the threshold after which scan is told to the workers by bitmaps of hashes, one for each
-scan and length, whose size is a parameter. A hash that meets another one's bit only has its phrases counted in vain: they too
+Which subphrases reached the threshold after which scan is told to the workers by bitmaps, one for each
+scan and length, whose size is a parameter. A phrase that meets another one's bit only has longer ones counted in vain: they too
 are counted in every shard once, and counts are compared with the threshold exactly. So results don't depend on the
 bitmaps, and their size bounds what is broadcast. Counting is done by arrays in the workers, some million words at a time
-(map-side), and summed by Spark. Rows are keyed by a 128-bit hash of language and words; a last scan spells
-those that are frequent.
+(map-side), and summed by Spark. A phrase is keyed by 64-bit numbers of its words; words are counted with their
+spelling, so that two words with one number are seen, and all are numbered anew by another seed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,13 +29,12 @@ from ..scale import Scratch, settle
 #: Bytes that end a piece, least count of a candidate, share of a longer phrase that hides it, scale of scores. Fixed values.
 ENDS, LEAST, HIDDEN, SCALE = b".,;:!?\n\x0b\x0c\r", 10, 50, 1_000_000
 UNKNOWN, BEST = "und", 2_000
-#: Shards of a cycle, bits of a bitmap, words that a worker counts at once.
-SHARDS, BITS, CHUNK = 3, 1 << 23, 2_000_000
+#: Shards of a cycle, bits of a bitmap of words (one of pairs has four times as many), words that a worker counts at once.
+SHARDS, BITS, CHUNK = 2, 1 << 23, 2_000_000
 
 #: Every ending becomes a point, which no word can hold; a tab becomes a blank.
 _PLAIN = bytes.maketrans(ENDS + b"\t", b"." * len(ENDS) + b" ")
 _NEVER = 1 << 20
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -44,18 +42,20 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(_PLAIN).replace(b".", b" . ").split(b" ")
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit numbers a word."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+def spelled(lang: str, words: list[bytes]) -> list[bytes]:
+    """Language and word in one, as words are counted."""
+    before = lang.encode() + b"\x00"
+    return [before + w for w in words]
 
 
-def extended(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of phrases (at first, of the language) with a word more."""
-    return phrases * _ODD + words
+def numbered(words: list[bytes], seed: int) -> np.ndarray:
+    """A number other than 0 for each spelled word."""
+    out = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.maximum(out, np.uint64(1))
 
 
 class Ids(dict):
-    """Numbers of words in order of appearance: 0 is the end of a piece, 1 the empty word."""
+    """Places of words in order of appearance: 0 is the end of a piece, 1 the empty word."""
 
     def __init__(self) -> None:
         super().__init__({b".": 0, b"": 1})
@@ -66,76 +66,57 @@ class Ids(dict):
 
 
 class Filters:
-    """For each length: bitmaps of the phrases that reached the threshold after scan 0, 1, ..."""
+    """For words and pairs: bitmaps of those that reached the threshold after scan 0, 1, ..."""
 
-    def __init__(self, bits: int) -> None:
-        self.bits, self.maps = bits, {1: {}, 2: {}, 3: {}}
+    def __init__(self, bits: int, seed: int = 0) -> None:
+        self.bits, self.seed, self.maps = {1: bits, 2: 4 * bits}, seed, {1: {}, 2: {}}
 
-    def since(self, length: int, hashed: np.ndarray) -> np.ndarray:
+    def since(self, length: int, at: np.ndarray) -> np.ndarray:
         """The scan after which each phrase counts as frequent; ``_NEVER`` if it doesn't."""
-        out = np.full(len(hashed), _NEVER, np.int64)
-        at = (hashed[:, 0] & np.uint64(self.bits - 1)).astype(np.int64)
+        out = np.full(len(at), _NEVER, np.int64)
+        at = (at & np.uint64(self.bits[length] - 1)).astype(np.int64)
         for scan in sorted(self.maps[length], reverse=True):
             out[(self.maps[length][scan][at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0] = scan
         return out
 
 
-def count_chunk(lang: str, ids: Ids, seq: np.ndarray, scan: int, shards: int, filters: Filters) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(length, hashes, counts)`` of what is active in this scan, of the words ``seq`` (their numbers) of some texts of one language."""
+def pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a ^ (b >> np.uint64(20))
+
+
+def count_chunk(lang: str, ids: Ids, seq: np.ndarray, scan: int, shards: int, filters: Filters) -> Iterator[tuple[list[np.ndarray], list[bytes] | None, np.ndarray]]:
+    """``([first, second, third], spelling, counts)`` of what is active in this scan, of the words ``seq`` (their places) of some texts of one language."""
     seq = seq[seq != 1].astype(np.int64)
-    own = hashes(list(ids))
-    one = extended(hashes([lang.encode()]), own)
-    many = len(ids)
+    names = spelled(lang, list(ids))
+    word, many = numbered(names, filters.seed), len(ids)
+    nothing = lambda n: np.zeros(n, np.uint64)
     if scan < shards:
         counts = np.bincount(seq, minlength=many)
         told = np.flatnonzero(counts[2:]) + 2
-        yield 1, one[told], counts[told]
-    start = filters.since(1, one)
+        yield [word[told], nothing(len(told)), nothing(len(told))], [names[i] for i in told.tolist()], counts[told]
+    start = filters.since(1, word)
     start[:2] = _NEVER
     first = np.maximum(start[seq[:-1]], start[seq[1:]])  # the scan after which both words were frequent
     both = np.flatnonzero(first < scan)
     pairs, which, counts = np.unique(seq[both] * many + seq[both + 1], return_inverse=True, return_counts=True)
-    two = extended(one[pairs // many], own[pairs % many])
+    left, right = word[pairs // many], word[pairs % many]
     begun = np.full(len(pairs), _NEVER, np.int64)
     begun[which] = first[both]
     told = begun + shards >= scan  # counted in the scans begun + 1 to begun + shards
-    yield 2, two[told], counts[told]
-    start = filters.since(2, two)
+    yield [left[told], right[told], nothing(told.sum())], None, counts[told]
+    if not filters.maps[2]:
+        return
+    start = filters.since(2, pair_bits(left, right))
     at = np.flatnonzero(both[1:] == both[:-1] + 1)  # pairs that follow each other
-    left = which[at]
-    first = np.maximum(start[left], start[which[at + 1]])
+    one = which[at]
+    first = np.maximum(start[one], start[which[at + 1]])
     live = (first < scan) & (first + shards >= scan)
-    triples, counts = np.unique(left[live] * many + seq[both[at[live]] + 2], return_counts=True)
-    yield 3, extended(two[triples // many], own[triples % many]), counts
-
-
-def spell_chunk(lang: str, ids: Ids, seq: np.ndarray, filters: Filters) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """``(length, hashes, phrases)`` of the phrases that have a bit among the frequent ones of their length."""
-    seq = seq[seq != 1].astype(np.int64)
-    names, own = list(ids), hashes(list(ids))
-    many = len(ids)
-    phrases, start = names, extended(hashes([lang.encode()]), own)
-    known = filters.since(1, start) < _NEVER
-    known[:2] = False
-    told = np.flatnonzero(known)
-    yield 1, start[told], [names[i] for i in told.tolist()]
-    at, which = np.flatnonzero(known[seq]), seq[known[seq]]
-    for length in (2, 3):
-        follows = at + length - 1 < len(seq)
-        at, which = at[follows], which[follows]
-        last = seq[at + length - 1]
-        codes, which = np.unique(which * many + last, return_inverse=True)
-        start = extended(start[codes // many], own[codes % many])
-        known = (filters.since(length, start) < _NEVER) & (codes % many > 1)
-        told = np.flatnonzero(known)
-        spelled = {i: phrases[codes[i] // many] + b" " + names[codes[i] % many] for i in told.tolist()}
-        yield length, start[told], list(spelled.values())
-        phrases = spelled
-        at, which = at[known[which]], which[known[which]]
+    triples, counts = np.unique(one[live] * many + seq[both[at[live]] + 2], return_counts=True)
+    yield [left[triples // many], right[triples // many], word[triples % many]], None, counts
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, Ids, np.ndarray]]:
-    """The words of ``(lang, text)`` as numbers, some million at a time of one language."""
+    """The words of ``(lang, text)`` as places, some million at a time of one language."""
     ids: dict[str, Ids] = {}
     parts: dict[str, list[np.ndarray]] = {}
     counts: dict[str, int] = {}
@@ -158,108 +139,123 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
 
 
 def counted(shard: DataFrame, scan: int, shards: int, filters: object, chunk: int) -> DataFrame:
-    """``(length, h1, h2, n)``: partial counts of the active phrases of one shard."""
+    """``(a, b, c, word, n)``: partial counts of the active phrases of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, seq in _chunks(batches, chunk):
-            for length, hashed, counts in count_chunk(lang, ids, seq, scan, shards, filters.value):
+            for keys, names, counts in count_chunk(lang, ids, seq, scan, shards, filters.value):
                 if len(counts):
-                    columns = [np.full(len(counts), length, np.int32), *np.ascontiguousarray(hashed.T).view(np.int64), counts.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["length", "h1", "h2", "n"])
-
-    return shard.mapInArrow(run, "length int, h1 long, h2 long, n long")
+                    words = pa.nulls(len(counts), pa.string()) if names is None else pa.array(names, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in keys], words, pa.array(counts.astype(np.int64))], ["a", "b", "c", "word", "n"])
 
+    return shard.mapInArrow(run, "a long, b long, c long, word string, n long")
 
-def spelled(corpus: DataFrame, filters: object, chunk: int) -> DataFrame:
-    """``(lang, length, h1, h2, phrase, n)``: spellings of the frequent phrases; with length 0 numbers of words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "length", "h1", "h2", "phrase", "n"]
-        for lang, ids, seq in _chunks(batches, chunk):
-            zero = pa.array([0], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), zero, zero, pa.array([""]), pa.array([int((seq > 1).sum())], pa.int64())], names)
-            for length, hashed, phrases in spell_chunk(lang, ids, seq, filters.value):
-                if phrases:
-                    h1, h2 = np.ascontiguousarray(hashed.T).view(np.int64)
-                    columns = [pa.array([lang] * len(h1)), pa.array(np.full(len(h1), length, np.int32)), pa.array(h1), pa.array(h2), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.zeros(len(h1), np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+def _bitmap(reached: DataFrame, at: Column, bits: int) -> np.ndarray:
+    """The bitmap of the numbers ``at``: at most ``bits / 64`` numbers come to the driver."""
+    at = at.bitwiseAND(F.lit(bits - 1))
+    cells = reached.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["cell"].to_numpy()] = found["set"].to_numpy()
+    return out.view(np.uint8)
 
-    return corpus.mapInArrow(run, "lang string, length int, h1 long, h2 long, phrase string, n long")
 
+class Counts:
+    """Exact counts of the frequent: ``words(a, lang, word, n)``, ``pairs(a, b, n)``, ``triples(a, b, c, n)``; and ``sizes(lang, n)`` of all words."""
 
-def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of ``h1``: at most ``bits / 32`` numbers come to the driver."""
-    at = F.col("h1").bitwiseAND(F.lit(bits - 1))
-    cells = reached.select(F.shiftright(at, 5).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("set")).toArrow()
-    out = np.zeros(bits // 32, np.uint32)
-    out[found["cell"].to_numpy()] = found["set"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+    def __init__(self, words: DataFrame, pairs: DataFrame, triples: DataFrame, sizes: DataFrame) -> None:
+        self.words, self.pairs, self.triples, self.sizes = words, pairs, triples, sizes
 
 
-def frequent(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shards: int = SHARDS, bits: int = BITS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Exact counts ``(lang, length, phrase, n)`` of the phrases of one to three words with ``n >= least``, and ``(lang, n)`` of all words.
+def frequent(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shards: int = SHARDS, bits: int = BITS, chunk: int = CHUNK, seed: int = 0) -> Counts:
+    """Exact counts of the phrases of one to three words that occur ``least`` times or more.
 
-    Scans go on until every active phrase has seen all shards: at most three cycles, and one scan of all shards that spells
-    what is frequent.
+    Scans go on until every active phrase has seen all shards: at most three cycles. Each reads the table and takes the texts of
+    its shard (by hash of the text). ``seed`` numbers the words; should two words get one number, the next seed is taken.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "phrases")
-    rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("text")).where("length(text) > 0")
-    corpus = scratch.put(rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")), "corpus", "shard")
-    filters, totals, done = Filters(bits), None, {}
+    corpus = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("text")).where("length(text) > 0")
+    filters, totals, done, sizes = Filters(bits, seed), None, {}, None
     last = {1: -1, 2: -1, 3: -1}  # the last scan after which a phrase of the length became active: words all at the start
+    of = {1: F.col("b") == 0, 2: (F.col("b") != 0) & (F.col("c") == 0), 3: F.col("c") != 0}
+    at = {1: F.col("a"), 2: F.col("a").bitwiseXOR(F.shiftrightunsigned("b", 20))}
     scan = 0
     while len(done) < 3:
         sent = spark.sparkContext.broadcast(filters)
-        fresh = counted(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), scan, shards, sent, chunk).withColumn("old", F.lit(0).cast("long"))
-        both = fresh if totals is None else fresh.unionByName(totals.select("length", "h1", "h2", "n", F.col("n").alias("old")))
-        sums = both.groupBy("length", "h1", "h2").agg(F.sum("n").alias("n"), F.sum("old").alias("before"))
+        shard = corpus.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == scan % shards)
+        fresh = counted(shard, scan, shards, sent, chunk).withColumn("old", F.lit(0).cast("long"))
+        both = fresh if totals is None else fresh.unionByName(totals.select("a", "b", "c", "word", "n", F.col("n").alias("old")))
+        sums = both.groupBy("a", "b", "c", "word").agg(F.sum("n").alias("n"), F.sum("old").alias("before"))
         totals = scratch.put(sums, f"totals-{scan}")
         scratch.drop(f"totals-{scan - 1}")
         sent.destroy()
         reached = totals.where((F.col("before") < least) & (F.col("n") >= least))
-        new = {r["length"]: r["many"] for r in reached.groupBy("length").agg(F.count("*").alias("many")).collect()}
         for length in (1, 2):
-            if new.get(length):
-                filters.maps[length][scan] = _bitmap(reached.where(F.col("length") == length), bits)
-                last[length + 1] = scan
+            if length not in done:
+                crossed = reached.where(of[length])
+                found = _bitmap(crossed, at[length], filters.bits[length])
+                if found.any():
+                    filters.maps[length][scan] = found
+                    last[length + 1] = scan
         for length in (1, 2, 3):  # complete lengths are set apart, without what is too rare
             if length not in done and scan >= last[length] + shards and (length == 1 or length - 1 in done):
-                done[length] = scratch.put(totals.where((F.col("length") == length) & (F.col("n") >= least)).drop("before"), f"done-{length}")
-                totals = totals.where(F.col("length") != length)
+                own = totals.where(of[length])
+                if length == 1:
+                    if not own.groupBy("a").count().where("count > 1").isEmpty():
+                        scratch.clear()
+                        return frequent(df, text, lang, least, shards, bits, chunk, seed + 1)
+                    parts = [F.split_part("word", F.lit("\x00"), F.lit(1)).alias("lang"), F.expr("substring(word, instr(word, '\\0') + 1)").alias("word")]
+                    sizes = settle(own.select(parts[0], "n").groupBy("lang").agg(F.sum("n").alias("n")))
+                    own = own.select("a", *parts, "n")
+                done[length] = settle(own.where(F.col("n") >= least).select(*(("a", "lang", "word", "n"), ("a", "b", "n"), ("a", "b", "c", "n"))[length - 1]))
+                totals = totals.where(~of[length])
+        _forget_shuffles(spark)
         scan += 1
-    named = Filters(bits)
-    named.maps = {length: {0: _bitmap(counts, bits)} for length, counts in done.items()}
-    names = scratch.put(spelled(corpus.select("lang", "text"), spark.sparkContext.broadcast(named), chunk), "names")
-    words = settle(names.where("length = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    spelling = names.where("length > 0").groupBy("length", "h1", "h2").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-    found = settle(reduce(DataFrame.unionByName, done.values()).join(spelling, ["length", "h1", "h2"]).select("lang", "length", "phrase", "n"))
     scratch.clear()
-    return found, words
+    return Counts(done[1], done[2], done[3], sizes)
 
 
-def scored(found: DataFrame) -> DataFrame:
-    """Candidates ``(lang, phrase, length, a, l, r, score)``: each with the parts of its lowest-scoring cut (of equal scores the earliest).
+def _forget_shuffles(spark) -> None:
+    """Spark deletes a finished scan's shuffle files once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
 
-    A frequent word is a part of very many candidates: both joins are plain ones that can be split. Products
-    are decimals of 38 digits, exact up to counts of 10^15.
-    """
-    named = found.where("length > 1").select("lang", "length", "phrase", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))
-    cut = named.withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr("substring(phrase, length(first) + 2)"))
-    parts = cut.join(found.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
-    parts = parts.join(found.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
+
+def _score(a: str, l: str, r: str) -> Column:
+    """floor(1000000 a^2 / (l r)) by decimals of 38 digits, exact up to counts of 10^15."""
     wide = "cast({} as decimal(38,0))"
-    score = F.expr(f"({SCALE} * {wide.format('a')} * {wide.format('a')}) div ({wide.format('l')} * {wide.format('r')})")
-    best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best")
-    return parts.groupBy("lang", "phrase", "length", "a").agg(best).select("lang", "phrase", "length", "a", "best.l", "best.r", "best.score")
+    return F.expr(f"({SCALE} * {wide.format(a)} * {wide.format(a)}) div ({wide.format(l)} * {wide.format(r)})")
 
 
-def shown(candidates: DataFrame) -> DataFrame:
+def scored(counts: Counts) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(lang, phrase, a, l, r, score, first, second)`` and triples alike (with ``third``), each with the parts of its lowest-scoring cut (of equal scores the earliest).
+
+    A frequent word is a part of very many candidates: all joins are plain ones that can be split.
+    """
+    word = lambda key, name, n: counts.words.select(F.col("a").alias(key), F.col("word").alias(name), F.col("n").alias(n))
+    pairs = counts.pairs.select(F.col("a").alias("first"), F.col("b").alias("second"), F.col("n").alias("a"))
+    known = pairs.join(counts.words.select(F.col("a").alias("first"), "lang", F.col("word").alias("w1"), F.col("n").alias("l")), "first").join(word("second", "w2", "r"), "second")
+    two = known.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score("a", "l", "r").alias("score"), "first", "second")
+    triples = counts.triples.select(F.col("a").alias("first"), F.col("b").alias("second"), F.col("c").alias("third"), F.col("n").alias("a"))
+    known = triples.join(pairs.withColumnRenamed("a", "n12"), ["first", "second"]).join(pairs.select(F.col("first").alias("second"), F.col("second").alias("third"), F.col("a").alias("n23")), ["second", "third"])
+    known = known.join(counts.words.select(F.col("a").alias("first"), "lang", F.col("word").alias("w1"), F.col("n").alias("n1")), "first").join(word("second", "w2", "n2"), "second").join(word("third", "w3", "n3"), "third")
+    known = known.withColumns({"s1": _score("a", "n1", "n23"), "s2": _score("a", "n12", "n3")})
+    early = F.col("s1") <= F.col("s2")
+    three = known.select(
+        "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(early, F.col("n1")).otherwise(F.col("n12")).alias("l"),
+        F.when(early, F.col("n23")).otherwise(F.col("n3")).alias("r"), F.least("s1", "s2").alias("score"), "first", "second", "third",
+    )
+    return two, three
+
+
+def shown(two: DataFrame, three: DataFrame) -> DataFrame:
     """Candidates without those that lie in a longer candidate of at least ``HIDDEN`` percent of their count."""
-    ends = F.array(F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2))
-    longer = candidates.where("length = 3").select("lang", F.explode(F.array_distinct(ends)).alias("phrase"), "a")
-    most = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
-    return candidates.join(most, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < HIDDEN * F.col("a"))).drop("most")
+    ends = F.array(F.struct("first", "second"), F.struct(F.col("second").alias("first"), F.col("third").alias("second")))
+    longer = three.select(F.explode(F.array_distinct(ends)).alias("e"), F.col("a").alias("n")).select("e.first", "e.second", "n")
+    most = longer.groupBy("first", "second").agg(F.max("n").alias("most"))
+    open_ = two.join(most, ["first", "second"], "left").where(F.col("most").isNull() | (100 * F.col("most") < HIDDEN * F.col("a")))
+    names = ["lang", "phrase", "a", "l", "r", "score"]
+    return open_.select(*names).unionByName(three.select(*names))
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", best: int = BEST, buckets: int = 64, **settings: int) -> DataFrame:
@@ -269,9 +265,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", best: in
     exact, over whole texts; rows that repeat count again. Ranks are found in ``buckets`` parts of each language first, so
     that no language is sorted in one task. An empty table gives an empty one. ``settings`` are those of :func:`frequent`.
     """
-    found, words = frequent(df, text, lang, **settings)
+    counts = frequent(df, text, lang, **settings)
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    rows = shown(scored(found)).withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    rows = shown(*scored(counts)).withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= best)
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best)
-    return rows.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.join(counts.sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

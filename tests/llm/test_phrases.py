@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsfold.llm import phrases
 
@@ -60,56 +61,78 @@ def test_best_and_clashing_columns(spark, rows):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
-def bitmap(lang, told, bits):
+def number(phrase):
+    return [int(x) for x in phrases.numbered(phrases.spelled("en", phrase.split()), 0)]
+
+
+def bitmap(told, bits):
     out = bytearray(bits // 8)
     for p in told:
-        at = int(hashed(lang, p)[0]) & (bits - 1)
+        own = [np.uint64(x) for x in number(p)]
+        at = int(own[0] if len(own) == 1 else phrases.pair_bits(*own)) & (bits - 1)
         out[at >> 3] |= 1 << (at & 7)
     return np.frombuffer(bytes(out), np.uint8)
 
 
-def hashed(lang, phrase):
-    out = phrases.hashes([lang.encode()])
-    for word in phrase.split():
-        out = phrases.extended(out, phrases.hashes([word]))
-    return out[0]
-
-
 def test_only_active_phrases_are_counted():
     """A pair is counted once both words are known to be frequent, and only for a cycle."""
     words, ids = phrases.tokens(b"hot hot  cold hot hot. hot hot"), phrases.Ids()
     seq = np.array([ids[w] for w in words])
+    of = lambda p: tuple((number(p) + [0, 0])[:3])
 
-    def seen(scan, filters):
-        return {k: {tuple(h): int(n) for h, n in zip(hs.tolist(), ns)} for k, hs, ns in phrases.count_chunk("en", ids, seq, scan, 3, filters) if len(ns)}
+    def seen(scan, filters, seq):
+        return {key: int(n) for keys, _, ns in phrases.count_chunk("en", ids, seq, scan, 3, filters) for key, n in zip(zip(*[k.tolist() for k in keys]), ns)}
 
-    of = lambda p: tuple(hashed("en", p).tolist())
-    assert seen(0, phrases.Filters(1 << 10)) == {1: {of(b"hot"): 6, of(b"cold"): 1}}
+    assert seen(0, phrases.Filters(1 << 10), seq) == {of(b"hot"): 6, of(b"cold"): 1}
     one = phrases.Filters(1 << 10)
-    one.maps[1][1] = bitmap("en", [b"hot"], 1 << 10)
-    assert [seen(scan, one).get(2) for scan in range(1, 7)] == [None, *[{of(b"hot hot"): 3}] * 3, None, None]
-    one.maps[2][3] = bitmap("en", [b"hot hot"], 1 << 10)
+    one.maps[1][1] = bitmap([b"hot"], 1 << 10)
+    assert [seen(scan, one, seq).get(of(b"hot hot")) for scan in range(1, 7)] == [None, 3, 3, 3, None, None]
+    one.maps[2][3] = bitmap([b"hot hot"], 4 << 10)
     hot = np.array([ids[b"hot"]] * 4)
-    assert [{k: ns.tolist() for k, _, ns in phrases.count_chunk("en", ids, hot, scan, 3, one) if len(ns)} for scan in (3, 4, 6, 7)] == [{2: [3]}, {2: [3], 3: [2]}, {3: [2]}, {}]
-    spelled = {k: [p for _, p in sorted(zip(h.tolist(), ps))] for k, h, ps in phrases.spell_chunk("en", ids, seq, one)}
-    assert spelled == {1: [b"hot"], 2: [b"hot hot"], 3: []}
+    pair, triple = of(b"hot hot"), of(b"hot hot hot")
+    assert [seen(scan, one, hot) for scan in (3, 4, 6, 7)] == [{pair: 3}, {pair: 3, triple: 2}, {triple: 2}, {}]
 
 
 def test_bitmaps_agree_with_the_engine(spark):
-    told = [b"x" * n + "é".encode() for n in range(0, 70, 3)]
-    rows = [tuple(int(x) for x in hashed("en", p).view(np.int64)) for p in told]
-    df = spark.createDataFrame(rows, "h1 long, h2 long")
-    assert (phrases._bitmap(df, 1 << 10) == bitmap("en", told, 1 << 10)).all()
+    told = [b"x" * n + " é".encode() for n in range(1, 70, 3)]
+    rows = [tuple(int(np.uint64(x).view(np.int64)) for x in number(p)) for p in told]
+    df = spark.createDataFrame(rows, "a long, b long")
+    assert (phrases._bitmap(df, F.col("a").bitwiseXOR(F.shiftrightunsigned("b", 20)), 1 << 10) == bitmap(told, 1 << 10)).all()
+
+
+def test_words_with_one_number_are_numbered_anew(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows[:60], "doc_id long, text string, lang string")
+    want, seeds, real = brute(rows[:60]), [], phrases.frequent
+
+    def bad(*args, **kwargs):
+        seeds.append(args[7] if len(args) > 7 else kwargs.get("seed", 0))
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(phrases, "frequent", bad)
+    counts = phrases.counted
+
+    def patched(shard, scan, shards, filters, chunk):
+        """The numbers of the first seed are spoilt."""
+        out = counts(shard, scan, shards, filters, chunk)
+        return out if filters.value.seed else out.withColumn("a", F.col("a").bitwiseAND(F.lit(3)))
+
+    monkeypatch.setattr(phrases, "counted", patched)
+    assert sorted(map(tuple, phrases.collocations(df).collect())) == want and seeds == [0, 1]
 
 
 def test_scores_are_exact(spark):
     draw = random.Random(2)
-    rows = []
+    words, pairs = [], []
     for i in range(60):
         a = draw.randrange(10, 10 ** draw.randrange(2, 13))
-        rows += [("en", 2, f"p{i} q{i}", a), ("en", 1, f"p{i}", a * draw.randrange(1, 9)), ("en", 1, f"q{i}", a + draw.randrange(9))]
-    counts = {p: n for _, _, p, n in rows}
-    found = spark.createDataFrame(rows, "lang string, length int, phrase string, n long")
-    for r in phrases.scored(found).collect():
+        words += [(2 * i, "en", f"p{i}", a * draw.randrange(1, 9)), (2 * i + 1, "en", f"q{i}", a + draw.randrange(9))]
+        pairs.append((2 * i, 2 * i + 1, a))
+    counts = {p: n for _, _, p, n in words}
+    make = spark.createDataFrame
+    triples = make([], "a long, b long, c long, n long")
+    two, _ = phrases.scored(phrases.Counts(make(words, "a long, lang string, word string, n long"), make(pairs, "a long, b long, n long"), triples, None))
+    got = two.collect()
+    for r in got:
         p, q = r.phrase.split()
         assert (r.l, r.r, r.score) == (counts[p], counts[q], 1_000_000 * r.a * r.a // (counts[p] * counts[q]))
+    assert len(got) == 60
