@@ -112,6 +112,22 @@ def observe_stats(predictions: DataFrame) -> DataFrame:
     )
 
 
+def observe_report(predictions: DataFrame, observed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Counts of one pass over ``(id, asset, state, had_baseline)``: also baselines that the pass set, samples ``observed(id, offset)`` that it
+    took and forecasts ``resolved(id)`` that it scored. What has no priceable asset is counted as such and as nothing else.
+    """
+    live = V.is_priceable(F.col("asset"))
+    state = lambda name: F.count_if(live & (F.col("state") == name))
+    counts = predictions.agg(
+        F.count("*").alias("considered"), F.count_if(live & (F.col("state") == "ready") & ~F.coalesce("had_baseline", F.lit(False))).alias("baselines_set"), F.count_if(~live).alias("unpriceable"),
+        state("pending").alias("pending"), state("abandoned").alias("abandoned"),
+    )
+    own = predictions.where(live).select("id")
+    samples = observed.join(own, "id", "left_semi").agg(F.count("*").alias("observations"))
+    scored = resolved.join(own, "id", "left_semi").agg(F.count("*").alias("resolved"))
+    return counts.crossJoin(samples).crossJoin(scored)  # one row each
+
+
 def credit_models(outcomes: DataFrame, results: DataFrame) -> DataFrame:
     """Outcomes ``(news_id, stage, asset, …)`` with every model whose answer was usable there."""
     return outcomes.join(results.where("ok").select("news_id", "stage", "asset", "model_id", "latency_ms"), ["news_id", "stage", "asset"])

@@ -115,7 +115,7 @@ def event_by_identity(news: DataFrame, events: DataFrame) -> DataFrame:
     return news.join(events.select("identity_key", F.col("event_id")), "identity_key", "left")
 
 
-def match_events(facts: DataFrame, similar: DataFrame, decided: DataFrame | None = None, rounds: int = 1_000) -> DataFrame:
+def match_events(facts: DataFrame, similar: DataFrame, decided: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
     """Add ``event_id`` (the id of the event's first article) to ``(id, at, identity fields…)``.
 
     In order of time (then id), an article joins the event that an earlier article of its identity

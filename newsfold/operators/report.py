@@ -129,6 +129,72 @@ def funnel(gated: DataFrame, by: str = "run") -> DataFrame:
     return gated.groupBy(by).agg(F.count("*").alias("seen"), *dropped, F.count_if(F.col("dropped_at").isNull()).alias("through"))
 
 
+#: Counters of a run, as conditions over one row an article ``(decision, dropped_at, escalated5, escalated_final, alerts, errors, calls, failures)``.
+def _counters() -> list[Column]:
+    c, total = F.col, lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(name)
+    passed = F.coalesce(c("dropped_at") > 3, F.lit(True))
+    return [
+        F.count(F.lit(1)).alias("ingested"), F.count_if(~c("decision").isin("NEW", "UPDATE")).alias("duplicates"), F.count_if(c("decision") == "NEW").alias("new_events"), F.count_if(c("decision") == "UPDATE").alias("updates"),
+        *[F.count_if(c("dropped_at") == k).alias(f"dropped_stage{k}") for k in (1, 2, 3)], F.count_if(passed).alias("analysed"), F.count_if("escalated5").alias("escalated_stage5"),
+        F.count_if("escalated_final").alias("escalated_final"), *[total(n) for n in ("alerts", "errors", "calls", "failures")],
+    ]
+
+
+def run_rows(gated: DataFrame, escalated: DataFrame, finals: DataFrame, alerts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Articles ``(news_id, decision, dropped_at, …)`` with what else their runs count.
+
+    ``escalated`` and ``finals`` ``(news_id, …)`` are assets that went deeper; an article counts once, and only if nothing dropped it.
+    ``alerts(news_id, …)``; ``answers(news_id, ok, error)``: calls, failed ones, and those whose error text tells of a defect and not of a refusal by the provider.
+    """
+    once = lambda df, name: df.select("news_id").distinct().withColumn(name, F.lit(True))
+    calls = answers.groupBy("news_id").agg(F.count("*").alias("calls"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failures"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"))
+    told = alerts.groupBy("news_id").agg(F.count("*").alias("alerts"))
+    rows = gated.join(once(escalated, "_e5"), "news_id", "left").join(once(finals, "_ef"), "news_id", "left").join(told, "news_id", "left").join(calls, "news_id", "left")
+    through = F.col("dropped_at").isNull()
+    return rows.withColumns({"escalated5": F.coalesce(F.col("_e5") & through, F.lit(False)), "escalated_final": F.coalesce(F.col("_ef") & through, F.lit(False))}).drop("_e5", "_ef")
+
+
+def run_report(rows: DataFrame, by: str = "run") -> DataFrame:
+    """One row a run: articles seen, duplicates, events begun and updated, drops, analyses, escalations, alerts, errors, calls and failures."""
+    return rows.groupBy(by).agg(*_counters())
+
+
+def observed_run(rows: DataFrame, name: str = "run") -> DataFrame:
+    """The same counters as metrics of the rows that pass, of a batch or of each micro-batch of a stream (``observedMetrics`` of its progress): no job of their own."""
+    return rows.observe(name, *_counters())
+
+
+def audit_summary(audits: DataFrame, keys: list[str], order: str = "model_seq") -> DataFrame:
+    """``(keys…, summary)``: how many auditors ``(…, ok, confirms, priced_in, conflicts, overlooked, reason)`` confirm, what they object to, and the longest reason.
+
+    Only auditors that answered and said whether they confirm count; of equally long reasons the first in order. A panel is a handful of models.
+    """
+    used = F.coalesce(F.col("ok"), F.lit(False)) & F.col("confirms").isNotNull()
+    notes = F.concat(*[F.coalesce(n, F.array().cast("array<string>")) for n in ("conflicts", "overlooked")])
+    out = audits.groupBy(*keys).agg(
+        F.count_if(used).alias("n"), F.count_if(used & F.col("confirms")).alias("yes"), F.count_if(used & F.coalesce("priced_in", F.lit(False))).alias("priced"),
+        F.collect_list(F.when(used, F.struct(F.col(order).alias("o"), notes.alias("notes")))).alias("said"),
+        F.max_by("reason", F.when(used & (F.coalesce("reason", F.lit("")) != ""), F.struct(F.length("reason"), -F.col(order)))).alias("why"),
+    )
+    items = F.filter(F.transform(F.flatten(F.transform(F.sort_array("said"), lambda x: x["notes"])), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    objections = F.substring(F.array_join(F.slice(F.array_distinct(items), 1, 3), "; "), 1, 400)
+    line = F.concat_ws(
+        "; ", F.concat(F.col("yes").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" confirmed")), F.when(F.col("priced") * 2 > F.col("n"), "majority say already priced in"),
+        F.when(objections != "", F.concat(F.lit("objections: "), objections)), F.substring("why", 1, 300),
+    )
+    return out.select(*keys, F.when(F.col("n") > 0, line).otherwise("no usable cross-check").alias("summary"))
+
+
+def final_summary(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys…, summary)``: how many of the final panel ``(…, ok, direction, tradeable)`` back the most frequent direction (of equally frequent ones the greatest), and how many call it tradeable."""
+    used = F.coalesce(F.col("ok"), F.lit(False)) & (F.coalesce("direction", F.lit("")) != "")
+    each = answers.groupBy(*keys, F.when(used, F.col("direction")).alias("direction")).agg(F.count_if(used).alias("n"), F.count_if(used & F.coalesce("tradeable", F.lit(False))).alias("t"))
+    out = each.groupBy(*keys).agg(F.max_by("direction", F.when(F.col("n") > 0, F.struct("n", "direction"))).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    count = lambda c: F.col(c).cast("string")
+    line = F.concat(count("most"), F.lit("/"), count("n"), F.lit(" heavy models "), "top", F.lit(" ("), percent(F.col("most") / F.col("n")), F.lit("), "), count("t"), F.lit("/"), count("n"), F.lit(" tradeable"))
+    return out.select(*keys, F.when(F.col("n") > 0, line).otherwise("final layer unavailable").alias("summary"))
+
+
 def recent_analyses(analyses: DataFrame, events: DataFrame, news: DataFrame, most: int) -> DataFrame:
     """The newest verdicts with their event's and article's columns: the top rows first, so that joins are small."""
     top = analyses.orderBy(F.desc("created_at"), F.desc("id")).limit(most)

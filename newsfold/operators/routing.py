@@ -132,7 +132,15 @@ def deliveries(alerts: DataFrame, chats: DataFrame, digest_above: int = DIGEST_A
     return alerts.join(sizes, "batch").withColumn("digest", F.col("_n") > digest_above).drop("_n").crossJoin(F.broadcast(chats))
 
 
-def publish_report(gated: DataFrame) -> DataFrame:
-    return gated.groupBy("batch").agg(
-        F.count("*").alias("considered"), F.count_if(F.col("outcome") == "below").alias("below_threshold"), F.count_if(F.col("outcome") == "suppressed").alias("suppressed"), F.count_if(F.col("outcome") == "sent").alias("sent")
+def publish_report(gated: DataFrame, sends: DataFrame | None = None, by: str = "batch") -> DataFrame:
+    """One row a pass: alerts considered, below the threshold, suppressed and passed; with ``sends(batch, delivered)``, one row a message and chat, also
+    messages sent and failed, and whether the pass went out as a digest (more than ``DIGEST_ABOVE`` alerts passed)."""
+    passed = F.count_if(F.col("outcome") == "sent")
+    out = gated.groupBy(by).agg(
+        F.count("*").alias("considered"), F.count_if(F.col("outcome") == "below").alias("below_threshold"), F.count_if(F.col("outcome") == "suppressed").alias("suppressed"), passed.alias("passed" if sends is not None else "sent")
     )
+    if sends is None:
+        return out
+    told = sends.groupBy(by).agg(F.count_if("delivered").alias("sent"), F.count_if(~F.coalesce("delivered", F.lit(False))).alias("failed"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.join(told, by, "left").select(by, "considered", "below_threshold", "suppressed", "passed", none("sent"), none("failed"), (F.col("passed") > DIGEST_ABOVE).alias("digested"))

@@ -15,8 +15,9 @@ from ..operators import dedup as D
 from ..operators import memory as M
 from ..operators import report as Rp
 from ..sources import feeds as S
+from ..sources import sinks as Sk
 from ..sources import tables as K
-from ..scale import settle
+from ..scale import Scratch, settle
 from .adapters import ALERTS, NEWS, alerts, news
 from .registry import Tables, query, rounded
 
@@ -421,6 +422,21 @@ def s5_ingest_stats(t: Tables) -> DataFrame:
     return S.ingest_stats(d.select("feed_url", F.lit(True).alias("ok"), F.lit(1).alias("items"), (F.col("doc_id") % 3 == 0).cast("int").alias("skipped")), d.where("doc_id % 3 = 1"))
 
 
+@query("""WITH f AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS pass, o_orderkey % 5 = 0 AS same, o_orderkey % 5 > 0 AND o_orderkey % 7 = 0 AS failed FROM orders),
+    i AS (SELECT f.pass, f.o_orderkey, same, failed, l_linestatus = 'O' AS stale, l_returnflag <> 'R' AS kept FROM f JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT f.pass, count(*) AS feeds, count(*) FILTER (NOT same AND NOT failed) AS feeds_ok, count(*) FILTER (failed) AS feeds_failed, count(*) FILTER (same) AS not_modified, count(*) FILTER (failed) AS errors,
+        (SELECT count(*) FROM i WHERE i.pass = f.pass AND NOT same AND NOT failed) AS fetched, (SELECT count(*) FROM i WHERE i.pass = f.pass AND NOT same AND NOT failed AND stale) AS skipped,
+        (SELECT count(*) FROM i WHERE i.pass = f.pass AND NOT same AND NOT failed AND NOT stale AND kept) AS delivered, (SELECT count(*) FROM i WHERE i.pass = f.pass AND NOT same AND NOT failed AND NOT stale AND NOT kept) AS deduplicated
+    FROM f GROUP BY f.pass""")
+def s5_pass_report(t: Tables) -> DataFrame:
+    """Orders as feeds, their lines as items; passes by month."""
+    feeds = t.orders.selectExpr("o_orderkey AS feed_url", "date_format(o_orderdate, 'yyyy-MM') AS pass", "o_orderkey % 5 = 0 AS not_modified", "o_orderkey % 7 > 0 AS ok").withColumn("error", F.expr("CASE WHEN NOT not_modified AND NOT ok THEN 'timed out' END"))
+    lines = t.lineitem.selectExpr("l_orderkey AS feed_url", "l_linestatus = 'O' AS stale", "l_returnflag <> 'R' AS delivered")
+    sizes = lines.groupBy("feed_url").agg(F.count("*").alias("items"), F.count_if("stale").alias("skipped"))
+    items = feeds.where("ok AND NOT not_modified").join(lines.where("NOT stale"), "feed_url")
+    return S.pass_report(feeds.join(sizes, "feed_url", "left"), items)
+
+
 @query("SELECT doc_id AS id, source, CAST(NULL AS VARCHAR) AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
 def s6_union_sources(t: Tables) -> DataFrame:
     return S.union_sources(t.documents.select(F.col("doc_id").alias("id"), "source"), t.pages.select(F.col("page_id").alias("id"), "url"))
@@ -439,6 +455,24 @@ def s10_upsert(t: Tables) -> DataFrame:
     return K.upsert(target, updates, ["news_id"], {"votes": "new", "depth": "max", "final": "or", "first": "old"}, "votes")
 
 
+SUNK = """first AS (SELECT o_orderkey AS news_id, concat('A', o_orderkey % 2) AS asset, o_orderstatus AS direction, o_totalprice AS expected_low, o_orderkey % 5 AS deepest_stage, o_orderstatus = 'F' AS final FROM orders),
+second AS (SELECT l_orderkey AS news_id, concat('A', l_linenumber % 2) AS asset, arg_max(CASE WHEN l_returnflag <> 'A' THEN l_returnflag END, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) FILTER (l_returnflag <> 'A') AS direction, max(l_partkey % 7) AS deepest_stage, bool_or(l_tax > 0.07) AS final FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH {SUNK} SELECT coalesce(a.news_id, b.news_id) AS news_id, coalesce(a.asset, b.asset) AS asset, coalesce(b.direction, a.direction) AS direction, round(a.expected_low, 6) AS expected_low,
+    CAST(greatest(a.deepest_stage, b.deepest_stage) AS BIGINT) AS deepest_stage, CASE WHEN a.final IS NOT NULL OR b.final IS NOT NULL THEN coalesce(a.final, false) OR coalesce(b.final, false) END AS final FROM first a FULL JOIN second b ON a.news_id = b.news_id AND a.asset = b.asset""")
+def s10_sink(t: Tables) -> DataFrame:
+    """Two batches written by the table's rules, the second one twice, as after a failure."""
+    scratch = Scratch(t.spark, "sinks")
+    one = t.orders.selectExpr("o_orderkey AS news_id", "concat('A', o_orderkey % 2) AS asset", "o_orderstatus AS direction", "o_totalprice AS expected_low", "o_orderkey % 5 AS deepest_stage", "o_orderstatus = 'F' AS final", "1 AS at")
+    two = t.lineitem.selectExpr("l_orderkey AS news_id", "concat('A', l_linenumber % 2) AS asset", "CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS direction", "l_partkey % 7 AS deepest_stage", "l_tax > 0.07 AS final", "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS at")
+    for batch, rows in ((0, one), (1, two), (1, two)):
+        Sk.upsert_batch(t.spark, scratch.root, "analyses", rows, batch, "at")
+    out = settle(Sk.read_keyed(t.spark, scratch.root, "analyses"))
+    scratch.clear()
+    return rounded(out.select("news_id", "asset", "direction", "expected_low", "deepest_stage", "final"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 4 END AS stage, CASE WHEN o_orderkey % 3 = 0 THEN 'none' END AS drop_reason FROM orders")
 def s12_mark_processed(t: Tables) -> DataFrame:
     null = lambda n, kind: F.lit(None).cast(kind).alias(n)

@@ -290,6 +290,15 @@ def g11_observe_stats(t: Tables) -> DataFrame:
     return B.observe_stats(_baselines(t).withColumn("asset", F.expr(ASSETS)))
 
 
+@query(f"""WITH {DUE}, b AS (SELECT *, id % 5 IN (0, 2) AS dead FROM based), m AS (SELECT id, list(off) AS offs FROM obs GROUP BY id)
+    SELECT count(*) AS considered, count(*) FILTER (NOT dead AND state = 'ready' AND id % 3 > 0) AS baselines_set, count(*) FILTER (dead) AS unpriceable, count(*) FILTER (NOT dead AND state = 'pending') AS pending, count(*) FILTER (NOT dead AND state = 'abandoned') AS abandoned,
+    (SELECT count(*) FROM obs JOIN b USING (id) WHERE NOT dead) AS observations, (SELECT count(*) FROM b JOIN m USING (id) WHERE NOT dead AND (list_contains(offs, horizon_minutes) OR {SQL_AS_OF} - created_at >= INTERVAL 1440 MINUTE + INTERVAL 30 SECOND)) AS resolved FROM b""")
+def g11_observe_report(t: Tables) -> DataFrame:
+    base = _baselines(t).withColumn("asset", F.expr(ASSETS)).withColumn("had_baseline", F.expr("id % 3 = 0"))
+    seen = _observed(t)
+    return B.observe_report(base, seen, B.resolvable(predictions(t), seen, F.expr(AS_OF)))
+
+
 PERFORMANCE = f"""{SCORES}, results AS (SELECT id, unnest([id % 7, (id + 1) % 7, (id + 2) % 7]) AS m FROM predictions), credit AS (SELECT s.*, concat('m', r.m) AS model_id, concat('T', s.id % 6) AS event_type, p.asset, r.m * 100 AS latency FROM scored s JOIN results r ON r.id = s.id AND (r.m + s.id) % 4 > 0 JOIN predictions p ON p.id = s.id),
 performance AS (SELECT model_id, '5' AS stage, coalesce(event_type, 'ALL') AS event_type, coalesce(asset, 'ALL') AS asset, count(*) AS predictions, count(*) FILTER (direction_correct) AS direction_correct, avg(err) AS avg_magnitude_error, avg(score) AS avg_score,
     avg(latency) FILTER (latency > 0) AS avg_latency_ms FROM credit GROUP BY GROUPING SETS ((model_id, event_type, asset), (model_id)))"""

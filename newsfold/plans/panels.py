@@ -361,3 +361,65 @@ def a22_funnel(t: Tables) -> DataFrame:
     from ..operators.report import funnel
 
     return funnel(_gated(t))
+
+
+@query(f"""WITH {GATED}, h AS (SELECT seq, batch, (event_id, upper(asset)) IN (SELECT (event_id, upper(asset)) FROM alerts WHERE o_orderstatus = 'F') AS told, source <> 'stage4' AS deep, (direction, magnitude, CAST(round_even(confidence * 10, 0) AS INT)) AS shape, event_id, upper(asset) AS a FROM alerts WHERE alert_score >= 55),
+    d AS (SELECT event_id, a, min(seq) AS deepest FROM h WHERE deep GROUP BY ALL), s AS (SELECT h.*, told AND (deepest IS NULL OR seq < deepest) AS silent FROM h LEFT JOIN d ON d.event_id = h.event_id AND d.a = h.a),
+    r AS (SELECT *, CASE WHEN silent THEN true ELSE coalesce(lag(shape) OVER (PARTITION BY event_id, a, silent ORDER BY seq) = shape, false) AND NOT deep END AS held FROM s)
+    SELECT seq, batch, CASE WHEN held THEN 'suppressed' ELSE 'sent' END AS outcome FROM r UNION ALL SELECT seq, batch, 'below' FROM alerts WHERE alert_score < 55""")
+def g8_j11_backstop(t: Tables) -> DataFrame:
+    """The gate after a restart: finished orders are what was sent before."""
+    a = alerts(t)
+    sent = a.select("event_id", "asset", (F.col("o_orderstatus") == "F").alias("delivered"))
+    return R.publish_gate(a, sent=sent).select("seq", "batch", "outcome")
+
+
+@query(f"""WITH {GATED}, p AS (SELECT batch, count(*) AS considered, count(*) FILTER (outcome = 'below') AS below_threshold, count(*) FILTER (outcome = 'suppressed') AS suppressed, count(*) FILTER (outcome = 'sent') AS passed FROM gated GROUP BY batch),
+    m AS (SELECT DISTINCT g.batch, n_nationkey, CASE WHEN passed > 6 THEN 0 ELSE seq END AS message FROM gated g JOIN p USING (batch), nation WHERE outcome = 'sent'),
+    s AS (SELECT batch, count(*) FILTER ((message + n_nationkey) % 5 > 0) AS sent, count(*) FILTER ((message + n_nationkey) % 5 = 0) AS failed FROM m GROUP BY batch)
+    SELECT p.*, coalesce(sent, 0) AS sent, coalesce(failed, 0) AS failed, passed > 6 AS digested FROM p LEFT JOIN s USING (batch)""")
+def a23_full_report(t: Tables) -> DataFrame:
+    """A message an alert and chat, or one a chat where the pass is a digest; every fifth fails."""
+    gated = R.publish_gate(alerts(t))
+    each = R.deliveries(gated.where("outcome = 'sent'"), t.nation.select("n_nationkey"))
+    messages = each.select("batch", "n_nationkey", F.when(F.col("digest"), 0).otherwise(F.col("seq")).alias("message")).distinct()
+    return R.publish_report(gated, messages.select("batch", ((F.col("message") + F.col("n_nationkey")) % 5 > 0).alias("delivered")))
+
+
+@query(f"""WITH {FUNNEL}, calls AS (SELECT news_id, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, count(*) FILTER (partkey % 17 = 0) AS errors FROM answers GROUP BY news_id),
+    al AS (SELECT l_orderkey AS news_id, count(*) AS alerts FROM lineitem WHERE l_tax > 0.06 GROUP BY ALL)
+    SELECT run, count(*) AS ingested, count(*) FILTER (decision = 'DUPLICATE') AS duplicates, count(*) FILTER (decision = 'NEW') AS new_events, count(*) FILTER (decision = 'UPDATE') AS updates, {', '.join(f'count(*) FILTER (dropped_at = {k}) AS dropped_stage{k}' for k in (1, 2, 3))},
+    count(*) FILTER (coalesce(dropped_at > 3, true)) AS analysed, count(*) FILTER (dropped_at IS NULL AND news_id % 4 = 0) AS escalated_stage5, count(*) FILTER (dropped_at IS NULL AND news_id % 8 = 0) AS escalated_final,
+    {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in ('alerts', 'errors', 'calls', 'failures'))} FROM funnel LEFT JOIN calls USING (news_id) LEFT JOIN al USING (news_id) GROUP BY run""")
+def a22_run_report(t: Tables) -> DataFrame:
+    from ..operators.report import run_report, run_rows
+
+    a = answers(t).select("news_id", "ok", F.when(F.col("partkey") % 17 == 0, "no such field").alias("error"))
+    o = t.orders.select(F.col("o_orderkey").alias("news_id"))
+    rows = run_rows(_gated(t), o.where("news_id % 4 = 0"), o.where("news_id % 8 = 0"), t.lineitem.where("l_tax > 0.06").select(F.col("l_orderkey").alias("news_id")), a)
+    return run_report(rows)
+
+
+@query(f"""WITH {ANSWERS}, u AS (SELECT *, CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms FROM answers WHERE flag),
+    g AS (SELECT news_id, count(*) FILTER (ok AND confirms IS NOT NULL) AS n, count(*) FILTER (ok AND confirms) AS yes, count(*) FILTER (ok AND confirms IS NOT NULL AND partkey % 2 = 0) AS priced,
+        arg_max(reason, (length(reason), -model_seq)) FILTER (ok AND confirms IS NOT NULL AND reason <> '') AS why, flatten(list(CASE WHEN partkey % 6 = 0 THEN [concat('conflict ', partkey % 3), 'missed'] ELSE [concat('conflict ', partkey % 3)] END ORDER BY model_seq) FILTER (ok AND confirms IS NOT NULL)) AS notes FROM u GROUP BY news_id),
+    d AS (SELECT *, array_to_string(list_filter(notes, lambda x, i: list_position(notes, x) = i)[1:3], '; ') AS told FROM g)
+    SELECT news_id, CASE WHEN n = 0 THEN 'no usable cross-check' ELSE concat_ws('; ', concat(yes, '/', n, ' confirmed'), CASE WHEN priced * 2 > n THEN 'majority say already priced in' END, concat('objections: ', told), why) END AS summary FROM d""")
+def a29_audit_lines(t: Tables) -> DataFrame:
+    from ..operators.report import audit_summary
+
+    audits = answers(t).where("flag").selectExpr(
+        "news_id", "model_seq", "ok", "CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms", "partkey % 2 = 0 AS priced_in", "array(concat('conflict ', partkey % 3)) AS conflicts",
+        "CASE WHEN partkey % 6 = 0 THEN array(' missed', '') ELSE cast(array() AS array<string>) END AS overlooked", "reason",
+    )
+    return audit_summary(audits, ["news_id"])
+
+
+@query(f"""WITH {ANSWERS}, p AS (SELECT news_id, ok AND partkey % 7 > 0 AS used, direction, partkey % 2 = 0 AS tradeable FROM answers WHERE NOT flag), d AS (SELECT news_id, direction, count(*) AS n FROM p WHERE used GROUP BY ALL),
+    w AS (SELECT news_id, arg_max(direction, (n, direction)) AS top, max(n) AS most, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY news_id), t AS (SELECT news_id, count(*) FILTER (used AND tradeable) AS t FROM p GROUP BY news_id)
+    SELECT t.news_id, CASE WHEN n IS NULL THEN 'final layer unavailable' ELSE concat(most, '/', n, ' heavy models ', top, ' (', CAST(round_even(most / n * 100, 0) AS BIGINT), '%), ', t, '/', n, ' tradeable') END AS summary FROM t LEFT JOIN w USING (news_id)""")
+def a29_final_lines(t: Tables) -> DataFrame:
+    from ..operators.report import final_summary
+
+    panel = answers(t).where("NOT flag").selectExpr("news_id", "ok", "CASE WHEN partkey % 7 > 0 THEN direction END AS direction", "partkey % 2 = 0 AS tradeable")
+    return final_summary(panel, ["news_id"])

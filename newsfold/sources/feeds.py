@@ -98,6 +98,23 @@ def ingest_stats(fetches: DataFrame, delivered: DataFrame) -> DataFrame:
     return out.withColumn("deduplicated", F.col("fetched") - F.col("skipped") - F.col("delivered"))
 
 
+def pass_report(fetches: DataFrame, items: DataFrame, by: str = "pass") -> DataFrame:
+    """One row a pass of the collector: feeds that answered, failed or hadn't changed, their errors, and items fetched, skipped, dropped as repeats and delivered.
+
+    ``fetches(pass, feed_url, ok, not_modified, error, items, skipped)``, one row a feed; a feed that hasn't changed counts as neither answered nor failed.
+    ``items(pass, delivered)``, one row an item that was parsed and not skipped.
+    """
+    same = F.coalesce("not_modified", F.lit(False))
+    good = ~same & F.coalesce("ok", F.lit(False))
+    number = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0)).cast("long").alias(c)
+    feeds = fetches.groupBy(by).agg(
+        F.count("*").alias("feeds"), F.count_if(good).alias("feeds_ok"), F.count_if(~same & ~F.coalesce("ok", F.lit(False))).alias("feeds_failed"), F.count_if(same).alias("not_modified"),
+        F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"), number("items").alias("fetched"), number("skipped"),
+    )
+    got = items.groupBy(by).agg(F.count_if("delivered").alias("delivered"), F.count_if(~F.coalesce("delivered", F.lit(False))).alias("deduplicated"))
+    return feeds.join(got, by, "left").fillna(0, ["delivered", "deduplicated"])
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Rows of all sources, with the columns of all."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -26,17 +26,21 @@ SCHEMAS = {
     "runs": "id long, started_at timestamp, finished_at timestamp, funnel map<string,long>",
 }
 
-#: How columns of a known key take an update: new (if there is one), old (first wins), max, or (booleans). Fixed values.
+#: How columns of a known key take an update: new (if there is one), replace (also by null), old (first wins), max, or (booleans), sum. Fixed values.
 RULES = {
-    "news": {"event_id": "new", "decision": "new", "identity_key": "new"},
+    "news": {"event_id": "new", "decision": "new", "identity_key": "new", "embedding": "new", "matched_id": "new", "stage": "new", "dropped_at": "new", "drop_reason": "new", "processed_at": "new"},
     "events": {"last_seen": "max", "importance": "max"},
-    "stage_consensus": {"*": "new"},
-    "analyses": {"*": "new", "deepest_stage": "max", "final": "or"},
+    "stage_consensus": {"*": "replace"},
+    "analyses": {"*": "new", "id": "old", "created_at": "old", "deepest_stage": "max", "final": "or"},
+    "predictions": {"resolved": "or"},
     "observations": {"*": "old"},
+    "outcomes": {"*": "replace"},
+    "model_performance": {"*": "sum"},
+    "key_health": {"status": "new", "success": "sum", "failure": "sum", "consecutive_failures": "new", "available_at": "new"},
 }
 KEYS = {
     "news": ["exact_hash"], "events": ["identity_key"], "stage_consensus": ["news_id", "stage", "asset"], "analyses": ["news_id", "asset"], "observations": ["prediction_id", "offset"],
-    "outcomes": ["prediction_id"], "model_performance": ["model_id", "stage", "event_type", "asset"], "key_health": ["provider", "key_index"],
+    "outcomes": ["prediction_id"], "predictions": ["id"], "model_performance": ["model_id", "stage", "event_type", "asset"], "key_health": ["provider", "key_index"],
 }
 
 
