@@ -30,7 +30,7 @@ from ..scale import Scratch, settle
 ENDS, LEAST, HIDDEN, SCALE = b".,;:!?\n\x0b\x0c\r", 10, 50, 1_000_000
 UNKNOWN, BEST = "und", 2_000
 #: Shards of a cycle, bits of a bitmap of words (one of pairs has four times as many), words that a worker counts at once.
-SHARDS, BITS, CHUNK = 2, 1 << 23, 2_000_000
+SHARDS, BITS, CHUNK = 2, 1 << 23, 3_000_000
 
 #: Every ending becomes a point, which no word can hold; a tab becomes a blank.
 _PLAIN = bytes.maketrans(ENDS + b"\t", b"." * len(ENDS) + b" ")
