@@ -116,9 +116,3 @@ def model_health(results: DataFrame) -> DataFrame:
     return results.groupBy("model_id", "stage").agg(
         F.count("*").alias("answers"), F.count_if(~F.col("ok")).alias("failures"), F.avg("latency_ms").alias("avg_latency_ms"), F.sum("tokens").alias("tokens")
     )
-
-
-def first_answers(answers: DataFrame, order: list[str], most: int = 5) -> DataFrame:
-    """Number answers within an article by ``order`` and keep the panel's size."""
-    w = W.partitionBy("news_id").orderBy(*order)
-    return answers.withColumn("model_seq", F.row_number().over(w)).where(F.col("model_seq") <= most)

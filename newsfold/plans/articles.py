@@ -356,7 +356,7 @@ COPIES = f"{NEWS}, keyed AS (SELECT *, sha256(trim(regexp_replace(concat({strip_
 
 @query(f"WITH {COPIES} SELECT id, CASE WHEN first_id <> id THEN first_id END AS matched_id, CASE WHEN first_id <> id THEN 'DUPLICATE' ELSE 'NEW' END AS decision FROM keyed JOIN firsts USING (exact_hash)")
 def w1_first_writer(t: Tables) -> DataFrame:
-    keyed = news(t).withColumn("exact_hash", H.exact_hash(F.col("title"), F.col("body"))).select("id", "published_at", "exact_hash")
+    keyed = settle(news(t).withColumn("exact_hash", H.exact_hash(F.col("title"), F.col("body"))).select("id", "published_at", "exact_hash"))  # texts are read once
     return D.mark_copies(keyed, "exact_hash").select("id", "matched_id", "decision")
 
 

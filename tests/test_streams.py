@@ -203,3 +203,16 @@ def test_gate_asks_the_history(spark):
     df = spark.createDataFrame(rows, "event_id long, news_id long, asset string, seq long, direction string, magnitude string, confidence double, source string, alert_score double")
     sent = spark.createDataFrame([(1, "a", True), (2, "B", True), (3, "A", False), (None, "A", True)], "event_id long, asset string, delivered boolean")
     assert {r.seq: r.outcome for r in R.publish_gate(df, sent=sent).collect()} == want
+
+
+def test_run_metrics_of_a_stream_equal_the_report(spark, tmp_path):
+    from newsfold.operators import report as Rp
+
+    rows = [(i, ["NEW", "UPDATE", "DUPLICATE"][i % 3], 0 if i % 3 == 2 else [None, 1, 2, 3, 4][i % 5], i % 4 == 0 and i % 5 == 0, i % 8 == 0 and i % 5 == 0, i % 3 or None, 0, 5, i % 2) for i in range(60)]
+    schema = "news_id long, decision string, dropped_at int, escalated5 boolean, escalated_final boolean, alerts long, errors long, calls long, failures long"
+    stream = Rp.observed_run(stream_of(spark, cut(rows, [7, 40]), schema, str(tmp_path / "in")))
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = Rp.run_report(spark.createDataFrame(rows, schema).withColumn("run", F.lit(1))).drop("run").first().asDict()
+    seen = [p.observedMetrics["run"].asDict() for p in query.recentProgress if p.numInputRows]
+    assert len(seen) == 3 and {k: sum(s[k] for s in seen) for k in want} == want
