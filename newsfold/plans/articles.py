@@ -11,6 +11,7 @@ from ..functions import hashes as H
 from ..functions import text as T
 from ..functions import values as V
 from ..functions.likeness import identity_match, string_ratio
+from ..functions.prompts import prompt_rows
 from ..operators import dedup as D
 from ..operators import memory as M
 from ..operators import report as Rp
@@ -350,6 +351,33 @@ def p20_prompts(t: Tables) -> DataFrame:
     return P.prompt_table(news(t), t.region.select(F.col("r_name").alias("model"))).select("id", "model", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+HEAD_SQL = "concat('EVENT: ', head)"
+MONEY_SQL = "CASE WHEN amount <> 0 THEN concat('AMOUNT: $', format('{:,}', CAST(amount AS BIGINT))) END"
+CLAIMS_SQL = "CASE WHEN key_claims <> '' THEN concat('CLAIMS:', chr(10), array_to_string(list_transform(string_split(key_claims, ';')[1:4], lambda x: concat('- ', x)), chr(10))) END"
+ITEM_SQL = "concat(chr(10), 'ITEM:', chr(10), head)"
+PROMPTS = {
+    1: f"concat_ws(chr(10), 'SOURCE: wire', 'PUBLISHED: 2024-01-01T00:00:00', concat('EXTRACTED EVENT: ', head, ' (type=', event_type, ')'), {ITEM_SQL})",
+    2: f"concat_ws(chr(10), {HEAD_SQL}, concat('TYPE: ', event_type, '  ENTITY: ', entity, '  ASSETS: ', CASE WHEN assets = '' THEN 'none named' ELSE replace(assets, ',', ', ') END, '  STATUS: REPORTED'), {MONEY_SQL}, CASE WHEN event_id % 2 = 0 THEN concat(chr(10), 'EVENT HISTORY:', chr(10), 'told ', event_id) END, {ITEM_SQL})",
+    3: f"concat_ws(chr(10), {HEAD_SQL}, concat('TYPE: ', event_type, '  ENTITY: ', entity, '  ACTION: ', action), concat('ASSETS NAMED IN ARTICLE: ', CASE WHEN assets = '' THEN 'none' ELSE replace(assets, ',', ', ') END), {MONEY_SQL}, {CLAIMS_SQL}, {ITEM_SQL})",
+    4: f"concat_ws(chr(10), concat('TARGET ASSET: A', event_id % 3), concat('LINK: DIRECT (', CASE WHEN event_id % 4 = 0 THEN 'no evidence given' ELSE 'named' END, ')'), '', {HEAD_SQL}, concat('TYPE: ', event_type, '  ENTITY: ', entity, '  ACTION: ', action, '  STATUS: REPORTED'), {MONEY_SQL}, 'PERCENTAGE: ' || percentage || '%', concat('PANEL SIGNIFICANCE SCORE: ', event_id % 100, '/100'), CASE WHEN event_id % 2 = 0 THEN concat(chr(10), 'PRIOR DEVELOPMENTS IN THIS EVENT:', chr(10), 'told ', event_id) END, chr(10) || {CLAIMS_SQL}, {ITEM_SQL})",
+    5: f"concat_ws(chr(10), concat('TARGET ASSET: A', event_id % 3), '', 'PRELIMINARY ANALYSIS (Stage 4):', '  direction: BULLISH', concat('  magnitude: HIGH (', event_id % 4, '.50% to ', event_id % 4 + 2, '.25%)'), '  confidence: 0.75', concat('  horizon: ', CASE WHEN event_id % 2 = 0 THEN '15 min' ELSE '3h' END), '  causality: MACRO', '  mechanism: supply', '  risks: ', '  panel agreement: 80% of 5 models', CASE WHEN event_id % 3 = 0 THEN '  panel disagreement: 2x UP' END, '', {HEAD_SQL}, concat('TYPE: ', event_type, '  STATUS: REPORTED  SOURCES REPORTING: ', event_id % 6 + 1), CASE WHEN event_id % 2 = 0 THEN concat(chr(10), 'EVENT HISTORY (prior updates):', chr(10), 'told ', event_id) END, {ITEM_SQL})",
+}
+
+
+@query(f"WITH {CHOSEN} " + " UNION ALL ".join(f"SELECT event_id AS id, CAST({k} AS BIGINT) AS stage, {'concat(' + chr(39) + 'A' + chr(39) + ', event_id % 3)' if k > 3 else 'NULL'} AS asset, r_name AS model, md5({sql}) AS prompt FROM (SELECT chosen.*, heads.head FROM chosen JOIN heads ON heads.event_id = chosen.event_id), region WHERE r_regionkey = {k} % 5" for k, sql in PROMPTS.items()))
+def p20_stage_prompts(t: Tables) -> DataFrame:
+    """Requests of five stages about the chosen facts; each stage asks one of the regions as its model."""
+    rows = _chosen(t).select(
+        F.col("event_id").alias("id"), F.col("head").alias("title"), F.lit("").alias("body"), F.lit("wire").alias("source"), F.lit("2024-01-01").cast("timestamp").alias("published_at"), "facts",
+        F.expr("CASE WHEN event_id % 2 = 0 THEN concat('told ', event_id) END AS context"), F.expr("cast(event_id % 100 AS double) AS score2"), F.expr("concat('A', event_id % 3) AS asset"), F.lit("DIRECT").alias("relation"),
+        F.expr("CASE WHEN event_id % 4 > 0 THEN 'named' END AS evidence"), F.expr("CASE WHEN event_id % 3 = 0 THEN '2x UP' END AS disagreement"), F.expr("cast(event_id % 6 + 1 AS int) AS source_count"),
+        F.expr("named_struct('direction', 'BULLISH', 'magnitude', 'HIGH', 'expected_low', event_id % 4 + 0.5D, 'expected_high', event_id % 4 + 2.25D, 'confidence', 0.75D, 'horizon_minutes', if(event_id % 2 = 0, 15, 180), 'causality', 'MACRO', 'mechanism', 'supply', 'risks', '', 'agreement', 0.8D, 'model_count', 5) AS impact"),
+    )
+    models = t.region.select(F.expr("CASE r_regionkey WHEN 0 THEN 5 ELSE cast(r_regionkey AS int) END AS stage"), F.col("r_name").alias("model"))
+    out = prompt_rows({k: rows for k in range(1, 6)}, models)
+    return rounded(out.withColumn("prompt", F.md5("prompt")))
+
+
 # ---------------------------------------------------------------- copies
 COPIES = f"{NEWS}, keyed AS (SELECT *, sha256(trim(regexp_replace(concat({strip_sql('title')}, chr(10), {strip_sql('body')}), '{SPACE}+', ' ', 'g'))) AS exact_hash FROM news), firsts AS (SELECT exact_hash, arg_min(id, (published_at, id)) AS first_id FROM keyed GROUP BY exact_hash)"
 

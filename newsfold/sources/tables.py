@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import Scratch, delete
+
 #: Schemas of the tables. JSON side columns are maps or texts.
 SCHEMAS = {
     "news": "id long, title string, body string, url string, source string, source_type string, published_at timestamp, fetched_at timestamp, exact_hash string, norm_hash string, title_hash string, "
@@ -105,3 +107,22 @@ def retain(news: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Drop rows that are older than the lookback and processed."""
     old = F.col("fetched_at") < as_of - F.make_dt_interval(F.lit(days))
     return news.where(~(old & F.col("processed_at").isNotNull()))
+
+
+def purge(spark: SparkSession, path: str, as_of: Column, days: int = 7, day: str = "day") -> None:
+    """Apply :func:`retain` to a table in folders by fetch date, which the column ``day`` names: only folders of days that the lookback has left
+    behind are read and replaced, or deleted where nothing stays; newer ones are not touched.
+
+    What stays is staged in the shared folder first. A purge that died halfway is simply made again.
+    """
+    stored = spark.read.parquet(path)
+    last = F.to_date(as_of - F.make_dt_interval(F.lit(days)))
+    aged = stored.where(F.col(day) <= last)
+    scratch = Scratch(spark, "purge")
+    kept = scratch.put(retain(aged, as_of, days), "kept")
+    gone = aged.select(day).distinct().join(kept.select(day).distinct(), day, "left_anti")
+    folders = [r[0] for r in gone.collect()]  # a row a day that has nothing left
+    kept.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    for d in folders:
+        delete(spark, f"{path}/{day}={d}")
+    scratch.clear()

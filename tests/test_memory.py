@@ -164,3 +164,30 @@ def test_streams_into_sinks(spark, tmp_path):
     sink(rows.where("prediction_id < 4"), 7)
     sink(rows.where("prediction_id < 4"), 7)
     assert spark.read.parquet(f"{folder}/alerts_log").count() == 41 + 4
+
+
+def test_purge_touches_only_old_days(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "timestamp'2024-01-01' + make_dt_interval(cast(id % 20 AS int), 12) AS fetched_at", "CASE WHEN id % 20 < 3 OR id % 3 > 0 THEN timestamp'2024-02-01' END AS processed_at")
+    path = f"file://{tmp_path}/news"
+    rows.withColumn("day", F.to_date("fetched_at")).write.partitionBy("day").parquet(path)
+    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    want = {r.id for r in Tb.retain(rows, as_of).collect()}
+    files = lambda: {p.name for p in (tmp_path / "news" / "day=2024-01-15").iterdir()}
+    before = files()
+    for _ in range(2):  # the second one finds nothing to do
+        Tb.purge(spark, path, as_of)
+        assert {r.id for r in spark.read.parquet(path).collect()} == want
+    assert files() == before and not (tmp_path / "news" / "day=2024-01-02").exists()
+    aged = spark.read.parquet(path).where(F.col("day") <= F.to_date(as_of - F.make_dt_interval(F.lit(7))))
+    assert "PartitionFilters: [isnotnull(day" in aged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prompts_of_stages(spark):
+    from newsfold.functions import prompts
+
+    facts = "struct<event_type:string,entity:string,assets:array<string>,action:string,target:string,status:string,decision:string,amount:double,price:double,percentage:double,count:double,location:string,time_reference:string,event_date:string,key_claims:array<string>,headline:string>"
+    df = spark.createDataFrame([(1, "Title", None, None, None, None), (2, None, "Body", "wire", START, ("HACK", None, None, "", "", "REPORTED", "", 742e6, None, 3.2, None, "", "", "", ["a", "b", "c", "d", "e"], ""))], f"id long, title string, body string, source string, published_at timestamp, facts {facts}")
+    models = spark.createDataFrame([(2, "m"), (4, "m"), (4, "n")], "stage int, model string")
+    got = {(r.id, r.stage, r.model): r.prompt for r in prompts.prompt_rows({2: df, 4: df}, models).collect()}
+    assert len(got) == 6 and got[1, 2, "m"] == "\nITEM:\nTitle"
+    assert got[2, 4, "n"] == "TARGET ASSET: \n\nEVENT: \nTYPE: HACK  ENTITY:   ACTION:   STATUS: REPORTED\nAMOUNT: $742,000,000\nPERCENTAGE: 3.2%\n\nCLAIMS:\n- a\n- b\n- c\n- d\n\nITEM:\nBody"
