@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..scale import carried
+from ..scale import carried, cut_by_time
 
 #: Times of the observer. Fixed values.
 GRACE_SECONDS, BASELINE_HOURS = 30, 6
@@ -29,12 +29,12 @@ def price_at(keys: DataFrame, candles: DataFrame) -> DataFrame:
 def price_asof(keys: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``price`` to ``(key_id, asset, at)``: the last price at or before, for sparse series. ``key_id`` may have any type.
 
-    Prices ``(asset, at, seq, price)`` and keys are one sorted sequence an asset, cut by the hour, so an asset may hold most rows.
+    Prices ``(asset, at, seq, price)`` and keys are one sorted sequence an asset, cut by time as its rows ask, so an asset may hold most rows. A key without an asset has no price.
     """
-    both = prices.select("asset", "at", F.lit(0).alias("kind"), F.col("seq"), F.col("price").alias("_p"), F.lit(None).cast(keys.schema["key_id"].dataType).alias("key_id")).unionByName(
+    both = prices.where("asset is not null").select("asset", "at", F.lit(0).alias("kind"), F.col("seq"), F.col("price").alias("_p"), F.lit(None).cast(keys.schema["key_id"].dataType).alias("key_id")).unionByName(
         keys.select("asset", "at", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("_p"), "key_id")
     )
-    out = carried(both, ["asset"], ["at", "kind", "seq"], F.date_trunc("hour", "at"), {"price": "_p"})
+    out = carried(cut_by_time(both, ["asset"], "at", "_cut"), ["asset"], ["at", "kind", "seq"], F.col("_cut"), {"price": "_p"})
     return out.where("kind = 1").select("key_id", "asset", "at", "price")
 
 

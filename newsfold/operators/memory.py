@@ -213,7 +213,7 @@ def diff_states(articles: DataFrame, by: str = "event_key", order: tuple[str, st
     ``material``, and ``decision``: NEW for the event's first; UPDATE if a number moved (or came or
     went), a text is told that is less than ``TEXT_RATIO`` like the old one, the status took
     another rank, or two or more claims are new; else DUPLICATE. Blank texts tell nothing. Events are
-    cut by the hour, so one event may hold most rows. Articles without an event (a null key) are each
+    cut by time as their rows ask, so one event may hold most rows. Articles without an event (a null key) are each
     the first of their own: NEW. Ids must be unique.
     """
     lone = F.col(by).isNull()
@@ -231,7 +231,7 @@ def _diffs_of_events(articles: DataFrame, by: str, order: tuple[str, str]) -> Da
     status = F.when(_told("status").isNotNull(), F.struct(rank.alias("rank"), *order, "status"))
     rows = articles.withColumns({"status_rank": rank, "_one": F.lit(1), "_status": status, **{f"_new_{t}": _told(t) for t in texts}})
     last = {**{f"old_{n}": n for n in numbers}, **{f"old_{t}": f"_new_{t}" for t in texts}}
-    out = carried(rows, [by], list(order), F.date_trunc("hour", F.col(order[0])), last, {"old_rank": "status_rank", "_seen": "_one", "_top": "_status"})
+    out = carried(cut_by_time(rows, [by], order[0], "_cut"), [by], list(order), F.col("_cut"), last, {"old_rank": "status_rank", "_seen": "_one", "_top": "_status"})
     out = out.withColumn("first", F.col("_seen").isNull()).withColumn("old_status", F.col("_top.status"))
     later = ~F.col("first")
     changed = {n: later & V.numeric_changed(F.col(f"old_{n}"), F.col(n)) for n in numbers}
@@ -248,7 +248,7 @@ def _diffs_of_events(articles: DataFrame, by: str, order: tuple[str, str]) -> Da
         out = out.join(folded.select(by, F.col("id").alias(order[1]), "new_claims", "material"), [by, order[1]], "left")
         moved = moved | F.coalesce("material", F.lit(False))
     out = out.withColumn("decision", F.when(F.col("first"), "NEW").when(moved, "UPDATE").otherwise("DUPLICATE"))
-    return out.drop("_one", "_seen", "_status", "_top", *[f"_new_{t}" for t in texts])
+    return out.drop("_one", "_seen", "_status", "_top", "_cut", *[f"_new_{t}" for t in texts])
 
 
 def diff_summary(diffs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import values as V
+from ..scale import carried, cut_by_number
 from .consensus import passed
 
 #: Limits of the gates. Fixed values.
@@ -71,13 +72,15 @@ def suppress_repeats(alerts: DataFrame) -> DataFrame:
     An alert repeats if the one before it, of the same event (else article) and asset, has the same
     direction, magnitude and confidence to a tenth, and its verdict isn't a deep one. With one
     alert a key and batch this equals the published memory, as a held alert has the published shape.
+    An event and asset may hold most alerts: they are cut into spans of ``seq``, which hand on their last shape.
     """
     key = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("news:"), F.col("news_id").cast("string")))
     shape = F.struct("direction", "magnitude", F.bround(F.col("confidence") * 10).cast("int").alias("tenths"))
-    w = W.partitionBy("_key", "_asset").orderBy("seq")
     out = alerts.withColumn("_key", key).withColumn("_asset", F.upper("asset")).withColumn("_shape", shape)
-    same = F.lag("_shape").over(w).eqNullSafe(F.col("_shape")) & F.lag("_shape").over(w).isNotNull()
-    return out.withColumn("repeat", same & ~F.col("source").isin("stage5", "final")).drop("_key", "_asset", "_shape")
+    out = cut_by_number(out, ["_key", "_asset"], "seq", "_span")
+    out = carried(out, ["_key", "_asset"], ["seq"], F.col("_span"), last={"_before": "_shape"})
+    same = F.coalesce(F.col("_before").eqNullSafe(F.col("_shape")) & F.col("_before").isNotNull(), F.lit(False))
+    return out.withColumn("repeat", same & ~F.coalesce(F.col("source").isin("stage5", "final"), F.lit(False))).drop("_key", "_asset", "_shape", "_span", "_before")
 
 
 def not_yet_alerted(alerts: DataFrame, sent: DataFrame) -> DataFrame:
@@ -121,7 +124,8 @@ def to_predictions(impacts: DataFrame) -> DataFrame:
 
 
 def order_alerts(alerts: DataFrame) -> DataFrame:
-    return alerts.orderBy(F.desc("alert_score"))
+    """By score, the highest first; equal scores in the order of their ``seq``."""
+    return alerts.orderBy(F.desc("alert_score"), "seq")
 
 
 def deliveries(alerts: DataFrame, chats: DataFrame, digest_above: int = DIGEST_ABOVE) -> DataFrame:

@@ -269,12 +269,13 @@ def p9_k6_v8_ranges(t: Tables) -> DataFrame:
 def v3_v7_identity_pairs(t: Tables) -> DataFrame:
     """Likeness of part identities of one type and size whose names share a word: candidates come from an equi-join on
     (type, size, word), with no pair twice."""
-    words = F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")
+    words = F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words")
     asset = F.when(F.col("p_partkey") % 3 == 0, "bitcoin").when(F.col("p_partkey") % 3 == 1, "btc").otherwise("").alias("asset")
     side = F.struct(F.lower("p_type").alias("event_type"), F.lower("p_brand").alias("entity"), asset, F.lit("").alias("action"), F.lower("p_name").alias("target"))
-    rows = t.part.select("p_partkey", "p_type", "p_size", "p_name", side.alias("a")).select("p_partkey", "p_type", "p_size", "a", words)
-    other = rows.select(F.col("p_partkey").alias("other"), "p_type", "p_size", F.col("a").alias("b"), "word")
-    pairs = rows.join(other, ["p_type", "p_size", "word"]).where("p_partkey < other").dropDuplicates(["p_partkey", "other"])
+    rows = t.part.select("p_partkey", "p_type", "p_size", side.alias("a"), words).withColumn("word", F.explode("words"))
+    other = rows.select(F.col("p_partkey").alias("other"), "p_type", "p_size", F.col("a").alias("b"), F.col("words").alias("theirs"), "word")
+    met = rows.join(other, ["p_type", "p_size", "word"]).where("p_partkey < other")
+    pairs = met.where(F.col("word") == F.array_min(F.array_intersect("words", "theirs"))).drop("words", "theirs")  # each pair by its least word only
     both = identity_match(pairs, "a", "b", "m").withColumn("ratio", string_ratio(F.col("a.target"), F.col("b.target")))
     return rounded(both.select("p_partkey", "other", "m.same", "m.score", "m.conflict", "ratio"))
 

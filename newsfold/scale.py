@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def carried(df: DataFrame, by: list[str], order: list[str], chunk: Column, last:
     greatest value. A key may hold most of all rows: ``chunk``, which must grow with the
     order (say, the hour), cuts it into pieces; one row a piece carries values from piece to
     piece, and rows look back only within theirs. Ties in ``order`` are taken as one engine's
-    sort gives them, so the order should be unique.
+    sort gives them, so the order should be unique. Null keys are a key of their own.
     """
     last, most = last or {}, most or {}
     df = df.withColumn("_chunk", chunk)
@@ -164,8 +165,9 @@ def carried(df: DataFrame, by: list[str], order: list[str], chunk: Column, last:
     pieces = df.groupBy(*by, "_chunk").agg(*ends)
     w = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = [F.last(f"_e_{o}", ignorenulls=True).over(w).alias(f"_c_{o}") for o in last] + [F.max(f"_e_{o}").over(w).alias(f"_c_{o}") for o in most]
-    pieces = pieces.select(*by, "_chunk", *carry)
-    joined = df.join(pieces, [*by, "_chunk"])
+    pieces = pieces.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate([*by, "_chunk"])], *carry)
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate([*by, "_chunk"])))
+    joined = df.join(pieces, same).drop(*[f"_p{i}" for i in range(len(by) + 1)])
     within = W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     for o, c in last.items():
         joined = joined.withColumn(o, F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"_c_{o}")))
@@ -177,9 +179,21 @@ def carried(df: DataFrame, by: list[str], order: list[str], chunk: Column, last:
 def cut_by_time(df: DataFrame, by: list[str], at: str, out: str = "cut", rows: int = 20_000) -> DataFrame:
     """Add ``out``, a ``(day, part)`` that grows with the time ``at`` and cuts each key's days into parts of about ``rows`` rows.
 
-    The number of a day's parts follows its count, so that a key may hold most rows; parts are equal spans of the day.
+    The number of a day's parts follows its count, so that a key may hold most rows; parts are equal spans of the day. Null keys are a key of their own.
     """
-    days = df.groupBy(*by, F.to_date(at).alias("_day")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    days = df.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(by)], F.to_date(at).alias("_day")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
     second = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
     part = F.floor(second * F.col("_parts") / 86_400).cast("int")
-    return df.withColumn("_day", F.to_date(at)).join(days, [*by, "_day"]).withColumn(out, F.struct(F.col("_day").alias("day"), part.alias("part"))).drop("_day", "_parts")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(by)), F.to_date(at).eqNullSafe(F.col("_day")))
+    return df.join(days, same).withColumn(out, F.struct(F.col("_day").alias("day"), part.alias("part"))).drop("_day", "_parts", *[f"_s{i}" for i in range(len(by))])
+
+
+def cut_by_number(df: DataFrame, by: list[str], at: str, out: str = "cut", rows: int = 20_000) -> DataFrame:
+    """Add ``out``, a number that grows with the number ``at`` and cuts each key into equal spans of ``at``, of about ``rows`` rows where it is well spread.
+
+    The number of a key's spans follows its count, so that a key may hold most rows. Null keys are a key of their own; rows without ``at`` have no span.
+    """
+    spans = df.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(by)]).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.ceil(F.count("*") / rows).alias("_parts"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(by)))
+    span = F.floor((F.col(at).cast("double") - F.col("_low")) * F.col("_parts") / (F.col("_high").cast("double") - F.col("_low") + 1))
+    return df.join(spans, same).withColumn(out, span).drop("_low", "_high", "_parts", *[f"_s{i}" for i in range(len(by))])

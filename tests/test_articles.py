@@ -140,6 +140,27 @@ def test_identities_against_a_loop(spark):
     assert [got[i].m.same for i in range(len(IDENTITIES))] == [x[2] for x in IDENTITIES]
 
 
+@pytest.mark.parametrize("cells", [2_000_000, 60])
+def test_likeness_of_many_pairs_at_once(cells):
+    draw = random.Random(cells)
+    letters = ["ab", "abc ", "abcdefghij é", "xyz😀"]
+    pairs = [tuple("".join(draw.choices(some, k=draw.randrange(30))) for _ in range(2)) for some in letters * 400]
+    for some in ("ab", "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") * 25:  # long texts, some full of one character
+        text = draw.choices(some, k=draw.randrange(150, 400))
+        other = [draw.choice(some) if draw.random() < 0.1 else c for c in text][draw.randrange(40) :]
+        pairs.append(("".join(text), "".join(other)))
+    pairs += [("", ""), ("", "a"), ("a", ""), pairs[0], pairs[0]]
+    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert K.likenesses(*map(list, zip(*pairs)), cells).tolist() == want
+    assert K.likenesses([], []).tolist() == []
+
+
+def test_prices_without_an_asset(spark):
+    prices = spark.sql("SELECT * FROM VALUES ('A', timestamp'2024-01-01 10:00:00', 1L, 5.0D), (NULL, timestamp'2024-01-01 10:00:00', 2L, 7.0D) AS t(asset, at, seq, price)")
+    keys = spark.sql("SELECT * FROM VALUES (1, 'A', timestamp'2024-01-03 00:00:00'), (2, NULL, timestamp'2024-01-01 11:00:00'), (3, 'B', timestamp'2024-01-01 11:00:00'), (4, 'A', timestamp'2024-01-01 09:00:00') AS t(key_id, asset, at)")
+    assert {r.key_id: r.price for r in B.price_asof(keys, prices).collect()} == {1: 5.0, 2: None, 3: None, 4: None}
+
+
 def test_matching_against_a_loop(spark):
     draw = random.Random(9)
     rows = [(i, draw.randrange(40), identities_of(draw)) for i in range(150)]

@@ -1,5 +1,7 @@
 """Panel rules on small cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from newsfold.functions import values as V
 from newsfold.operators import consensus as C
 from newsfold.operators import impact as I
 from newsfold.operators import routing as R
+from newsfold.scale import cut_by_number
 
 
 def one(spark, *columns):
@@ -113,3 +116,21 @@ def test_budget_and_repeats(spark):
     rows = [(1, 1, "btc", 1, "BULLISH", "HIGH", 0.71, "stage4"), (1, 2, "BTC", 2, "BULLISH", "HIGH", 0.69, "stage4"), (1, 3, "BTC", 3, "BULLISH", "HIGH", 0.71, "final"), (None, 4, "BTC", 4, "BULLISH", "HIGH", 0.7, "stage4")]
     a = spark.createDataFrame(rows, "event_id long, news_id long, asset string, seq long, direction string, magnitude string, confidence double, source string")
     assert {r.seq: r.repeat for r in R.suppress_repeats(a).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_repeats_of_a_hot_event_against_a_loop(spark):
+    draw = random.Random(7)
+    rows = [(1 if draw.random() < 0.8 else draw.choice([2, None]), None if draw.random() < 0.1 else draw.randrange(3), draw.choice(["btc", "BTC", "eth", None]), i * 7, draw.choice(["BULLISH", "BEARISH"]), "HIGH", draw.choice([0.7, 0.71, 0.9]), draw.choice(["stage4", "stage4", "final", None])) for i in range(3_000)]
+    a = spark.createDataFrame(rows, "event_id long, news_id long, asset string, seq long, direction string, magnitude string, confidence double, source string")
+    want, held = {}, {}
+    for event, news, asset, seq, direction, magnitude, confidence, source in rows:
+        key = (event, news if event is None else None, asset and asset.upper())
+        shape = (direction, magnitude, round(confidence * 10))
+        want[seq], held[key] = held.get(key) == shape and source not in ("stage5", "final"), shape
+    assert {r.seq: r.repeat for r in R.suppress_repeats(a).collect()} == want
+    cut = cut_by_number(a, ["event_id", "asset"], "seq", rows=50)  # whole keys, also null ones, in spans that grow with seq
+    cuts = {}
+    for r in sorted(cut.collect(), key=lambda r: r.seq):
+        cuts.setdefault((r.event_id, r.asset), []).append(r.cut)
+    assert sum(map(len, cuts.values())) == 3_000 and all(c == sorted(c) and max(c.count(x) for x in c) <= 100 for c in cuts.values())
+    assert max(len(set(c)) for c in cuts.values()) > 10
