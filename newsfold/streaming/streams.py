@@ -15,6 +15,7 @@ from ..functions import likeness as L
 from ..functions import values as V
 from ..operators.feedback import BASELINE_HOURS, GRACE_SECONDS
 from ..operators.memory import CLAIM_RATIO, MOST_CLAIMS, NUMBERS, TEXT_RATIO, TEXTS
+from ..scale import settle
 from ..sources.tables import lookback  # noqa: F401  (stream and batch look back alike)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -218,7 +219,8 @@ def event_state_stream(articles: DataFrame, days: int | None = STATE_DAYS, known
     start = None
     if known is not None:
         kinds["key_claims"] = "array<string>"
-        start = known.select("event_key", "status_rank", "article_count", "update_count", *[column(c, known.columns) for c in (*NUMBERS, *TEXTS, "status", "key_claims")]).groupBy("event_key")
+        begun = known.select("event_key", "status_rank", "article_count", "update_count", *[column(c, known.columns) for c in (*NUMBERS, *TEXTS, "status", "key_claims")])
+        start = settle(begun).groupBy("event_key")  # the stream's own plan stays small
     schema = ", ".join(f"{c} {told[c]}" for c in TOLD)
     return rows.groupBy("event_key").transformWithStateInPandas(EventState(ttl), schema, "Append", mode, start)
 
@@ -285,7 +287,8 @@ def alert_memory_stream(alerts: DataFrame, acknowledged: DataFrame | None = None
         rows = rows.unionByName(acks)
     start = None
     if sent is not None:
-        start = sent.where("delivered and event_id is not null").withColumn("news_id", F.lit(None)).select(_alert_key()).distinct().withColumn("yes", F.lit(True)).groupBy("key")
+        begun = sent.where("delivered and event_id is not null").withColumn("news_id", F.lit(None)).select(_alert_key()).distinct().withColumn("yes", F.lit(True))
+        start = settle(begun).groupBy("key")
     return rows.groupBy("key").transformWithStateInPandas(AlertMemory(ttl), "key string, seq long, send boolean", "Append", mode, start)
 
 
