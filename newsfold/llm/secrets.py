@@ -3,7 +3,9 @@
 Three patterns give the base spans. The method then lexes source and configuration syntax
 into pairs of a name and a literal: ``NAME = "x"``, ``"name": "x"``, ``export NAME=x``,
 ``<name>x</name>``, ``--name x``, with escapes, triple quotes, YAML blocks and literals that
-``+``, ``.`` or plain adjacency put together. Names within braces or under an indented parent
+``+``, ``.`` or plain adjacency put together; also literals with prefixes (``f"x"``), annotated
+names and subscripts, ``key``/``name`` beside ``value``, ``#define``, setters, names asked for with
+a default, credentials after a header's scheme, and passwords in URLs. Names within braces or under an indented parent
 know the names around them. Names bound to other names form a graph; how sensitive a name is
 goes against its edges to a fixed point, so that a literal counts for every name that it
 reaches, wherever they stand. Literals are scored by the most sensitive of these and by how
@@ -45,18 +47,27 @@ CARRIERS = {"value", "data", "content", "raw", "text", "string", "default", "lit
 # Lengths have no bound: names, blanks and literals exclude what ends them, so they never give back what they took.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _DQ, _SQ = r"(?:[^\"\\\r\n]|\\.)++", r"(?:[^'\\\r\n]|\\.)++"
+#: Letters before a quote, and a type between a name and its literal.
+_PREFIX = r"(?:[rRbBuUfF]{1,2}|[@$L])?+"
+_TYPE = rf"""(?::[\x20\t]*+[A-Za-z_][A-Za-z0-9_.\[\]|]*+[\x20\t]++(?==[\x20\t]*+{_PREFIX}["']))?+"""
 _TOKEN = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+"""
-    rf"""(?:\"\"\"(?P<tq>(?:[^"\\]|\\.|"(?!""))++)\"\"\"|"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})'|`(?P<bq>[^`\r\n]++)`"""
+    rf"""(?<![A-Za-z0-9_.\-])["'`]?(?P<name>{_NAME})["'`]?\]?+[\x20\t]*+{_TYPE}(?::=|=>|[:=])[\x20\t]*+"""
+    rf"""(?:{_PREFIX}(?:\"\"\"(?P<tq>(?:[^"\\]|\\.|"(?!""))++)\"\"\"|"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})')|`(?P<bq>[^`\r\n]++)`"""
     rf"""|[|>][+-]?[\x20\t]*+\r?\n(?P<block>(?:[\x20\t]++[^\s][^\r\n]*+(?:\r?\n|\Z))++)"""
     rf"""|(?P<bare>[^\s"'<>,;(){{}}\[\]`]++)|(?P<brace>\{{)|(?P<under>(?=[\r\n])))"""
     rf"""|<(?P<tag>{_NAME})>(?P<body>[^<\r\n]++)</"""
     rf"""|(?<!\S)--?(?P<flag>{_NAME})[\x20\t](?P<value>[^\s"'-]\S{{5,}}+)"""
+    rf"""|(?:\#define[\x20\t]++(?P<defined>{_NAME})[\x20\t]++|(?<![A-Za-z0-9_])(?P<setter>set_?[A-Za-z][A-Za-z0-9_]*+)\([\x20\t]*+"""
+    rf"""|\([\x20\t]*+["'](?P<asked>{_NAME})["'][\x20\t]*+,[\x20\t]*+){_PREFIX}(?:"(?P<edq>{_DQ})"|'(?P<esq>{_SQ})')"""
     rf"""|(?P<left>\{{)|(?P<right>\}})"""
 )
 #: What joins a literal to the one before it, and that literal.
-_MORE = re.compile(rf"""[\x20\t]*+(?:\\\r?\n[\x20\t]*+|(?:\r?\n[\x20\t]*+)?[+.][\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?)?(?:"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})')""")
+_MORE = re.compile(rf"""[\x20\t]*+(?:\\\r?\n[\x20\t]*+|(?:\r?\n[\x20\t]*+)?[+.][\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?)?{_PREFIX}(?:"(?P<dq>{_DQ})"|'(?P<sq>{_SQ})')""")
 _BLANKS = re.compile(r"[\x20\t]*+(?:-[\x20\t]++)?")
+#: How a header names its scheme before the credential, and the password in a URL.
+_SCHEME = re.compile(r"(?:bearer|basic|token)(?:[\x20\t]++|\Z)", re.I)
+_CREDENTIAL = re.compile(r"""[\x20\t]++([^\s"',;]++)""")
+_USERINFO = re.compile(r"""://[^\s/:@"'<>]*+:([^\s/:@"'<>]{6,}+)@""")
 _ESCAPE = re.compile(r"\\(.)", re.S)
 #: Labels of a key on one line; their blanks don't make it prose.
 _LABEL = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]++-----")
@@ -96,6 +107,7 @@ def pairs(text: str) -> list[tuple[str, str, tuple[int, int], str]]:
     out = []
     around: list[tuple[int, str]] = []  # parents: (indent, name); braces have indent -1
     at = line = 0
+    entry = (-1, "")  # where the last ``key`` or ``name`` ended, and what it said
     first = _BLANKS.match(text).end()
     while m := _TOKEN.search(text, at):
         end = m.end()
@@ -110,11 +122,13 @@ def pairs(text: str) -> list[tuple[str, str, tuple[int, int], str]]:
                     pass
             at = end
             continue
-        name = m["name"] or m["tag"] or m["flag"]
+        name = m["name"] or m["tag"] or m["flag"] or m["defined"] or m["setter"] or m["asked"]
         if m.start() <= first + 1 and m.start() >= line and (not around or around[-1][0] >= 0):
             while around and around[-1][0] >= first - line:
                 around.pop()
-        if around and name.lower() in CARRIERS:
+        if name.lower() == "value" and entry[0] >= 0 and not text[entry[0] : m.start()].strip(" \t\r\n,;"):
+            name = entry[1]
+        elif around and name.lower() in CARRIERS:
             name = around[-1][1] or name
         if m["brace"] is not None or m["under"] is not None:
             around.append((-1, name) if m["brace"] is not None else (first - line, name))
@@ -123,7 +137,12 @@ def pairs(text: str) -> list[tuple[str, str, tuple[int, int], str]]:
         kind = m.lastgroup
         low, high = m.span(kind)
         literal = m[kind]
-        if kind in ("dq", "sq"):
+        if scheme := _SCHEME.match(literal):
+            if kind == "bare" and (told := _CREDENTIAL.match(text, end)):
+                (low, high), literal, end = told.span(1), told[1], told.end()
+            elif scheme.end() < len(literal):
+                low, literal = low + scheme.end(), literal[scheme.end() :]
+        if kind in ("dq", "sq", "edq", "esq"):
             literal = _ESCAPE.sub(r"\1", literal) if "-----" not in literal else literal
             while more := _MORE.match(text, end):
                 _, high = more.span(more.lastgroup)
@@ -133,7 +152,10 @@ def pairs(text: str) -> list[tuple[str, str, tuple[int, int], str]]:
             literal = "".join(x.strip() for x in literal.splitlines())
             low, high = low + len(text[low:high]) - len(text[low:high].lstrip()), low + len(text[low:high].rstrip())
         out.append((name, kind, (low, high), literal))
+        entry = (end, literal) if name.lower() in ("key", "name") else (-1, "")
         at = end if end > at else at + 1
+    if "://" in text:
+        out += [("password", "userinfo", m.span(1), m[1]) for m in _USERINFO.finditer(text)]
     return out
 
 
@@ -172,7 +194,7 @@ def find(text: str | None, least: float = 2.5) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text or "</" in text or "--" in text:
+    if "=" in text or ":" in text or "</" in text or "--" in text or "#define" in text or "(" in text:
         spans += [("named", *span) for span in _named(text, least)]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))

@@ -60,6 +60,28 @@ def test_constants_and_parents():
     assert named('token = "xnonex81MmQzz29"') == ["xnonex81MmQzz29"]  # a placeholder counts only as a word
 
 
+KEY = "hT5#kQ9!zL2x"
+FORMS = [
+    'password = f"{}"', 'password = r"{}"', "db_pwd = b'{}'", 'db_pwd = u"{}"', 'config["password"] = "{}"', "config['client_secret'] = '{}'", 'password: str = "{}"', "const password: string = '{}'",
+    'Authorization: Bearer {}', '{{"Authorization": "Bearer {}"}}', '<add key="password" value="{}"/>', '{{"name": "DB_PASSWORD", "value": "{}"}}', "- name: DB_PASSWORD\n  value: {}", 'user.setPassword("{}")',
+    'os.getenv("DB_PASSWORD", "{}")', '#define DB_PASSWORD "{}"', "url = postgres://bob:{}@host/db", "see amqp://bob:{}@host",
+]
+PLAIN = [
+    'colour = f"{}"', 'config["colour"] = "{}"', 'colour: str = "{}"', "X-Colour: Bearer of {}", '<add key="colour" value="{}"/>', '<add key="password"/> then <b value="{}"/>', 'user.setColour("{}")', 'os.getenv("COLOUR", "{}")',
+    '#define COLOUR "{}"', "http://host/a:{}@b", 'reset("password", other) ; x("{}")',
+]
+
+
+def test_forms_of_names_and_literals():
+    for form in FORMS:
+        key = KEY.replace("#", "-") if "://" in form else KEY
+        assert named(form.format(key)) == [key], form
+        assert named(f"x = 1\n{form.format(key)}\ny = 2") == [key], form
+    for form in PLAIN:
+        assert named(form.format(KEY)) == [], form
+    assert named('secret_key = f"hT5#kQ" r"9!zL2x"') == ['hT5#kQ" r"9!zL2x']
+
+
 def test_frame(spark):
     rows = [(1, 'password = "abc123XYZ"'), (1, 'password = "abc123XYZ"'), (2, None), (3, ""), (4, "x" * 300_000 + " token=abcdef1"), (5, "é token=abcdef1")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' AS spans")
@@ -86,7 +108,7 @@ def test_long_literals_are_whole(size):
 
 def test_time_grows_with_the_text():
     n = 200_000
-    for text in ("a" * n, "a " * n, "a" + " " * n, 'a="' * n, "a='\"" * n, "<a>" * n, "-" * n, "a=" * n, "a: " + " " * n + "b", "{" * n, "a:\n " * n, "a: {" * n, 'a="b"+' * n, "a: |\n b\n" * n, "a=b\n" * n, 'a="""' * n, "a:\n" + " " * n + "b:\n"):
+    for text in ("a" * n, "a " * n, "a" + " " * n, 'a="' * n, "a='\"" * n, "<a>" * n, "-" * n, "a=" * n, "a: " + " " * n + "b", "{" * n, "a:\n " * n, "a: {" * n, 'a="b"+' * n, "a: |\n b\n" * n, "a=b\n" * n, 'a="""' * n, "a:\n" + " " * n + "b:\n", "a: b " * n, "a:" + "b" * n + " ", "://a:" * n, "://" + "a" * n, '("a",' * n, "#define a " * n, "seta(" * n, "name=a value=" * n, "a: Bearer " * n):
         began = time.process_time()
         secrets.find(text)
         assert time.process_time() - began < 5
