@@ -14,7 +14,7 @@ Work is in six steps, none of which gathers a large group or emits a group's pai
    combine), so that thousands of copies go on as one row.
 2. tables: keys that only one class has are dropped by collection *before* pairs are
    combined; buckets with the same members go on as one.
-3. links: each member of a bucket is compared with the bucket's smallest by their
+3. links: each member of a bucket is compared with the bucket's centre by their
    signatures, whose estimate must come within 4.5 deviations of the threshold. Where one
    fails in a bucket of three or more, all that are connected by such comparisons are
    compared in bounded blocks, which report a forest of the links found.
@@ -154,16 +154,20 @@ def features(df: DataFrame, id_col: str, text: str, words: int, collections: int
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, src, n, c)``: the members ``c`` of table buckets of two or more, with the smallest
-    of them and their number; of buckets with the same members only one."""
+    """``(bucket, src, n, c)``: the members ``c`` of table buckets of two or more, with the centre
+    of them and their number; of buckets with the same members only one.
+
+    The centre is the member whose keys most classes share (the smallest of equals). Buckets of one large group so have
+    few centres between them, and a member few links to centres, where the smallest members would be as many as the buckets.
+    """
     single = classes.select("c", F.posexplode("keys").alias("pos", "key"))
-    shared = single.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    left = single.join(shared, ["pos", "key"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("own"))  # at most one a collection
+    shared = single.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1")
+    left = single.join(shared, ["pos", "key"]).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("own"), F.sum("n").alias("w"))  # at most one a collection
     pairs = left.where("size(own) > 1").selectExpr(
-        "c", "explode(flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.pos, y.pos, x.key, y.key))))) as bucket"
+        "c", "w", "explode(flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x.pos, y.pos, x.key, y.key))))) as bucket"
     )
     pairs = settle(pairs)
-    shape = pairs.groupBy("bucket").agg(F.min("c").alias("src"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(c))").alias("x"), F.expr("bit_xor(xxhash64(1, c))").alias("y"))
+    shape = pairs.groupBy("bucket").agg(F.max_by("c", F.struct("w", -F.col("c"))).alias("src"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(c))").alias("x"), F.expr("bit_xor(xxhash64(1, c))").alias("y"))
     once = shape.where("n > 1").groupBy("src", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "src", "n")
     return settle(pairs.join(once, "bucket").select("bucket", "src", "n", "c"))
 
@@ -203,7 +207,7 @@ def _by_task(rows: DataFrame, decide: Callable[[list], list]) -> DataFrame:
 def alike(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``(src, dst)``: links of :func:`buckets`' members whose signatures are so alike that their sets may be.
 
-    First each member is compared with its bucket's smallest. Members of buckets of three or
+    First each member is compared with its bucket's centre. Members of buckets of three or
     more form neighbourhoods by these comparisons, whatever they gave; in a neighbourhood with a failed one, the
     classes are compared in blocks, so that a class goes to as many tasks as its neighbourhood
     has blocks, however many buckets it is in. Tasks report a forest of the links found.

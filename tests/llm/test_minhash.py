@@ -114,3 +114,21 @@ def test_templates_are_not_clustered(spark):
     links = minhash.alike(classes, minhash.buckets(classes), 75)
     assert links.count() < 100
     assert minhash.near_groups(df).where("kept").count() == 2000
+
+
+def test_large_group_has_few_centres(spark):
+    """Near copies of one text: buckets meet in those that most share keys with, so links are a few times the classes and not a link for each pair of bucket and class."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(600):
+        own = list(base)
+        for _ in range(draw.randrange(1, 3)):
+            own[draw.randrange(120)] = word()
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = minhash.features(df, "doc_id", "text", 5, 28).select(minhash.F.col("id").alias("c"), "keys", "signature")
+    stars = minhash.buckets(classes).where("c <> src").select("src", "c").distinct()
+    assert stars.count() < 5_000
+    assert minhash.near_groups(df).where("kept").count() == 1
