@@ -54,7 +54,9 @@ def feed_articles(feed_docs: DataFrame, body_chars: int = 6000) -> DataFrame:
     clean = F.regexp_replace(F.col("payload").cast("string"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
     blocks = F.regexp_extract_all(clean, F.lit(r"(?is)<(?:\w+:)?(?:item|entry)\b[^>]*>(.*?)</(?:\w+:)?(?:item|entry)\s*>"), F.lit(1))
     head = F.regexp_extract(clean, r"(?is)^(.*?)(?:<(?:\w+:)?(?:item|entry)\b|\z)", 1)
-    rows = feed_docs.select("feed_url", "fetched_at", clean_title(_element("title", head)).alias("channel"), F.posexplode_outer(blocks).alias("pos", "block")).where("block is not null")
+    # what a payload gives is taken before it is cut into items, which then don't carry it
+    cut = feed_docs.select("feed_url", "fetched_at", clean_title(_element("title", head)).alias("channel"), blocks.alias("blocks"))
+    rows = cut.select("feed_url", "fetched_at", "channel", F.posexplode_outer("blocks").alias("pos", "block")).where("block is not null")
     block = F.col("block")
     rows = rows.withColumns({f"_{tag}": _element(tag, block) for tag in BODY_TAGS})
     rows = rows.withColumns({f"_{tag}": clean_text(F.col(f"_{tag}"), body_chars) for tag in BODY_TAGS})

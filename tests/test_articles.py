@@ -404,3 +404,13 @@ def test_greedy_dedup_query_takes_whole_texts(spark, tmp_path):
     texts = ["Rates\nThe central bank raised rates.", "Rates\nThe central bank cut its staff.", "RATES\n<p>the central bank raised   rates.</p>", "One line", "Another line", "Rates\nThe central bank raised rates."]
     spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id for r in QUERIES["w2_greedy_dedup"](spark, str(tmp_path)).collect() if r.kept} == {0, 1, 3, 4}
+
+
+def test_items_do_not_carry_their_payload(spark):
+    """Of a payload with n items, no row of an item holds the payload: rows and work grow with the items, not with their square."""
+    df = spark.createDataFrame([("https://f/1", "<rss><channel><title>Feed</title>" + "<item><title>A long title</title></item>" * 3 + "</channel></rss>", None)], "feed_url string, payload string, fetched_at timestamp")
+    out = S.feed_articles(df)
+    (cut,) = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split(cut)[0]
+    assert "payload" not in cut and "payload" not in above
+    assert [r.source for r in out.collect()] == ["Feed"] * 3
