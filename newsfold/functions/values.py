@@ -56,6 +56,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
+def half_even(c: Column, places: int) -> Column:
+    """Half-even on the double product, as the SQL side's ``round_even`` has it: ties are told by the double times the power of ten, where ``bround`` takes the shortest decimal digits."""
+    power = 10.0**places
+    near = lambda x: F.signum(x) * F.floor(F.abs(x) * power + 0.5) / power
+    return F.when((F.abs(c) * (power * 10)) % 10 == 5, near(c / 2) * 2).otherwise(near(c))
+
+
 # ---------------------------------------------------------------- coercions of text values
 def as_bool(c: Column) -> Column:
     """True and false words; numbers by whether they are zero; null for all else."""
@@ -222,13 +229,13 @@ def priority(low: Column, high: Column, confidence: Column, score: Column) -> Co
 
 def alert_score(score: Column, low: Column, high: Column, confidence: Column, source: Column, direction: Column, tradeable: Column, models: Column) -> Column:
     """0..100 from significance, size, confidence and depth, less for neutral, mixed, untradeable and unanswered verdicts."""
-    significance = F.coalesce(F.when(score != 0, score), F.lit(40.0)) / 100
+    significance = F.coalesce(F.when(score != 0, score), F.lit(40.0))
     size = F.least((F.abs(low) + F.abs(high)) / 2, F.lit(8.0)) / 8
     depth = F.when(source == "stage5", 0.06).when(source == "final", 0.12).otherwise(0.0)
-    raw = 0.40 * significance + 0.35 * size + 0.25 * confidence + depth
+    raw = 0.40 * significance / 100 + 0.35 * size + 0.25 * confidence + depth
     raw = raw * F.when(direction == "NEUTRAL", 0.35).when(direction == "MIXED", 0.75).otherwise(1.0)
     raw = raw * F.when(F.coalesce(tradeable, F.lit(True)), 1.0).otherwise(0.6) * F.when(models == 0, 0.4).otherwise(1.0)
-    return F.bround(F.least(F.lit(100.0), raw * 100), 1)
+    return half_even(F.least(F.lit(100.0), raw * 100), 1)
 
 
 def urgency_of(score: Column, magnitude: Column) -> Column:
@@ -238,7 +245,7 @@ def urgency_of(score: Column, magnitude: Column) -> Column:
 def damp_confidence(confidence: Column, agreement: Column, link: Column, relation: Column) -> Column:
     """Confidence less for a split panel, an unsure link and an indirect one."""
     damped = confidence * clamp(agreement, 0.4, 1.0) * clamp(0.6 + 0.4 * link, 0.6, 1.0) * F.when(relation == "INDIRECT", 0.85).otherwise(1.0)
-    return F.bround(clamp(damped, 0.0, 1.0), 3)
+    return half_even(clamp(damped, 0.0, 1.0), 3)
 
 
 def candle_midpoint(high: Column, low: Column) -> Column:

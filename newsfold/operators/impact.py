@@ -162,7 +162,7 @@ def revise(impacts: DataFrame, answers: DataFrame) -> DataFrame:
     confidence = F.when(F.col("contested"), F.least("was_confidence", "audit_confidence", F.lit(CONTESTED_CAP))).otherwise(F.least(F.col("audit_confidence"), F.col("was_confidence") * 1.15) * agreed)
     confidence = confidence * F.when((F.col("called") == "MIXED") & (F.col("was") != "MIXED"), 0.7).otherwise(1.0) * F.when(F.col("overlooked_any"), 0.9).otherwise(1.0)
     state = state.select(
-        *KEYS, "called", F.col("_magnitude"), F.bround("_low", 3).alias("_low"), F.bround("_high", 3).alias("_high"), F.bround(V.clamp(confidence, 0.0, 1.0), 3).alias("_confidence"),
+        *KEYS, "called", F.col("_magnitude"), V.half_even(F.col("_low"), 3).alias("_low"), V.half_even(F.col("_high"), 3).alias("_high"), V.half_even(V.clamp(confidence, 0.0, 1.0), 3).alias("_confidence"),
         V.snap_horizon(F.col("horizon")).alias("_horizon"), (F.col("confirmed") / F.col("n")).alias("_agreement"), F.col("n").alias("_n"),
     ).join(audit_notes(usable), KEYS, "left")
     out = impacts.join(state, KEYS, "left")
@@ -195,8 +195,8 @@ def decide_final(impacts: DataFrame, answers: DataFrame) -> DataFrame:
     ).otherwise("")
     pick = lambda new, old: F.when(done, new).otherwise(F.col(old)).alias(old)
     return out.select(
-        *KEYS, "relation", pick(F.col("called"), "direction"), pick(F.col("f_magnitude"), "magnitude"), pick(F.bround(F.least(low, high), 3), "expected_low"),
-        pick(F.bround(F.greatest(low, high), 3), "expected_high"), pick(F.bround(V.clamp(sure, 0.0, 1.0), 3), "confidence"), pick(V.snap_horizon(F.col("f_horizon")), "horizon_minutes"),
+        *KEYS, "relation", pick(F.col("called"), "direction"), pick(F.col("f_magnitude"), "magnitude"), pick(V.half_even(F.least(low, high), 3), "expected_low"),
+        pick(V.half_even(F.greatest(low, high), 3), "expected_high"), pick(V.half_even(V.clamp(sure, 0.0, 1.0), 3), "confidence"), pick(V.snap_horizon(F.col("f_horizon")), "horizon_minutes"),
         pick(F.coalesce("f_causality", F.lit("SENTIMENT")), "causality"), pick(F.coalesce(F.when(F.col("f_mechanism") != "", F.col("f_mechanism")), F.col("mechanism")), "mechanism"),
         pick(F.coalesce(F.when(F.col("f_risks") != "", F.col("f_risks")), F.col("risks")), "risks"), pick(F.col("f_agreement"), "agreement"), pick(F.col("n"), "model_count"),
         F.when(done, "final").otherwise(F.col("source")).alias("source"), pick((F.col("trades") * 2 > F.col("n")) & ~F.col("split"), "tradeable"),

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,12 @@ def test_repeats_of_a_hot_event_against_a_loop(spark):
         cuts.setdefault((r.event_id, r.asset), []).append(r.cut)
     assert sum(map(len, cuts.values())) == 3_000 and all(c == sorted(c) and max(c.count(x) for x in c) <= 100 for c in cuts.values())
     assert max(len(set(c)) for c in cuts.values()) > 10
+
+
+def test_half_even_as_the_sql_side(spark):
+    """Ties and near ties by the double's product, as ``round_even`` tells them; ``bround`` gives 54.9 for the first, whose shortest digits are below the tie."""
+    for x in (54.949999999999996, 54.95, 54.85, 0.25, 0.35, -0.25, 2.5, 0.0):
+        con = duckdb.connect()
+        want = con.execute("SELECT round_even(CAST(? AS DOUBLE), 1), round_even(CAST(? AS DOUBLE), 3)", [x, x / 100]).fetchone()
+        assert tuple(one(spark, V.half_even(F.lit(x), 1), V.half_even(F.lit(x / 100), 3))) == want
+    assert one(spark, V.half_even(F.lit(None).cast("double"), 1))[0] is None
