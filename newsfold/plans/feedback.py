@@ -140,16 +140,15 @@ changed AS (SELECT looked.*, new_claims, {", ".join(MOVED.format(n) for n in _NU
 full_diffs AS (SELECT *, CASE WHEN first THEN 'NEW' WHEN {" OR ".join(f"changed_{n}" for n in _CHANGES)} OR new_claims >= 2 THEN 'UPDATE' ELSE 'DUPLICATE' END AS decision FROM changed)"""
 
 
-def _full_diffs(t: Tables) -> DataFrame:
-    full = states(t).selectExpr(
+def _full(t: Tables) -> DataFrame:
+    return states(t).selectExpr(
         "*", *[f"CAST({e} AS double) AS {n}" for n, e in FULL_NUMBERS.items()], *[f"{e} AS {n}" for n, e in FULL_TEXTS.items()], f"array({', '.join(CLAIM_WORDS).format('string')}) AS claims"
     )
-    return M.diff_states(full)
 
 
 @query(f"WITH {FULL} SELECT id, decision, new_claims, {', '.join(f'changed_{n}' for n in _CHANGES)} FROM full_diffs")
 def w4_full_diffs(t: Tables) -> DataFrame:
-    return rounded(_full_diffs(t).select("id", "decision", "new_claims", *[f"changed_{n}" for n in _CHANGES]))
+    return rounded(M.diff_states(_full(t)).select("id", "decision", "new_claims", *[f"changed_{n}" for n in _CHANGES]))
 
 
 @query(f"""WITH {FULL}, k AS (SELECT event_key, string_agg(claim, ' ' ORDER BY tm, id, pos) AS key_claims FROM learnt WHERE known GROUP BY event_key)
@@ -157,7 +156,9 @@ def w4_full_diffs(t: Tables) -> DataFrame:
     {", ".join(f"round(arg_max({n}, (tm, id)) FILTER ({n} IS NOT NULL), 6) AS {n}" for n in _NUMBERS)}, {", ".join(f"arg_max({n}, (tm, id)) FILTER (coalesce({n}, '') <> '') AS {n}" for n in FULL_TEXTS)}
     FROM full_diffs d JOIN k ON d.event_key = k.event_key GROUP BY d.event_key""")
 def w5_full_merge(t: Tables) -> DataFrame:
-    out = M.events_rollup(_full_diffs(t)).withColumn("key_claims", F.array_join("key_claims", " "))
+    full = _full(t)
+    known = M.known_claims(M.claim_mentions(full, "event_key"), "event_key")  # once for the decisions and the merge
+    out = M.events_rollup(M.diff_states(full, known=known), known=known).withColumn("key_claims", F.array_join("key_claims", " "))
     return rounded(out.select("event_key", "article_count", "update_count", "status", "key_claims", *_NUMBERS, *FULL_TEXTS))
 
 

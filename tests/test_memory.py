@@ -9,6 +9,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from newsfold.plans import feedback  # noqa: F401
+from newsfold.plans.registry import QUERIES
 from newsfold.functions import likeness as K
 from newsfold.operators import memory as M
 from newsfold.operators.vector_index import VectorIndex
@@ -191,3 +193,21 @@ def test_prompts_of_stages(spark):
     got = {(r.id, r.stage, r.model): r.prompt for r in prompts.prompt_rows({2: df, 4: df}, models).collect()}
     assert len(got) == 6 and got[1, 2, "m"] == "\nITEM:\nTitle"
     assert got[2, 4, "n"] == "TARGET ASSET: \n\nEVENT: \nTYPE: HACK  ENTITY:   ACTION:   STATUS: REPORTED\nAMOUNT: $742,000,000\nPERCENTAGE: 3.2%\n\nCLAIMS:\n- a\n- b\n- c\n- d\n\nITEM:\nBody"
+
+
+def test_likeness_by_limit(spark):
+    """The limits by letters and by memory say what the whole likeness says; places come in order."""
+    draw = random.Random(3)
+    texts = ["", "us", "u.s.", "united states", "approved by the board"] + ["".join(draw.choice("abc de") for _ in range(draw.randrange(1, 30))) for _ in range(60)]
+    pairs = [(draw.choice(texts), draw.choice(texts)) for _ in range(2000)]
+    assert [K.plain_alike(a, b, 0.7) for a, b in pairs] == [K.plain_ratio(a, b) >= 0.7 for a, b in pairs]
+    df = spark.createDataFrame([(["claim one", "claim two", "other", "claim one!"],), ([],)], "own array<string>")
+    got = df.select(K.unlike_before(F.col("own"), 0.85).alias("p"), K.first_alike(F.lit("other"), F.col("own"), 0.85).alias("f")).collect()
+    assert [(r.p, r.f) for r in got] == [([1, 2, 3], 3), ([], 0)]
+
+
+def test_claims_are_learnt_once(spark, monkeypatch):
+    """The merge takes what the decisions learnt: one fold of the claims."""
+    calls, fold = [], M.known_claims
+    monkeypatch.setattr(M, "known_claims", lambda *a: calls.append(1) or fold(*a))
+    assert QUERIES["w5_full_merge"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
