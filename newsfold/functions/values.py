@@ -59,8 +59,7 @@ def clamp(c: Column, low: float, high: float) -> Column:
 def half_even(c: Column, places: int) -> Column:
     """Half-even on the double product, as the SQL side's ``round_even`` has it: ties are told by the double times the power of ten, where ``bround`` takes the shortest decimal digits."""
     power = 10.0**places
-    near = lambda x: F.signum(x) * F.floor(F.abs(x) * power + 0.5) / power
-    return F.when((F.abs(c) * (power * 10)) % 10 == 5, near(c / 2) * 2).otherwise(near(c))
+    return F.rint(c * power) / power
 
 
 # ---------------------------------------------------------------- coercions of text values

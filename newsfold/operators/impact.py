@@ -69,9 +69,23 @@ def _majority(answers: DataFrame, label: str, keys: list[str] = KEYS) -> DataFra
     return counts.groupBy(*keys).agg(F.max_by(label, F.struct("_n", label)).alias(f"top_{label}"), (F.max("_n") / F.sum("_n")).alias("share"), F.count("*").alias("kinds"))
 
 
-def _where_same(same: Column, how, value: Column) -> Column:
-    """An aggregate over the rows that share the panel's direction, over all rows if none does."""
-    return F.when(F.count_if(same) > 0, how(F.when(same, value))).otherwise(how(value))
+def _medians(df: DataFrame, same: Column, names: dict[str, str]) -> DataFrame:
+    """Replace ``_rows``, a panel's answers, by medians ``result -> field`` over those of which ``same`` holds, over all if it holds of none.
+
+    A panel has a few answers: they are sorted as one array a field, where each median aggregate would keep maps of its own for every panel.
+    """
+    chosen = df.withColumn("_near", same).withColumn("_near", F.when(F.size("_near") > 0, F.col("_near")).otherwise(F.col("_rows")))
+    fields = set(names.values())
+    told = chosen.withColumns({f"_s_{n}": F.sort_array(F.filter(F.col("_near")[n], lambda v: v.isNotNull())) for n in fields})
+    size = lambda n: F.size(f"_s_{n}")
+    at = lambda n, k: F.get(F.col(f"_s_{n}"), k.cast("int"))
+    middle = lambda n: 0.5 * at(n, F.floor((size(n) - 1) / 2)) + 0.5 * at(n, F.floor(size(n) / 2))
+    return told.withColumns({out: F.when(size(n) > 0, middle(n)) for out, n in names.items()}).drop("_rows", "_near", *[f"_s_{n}" for n in fields])
+
+
+def _sizes() -> list[Column]:
+    c = F.col
+    return [c("low"), c("high"), V.magnitude_rank(c("magnitude")).cast("double").alias("rank"), ((c("low") + c("high")) / 2).alias("midpoint")]
 
 
 def _fold(answers: DataFrame, direction: DataFrame) -> DataFrame:
@@ -84,12 +98,11 @@ def _fold(answers: DataFrame, direction: DataFrame) -> DataFrame:
     order = lambda text: F.struct(F.length(text), -c("model_seq"))
     mechanism = _strip(F.coalesce("mechanism", F.lit("")))
     out = joined.groupBy(*KEYS).agg(
-        _where_same(same, F.median, c("low")).alias("low"), _where_same(same, F.median, c("high")).alias("high"), _where_same(same, F.median, c("confidence")).alias("confidence"),
-        _where_same(same, F.median, c("horizon").cast("double")).alias("horizon"), _where_same(same, F.median, V.magnitude_rank(c("magnitude")).cast("double")).alias("rank"),
-        _where_same(same, F.median, (c("low") + c("high")) / 2).alias("midpoint"), F.count("*").alias("model_count"), F.when(F.count_if(same) > 0, F.count_if(same)).otherwise(F.count("*")).alias("aligned"),
+        F.collect_list(F.struct(same.alias("same"), *_sizes(), c("confidence"), c("horizon").cast("double").alias("horizon"))).alias("_rows"), F.count("*").alias("model_count"), F.when(F.count_if(same) > 0, F.count_if(same)).otherwise(F.count("*")).alias("aligned"),
         F.substring(F.when(F.count_if(same) > 0, F.max_by(mechanism, F.when(same, order(mechanism)))).otherwise(F.max_by(mechanism, order(mechanism))), 1, 600).alias("mechanism"),
         best_evidence(c("risks"), c("model_seq")).alias("risks"),
     )
+    out = _medians(out, F.filter("_rows", lambda x: x["same"]), {n: n for n in ("low", "high", "confidence", "horizon", "rank", "midpoint")})
     return out.join(top, KEYS, "left")
 
 
@@ -138,20 +151,15 @@ def revise(impacts: DataFrame, answers: DataFrame) -> DataFrame:
     other = ~F.col("confirms") & (F.col("audit") != "") & (F.col("audit") != F.col("was"))
     counts = joined.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.count_if(F.col("confirms")).alias("confirmed"), F.count_if(other).alias("others"), F.count_if(F.col("priced_in")).alias("priced"),
-        F.max(F.size("overlooked") > 0).alias("overlooked_any"), F.median("confidence").alias("audit_confidence"), F.median(F.col("horizon").cast("double")).alias("horizon"),
+        F.max(F.size("overlooked") > 0).alias("overlooked_any"), F.collect_list(F.struct("audit", *_sizes(), "confidence", F.col("horizon").cast("double").alias("horizon"))).alias("_rows"),
     )
     flips = _majority(joined.where(other), "audit")
     contested = F.col("confirmed") * 2 <= F.col("n")
     flip = (F.col("share") >= FLIP_SHARE) & (F.col("others") * 2 > F.col("n"))
     called = F.when(~contested | (F.col("others") == 0), F.col("was")).when(flip, F.col("top_audit")).when(F.col("was").isin("BULLISH", "BEARISH"), "MIXED").otherwise(F.col("was"))
     state = base.join(counts, KEYS).join(flips, KEYS, "left").withColumn("called", called).withColumn("contested", contested)
-    sized = joined.join(state.select(*KEYS, "called"), KEYS).withColumn("_same", (F.col("audit") == "") | (F.col("audit") == F.col("called")))
-    same, c = F.col("_same"), F.col
-    size = sized.groupBy(*KEYS).agg(
-        _where_same(same, F.median, c("low")).alias("audit_low"), _where_same(same, F.median, c("high")).alias("audit_high"),
-        _where_same(same, F.median, V.magnitude_rank(c("magnitude")).cast("double")).alias("rank"), _where_same(same, F.median, (c("low") + c("high")) / 2).alias("midpoint"),
-    )
-    state = state.join(size, KEYS)
+    state = _medians(state.withColumn("_all", F.col("_rows")), F.filter("_rows", lambda x: (x["audit"] == "") | (x["audit"] == F.col("called"))), {"audit_low": "low", "audit_high": "high", "rank": "rank", "midpoint": "midpoint"})
+    state = _medians(state.withColumnRenamed("_all", "_rows"), F.col("_rows"), {"audit_confidence": "confidence", "horizon": "horizon"})
     low, high = 0.35 * F.col("was_low") + 0.65 * F.col("audit_low"), 0.35 * F.col("was_high") + 0.65 * F.col("audit_high")
     keep = F.when(F.col("priced") * 2 > F.col("n"), PRICED_IN).otherwise(1.0)
     state = state.withColumn("_low", F.least(low, high) * keep).withColumn("_high", F.greatest(low, high) * keep).withColumn("_magnitude", magnitude_fold(F.col("rank"), F.col("midpoint")))

@@ -143,4 +143,8 @@ def test_half_even_as_the_sql_side(spark):
         con = duckdb.connect()
         want = con.execute("SELECT round_even(CAST(? AS DOUBLE), 1), round_even(CAST(? AS DOUBLE), 3)", [x, x / 100]).fetchone()
         assert tuple(one(spark, V.half_even(F.lit(x), 1), V.half_even(F.lit(x / 100), 3))) == want
+    draw = random.Random(1)
+    near = [x for _ in range(4000) for x in [(draw.randrange(20_000) + 0.5) / 1000 * draw.choice([1, 0.85, 0.7, 1.15]) / draw.choice([1, 0.85, 0.7, 1.15])]]
+    got = [r.y for r in spark.createDataFrame(list(enumerate(near)), "i long, x double").orderBy("i").select(V.half_even(F.col("x"), 3).alias("y")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round_even(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [near]).fetchall()]
     assert one(spark, V.half_even(F.lit(None).cast("double"), 1))[0] is None
