@@ -8,6 +8,7 @@ rows that don't need them.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -37,6 +38,8 @@ ENTITIES = {
     "&rsquo;": "'", "&lsquo;": "'", "&ldquo;": '"', "&rdquo;": '"', "&mdash;": "-", "&ndash;": "-", "&hellip;": "...", "&bull;": " ",
     "&#8217;": "'", "&#8216;": "'", "&#8220;": '"', "&#8221;": '"', "&#8212;": "-",
 }
+#: Characters that are white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Query parameters that name the referrer. Fixed values.
 TRACKING = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_name", "utm_reader", "utm_brand", "utm_social",
@@ -58,6 +61,8 @@ ENDINGS = [
     r"(?Uis)\b(?:Disclaimer|Disclosure)\s*:.{0,400}\z", r"(?Ui)\bClick here to\b.{0,80}\z", r"(?Ui)\bSubscribe to\b.{0,80}\z",
     r"(?Ui)\bFollow us on\b.{0,80}\z", r"(?Ui)\bPhoto(?:\s+by|:).{0,80}\z", r"(?Ui)\b(?:Image|Credit|Photograph)s?:?\s*\S{0,60}\z",
 ]
+#: Whether a text has any of these endings: all begin at the edge of a word, which is looked for once.
+ENDING = r"(?U)\b(?:" + "|".join(re.sub(r"^\(\?(\w+)\)\\b(.*)$", r"(?\1:\2)", p) for p in ENDINGS) + ")"
 #: Lines of navigation or sharing, in feed texts. Fixed values.
 FURNITURE = r"(?Ui)^\s*(share (?:this|on)|tweet|advertisement|sponsored|related:|tags?:|read also|see also|also read|newsletter|sign up)\b.*$"
 #: Shapes of provider credentials. Fixed values.
@@ -77,7 +82,7 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return _sub(c, r"(?U)^\s+|\s+\z")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(T.StringType())
@@ -96,9 +101,23 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+_JOINS = {x for c in range(0x110000) for x in unicodedata.normalize("NFD", chr(c))[1:]}
+
+
+def _still(first: int, last: int) -> str:
+    """The characters between two that NFKC leaves alone wherever they stand, as ranges of a pattern: they have no other form, are no marks, and join no character before them."""
+    still = {c for c in range(first, last + 1) if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and chr(c) not in _JOINS and unicodedata.category(chr(c)) != "Cn"}
+    starts, ends = sorted(c for c in still if c - 1 not in still), sorted(c for c in still if c + 1 not in still)
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+#: Texts in Latin and Cyrillic letters and common punctuation that are their own NFKC form. Runs are possessive: no text makes the pattern go back.
+NORMAL = rf"\A(?:[\x00-\x7f]++|[{_still(0x80, 0x17F)}{_still(0x400, 0x45F)}{_still(0x2010, 0x2027)}{_still(0x4E00, 0x9FFF)}\x{{20ac}}]++)*+\z"
+
+
 def nfkc(c: Column) -> Column:
-    """NFKC; rows of ASCII only don't cross to Python."""
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+    """NFKC; rows that are seen to be in that form don't cross to Python."""
+    return F.coalesce(_nfkc(F.when(~c.rlike(NORMAL), c)), c)
 
 
 def round_half_even(c: Column, scale: int = 0) -> Column:
@@ -106,12 +125,25 @@ def round_half_even(c: Column, scale: int = 0) -> Column:
 
 
 # ---------------------------------------------------------------- markup
+#: References that need no table, and what else may be one. ``&amp;`` is last, so that what it gives isn't read again.
+COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\xa0", "&amp;": "&"}
+UNCOMMON = rf"&(?!(?:{'|'.join(e[1:] for e in COMMON)}))(?:#[0-9xX]|[^\t\n\f <&#;])"
+
+
+def _plain_twice(c: Column) -> Column:
+    """HTML references decoded twice; rows that have common ones only don't cross to Python."""
+    once = lambda x: reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), COMMON.items(), x)
+    held = F.contains(c, F.lit("&"))
+    hard = _unescaped_twice(F.when(held & (c.rlike(UNCOMMON) | once(c).rlike(UNCOMMON)), c))
+    return F.coalesce(hard, F.when(held, once(once(c))).otherwise(c))
+
+
 def strip_html_feed(c: Column) -> Column:
     """Feed markup to text; null gives ''. Blocks of code go, block tags break lines, entities are decoded twice."""
-    text = _sub(F.coalesce(c, F.lit("")), r"(?is)<(script|style|noscript|iframe|figure|figcaption|form)\b.*?</\1\s*>", " ")
-    text = _sub(text, r"(?i)</?(p|div|br|li|tr|h[1-6]|blockquote|section|article|ul|ol|table)\b[^>]*>", "\n")
-    text = _sub(text, r"<[^>]+>", " ")
-    text = F.coalesce(_unescaped_twice(F.when(F.contains(text, F.lit("&")), text)), text)
+    text = F.coalesce(c, F.lit(""))
+    bare = _sub(text, r"(?is)<(script|style|noscript|iframe|figure|figcaption|form)\b.*?</\1\s*>", " ")
+    bare = _sub(bare, r"(?i)</?(p|div|br|li|tr|h[1-6]|blockquote|section|article|ul|ol|table)\b[^>]*>", "\n")
+    text = _plain_twice(F.when(F.contains(text, F.lit("<")), _sub(bare, r"<[^>]+>", " ")).otherwise(text))
     text = _sub(text, r"[​‌‍﻿]")
     lines = F.transform(F.split(text, "\n"), lambda x: _strip(_sub(x, r"[ \t   ]+", " ")))
     return _strip(F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(FURNITURE)), "\n"))
@@ -131,11 +163,13 @@ def strip_html_hash(c: Column) -> Column:
 
 def strip_boilerplate(c: Column) -> Column:
     """Promotional endings, up to three deep, then a URL at the end."""
-    text = _strip(c)
-    for _ in range(3):
-        for pattern in ENDINGS:
-            text = _strip(_sub(text, pattern))
-    return _strip(_sub(text, r"(?U)\s*https?://\S+\s*\z"))
+    def without(text: Column, rounds: int) -> Column:
+        if not rounds:
+            return text
+        off = lambda x: reduce(lambda y, pattern: _strip(_sub(y, pattern)), ENDINGS, x)
+        return let(text, lambda x: F.when(x.rlike(ENDING), without(off(x), rounds - 1)).otherwise(x))  # most texts have none, and what has none keeps none
+
+    return _strip(_sub(without(_strip(c), 3), r"(?U)\s*+https?://\S+\s*\z"))
 
 
 def clean_text(c: Column, limit: int = 6000) -> Column:
@@ -187,7 +221,7 @@ def normalize_text(c: Column) -> Column:
     """The form that duplicates share: markup, glyphs, links, added lines, case and stray punctuation gone."""
     text = unify_punctuation(strip_html_hash(nfkc(F.coalesce(c, F.lit("")))))
     text = F.lower(_sub(strip_urls(text), ADDED_LINE, " "))
-    text = _sub(text, r"(?U)[^\w\s$%+\-?!.,:/]+", " ")
+    text = _sub(text, r"(?U)[^a-z -!\w\s$%+\-?!.,:/]+", " ")
     text = _sub(text, r"(?U)(?<=\d),(?=\d{3}\b)")
     text = _sub(text, r"(?U)(?<!\d),|,(?!\d)", " ")
     text = _sub(text, r"[ \t\r\f\x0b]+", " ")
@@ -201,12 +235,12 @@ def normalize_for_hash(c: Column) -> Column:
 
 def normalize_title(c: Column) -> Column:
     text = F.lower(unify_punctuation(nfkc(strip_html_hash(c))))
-    return _strip(_sub(_sub(text, r"(?U)[^\w\s$%+\-?!.]+", " "), r"(?U)\s+", " "))
+    return _strip(_sub(_sub(text, r"(?U)[^a-z -!\w\s$%+\-?!.]+", " "), r"(?U)\s+", " "))
 
 
 def embedding_text(title: Column, body: Column, limit: int = 4000) -> Column:
     head, rest = normalize_title(title), normalize_for_hash(body)
-    return F.substring(F.when(rest != "", _strip(F.concat(head, F.lit(". "), rest))).otherwise(head), 1, limit)
+    return let(F.struct(head.alias("head"), rest.alias("rest")), lambda x: F.substring(F.when(x["rest"] != "", _strip(F.concat(x["head"], F.lit(". "), x["rest"]))).otherwise(x["head"]), 1, limit))
 
 
 def norm_token(c: Column) -> Column:

@@ -2,8 +2,10 @@
 
 import datetime
 import difflib
+import html
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -442,3 +444,21 @@ def test_prompts_of_stages_work_out_facts_once(spark):
     """Stages share facts that are there: none of them joins the extractors' answers or looks for an amount again."""
     plan = QUERIES["p20_stage_prompts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan and "trillion" not in plan
+
+
+def test_common_texts_do_not_cross_to_python(spark, monkeypatch):
+    """Texts in Latin letters that are in NFKC form, and markup with common references, are decided by built-in functions; others by the tables."""
+    texts = ["na\u00efve caf\u00e9 \u2013 \u20ac5", "\ufb01ne", "e\u0301", "\u1100\u1161", "\u212b x", "a&amp;lt;b &lt;&amp; c", "x &copy; y", "&amp;copy; z", "AT&T &amp;amp; co", "&amp;#39;&nbsp;q", "&#8217;s", "& <b>t</b>"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    sent = df.select(F.col("t").rlike(T.NORMAL).alias("n")).collect()
+    assert [r.n for r in sent] == [x not in ("\ufb01ne", "e\u0301", "\u1100\u1161", "\u212b x") for x in texts]
+    got = df.select("t", T.nfkc(F.col("t")).alias("n"), T._plain_twice(F.col("t")).alias("p"), T._strip(F.concat(F.lit("\x85 \u3000"), "t", F.lit("\u2003\n"))).alias("s")).collect()
+    for r in got:
+        assert (r.n, r.p, r.s) == (unicodedata.normalize("NFKC", r.t), html.unescape(html.unescape(r.t)), r.t)
+
+
+def test_most_texts_are_not_searched_for_each_ending(spark):
+    """A text without any ending is looked through once; one with several loses as many as three rounds of all patterns take."""
+    plan = spark.range(1).select(T.strip_boilerplate(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
+    assert one(spark, T.strip_boilerplate(F.lit(" Rates rose. Read more on our site Continue reading here\nSource: Outlet https://x.org/a ")), T.strip_boilerplate(F.lit("Nothing to take"))) == ["Rates rose.", "Nothing to take"]
