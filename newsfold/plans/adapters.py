@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scale import spread
 from .registry import Tables
 
 ORIGIN = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -45,7 +46,7 @@ STORIES = f"""{VECTORS}, stories AS (SELECT x.id, x.tm, list_transform(list_zip(
 def answers(t: Tables) -> DataFrame:
     """Panel answers: all lines of an order, numbered."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = t.lineitem.withColumn("model_seq", F.row_number().over(w))
+    rows = spread(t.lineitem, "l_orderkey").withColumn("model_seq", F.row_number().over(w))
     return rows.selectExpr(
         "l_orderkey AS news_id", "model_seq", "concat('m', model_seq) AS model_id", "l_returnflag <> 'A' AS ok", "CASE WHEN l_partkey % 11 > 0 THEN l_returnflag = 'N' END AS vote", "l_quantity * 2 AS score",
         "CASE l_suppkey % 5 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BULLISH' WHEN 2 THEN 'BEARISH' WHEN 3 THEN 'NEUTRAL' ELSE 'MIXED' END AS direction",

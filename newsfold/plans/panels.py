@@ -102,7 +102,7 @@ def a10_market_wide(t: Tables) -> DataFrame:
     SELECT news_id, asset, relation, round(confidence, 6) AS confidence, votes FROM links UNION ALL SELECT news_id, asset, 'DIRECT', 0.4, 0 FROM named""")
 def a11_link_fallback(t: Tables) -> DataFrame:
     facts = t.orders.selectExpr("o_orderkey AS news_id", "array(concat('tk', o_custkey % 9), concat('market/', o_custkey)) AS assets")
-    return rounded(I.fallback_links(_links(t), facts).select("news_id", "asset", "relation", "confidence", "votes"))
+    return rounded(I.fallback_links(settle(_links(t)), facts).select("news_id", "asset", "relation", "confidence", "votes"))
 
 
 @query(f"WITH {MENTIONS} SELECT news_id, asset, votes FROM links QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY votes DESC, confidence DESC, asset) <= 3")

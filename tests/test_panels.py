@@ -11,7 +11,9 @@ from newsfold.functions import values as V
 from newsfold.operators import consensus as C
 from newsfold.operators import impact as I
 from newsfold.operators import routing as R
-from newsfold.scale import cut_by_number
+from newsfold.plans.adapters import answers
+from newsfold.plans.registry import Tables
+from newsfold.scale import cut_by_number, spread
 
 
 def one(spark, *columns):
@@ -148,3 +150,11 @@ def test_half_even_as_the_sql_side(spark):
     got = [r.y for r in spark.createDataFrame(list(enumerate(near)), "i long, x double").orderBy("i").select(V.half_even(F.col("x"), 3).alias("y")).collect()]
     assert got == [r[0] for r in duckdb.execute("SELECT round_even(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [near]).fetchall()]
     assert one(spark, V.half_even(F.lit(None).cast("double"), 1))[0] is None
+
+
+def test_parts_follow_the_rows(spark):
+    """Parts grow with the rows and aren't joined again, however well they compress; panels of one article stay together."""
+    df = spark.range(10_000).selectExpr("id % 500 AS k", "0 AS v")
+    assert spread(df, "k", rows=500).rdd.getNumPartitions() == 20 and spread(df.limit(0), "k").count() == 0
+    plan = answers(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
