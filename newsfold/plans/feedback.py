@@ -295,8 +295,9 @@ def g11_observe_stats(t: Tables) -> DataFrame:
     SELECT count(*) AS considered, count(*) FILTER (NOT dead AND state = 'ready' AND id % 3 > 0) AS baselines_set, count(*) FILTER (dead) AS unpriceable, count(*) FILTER (NOT dead AND state = 'pending') AS pending, count(*) FILTER (NOT dead AND state = 'abandoned') AS abandoned,
     (SELECT count(*) FROM obs JOIN b USING (id) WHERE NOT dead) AS observations, (SELECT count(*) FROM b JOIN m USING (id) WHERE NOT dead AND (list_contains(offs, horizon_minutes) OR {SQL_AS_OF} - created_at >= INTERVAL 1440 MINUTE + INTERVAL 30 SECOND)) AS resolved FROM b""")
 def g11_observe_report(t: Tables) -> DataFrame:
-    base = _baselines(t).withColumn("asset", F.expr(ASSETS)).withColumn("had_baseline", F.expr("id % 3 = 0"))
-    seen = _observed(t)
+    found = _baselines(t)  # once for the counts and the samples
+    base = found.withColumn("asset", F.expr(ASSETS)).withColumn("had_baseline", F.expr("id % 3 = 0"))
+    seen = settle(B.observe(_due(t), found, prices(t)))
     return B.observe_report(base, seen, B.resolvable(predictions(t), seen, F.expr(AS_OF)))
 
 
