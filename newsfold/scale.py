@@ -48,6 +48,16 @@ def spread(df: DataFrame, *keys: str, rows: int = 200_000) -> DataFrame:
     return df.repartition(max(least, -(-df.count() // rows)), *keys)
 
 
+def spread_hot(df: DataFrame, keys: list[str], by: str, out: str, rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """``df`` as :func:`spread` gives it by ``keys`` and ``out``, and the table ``(keys…, _parts)`` of the keys of more than ``rows`` rows.
+
+    Those are dealt over ``_parts`` parts by hash of the column ``by``: ``out`` numbers them from 0; it is 0 for all other keys. Keys must not be null.
+    """
+    hot = settle(df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_parts")).where("_parts > 1"))  # at most a row for every ``rows`` rows
+    dealt = df.join(F.broadcast(hot), keys, "left").withColumn(out, F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    return spread(dealt, *keys, out, rows=rows), hot
+
+
 class Scratch:
     """A folder of one run of an operator below ``spark.checkpoint.dir``. What is put there survives lost executors."""
 

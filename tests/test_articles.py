@@ -20,7 +20,7 @@ from newsfold.operators import ops as O
 from newsfold.operators import report as Rp
 from newsfold.plans import articles  # noqa: F401  (it registers its queries)
 from newsfold.plans.registry import QUERIES
-from newsfold.scale import carried, connected_components, global_rank, running_total
+from newsfold.scale import carried, connected_components, global_rank, running_total, spread_hot
 from newsfold.sources import feeds as S
 from newsfold.sources import tables as Tb
 
@@ -218,6 +218,24 @@ def test_related_against_a_loop(spark):
     assert {tuple(r) for r in M.related_events(df, 4).collect()} == want
 
 
+def test_related_in_parts(spark, monkeypatch):
+    """Events of one moment are dealt over parts of bounded size, and none are sorted again after they met what was found for them."""
+    monkeypatch.setattr(M, "spread_hot", lambda *a: spread_hot(*a, rows=20))
+    rows = [(i, "x", "A", 5) for i in range(150)] + [(200 + i, "x", "" if i % 2 else "B", i) for i in range(12)]
+    want = set()
+    for i, _, asset, day in rows:
+        fit = sorted(((d, j) for j, _, a, d in rows if j != i and (a == asset or not a or not asset) and day - 4 <= d <= day), reverse=True)[:5]
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(fit)}
+    df = spark.createDataFrame(rows, "event_id long, event_type string, asset string, day int").selectExpr("event_id", "event_type", "asset", "timestamp'2024-01-01' + make_dt_interval(day) AS last_seen")
+    found = M.related_events(df, 4)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    dealt, hot = spread_hot(df, ["event_type", "asset", "last_seen"], "event_id", "part", rows=20)
+    assert [r["_parts"] for r in hot.collect()] == [8]
+    sizes = {r["part"]: r["count"] for r in dealt.where("asset = 'A'").groupBy("part").count().collect()}
+    assert len(sizes) == 8 and max(sizes.values()) < 60 and sum(sizes.values()) == 150
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 5)]
