@@ -10,9 +10,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..sources.tables import lookback
-from .memory import LOOKBACK_DAYS, MIN_SIMILARITY, TOP, epoch_day, nearest_in_cells
+from .memory import LOOKBACK_DAYS, MIN_SIMILARITY, TOP, epoch_day, lists_asked, nearest_in_cells
 
 #: Most lists of an index (so that its centroids can be sent to every task), and vectors that centroids are fitted on.
 MOST_LISTS, SAMPLE = 4_096, 50_000
@@ -102,9 +103,10 @@ class VectorIndex:
     ) -> DataFrame:
         """``(id, match_id, similarity, rank)`` as :func:`find_similar` gives it, from the stored vectors.
 
-        Stored rows stay where they are; a query goes to two cells (a list and a span of ``days``) for every list that it
-        asks, so that what is shuffled is linear in queries x lists asked, and stored rows of these days. Cells are
-        compared in bounded blocks, so one list may hold most rows. Ties go to the smaller id.
+        Each span of ``days`` is cut into cells of successive lists, of about ``block`` rows. A query goes to the cells of two spans that hold a
+        list which it asks, with the lists that it asks as bits, and meets only rows of these lists. So what is shuffled is
+        linear in the stored rows of these days and in queries x such cells, two where a span holds few rows, however many lists
+        the index has. Cells are compared in bounded blocks, so one list may hold most rows. Ties go to the smaller id.
         """
         micros = F.unix_micros(F.col("at").cast("timestamp"))
         span = queries.agg(F.min(micros), F.max(micros)).first()
@@ -112,22 +114,37 @@ class VectorIndex:
         sent = self.spark.sparkContext.broadcast((self.centroids(), self._radii(kept) if probes is None else None))
         limit = math.acos(max(-1.0, min(1.0, least))) + _SLACK
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf("binary")
         def asked(v: pd.Series) -> pd.Series:
             centroids, radii = sent.value
             angles = _angles(v, centroids)
             if radii is None:
-                return pd.Series(list(np.argsort(angles, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-            return pd.Series([np.flatnonzero(row - radii <= limit).astype(np.int32) for row in angles])
+                fit = np.zeros(angles.shape, bool)
+                np.put_along_axis(fit, np.argsort(angles, axis=1, kind="stable")[:, :probes], True, axis=1)
+            else:
+                fit = angles - radii <= limit
+            return pd.Series([row.tobytes() for row in np.packbits(fit, axis=1)])
+
+        @F.pandas_udf("boolean")
+        def asks(bits: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+            upto = np.cumsum(np.pad(lists_asked(bits), ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+            at = np.arange(len(bits))
+            return pd.Series(upto[at, high.to_numpy() + 1] > upto[at, low.to_numpy()])
 
         size = sent.value[0].shape[1]
+        s = kept.select(F.col("id").alias("s"), F.unix_micros("at").alias("s_at"), F.col("v").alias("s_v"), "list", F.floor(epoch_day("at") / days).alias("span"))
+        counts = s.groupBy("span", "list").agg(F.count("*").alias("n"))
+        before = F.sum(F.when(F.col("list") != REST, F.col("n")).otherwise(0)).over(W.partitionBy("span").orderBy("list").rowsBetween(W.unboundedPreceding, -1))
+        # at most MOST_LISTS + 1 rows a span; vectors without a direction have a cell of their own
+        bins = counts.select("span", "list", F.when(F.col("list") == REST, REST).otherwise(F.floor(F.coalesce(before, F.lit(0)) / block)).alias("bin"))
+        cells = bins.where(F.col("list") != REST).groupBy("span", "bin").agg(F.min("list").alias("low"), F.max("list").alias("high")).select(F.col("span").alias("span"), F.col("bin").alias("bin"), "low", "high")
         rows = queries.select(F.col("id").alias("q"), micros.alias("q_at"), F.col("v").cast("array<double>").alias("q_v"), F.floor(epoch_day("at") / days).alias("last"))
         rows = rows.withColumn("usable", _usable(F.col("q_v"), size) if len(sent.value[0]) else F.lit(False))
-        good = rows.where("usable").withColumn("list", F.explode(asked("q_v")))
-        q = good.unionByName(rows.where("not usable").withColumn("list", F.lit(REST))).drop("usable")
-        q = q.withColumn("span", F.explode(F.array(F.col("last"), F.col("last") - 1))).drop("last")
-        s = kept.select(F.col("id").alias("s"), F.unix_micros("at").alias("s_at"), F.col("v").alias("s_v"), "list", F.floor(epoch_day("at") / days).alias("span"))
-        return nearest_in_cells(q, s, ["list", "span"], days, most, least, block)
+        spans = F.explode(F.array(F.col("last"), F.col("last") - 1)).alias("span")
+        good = rows.where("usable").withColumn("asked", asked("q_v")).select("q", "q_at", "q_v", "asked", spans)
+        good = good.join(cells, "span").where(asks("asked", "low", "high")).drop("low", "high")
+        rest = rows.where("not usable").select("q", "q_at", "q_v", F.lit(None).cast("binary").alias("asked"), spans, F.lit(REST).cast("long").alias("bin"))
+        return nearest_in_cells(good.unionByName(rest), s.join(bins, ["span", "list"]), ["span", "bin"], days, most, least, block)
 
     def _radii(self, kept: DataFrame) -> np.ndarray:
         """The largest angle in each list, one number a list; a list without rows is never asked."""

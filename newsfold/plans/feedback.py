@@ -33,21 +33,21 @@ SIMILAR = f"""{STORIES}, links AS (SELECT a.id, b.id AS match_id, list_cosine_si
 best AS (SELECT id, match_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, match_id) AS rank FROM links QUALIFY rank <= 8)"""
 
 
-def _index(t: Tables) -> tuple[Scratch, VectorIndex]:
-    """The reports' vectors, appended in two parts of which one is written twice."""
+def _index(t: Tables) -> tuple[Scratch, VectorIndex, DataFrame]:
+    """The reports' vectors, appended in two parts of which one is written twice, and the table of them."""
     scratch = Scratch(t.spark, "vectors")
-    v = stories(t)
+    v = scratch.put(stories(t), "stories")
     index = VectorIndex(t.spark, f"{scratch.root}/index").fit(v)
     late = F.col("at") >= F.expr("timestamp_ntz'2024-01-12 00:00:00'")
     for part in (v.where(~late), v.where(late), v.where(late)):
         index.append(part)
-    return scratch, index
+    return scratch, index, v
 
 
 @query(f"WITH {SIMILAR} SELECT id, match_id, similarity, rank FROM best")
 def j2_indexed_articles(t: Tables) -> DataFrame:
-    scratch, index = _index(t)
-    found = settle(index.search(stories(t)))
+    scratch, index, v = _index(t)
+    found = settle(index.search(v))
     scratch.clear()
     return rounded(found)
 
@@ -55,8 +55,7 @@ def j2_indexed_articles(t: Tables) -> DataFrame:
 @query(f"WITH {SIMILAR} SELECT count(*) AS links, true AS enough FROM best")
 def j2_probed_recall(t: Tables) -> DataFrame:
     """Whether three probes find nine tenths or more of the links that all rows give."""
-    scratch, index = _index(t)
-    v = stories(t)
+    scratch, index, v = _index(t)
     exact, probed = settle(M.find_similar(v, v)), settle(index.search(v, probes=3))
     scratch.clear()
     hit = exact.join(probed.select("id", "match_id", F.lit(1).alias("hit")), ["id", "match_id"], "left")

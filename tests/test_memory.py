@@ -13,6 +13,7 @@ from newsfold.plans import feedback  # noqa: F401
 from newsfold.plans.registry import QUERIES
 from newsfold.functions import likeness as K
 from newsfold.operators import memory as M
+from newsfold.operators import vector_index
 from newsfold.operators.vector_index import VectorIndex
 from newsfold.scale import cut_by_time
 from newsfold.sources import sinks as Sk
@@ -48,6 +49,22 @@ def test_index_against_all_rows(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[isnotnull\(day[^\]]*2024-01-0[34]", plan)
 
 
+def test_index_sends_a_query_to_few_cells(spark, tmp_path, monkeypatch):
+    """However many lists a query asks, it is sent once to each of two spans that hold few rows."""
+    v = spark.createDataFrame(reports(random.Random(2), 300), VECTORS)
+    index = VectorIndex(spark, f"file://{tmp_path}/index").fit(v, lists=40)
+    index.append(v)
+    sent = []
+    monkeypatch.setattr(vector_index, "nearest_in_cells", lambda q, s, *a: sent.append((q, s)) or M.nearest_in_cells(q, s, *a))
+    key = lambda df: {tuple(r)[:2] for r in df.collect()}
+    exact = key(index.search(v))
+    q, s = sent[0]
+    assert exact == key(M.find_similar(v, v)) and q.count() <= 2 * 300 and s.count() == 300
+    lists = {r["id"]: r["list"] for r in index.lists().collect()}
+    alone = key(index.search(v, probes=1))
+    assert alone and alone == key(index.search(v, probes=1, block=5)) and all(lists[i] == lists[j] for i, j in alone)
+
+
 def test_index_without_vectors(spark, tmp_path):
     v = spark.createDataFrame([(1, START, None), (2, START + datetime.timedelta(hours=1), [1.0])], VECTORS)
     index = VectorIndex(spark, f"file://{tmp_path}/none").fit(v.where("id = 1"))
