@@ -16,15 +16,21 @@ from ..functions.text import _strip
 from .consensus import best_evidence
 
 KEYS = ["news_id", "asset"]
+#: The fields of an impact beside its keys.
+FORECAST = ["relation", "direction", "magnitude", "expected_low", "expected_high", "confidence", "horizon_minutes", "causality", "mechanism", "risks", "agreement", "model_count", "source", "tradeable"]
 #: Rules of the folds. Fixed values.
 MIXED_BELOW, PRICED_IN, FLIP_SHARE, CONTESTED_CAP, SPLIT_CAP, DISSENT = 0.6, 0.45, 0.5, 0.55, 0.4, 0.85
 
 
 def magnitude_fold(rank_median: Column, midpoint_median: Column) -> Column:
-    """The label's median rank, or the numbers' band if that is two steps away."""
-    label = V.clamp(F.bround(F.coalesce(rank_median, F.lit(1.0))), 1, 4).cast("int")
-    number = V.magnitude_rank(V.magnitude_for_move(midpoint_median))
-    return V.magnitude_of_rank(F.when(midpoint_median.isNotNull() & (F.abs(number - label) >= 2), number).otherwise(label))
+    """The label's median rank, or the numbers' band (as ``magnitude_for_move`` has it) if that is two steps away.
+
+    Each argument is named a few times only: the nested conditions of lookups made methods that Java doesn't compile.
+    """
+    label = F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.bround(F.coalesce(rank_median, F.lit(1.0))))).cast("int")
+    number = F.when(midpoint_median <= 0.7, 1).when(midpoint_median <= 2.0, 2).when(midpoint_median <= 5.0, 3).otherwise(4)
+    rank = F.when(midpoint_median.isNotNull() & (F.abs(number - label) >= 2), number).otherwise(label)
+    return F.get(F.array(*[F.lit(name) for name in V.RANKS]), rank - 1)  # ranks are counted from 1, in this order
 
 
 def _or(c: Column, default: float) -> Column:
@@ -64,9 +70,15 @@ def top_links(links: DataFrame, most: int = 3) -> DataFrame:
     return links.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def _majority(answers: DataFrame, label: str, keys: list[str] = KEYS) -> DataFrame:
-    counts = answers.where(F.coalesce(F.col(label), F.lit("")) != "").groupBy(*keys, label).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*keys).agg(F.max_by(label, F.struct("_n", label)).alias(f"top_{label}"), (F.max("_n") / F.sum("_n")).alias("share"), F.count("*").alias("kinds"))
+def _majority(df: DataFrame, labels: Column) -> DataFrame:
+    """Add the most frequent of an array's labels (the greatest on ties) as ``top``, its ``share`` of them, and the number of ``kinds``.
+
+    Labels are words of an enumeration, so each kind is counted by one look through the array.
+    """
+    n = F.size("_labels")
+    counted = F.transform(F.array_distinct("_labels"), lambda k: F.struct(F.size(F.filter("_labels", lambda x: x == k)).alias("n"), k.alias("label")))
+    df = df.withColumn("_labels", labels).withColumn("_counts", counted).withColumn("_most", F.array_max("_counts"))
+    return df.withColumns({"top": F.col("_most.label"), "share": F.when(n > 0, F.col("_most.n") / n), "kinds": F.size("_counts")}).drop("_labels", "_counts", "_most")
 
 
 def _medians(df: DataFrame, same: Column, names: dict[str, str]) -> DataFrame:
@@ -78,8 +90,8 @@ def _medians(df: DataFrame, same: Column, names: dict[str, str]) -> DataFrame:
     fields = set(names.values())
     told = chosen.withColumns({f"_s_{n}": F.sort_array(F.filter(F.col("_near")[n], lambda v: v.isNotNull())) for n in fields})
     size = lambda n: F.size(f"_s_{n}")
-    at = lambda n, k: F.get(F.col(f"_s_{n}"), k.cast("int"))
-    middle = lambda n: 0.5 * at(n, F.floor((size(n) - 1) / 2)) + 0.5 * at(n, F.floor(size(n) / 2))
+    at = lambda n, k: F.get(F.col(f"_s_{n}"), k)
+    middle = lambda n: 0.5 * at(n, F.shiftright(size(n) - 1, 1)) + 0.5 * at(n, F.shiftright(size(n), 1))
     return told.withColumns({out: F.when(size(n) > 0, middle(n)) for out, n in names.items()}).drop("_rows", "_near", *[f"_s_{n}" for n in fields])
 
 
@@ -88,34 +100,47 @@ def _sizes() -> list[Column]:
     return [c("low"), c("high"), V.magnitude_rank(c("magnitude")).cast("double").alias("rank"), ((c("low") + c("high")) / 2).alias("midpoint")]
 
 
-def _fold(answers: DataFrame, direction: DataFrame) -> DataFrame:
-    """Medians over the answers that share the panel's direction, over all if none does: one aggregation by panel."""
-    joined = answers.join(direction, KEYS).withColumn("_same", F.col("direction") == F.col("called"))
-    same, c = F.col("_same"), F.col
-    kinds = joined.groupBy(*KEYS, "causality").agg(F.count_if(same).alias("_in"), F.count("*").alias("_all"))
-    best = lambda n: F.max_by("causality", F.when(c(n) > 0, F.struct(n, "causality")))
-    top = kinds.groupBy(*KEYS).agg(F.when(F.sum("_in") > 0, best("_in")).otherwise(best("_all")).alias("causality"))
-    order = lambda text: F.struct(F.length(text), -c("model_seq"))
-    mechanism = _strip(F.coalesce("mechanism", F.lit("")))
-    out = joined.groupBy(*KEYS).agg(
-        F.collect_list(F.struct(same.alias("same"), *_sizes(), c("confidence"), c("horizon").cast("double").alias("horizon"))).alias("_rows"), F.count("*").alias("model_count"), F.when(F.count_if(same) > 0, F.count_if(same)).otherwise(F.count("*")).alias("aligned"),
-        F.substring(F.when(F.count_if(same) > 0, F.max_by(mechanism, F.when(same, order(mechanism)))).otherwise(F.max_by(mechanism, order(mechanism))), 1, 600).alias("mechanism"),
-        best_evidence(c("risks"), c("model_seq")).alias("risks"),
-    )
-    out = _medians(out, F.filter("_rows", lambda x: x["same"]), {n: n for n in ("low", "high", "confidence", "horizon", "rank", "midpoint")})
-    return out.join(top, KEYS, "left")
+def _panels(answers: DataFrame, *more: Column) -> DataFrame:
+    """One row a panel: its answers' numbers as the array ``_rows``, their majority, and aggregates ``more``. Panels that name no direction have no row.
+
+    All else is told from this row, so that answers move once and no part of a panel is joined with another.
+    """
+    c = F.col
+    rows = F.collect_list(F.struct("direction", *_sizes(), c("confidence"), c("horizon").cast("double").alias("horizon")))
+    named = F.count_if(c("direction") != "").alias("_named")
+    out = answers.groupBy(*KEYS).agg(rows.alias("_rows"), F.count("*").alias("model_count"), named, best_evidence(c("risks"), c("model_seq")).alias("risks"), *more).where("_named > 0").drop("_named")
+    return _majority(out, F.filter(c("_rows")["direction"], lambda x: x != ""))
+
+
+def _said(answers: DataFrame) -> DataFrame:
+    """One row a panel with ``_said``: of each direction and causality the number of answers and their longest mechanism, the first model's on ties."""
+    text = _strip(F.coalesce("mechanism", F.lit("")))
+    each = answers.groupBy(*KEYS, "direction", "causality").agg(F.count("*").alias("n"), F.max(F.struct(F.length(text), -F.col("model_seq"), text.alias("text"))).alias("best"))
+    return each.groupBy(*KEYS).agg(F.collect_list(F.struct("direction", "causality", "n", "best")).alias("_said"))
+
+
+def _fold(panels: DataFrame, answers: DataFrame) -> DataFrame:
+    """Medians over the answers that share the direction ``called`` of :func:`_panels`, over all if none does.
+
+    The words of ``answers`` are an outer join on the panels' keys: queries that don't return them don't read them either.
+    """
+    same = lambda x: x["direction"] == F.col("called")
+    out = panels.withColumn("aligned", F.size(F.filter("_rows", same))).withColumn("aligned", F.when(F.col("aligned") > 0, F.col("aligned")).otherwise(F.col("model_count")))
+    out = _medians(out, F.filter("_rows", same), {n: n for n in ("low", "high", "confidence", "horizon", "rank", "midpoint")})
+    out = out.join(_said(answers), KEYS, "left").withColumn("_near", F.filter("_said", same)).withColumn("_near", F.when(F.size("_near") > 0, F.col("_near")).otherwise(F.col("_said")))
+    of = lambda k: F.filter("_near", lambda x: x["causality"].eqNullSafe(k))
+    counts = F.transform(F.array_distinct(F.col("_near")["causality"]), lambda k: F.struct(F.aggregate(of(k), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"), k.alias("causality")))
+    mechanism = F.substring(F.array_max(F.col("_near")["best"])["text"], 1, 600)
+    return out.withColumns({"causality": F.array_max(counts)["causality"], "mechanism": mechanism}).drop("_said", "_near")
 
 
 def aggregate_impact(links: DataFrame, answers: DataFrame) -> DataFrame:
     """One stage-4 forecast for each link; NEUTRAL without confidence where no model answered."""
     usable = answers.where("ok and direction is not null")
-    counts = usable.groupBy(*KEYS).agg(F.count_if(F.col("direction") == "BULLISH").alias("bulls"), F.count_if(F.col("direction") == "BEARISH").alias("bears"))
+    panels = _panels(usable, F.count_if(F.col("direction") == "BULLISH").alias("bulls"), F.count_if(F.col("direction") == "BEARISH").alias("bears"))
     lead = F.greatest("bulls", "bears") / (F.col("bulls") + F.col("bears"))
     mixed = (F.col("bulls") + F.col("bears") >= 2) & (lead < MIXED_BELOW)
-    called = _majority(usable, "direction").join(counts, KEYS).select(
-        *KEYS, F.when(mixed, "MIXED").otherwise(F.col("top_direction")).alias("called"), F.when(mixed, lead).otherwise(F.col("share")).alias("agreement")
-    )
-    fold = _fold(usable, called).join(called, KEYS)
+    fold = _fold(panels.withColumn("called", F.when(mixed, "MIXED").otherwise(F.col("top"))).withColumn("agreement", F.when(mixed, lead).otherwise(F.col("share"))), usable)
     low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(0.0))
     small, large = F.least(low, high), F.greatest(low, high)
     neutral = F.col("called") == "NEUTRAL"
@@ -146,34 +171,32 @@ def audit_notes(answers: DataFrame) -> DataFrame:
 def revise(impacts: DataFrame, answers: DataFrame) -> DataFrame:
     """Fold audits ``(…, confirms, direction, priced_in, conflicts, overlooked)`` into stage-4 impacts; impacts without a usable audit stay."""
     usable = answers.where("ok and confirms is not null").withColumn("audit", F.coalesce("direction", F.lit("")))
-    base = impacts.select(*KEYS, F.col("direction").alias("was"), F.col("expected_low").alias("was_low"), F.col("expected_high").alias("was_high"), F.col("confidence").alias("was_confidence"))
-    joined = usable.drop("direction").join(base, KEYS)
-    other = ~F.col("confirms") & (F.col("audit") != "") & (F.col("audit") != F.col("was"))
-    counts = joined.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.count_if(F.col("confirms")).alias("confirmed"), F.count_if(other).alias("others"), F.count_if(F.col("priced_in")).alias("priced"),
-        F.max(F.size("overlooked") > 0).alias("overlooked_any"), F.collect_list(F.struct("audit", *_sizes(), "confidence", F.col("horizon").cast("double").alias("horizon"))).alias("_rows"),
+    panels = usable.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.count_if(F.col("confirms")).alias("confirmed"), F.count_if(F.col("priced_in")).alias("priced"), F.max(F.size("overlooked") > 0).alias("overlooked_any"),
+        F.collect_list(F.struct("audit", "confirms", *_sizes(), "confidence", F.col("horizon").cast("double").alias("horizon"))).alias("_rows"),
     )
-    flips = _majority(joined.where(other), "audit")
+    state = impacts.select(*KEYS, *FORECAST).join(panels, KEYS, "left")
+    others = F.filter("_rows", lambda x: ~x["confirms"] & (x["audit"] != "") & (x["audit"] != F.col("direction")))
+    state = _majority(state.withColumn("_others", others["audit"]), F.col("_others")).withColumn("others", F.size("_others")).drop("_others")
     contested = F.col("confirmed") * 2 <= F.col("n")
     flip = (F.col("share") >= FLIP_SHARE) & (F.col("others") * 2 > F.col("n"))
-    called = F.when(~contested | (F.col("others") == 0), F.col("was")).when(flip, F.col("top_audit")).when(F.col("was").isin("BULLISH", "BEARISH"), "MIXED").otherwise(F.col("was"))
-    state = base.join(counts, KEYS).join(flips, KEYS, "left").withColumn("called", called).withColumn("contested", contested)
+    called = F.when(F.col("n").isNull(), None).when(~contested | (F.col("others") == 0), F.col("direction")).when(flip, F.col("top")).when(F.col("direction").isin("BULLISH", "BEARISH"), "MIXED").otherwise(F.col("direction"))
+    state = state.withColumn("called", called).withColumn("contested", contested)
     state = _medians(state.withColumn("_all", F.col("_rows")), F.filter("_rows", lambda x: (x["audit"] == "") | (x["audit"] == F.col("called"))), {"audit_low": "low", "audit_high": "high", "rank": "rank", "midpoint": "midpoint"})
     state = _medians(state.withColumnRenamed("_all", "_rows"), F.col("_rows"), {"audit_confidence": "confidence", "horizon": "horizon"})
-    low, high = 0.35 * F.col("was_low") + 0.65 * F.col("audit_low"), 0.35 * F.col("was_high") + 0.65 * F.col("audit_high")
+    low, high = 0.35 * F.col("expected_low") + 0.65 * F.col("audit_low"), 0.35 * F.col("expected_high") + 0.65 * F.col("audit_high")
     keep = F.when(F.col("priced") * 2 > F.col("n"), PRICED_IN).otherwise(1.0)
     state = state.withColumn("_low", F.least(low, high) * keep).withColumn("_high", F.greatest(low, high) * keep).withColumn("_magnitude", magnitude_fold(F.col("rank"), F.col("midpoint")))
     state = state.withColumn(
         "_magnitude", F.when(keep < 1, magnitude_fold(V.magnitude_rank(F.col("_magnitude")).cast("double"), (F.col("_low") + F.col("_high")) / 2)).otherwise(F.col("_magnitude"))
     )
     agreed = V.clamp(F.col("confirmed") / F.col("n"), 0.6, 1.0)
-    confidence = F.when(F.col("contested"), F.least("was_confidence", "audit_confidence", F.lit(CONTESTED_CAP))).otherwise(F.least(F.col("audit_confidence"), F.col("was_confidence") * 1.15) * agreed)
-    confidence = confidence * F.when((F.col("called") == "MIXED") & (F.col("was") != "MIXED"), 0.7).otherwise(1.0) * F.when(F.col("overlooked_any"), 0.9).otherwise(1.0)
-    state = state.select(
-        *KEYS, "called", F.col("_magnitude"), V.half_even(F.col("_low"), 3).alias("_low"), V.half_even(F.col("_high"), 3).alias("_high"), V.half_even(V.clamp(confidence, 0.0, 1.0), 3).alias("_confidence"),
+    confidence = F.when(F.col("contested"), F.least("confidence", "audit_confidence", F.lit(CONTESTED_CAP))).otherwise(F.least(F.col("audit_confidence"), F.col("confidence") * 1.15) * agreed)
+    confidence = confidence * F.when((F.col("called") == "MIXED") & (F.col("direction") != "MIXED"), 0.7).otherwise(1.0) * F.when(F.col("overlooked_any"), 0.9).otherwise(1.0)
+    out = state.select(
+        *KEYS, *FORECAST, "called", F.col("_magnitude"), V.half_even(F.col("_low"), 3).alias("_low"), V.half_even(F.col("_high"), 3).alias("_high"), V.half_even(V.clamp(confidence, 0.0, 1.0), 3).alias("_confidence"),
         V.snap_horizon(F.col("horizon")).alias("_horizon"), (F.col("confirmed") / F.col("n")).alias("_agreement"), F.col("n").alias("_n"),
     ).join(audit_notes(usable), KEYS, "left")
-    out = impacts.join(state, KEYS, "left")
     pick = lambda new, old: F.when(F.col("called").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
     longer = F.when(F.length("notes") > F.length("risks"), F.col("notes")).otherwise(F.col("risks"))
     return out.select(
@@ -186,13 +209,14 @@ def revise(impacts: DataFrame, answers: DataFrame) -> DataFrame:
 def decide_final(impacts: DataFrame, answers: DataFrame) -> DataFrame:
     """Fold the final panel ``(…, tradeable)`` into impacts; impacts without a usable answer stay, with a note."""
     usable = answers.where("ok and direction is not null")
-    called = _majority(usable, "direction").join(usable.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.col("tradeable")).alias("trades"), F.array_join(F.array_sort(F.collect_set("direction")), ", ").alias("seen")), KEYS)
-    apart = (F.col("kinds") == F.col("n")) & (F.col("n") >= 3)
-    called = called.select(*KEYS, F.when(apart, "MIXED").otherwise(F.col("top_direction")).alias("called"), F.col("share").alias("f_agreement"), (F.col("share") < 0.6).alias("split"), "n", "trades", "seen")
-    fold = _fold(usable, called.select(*KEYS, "called")).select(
+    panels = _panels(usable, F.count_if(F.col("tradeable")).alias("trades")).withColumn("seen", F.array_join(F.array_sort(F.array_distinct(F.col("_rows")["direction"])), ", "))
+    apart = (F.col("kinds") == F.col("model_count")) & (F.col("model_count") >= 3)
+    panels = panels.withColumn("called", F.when(apart, "MIXED").otherwise(F.col("top")))
+    fold = _fold(panels, usable).select(
         *KEYS, F.col("low").alias("f_low"), F.col("high").alias("f_high"), F.col("confidence").alias("f_confidence"), F.col("horizon").alias("f_horizon"), "aligned",
         magnitude_fold(F.col("rank"), F.col("midpoint")).alias("f_magnitude"), F.col("causality").alias("f_causality"), F.col("mechanism").alias("f_mechanism"), F.col("risks").alias("f_risks"),
-    ).join(called, KEYS)
+        "called", F.col("share").alias("f_agreement"), (F.col("share") < 0.6).alias("split"), F.col("model_count").alias("n"), "trades", "seen",
+    )
     out = impacts.join(fold, KEYS, "left")
     done = F.col("called").isNotNull()
     low, high = F.coalesce(F.when(F.col("f_low") != 0, F.col("f_low")), F.col("expected_low")), F.coalesce(F.when(F.col("f_high") != 0, F.col("f_high")), F.col("expected_high"))

@@ -43,16 +43,20 @@ def stories(t: Tables) -> DataFrame:
 STORIES = f"""{VECTORS}, stories AS (SELECT x.id, x.tm, list_transform(list_zip(x.v, a.v), lambda p: CAST(p[2] AS DOUBLE) + 0.35 * CAST(p[1] AS DOUBLE)) AS v FROM vectors x JOIN vectors a ON a.id = x.id - x.id % 20)"""
 
 
-def answers(t: Tables) -> DataFrame:
-    """Panel answers: all lines of an order, numbered."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = spread(t.lineitem, "l_orderkey").withColumn("model_seq", F.row_number().over(w))
+def answers(t: Tables, *more: str) -> DataFrame:
+    """Panel answers: all lines of an order, numbered; dealt by order, or by order and the columns ``more``, which may be ``asset`` only.
+
+    Joins on article and asset move rows that are dealt by the article alone, but not those that are dealt by both. An order has one asset, so that its lines stay together.
+    """
+    lines = t.lineitem.withColumn("asset", F.expr("concat('A', l_orderkey % 2)"))
+    w = W.partitionBy("l_orderkey", *more).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    rows = spread(lines, "l_orderkey", *more).withColumn("model_seq", F.row_number().over(w))
     return rows.selectExpr(
         "l_orderkey AS news_id", "model_seq", "concat('m', model_seq) AS model_id", "l_returnflag <> 'A' AS ok", "CASE WHEN l_partkey % 11 > 0 THEN l_returnflag = 'N' END AS vote", "l_quantity * 2 AS score",
         "CASE l_suppkey % 5 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BULLISH' WHEN 2 THEN 'BEARISH' WHEN 3 THEN 'NEUTRAL' ELSE 'MIXED' END AS direction",
         "CASE l_partkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'EXTREME' END AS magnitude", "least(l_tax * 50, l_discount * 100) AS low", "greatest(l_tax * 50, l_discount * 100) AS high",
         "1 - l_discount * 5 AS confidence", "CASE l_partkey % 5 WHEN 0 THEN 15 WHEN 1 THEN 60 WHEN 2 THEN 180 WHEN 3 THEN 360 ELSE 1440 END AS horizon",
-        "CASE l_suppkey % 3 WHEN 0 THEN 'MACRO' WHEN 1 THEN 'SENTIMENT' ELSE 'REGULATORY' END AS causality", "concat('A', l_orderkey % 2) AS asset",
+        "CASE l_suppkey % 3 WHEN 0 THEN 'MACRO' WHEN 1 THEN 'SENTIMENT' ELSE 'REGULATORY' END AS causality", "asset",
         "substring('because of supply', 1, cast(l_partkey % 17 as int)) AS mechanism", "substring('the risk is demand', 1, cast(l_suppkey % 18 as int)) AS risks", "l_suppkey % 7 = 0 AS market_wide", "l_linestatus = 'O' AS flag",
         "CASE l_partkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS urgency", "CASE WHEN l_partkey % 4 > 0 THEN concat('reason ', l_partkey % 13) ELSE '' END AS reason", "l_partkey AS partkey",
     )

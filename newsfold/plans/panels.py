@@ -147,9 +147,9 @@ IMPACT_COLUMNS = "news_id, asset, relation, direction, magnitude, round(expected
 
 
 def _impacts(t: Tables) -> DataFrame:
-    a = settle(answers(t))
+    a = answers(t, "asset")
     links = a.select("news_id", "asset").distinct().selectExpr("*", "CASE WHEN news_id % 3 = 0 THEN 'INDIRECT' ELSE 'DIRECT' END AS relation", "(news_id % 5) / 5 AS confidence")
-    return settle(I.aggregate_impact(links, a))  # stage tables are written where the next stage begins
+    return I.aggregate_impact(links, a)
 
 
 @query(f"WITH {IMPACTS} SELECT {IMPACT_COLUMNS}, causality, mechanism, risks FROM impacts")
@@ -192,11 +192,11 @@ revised AS (SELECT i.news_id, i.asset, i.relation, coalesce(called, direction) A
 
 def _revised(t: Tables) -> DataFrame:
     """Lines whose status is O answer as auditors too."""
-    audits = answers(t).where("flag").selectExpr(
+    audits = answers(t, "asset").where("flag").selectExpr(
         "news_id", "asset", "model_seq", "ok", "CASE WHEN partkey % 13 > 0 THEN partkey % 5 > 1 END AS confirms", "CASE WHEN partkey % 7 > 0 THEN direction END AS direction", "magnitude", "low", "high", "confidence", "horizon", "partkey % 2 = 0 AS priced_in",
         "array(concat('conflict ', partkey % 3)) AS conflicts", "CASE WHEN partkey % 6 = 0 THEN array('missed') ELSE cast(array() AS array<string>) END AS overlooked",
     )
-    return settle(I.revise(_impacts(t), audits))
+    return I.revise(_impacts(t), audits)
 
 
 @query(f"WITH {REVISED} SELECT news_id, asset, direction, magnitude, round(expected_low + 1e-7, 2) AS expected_low, round(expected_high + 1e-7, 2) AS expected_high, round(confidence + 1e-7, 2) AS confidence, horizon_minutes, round(agreement, 6) AS agreement, model_count, source FROM revised")
@@ -224,7 +224,7 @@ verdict AS (SELECT r.news_id, r.asset, coalesce(fcalled, r.direction) AS directi
 
 def _finals(t: Tables) -> DataFrame:
     """Lines of the other status answer as the final panel too."""
-    panel = answers(t).where("NOT flag").withColumn("tradeable", F.expr("partkey % 2 = 0"))
+    panel = answers(t, "asset").where("NOT flag").withColumn("tradeable", F.expr("partkey % 2 = 0"))
     return I.decide_final(_revised(t), panel)
 
 
@@ -236,7 +236,7 @@ def a16_final_verdicts(t: Tables) -> DataFrame:
 
 @query(f"WITH {FINALS} SELECT news_id, asset, depth, max(depth) OVER (PARTITION BY news_id) AS deepest FROM (SELECT *, CASE source WHEN 'stage5' THEN 5 WHEN 'final' THEN 6 ELSE 4 END AS depth FROM verdict)")
 def a27_deepest_stage(t: Tables) -> DataFrame:
-    return rounded(I.deepest_stage(_finals(t)).select("news_id", "asset", "depth", "deepest"))
+    return rounded(I.deepest_stage(settle(_finals(t).select("news_id", "asset", "source"))).select("news_id", "asset", "depth", "deepest"))
 
 
 @query(f"WITH {ANSWERS} SELECT news_id, asset, string_agg(concat('stage', model_seq, ' ', direction), ' > ' ORDER BY model_seq) AS trail FROM answers GROUP BY ALL")
@@ -252,7 +252,7 @@ prio AS (SELECT *, (abs(expected_low) + abs(expected_high)) / 2 * greatest(confi
 def _routed(t: Tables) -> DataFrame:
     score = answers(t).where("ok").groupBy("news_id").agg(F.median("score").alias("score"))
     kind = F.expr("CASE news_id % 9 WHEN 0 THEN 'REGULATORY' WHEN 1 THEN 'LIQUIDATION' ELSE 'FUNDING' END")
-    return _revised(t).join(score, "news_id", "left").withColumn("event_type", kind).withColumn("source_count", (F.col("news_id") % 6).cast("int"))
+    return settle(_revised(t)).join(score, "news_id", "left").withColumn("event_type", kind).withColumn("source_count", (F.col("news_id") % 6).cast("int"))
 
 
 @query(f"""WITH {ROUTED} SELECT news_id, asset FROM prio
@@ -298,7 +298,7 @@ def k7_k8_scores(t: Tables) -> DataFrame:
 
 @query(f"WITH {REVISED} SELECT news_id, asset, direction FROM revised WHERE model_count > 0 AND direction <> 'MIXED'")
 def g7_predictions(t: Tables) -> DataFrame:
-    return R.to_predictions(_revised(t)).select("news_id", "asset", "direction")
+    return R.to_predictions(settle(_revised(t))).select("news_id", "asset", "direction")
 
 
 @query(f"""WITH {ALERTS}, p AS (SELECT batch AS cycle, seq AS event_seq, asset, row_number() OVER (PARTITION BY batch ORDER BY seq, alert_score DESC, asset) AS place FROM alerts)

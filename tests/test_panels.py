@@ -5,14 +5,16 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from test_entry import cell
 
 from newsfold.functions import answers as P
 from newsfold.functions import values as V
 from newsfold.operators import consensus as C
 from newsfold.operators import impact as I
 from newsfold.operators import routing as R
+from newsfold.plans import panels  # noqa: F401  (it registers its queries)
 from newsfold.plans.adapters import answers
-from newsfold.plans.registry import Tables
+from newsfold.plans.registry import QUERIES, SQL, Tables
 from newsfold.scale import cut_by_number, spread
 
 
@@ -158,3 +160,30 @@ def test_parts_follow_the_rows(spark):
     assert spread(df, "k", rows=500).rdd.getNumPartitions() == 20 and spread(df.limit(0), "k").count() == 0
     plan = answers(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def lineitem(spark, folder):
+    """Orders of no to nine lines and one of 400, many of them equal in all that orders them but one column."""
+    draw = random.Random(3)
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    orders = [7] * 400 + [k for k in range(400) for _ in range(draw.randrange(10))]
+    rows = [(k, draw.randrange(60), draw.randrange(40), draw.randrange(1, 4), float(draw.randrange(1, 51)), draw.randrange(1000) / 8, draw.randrange(11) / 100, draw.randrange(9) / 100, draw.choice("ANR"), draw.choice("OF"), None) for k in orders]
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("name", "uses"), [("a16_final_verdicts", 4)])
+def test_panels_move_lines_only(spark, tmp_path, name, uses):
+    """Each stage moves its lines once. No answers, impacts or panels are written, and none are dealt anew for a join."""
+    folder = lineitem(spark, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, folder)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ExistingRDD" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == uses
+    want = duckdb.connect().execute(SQL[name].replace("FROM lineitem", f"FROM '{folder}/lineitem.parquet/*.parquet'")).df()
+    told = lambda df: sorted(tuple(cell(v) for v in r) for r in df[sorted(want.columns)].itertuples(index=False))
+    assert told(got) == told(want) and len(got) > 300
