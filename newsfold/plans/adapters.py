@@ -44,13 +44,15 @@ STORIES = f"""{VECTORS}, stories AS (SELECT x.id, x.tm, list_transform(list_zip(
 
 
 def answers(t: Tables, *more: str) -> DataFrame:
-    """Panel answers: all lines of an order, numbered; dealt by order, or by order and the columns ``more``, which may be ``asset`` only.
+    """Panel answers: all lines of an order, numbered; dealt by order, or by order and ``more``, which may only be ``asset``.
 
-    Joins on article and asset move rows that are dealt by the article alone, but not those that are dealt by both. An order has one asset, so that its lines stay together.
+    Joins by article and asset move rows that are dealt by the article alone, but not those that are dealt by both. An order has one asset, so that its lines stay
+    together; they are dealt by its expression, so that it isn't moved with them.
     """
-    lines = t.lineitem.withColumn("asset", F.expr("concat('A', l_orderkey % 2)"))
-    w = W.partitionBy("l_orderkey", *more).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = spread(lines, "l_orderkey", *more).withColumn("model_seq", F.row_number().over(w))
+    asset = F.expr("concat('A', l_orderkey % 2)")
+    keys = ["l_orderkey", *[{"asset": asset}[c] for c in more]]
+    w = W.partitionBy(*keys).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    rows = spread(t.lineitem, *keys).withColumn("model_seq", F.row_number().over(w)).withColumn("asset", asset)
     return rows.selectExpr(
         "l_orderkey AS news_id", "model_seq", "concat('m', model_seq) AS model_id", "l_returnflag <> 'A' AS ok", "CASE WHEN l_partkey % 11 > 0 THEN l_returnflag = 'N' END AS vote", "l_quantity * 2 AS score",
         "CASE l_suppkey % 5 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BULLISH' WHEN 2 THEN 'BEARISH' WHEN 3 THEN 'NEUTRAL' ELSE 'MIXED' END AS direction",

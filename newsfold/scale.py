@@ -39,7 +39,7 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(df: DataFrame, *keys: str, rows: int = 200_000) -> DataFrame:
+def spread(df: DataFrame, *keys: Column | str, rows: int = 200_000) -> DataFrame:
     """``df`` by ``keys`` in as many parts as its rows ask, about ``rows`` each; what is grouped by these keys and more stays where it is.
 
     Adaptive execution joins parts by their compressed bytes, of which sorted and repetitive rows take few, so that the memory of a task grows with the table.

@@ -172,7 +172,7 @@ def lineitem(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "uses"), [("a16_final_verdicts", 4)])
+@pytest.mark.parametrize(("name", "uses"), [("a15_revised", 3), ("a16_final_verdicts", 4)])
 def test_panels_move_lines_only(spark, tmp_path, name, uses):
     """Each stage moves its lines once. No answers, impacts or panels are written, and none are dealt anew for a join."""
     folder = lineitem(spark, tmp_path)
@@ -187,3 +187,12 @@ def test_panels_move_lines_only(spark, tmp_path, name, uses):
     want = duckdb.connect().execute(SQL[name].replace("FROM lineitem", f"FROM '{folder}/lineitem.parquet/*.parquet'")).df()
     told = lambda df: sorted(tuple(cell(v) for v in r) for r in df[sorted(want.columns)].itertuples(index=False))
     assert told(got) == told(want) and len(got) > 300
+
+
+def test_panels_deal_by_both_keys_without_moving_the_asset(spark, tmp_path):
+    """Numbers of lines and panels by article and asset stay where the lines were dealt to; the shuffle carries columns of the table only."""
+    a = answers(Tables(spark, lineitem(spark, tmp_path)), "asset")
+    plan = a.groupBy("news_id", "asset").agg(F.max("model_seq"))._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange") == 1
+    moved = plan.optimizedPlan().toString().split("Repartition", 1)[1].splitlines()[1]
+    assert "Relation" in moved and "asset" not in moved
